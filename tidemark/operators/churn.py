@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import values_at_ranks
@@ -18,6 +18,7 @@ from tidemark.functions.semantics import (
     CANCELLED, as_date, booking_track, committed, half_even, key_or_unknown, money_avg, money_sum,
     object_id, risk_bucket, whole_days,
 )
+from tidemark.plans.session import cut_lineage
 
 # Fixed values of the feature contract, in model order.
 CATEGORIES = {
@@ -199,29 +200,40 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(sizes.drop("_n")), label)
 
 
-def churn_estimator(contract: Sequence[str] = CONTRACT, seed: int = 42, rounds: int = 20) -> Pipeline:
-    """Gradient-boosted trees; nulls become medians plus indicator columns (added by `model_input`)."""
-    gappy = [c for c in NUMERIC if c in contract]
-    filled = [f"{c}__filled" for c in gappy]
-    missing = [f"{c}__missing" for c in gappy]
-    rest = [c for c in contract if c not in gappy]
+def churn_estimator(contract: Sequence[str] = CONTRACT, seed: int = 42, rounds: int = 20,
+                    empty: Sequence[str] = ()) -> Pipeline:
+    """Gradient-boosted trees; nulls become medians plus the indicator columns of `model_input`.
+
+    A column of `empty` has no value in the training rows, hence no median, and enters as 0.
+    """
+    gappy = [c for c in NUMERIC if c in contract and c not in empty]
+    filled = [f"{c}__filled" for c in gappy] + [f"{c}__zero" for c in NUMERIC if c in contract and c in empty]
+    missing = [f"{c}__missing" for c in NUMERIC if c in contract]
+    rest = [c for c in contract if c not in NUMERIC]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=gappy, outputCols=filled),
+        Imputer(strategy="median", inputCols=gappy, outputCols=[f"{c}__filled" for c in gappy]),
         VectorAssembler(inputCols=filled + missing + rest, outputCol="features"),
         GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=4, seed=seed),
     ])
 
 
 def model_input(aligned: DataFrame, contract: Sequence[str] = CONTRACT) -> DataFrame:
-    """Missing-value indicators, and a type the imputer can fill when a column is entirely null."""
-    gaps = [F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in NUMERIC if c in contract]
-    return aligned.select("*", *gaps)
+    """Missing-value indicators and zero-filled copies next to the features."""
+    numeric = [c for c in NUMERIC if c in contract]
+    gaps = [F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in numeric]
+    zeros = [F.coalesce(F.col(c), F.lit(0.0)).alias(f"{c}__zero") for c in numeric]
+    return aligned.select("*", *gaps, *zeros)
 
 
-def train_churn(aligned: DataFrame, contract: Sequence[str] = CONTRACT, seed: int = 42) -> PipelineModel:
+def train_churn(aligned: DataFrame, contract: Sequence[str] = CONTRACT, seed: int = 42, rounds: int = 20) -> PipelineModel:
     """Fit on the training rows of `aligned` (columns label, is_test optional)."""
     rows = aligned.where(~F.col("is_test")) if "is_test" in aligned.columns else aligned
-    return churn_estimator(contract, seed).fit(model_input(balanced_weights(rows), contract))
+    numeric = [c for c in NUMERIC if c in contract]
+    known = rows.agg(*[F.count(c).alias(c) for c in numeric]).first()
+    empty = [c for c in numeric if known[c] == 0]
+    # Written once: boosting passes over its input many times.
+    ready = cut_lineage(model_input(balanced_weights(rows), contract))
+    return churn_estimator(contract, seed, rounds, empty).fit(ready)
 
 
 def score(model: PipelineModel, aligned: DataFrame, contract: Sequence[str] = CONTRACT) -> DataFrame:
@@ -258,8 +270,6 @@ def auc(df: DataFrame, proba: str = "churn_proba", label: str = "label", by: str
     Scores are compared at `digits` decimals (the precision that is stored), so
     the histogram has at most 10**digits + 1 rows per group, whatever the table size.
     """
-    from pyspark.sql import Window
-
     group = key_or_unknown(by) if by else F.lit("all")
     hist = df.groupBy(group.alias("track"), F.round(proba, digits).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
@@ -299,13 +309,14 @@ def retrain(bookings: DataFrame, reviews: DataFrame, customers: DataFrame, as_of
 
     snapshot = as_date(as_of) - timedelta(days=LABEL_WINDOW_DAYS)
     labelled = with_label(churn_features(bookings, reviews, customers, snapshot, LABEL_WINDOW_DAYS, "skip"))
-    aligned = stratified_split(align_features(labelled))
+    # Written once: the split, the training passes and the evaluation all read it.
+    aligned = stratified_split(cut_lineage(align_features(labelled)))
     model = train_churn(aligned)
     held = aligned.where("is_test")
     scored = score(model, held).join(held.select("customer_id", "label"), "customer_id")
     parts = {r["track"]: r["auc"] for r in auc(scored, by="track").collect()}
     overall = auc(scored).first()["auc"]
-    size = labelled.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).first()
+    size = aligned.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).first()
     last = latest_run(runs, "retrain_churn").select("auc").first() if runs is not None else None
     gate = champion_gate(overall, last["auc"] if last else None)
     if gate.deploy and model_path:

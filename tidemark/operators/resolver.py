@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import (
@@ -34,28 +34,28 @@ def _actual_segment(bookings: DataFrame, start, end, granularity: str) -> DataFr
 
 
 def _forecast_rows(forecast: DataFrame, start, end, granularity: str) -> DataFrame:
-    """Rows of the first horizon that has any, with their share of the range."""
+    """Forecast rows with the preference rank of their horizon and their share of the range."""
     order = granularity_fallbacks(granularity, (end - start).days + 1)
     rank = F.array_position(F.array(*[F.lit(g) for g in order]), F.col("horizon"))
-    ranked = forecast.withColumn("_rank", rank).where("_rank > 0")
-    rows = ranked.where(F.col("_rank") == ranked.agg(F.min("_rank")).scalar())
     p_end = _end_of(F.col("period"), F.col("horizon"))
     share = overlap_fraction(F.col("period"), p_end, F.lit(start), F.lit(end))
-    return rows.select("horizon", F.col("period").alias("period_start"), p_end.alias("period_end"),
-                       "forecast_idr", "model_mape_pct", share.alias("share"))
+    return forecast.select(
+        rank.alias("rank"), "horizon", F.col("period").alias("period_start"), p_end.alias("period_end"),
+        "forecast_idr", "model_mape_pct", share.alias("share")).where("rank > 0")
 
 
 def _forecast_segment(forecast: DataFrame, start, end, granularity: str) -> DataFrame:
-    rows = _forecast_rows(forecast, start, end, granularity)
+    """Totals of the first horizon that has rows; an empty forecast table is an error."""
     inside = F.col("share") > 0
     part = F.when(inside, (F.col("forecast_idr") * F.col("share")).cast("decimal(28,6)"))
-    one = rows.agg(
-        F.first("horizon").alias("horizon"), F.coalesce(F.sum(part).cast("double"), F.lit(0.0)).alias("total"),
+    per_horizon = _forecast_rows(forecast, start, end, granularity).groupBy("rank", "horizon").agg(
+        F.coalesce(F.sum(part).cast("double"), F.lit(0.0)).alias("total"),
         F.min_by("model_mape_pct", "period_start").alias("mape"),
         F.coalesce(F.max(inside & (F.col("share") < 1)), F.lit(False)).alias("partial"),
         F.max(F.when(inside, F.least("period_end", F.lit(end)))).alias("covered"))
+    best = per_horizon.agg(F.min_by(F.struct("*"), "rank").alias("b")).select("b.*")
     checked = F.when(F.col("horizon").isNull(), F.raise_error(F.lit("the forecast table is empty"))).otherwise(F.col("horizon"))
-    return one.select(
+    return best.select(
         F.lit("forecast").alias("kind"), F.lit(start).alias("start"), F.lit(end).alias("end"),
         F.lit((end - start).days + 1).alias("days"), half_even(F.col("total"), 2).alias("total_idr"),
         checked.alias("granularity_used"), F.col("mape").alias("model_mape_pct"),
@@ -77,13 +77,16 @@ def resolve(bookings: DataFrame, forecast: DataFrame, start, end, as_of) -> tupl
     if end >= today:
         first = max(start, today)
         ahead = _forecast_segment(forecast, first, end, granularity)
-        rows = _forecast_rows(forecast, first, end, granularity).where("share > 0").select(
+        ranked = _forecast_rows(forecast, first, end, granularity)
+        used = ranked.where(F.col("rank") == ranked.agg(F.min("rank")).scalar())
+        rows = used.where("share > 0").select(
             F.lit("forecast").alias("kind"), F.date_format("period_start", "yyyy-MM-dd").alias("period"),
             half_even(F.col("forecast_idr") * F.col("share"), 2).alias("revenue_idr"),
             F.lit(None).cast("bigint").alias("booking_count"), (F.col("share") < 1).alias("partial"))
         segments = ahead if segments is None else segments.unionByName(ahead, allowMissingColumns=True)
         periods = rows if periods is None else periods.unionByName(rows)
-    grand = segments.agg(F.round(F.sum(F.col("total_idr").cast("decimal(28,2)")).cast("double"), 2)).scalar()
+    # At most two rows reach this window.
+    grand = F.round(F.sum(F.col("total_idr").cast("decimal(28,2)")).over(Window.partitionBy()).cast("double"), 2)
     wanted = {
         "kind": "string", "start": "date", "end": "date", "days": "int", "total_idr": "double",
         "avg_daily_idr": "double", "vs_previous_period_pct": "double", "vs_same_period_last_year_pct": "double",

@@ -11,6 +11,7 @@ from tidemark.operators import forecast as FC
 from tidemark.operators import resolver as RS
 from tidemark.plans.kpi_queries import COMMIT, COMMIT_PAID, money, span
 from tidemark.plans.registry import query
+from tidemark.plans.session import cut_lineage
 from tidemark.sources import driver_tables as T
 from tidemark.sources import sinks
 from tidemark.sources.driver_tables import oracle
@@ -126,7 +127,7 @@ query("evaluate_auc", oracle("bookings reviews customers", f"""
 
 def _scored(spark, sf):
     labelled = H.with_label(features(spark, sf, 365))
-    aligned = H.stratified_split(H.align_features(labelled))
+    aligned = H.stratified_split(cut_lineage(H.align_features(labelled)))
     return H.train_churn(aligned), aligned
 
 
@@ -149,10 +150,31 @@ def _gate(spark, sf):
     return record.select("job", "snapshot", "population", "churn_rate", "auc", "prev_auc", "deployed")
 
 
-@query("churn_overview_insight")
-def _insight(spark, sf):
-    _, record, _ = H.retrain(T.bookings(spark, sf), T.reviews(spark, sf), T.customers(spark, sf), "2001-06-30")
-    return H.overview_insight(record)
+def _score_run(spark, sf):
+    """A run record whose AUC is that of the plain recency score."""
+    scored = features(spark, sf, 365).transform(H.with_label).withColumn("churn_proba", F.col("recency_days") / 4000)
+    quality = H.auc(scored, by="track").agg(F.map_from_entries(F.collect_list(F.struct("track", "auc"))).alias("m")).scalar()
+    overall = H.auc(scored).select("auc").scalar()
+    return scored.agg(F.count(F.lit(1)).alias("population"), F.round(F.avg("label"), 4).alias("churn_rate")).select(
+        "population", "churn_rate", quality.alias("auc_by_track"), F.round(overall, 4).alias("auc"),
+        F.lit(SNAPSHOT).alias("ran_at"), F.lit(True).alias("deployed"))
+
+
+def _auc_sql(by: str) -> str:
+    return f"""
+      SELECT track, round((sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2)
+        / (sum(label) * sum(1 - label)), 6) AS auc
+      FROM (SELECT track, label, rank() OVER w + (count(*) OVER (PARTITION BY track, s) - 1) / 2 AS r FROM (
+        SELECT {by} AS track, label, round(recency_days / 4000, 4) AS s FROM ({_FEATURES}))
+      WINDOW w AS (PARTITION BY track ORDER BY s)) GROUP BY 1"""
+
+
+query("churn_overview_insight", oracle("bookings reviews customers", f"""
+  SELECT 'churn_model_overview' AS id, 'churn' AS topic,
+    format('[Update: {SNAPSHOT}] Churn model replaced: AUC {{:.3f}} (single {{:.3f}}, repeat {{:.3f}}), churn rate {{:.1f}}% of {{:,}} customers.',
+      round((SELECT auc FROM ({_auc_sql("'all'")})), 4), (SELECT auc FROM ({_auc_sql('track')}) WHERE track = 'single'),
+      (SELECT auc FROM ({_auc_sql('track')}) WHERE track = 'repeat'), round(avg(label), 4) * 100, count(*)) AS text
+  FROM ({_FEATURES})"""))(lambda spark, sf: H.overview_insight(_score_run(spark, sf)))
 
 
 @query("predict_churn")
