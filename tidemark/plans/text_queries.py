@@ -95,10 +95,8 @@ CANON = ("rtrim(rtrim(printf('%.4f', CAST(" + _PLAIN + " AS DOUBLE)), '0'), '.')
 
 query("number_tokens", oracle("chunks", f"""
   SELECT chunk_id, tok AS token, {CANON.format(x='tok')} AS canonical, count(*) AS n FROM (
-    SELECT chunk_id, unnest({NUMBERS.format(t='text')}) AS tok FROM chunks) WHERE length(tok) <= 12 GROUP BY 1, 2, 3"""))(
+    SELECT chunk_id, unnest({NUMBERS.format(t='text')}) AS tok FROM chunks) GROUP BY 1, 2, 3"""))(
     lambda spark, sf: T.documents(spark, sf).select("chunk_id", F.explode(TX.number_tokens(F.col("text"))).alias("token"))
-    # Longer digit strings exceed what a double shows exactly; engines print them differently.
-    .where(F.length("token") <= 12)
     .groupBy("chunk_id", "token", TX.canonical_number(F.col("token")).alias("canonical")).agg(F.count(F.lit(1)).alias("n")))
 
 _WORDS = r"len(list_filter(string_split_regex({t}, '\s+'), lambda x: x <> ''))"

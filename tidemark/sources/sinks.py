@@ -1,75 +1,88 @@
 """Writes.
 
-Plain parquet has no row-level update, so every replacing write goes to a new
-version folder and a small pointer record names the current one.  A reader
-never sees a half-written table, the path being read is never overwritten, and
-a job that loses executors simply leaves an unreferenced folder behind.
+Plain parquet has no row-level update, so every write goes to a new folder and
+one small log record makes it visible.  A reader never sees a half-written
+table, the path being read is never overwritten, and a job that dies leaves an
+unreferenced folder behind and nothing else.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+LOG_SCHEMA = "seq long, replaces boolean, folder string, tag string, schema string"
 
 
 class VersionedTable:
-    """A table as version folders below `root` plus an append-only pointer log."""
+    """Folders below `root` plus a log; one writer at a time.
+
+    The content is the folder of the last replacing write and those added since.
+    A `tag` names a write, so that a replayed job can see that it is done.
+    """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str] = ()):
         self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
 
-    def _log(self) -> str:
-        return f"{self.root}/versions"
-
-    def _latest(self) -> tuple[int, str | None]:
-        """Number and folder of the latest committed version; the log has one small row per write."""
+    def _log(self) -> list:
+        """Log records in order; one small record per write."""
         try:
-            log = self.spark.read.schema("seq long, folder string").json(self._log())
+            return sorted(self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/log").collect())
         except AnalysisException:
-            return 0, None
-        row = log.agg(F.max(F.struct("seq", "folder")).alias("v")).first()["v"]
-        return (row["seq"], row["folder"]) if row else (0, None)
+            return []
 
-    def current_path(self) -> str | None:
-        folder = self._latest()[1]
-        return f"{self.root}/{folder}" if folder else None
+    def _write(self, df: DataFrame, replaces: bool, tag: str | None) -> None:
+        folder = f"v-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
+        log = self._log()
+        record = (log[-1]["seq"] + 1 if log else 1, replaces, folder, tag, df.schema.json())
+        self.spark.createDataFrame([record], LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{self.root}/log")
+
+    def _content(self, log: list) -> DataFrame | None:
+        last = max((i for i, r in enumerate(log) if r["replaces"]), default=0)
+        live = log[last:]
+        if not live:
+            return None
+        schema = T.StructType.fromJson(json.loads(live[-1]["schema"]))
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['folder']}" for r in live])
 
     def read(self) -> DataFrame | None:
-        path = self.current_path()
-        return self.spark.read.parquet(path) if path else None
+        return self._content(self._log())
 
-    def _commit(self, df: DataFrame) -> None:
-        folder = f"v-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
-        entry = [(self._latest()[0] + 1, folder)]
-        self.spark.createDataFrame(entry, "seq long, folder string").coalesce(1).write.mode("append").json(self._log())
+    def read_before(self, tag: str) -> DataFrame | None:
+        """The content as it was before the write called `tag`, or now when there is none."""
+        log = self._log()
+        at = next((i for i, r in enumerate(log) if r["tag"] == tag), len(log))
+        return self._content(log[:at])
+
+    def has_tag(self, tag: str) -> bool:
+        return any(r["tag"] == tag for r in self._log())
 
-    def refresh(self, df: DataFrame) -> None:
+    def refresh(self, df: DataFrame, tag: str | None = None) -> None:
         """Replace everything."""
-        self._commit(df)
+        self._write(df, True, tag)
 
-    def upsert(self, rows: DataFrame) -> None:
+    def add(self, rows: DataFrame, tag: str | None = None) -> None:
+        """Append (audit logs, backlogs); a tag that was written before is skipped."""
+        if tag is None or not self.has_tag(tag):
+            self._write(rows, False, tag)
+
+    def upsert(self, rows: DataFrame, tag: str | None = None) -> None:
         """Replace rows of equal key, keep the others, add the new."""
-        self._commit(upserted(self.read(), rows, self.keys))
+        self._write(upserted(self.read(), rows, self.keys), True, tag)
 
     def mirror(self, rows: DataFrame) -> DataFrame:
         """Make the table equal to `rows`; returns added, replaced and deleted counts."""
         counts = mirror_counts(self.read(), rows, self.keys)
-        self._commit(rows)
+        self._write(rows, True, None)
         return counts
 
-    def append(self, rows: DataFrame) -> None:
-        """Add rows to the current version (audit logs, backlogs)."""
-        path = self.current_path()
-        if path is None:
-            self._commit(rows)
-        else:
-            rows.write.mode("append").parquet(path)
-
 
 def upserted(target: DataFrame | None, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What the target holds after the upsert; duplicate keys in `rows` are an error of the caller."""
