@@ -286,3 +286,18 @@ def test_name_mentions_equal_brute_force(spark):
     mention = {0: "andi", 1: "siti", 2: "al amin", 4: "andi wijaya"}
     want = {q: [i for i in range(60) if m in names[i % len(names)].lower()][:10] for q, m in mention.items()}
     assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_bm25_join_path_equals_scan_path(spark):
+    args = (asked(spark, "revenue second quarter the", "campaign points"), chunks(spark))
+    key = lambda df: sorted(pairs(df, "query_id", "chunk_id", "score", "rank"))
+    assert key(RT.bm25_topk(*args)) == key(RT.bm25_topk(*args, max_terms=1))
+
+
+def test_grid_accepts_two_sides_of_one_table(spark):
+    rng = np.random.default_rng(9)
+    base = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(rng.standard_normal((50, 4)))], "id int, vector array<double>, g int")
+    left = base.select(F.col("id").alias("query_id"), "vector", F.lit(2).alias("k"), "g")
+    right = base.select(F.col("id").alias("chunk_id"), "vector", "g")
+    key = lambda df: sorted(pairs(df, "query_id", "chunk_id", "score"))
+    assert key(similarity.topk(left, right, on=["g"], block=4)) == key(similarity.topk(left, right, on=["g"]))

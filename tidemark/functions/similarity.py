@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.session import salted_join
+
 BLOCK = 4096
 DIGITS = 6
 
@@ -28,53 +30,61 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-class _Best:
-    """Running top-k per query, ordered by (score desc, chunk id)."""
+class Leaders:
+    """Running top-k per query over blocks of scores, ordered by (score desc, chunk id)."""
+
+    def __init__(self, ids, k):
+        self.ids, self.k = ids, k
+        self.best: list[list[tuple[float, object]]] = [[] for _ in range(len(ids))]
+
+    def merge(self, scores: np.ndarray, chunk_ids) -> None:
+        """scores: one row per query, -inf where a chunk does not count."""
+        for i in range(scores.shape[0]):
+            row, k = scores[i], int(self.k[i])
+            # Everything tied with the k-th score stays until ids decide.
+            limit = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -np.inf
+            have = self.best[i]
+            if len(have) >= k:
+                limit = max(limit, have[-1][0])
+            hits = np.nonzero((row >= limit) & (row > -np.inf))[0]
+            if len(hits):
+                merged = have + [(float(row[j]), chunk_ids[j]) for j in hits]
+                merged.sort(key=lambda e: (-e[0], e[1]))
+                self.best[i] = merged[:k]
+
+    def frame(self) -> pd.DataFrame:
+        rows = [(q, c, s, int(k)) for q, k, have in zip(self.ids, self.k, self.best) for s, c in have]
+        return pd.DataFrame(rows, columns=["query_id", "chunk_id", "score", "k"])
+
+
+class _Scan:
+    """Scores blocks of chunk vectors against a set of queries."""
 
     def __init__(self, queries: pd.DataFrame, on: Sequence[str], ttl: float | None, floor: float | None, other: bool):
         self.q, self.on, self.ttl, self.floor, self.other = queries, list(on), ttl, floor, other
         self.unit = _unit(queries["vector"]) if len(queries) else np.zeros((0, 1))
         self.ids = queries["query_id"].to_numpy()
-        self.k = queries["k"].to_numpy()
-        self.best: list[list[tuple[float, object]]] = [[] for _ in range(len(queries))]
+        self.leaders = Leaders(self.ids, queries["k"].to_numpy())
 
     def add(self, chunks: pd.DataFrame) -> None:
         if not len(chunks) or not len(self.q):
             return
-        ids = chunks["chunk_id"].to_numpy()
         for low in range(0, len(chunks), BLOCK):
             part = chunks.iloc[low:low + BLOCK]
+            ids = part["chunk_id"].to_numpy()
             scores = np.round(self.unit @ _unit(part["vector"]).T, DIGITS)
             usable = np.ones(scores.shape, dtype=bool)
             for c in self.on:
                 usable &= self.q[c].to_numpy()[:, None] == part[c].to_numpy()[None, :]
             if self.other:
-                usable &= self.ids[:, None] != part["chunk_id"].to_numpy()[None, :]
+                usable &= self.ids[:, None] != ids[None, :]
             if self.ttl is not None:
                 age = self.q["at"].to_numpy()[:, None] - part["at"].to_numpy()[None, :]
                 usable &= (age > 0) & (age < self.ttl)
             if self.floor is not None:
                 usable &= scores >= self.floor
             scores[~usable] = -np.inf
-            self._merge(scores, ids[low:low + BLOCK])
-
-    def _merge(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        for i in range(scores.shape[0]):
-            row, k = scores[i], int(self.k[i])
-            # Everything tied with the k-th score stays until ids decide.
-            limit = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -np.inf
-            have = self.best[i]
-            if len(have) >= k:
-                limit = max(limit, have[-1][0])
-            hits = np.nonzero((row >= limit) & (row > -np.inf))[0]
-            if len(hits):
-                merged = have + [(float(row[j]), ids[j]) for j in hits]
-                merged.sort(key=lambda e: (-e[0], e[1]))
-                self.best[i] = merged[:k]
-
-    def frame(self) -> pd.DataFrame:
-        rows = [(q, c, s, int(k)) for q, k, have in zip(self.ids, self.k, self.best) for s, c in have]
-        return pd.DataFrame(rows, columns=["query_id", "chunk_id", "score", "k"])
+            self.leaders.merge(scores, ids)
 
 
 def topk(queries: DataFrame, chunks: DataFrame, on: Sequence[str] = (), ttl_seconds: float | None = None,
@@ -97,10 +107,10 @@ def topk(queries: DataFrame, chunks: DataFrame, on: Sequence[str] = (), ttl_seco
         sent = queries.sparkSession.sparkContext.broadcast(head)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(sent.value, on, ttl_seconds, floor, exclude_self)
+            work = _Scan(sent.value, on, ttl_seconds, floor, exclude_self)
             for batch in batches:
-                best.add(batch)
-            yield best.frame()
+                work.add(batch)
+            yield work.leaders.frame()
 
         found = chunks.mapInPandas(scan, schema)
     else:
@@ -110,25 +120,39 @@ def topk(queries: DataFrame, chunks: DataFrame, on: Sequence[str] = (), ttl_seco
 
 
 def _grid(queries: DataFrame, chunks: DataFrame, on: list[str], ttl, floor, other: bool, block: int, schema) -> DataFrame:
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    """Every (query block, chunk block) cell in its own task.
 
+    Keys with few rows share cells of about one block; a key with more rows
+    than that is cut into blocks of its own, each query block meeting each
+    chunk block.
+    """
     if on:
-        sizes = blocks(queries, "nq").join(blocks(chunks, "nc"), on)
-        left, right = queries.join(sizes, on), chunks.join(sizes, on)
+        counted = queries.groupBy(*on).agg(F.count(F.lit(1)).alias("nq")).join(
+            chunks.groupBy(*on).agg(F.count(F.lit(1)).alias("nc")), on)
+        rows = queries.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        shared = max(1, -(-4 * rows // block))
+        light = (F.col("nq") <= block) & (F.col("nc") <= block)
+        sizes = counted.select(
+            *on, F.when(light, 1).otherwise(F.ceil(F.col("nq") / block)).cast("int").alias("nq"),
+            F.when(light, 1).otherwise(F.ceil(F.col("nc") / block)).cast("int").alias("nc"),
+            F.when(light, F.pmod(F.xxhash64(*on), F.lit(shared)).cast("string")).otherwise(
+                F.concat_ws("|", F.lit("key"), *[F.col(c).cast("string") for c in on])).alias("_g"))
+        left, right = salted_join(queries, sizes, on, "query_id", "inner"), salted_join(chunks, sizes, on, "chunk_id", "inner")
     else:
-        nq, nc = blocks(queries, "nq").first()["nq"], blocks(chunks, "nc").first()["nc"]
-        sized = {"nq": F.lit(nq), "nc": F.lit(nc)}
+        count = lambda df: max(1, -(-df.count() // block))
+        sized = {"nq": F.lit(count(queries)), "nc": F.lit(count(chunks)), "_g": F.lit("")}
         left, right = queries.withColumns(sized), chunks.withColumns(sized)
     left = left.withColumn("_i", F.pmod(F.xxhash64("query_id"), "nq").cast("int")).withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)))
     right = right.withColumn("_j", F.pmod(F.xxhash64("chunk_id"), "nc").cast("int")).withColumn(
         "_i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    cell = [*on, "_i", "_j"]
+    # Fresh column ids: both sides may stem from one DataFrame.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    cell = ["_g", "_i", "_j"]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(a, [], ttl, floor, other)
-        best.add(b)
-        return best.frame()
+        work = _Scan(a, on, ttl, floor, other)
+        work.add(b)
+        return work.leaders.frame()
 
     return left.drop("nq", "nc").groupBy(*cell).cogroup(right.drop("nq", "nc").groupBy(*cell)).applyInPandas(run, schema)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import tokens
+
 DIMENSION = 64
 
 
@@ -43,24 +45,26 @@ def require_dimension(df: DataFrame, column: str, size: int) -> DataFrame:
     return df.withColumn(column, checked)
 
 
-_TOKEN = re.compile("[a-z0-9]+")
-
-
 @lru_cache(maxsize=200_000)
 def _slot(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSION
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashed_embedding(texts: pd.Series) -> pd.Series:
-    """Deterministic stand-in for an embedding model: token counts in hashed slots, L2-normalised."""
-
-    def one(text: str | None) -> np.ndarray | None:
-        if text is None:
-            return None
-        slots = np.fromiter((_slot(t) for t in _TOKEN.findall(text.lower())), dtype=np.int64)
-        counts = np.bincount(slots, minlength=DIMENSION).astype(float)
-        length = np.sqrt((counts * counts).sum())
-        return counts / length if length > 0 else counts
-
-    return texts.map(one)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _hashed_counts(lists: pa.Array) -> pa.Array:
+    """L2-normalised token counts in hashed slots, one whole Arrow batch at a time."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    slots = np.array([_slot(t) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = owner * DIMENSION + slots[coded.indices.to_numpy(zero_copy_only=False)] if len(owner) else owner
+    counts = np.bincount(place, minlength=len(lengths) * DIMENSION).reshape(-1, DIMENSION).astype(float)
+    norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    unit_rows = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
+    offsets = np.arange(0, (len(lengths) + 1) * DIMENSION, DIMENSION, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit_rows.ravel()), mask=pc.is_null(lists))
+
+
+def hashed_embedding(text: Column) -> Column:
+    """Deterministic stand-in for an embedding model; the text is tokenised on the JVM side."""
+    return _hashed_counts(tokens(text))

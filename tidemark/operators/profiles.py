@@ -15,13 +15,13 @@ from tidemark.operators.churn import split_hash
 def category_share(df: DataFrame, *columns: str) -> DataFrame:
     """Relative frequency of every value (or value combination); nulls do not count.
 
-    The total is a scalar subquery, so no row has to pass through one task.
+    The total is a scalar subquery over the same counts, so the shuffle is
+    reused and no row has to pass through one task.
     """
-    known = df.select(*columns).dropna()
-    total = known.agg(F.count(F.lit(1))).scalar()
+    counts = df.select(*columns).dropna().groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
+    total = counts.agg(F.sum("rows")).scalar()
     return (
-        known.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("share", F.round(F.col("rows") / total, 6))
+        counts.withColumn("share", F.round(F.col("rows") / total, 6))
         .orderBy(F.desc("rows"), *columns))
 
 

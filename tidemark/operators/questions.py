@@ -169,26 +169,31 @@ def _pieces(name: Column, size: int) -> Column:
         F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(name, i, F.lit(size)))))
 
 
-NAME_KEY = 6
+# Longest piece of a name that serves as a join key.
+NAME_KEY = 24
 
 
 def name_mentions(questions: DataFrame, customers: DataFrame, limit: int = MAX_NAME_MATCHES) -> DataFrame:
     """Customers whose name contains the name a question mentions; the first `limit` ids per question.
 
-    A mentioned name and a customer meet on an exact piece of the name (its
-    first six characters, or all of a shorter one), never in a nested loop.
-    Every distinct mention is matched once and cut to `limit` ids before the
-    questions come back, so a name that everybody mentions stays cheap.
+    A mention and a name meet on an exact piece of the name (the mention
+    itself, or its first 24 characters), never in a nested loop.  Equal
+    mentions are matched once, and customers of equal name are first cut to
+    their `limit` smallest ids, which is all that any question can show.
     """
     asked = questions.select("question_id", F.lower(F.nullif(
         F.regexp_extract("text", "(?U)" + K.NAME_AFTER_CUE, 1), F.lit(""))).alias("mention")).where("mention IS NOT NULL")
-    piece = F.substring("mention", 1, NAME_KEY)
-    mentions = asked.select("mention").distinct().withColumn("piece", piece)
-    lowered = F.lower("name")
-    pieces = F.flatten(F.filter(F.array(*[_pieces(lowered, n) for n in range(2, NAME_KEY + 1)]), lambda a: a.isNotNull()))
-    indexed = customers.where("name IS NOT NULL").select("customer_id", lowered.alias("lowered"), F.explode(pieces).alias("piece"))
+    mentions = asked.select("mention").distinct().withColumn("piece", F.substring("mention", 1, NAME_KEY))
+    people = customers.where("name IS NOT NULL").select("customer_id", F.lower("name").alias("lowered"))
+    same_name = Window.partitionBy("lowered").orderBy("customer_id")
+    people = people.withColumn("_n", F.row_number().over(same_name)).where(F.col("_n") <= limit).groupBy("lowered").agg(
+        F.sort_array(F.collect_list("customer_id")).alias("ids"))
+    pieces = F.flatten(F.filter(
+        F.array(*[_pieces(F.col("lowered"), n) for n in range(2, NAME_KEY + 1)]), lambda a: a.isNotNull()))
+    indexed = people.select("lowered", "ids", F.explode(pieces).alias("piece"))
     order = Window.partitionBy("mention").orderBy("customer_id")
     found = (
         mentions.join(indexed, "piece").where(F.col("lowered").contains(F.col("mention")))
-        .select("mention", "customer_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
+        .select("mention", F.explode("ids").alias("customer_id"))
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
     return asked.join(found, "mention").select("question_id", "mention", "customer_id", "rank")

@@ -38,6 +38,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_from: str, how: str = "left", parts: int = 16) -> DataFrame:
+    """Join rows to a per-key table when one key may hold a large share of the rows.
+
+    AQE splits a skewed join only when both sides come straight from a shuffle;
+    an aggregate on the join key does not.  The rows of a key are spread over
+    `parts` salts and the per-key table, one row per key, is repeated for each.
+    """
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(parts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; survives lost executors."""
     context = df.sparkSession.sparkContext

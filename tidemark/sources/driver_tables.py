@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import semantics as s
+from tidemark.plans.session import salted_join
 
 # Fixed values of the bindings.
 CHANNELS = ["Email", "Google Ads", "Instagram", "Mobile App", "Partner Agency", "Referral",
@@ -87,7 +88,7 @@ def bookings(spark: SparkSession, sf_dir: str, customer: bool = False, destinati
         rows = rows.drop("c_nationkey")
     if repeat:
         firsts = orders.groupBy(F.col("o_custkey").alias("customer_id")).agg(F.min("o_orderdate").alias("first_date"))
-        rows = rows.join(firsts, "customer_id", "left").withColumn(
+        rows = salted_join(rows, firsts, ["customer_id"], "booking_id").withColumn(
             "is_repeat_customer", F.col("booking_date") > F.col("first_date")).drop("first_date")
     if discount:
         given = F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(5,2)")
