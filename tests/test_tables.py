@@ -216,11 +216,12 @@ def test_rollup_stream_equals_batch_and_survives_replay(spark, tmp_path):
     slim = b.select("booking_id", "customer_id", "total_price_idr", "booking_date")
     split_files(spark, slim, tmp_path, ["booking_id < 20", "booking_id >= 20"])
     target = sinks.VersionedTable(spark, str(tmp_path / "roll"))
-    write = J.rollup_writer(target)
+    write = J.rollup_writer(target, compact_every=1)
     stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f*")
     J.run_batches(stream, write, str(tmp_path / "job"))
     write(slim, 1)
-    got = pairs(target.read().orderBy("customer_id"), "customer_id", "total_trips", "total_spent_idr")
+    got = pairs(J.rollup_of(target).orderBy("customer_id"), "customer_id", "total_trips", "total_spent_idr")
+    assert target.pieces() == 1
     want = pairs(sinks.customer_rollup(b).orderBy("customer_id"), "customer_id", "total_trips", "total_spent_idr")
     assert got == want
 
@@ -238,8 +239,8 @@ def test_late_rows_are_set_aside(spark, tmp_path):
     at = lambda h: datetime(2024, 1, 1, h)
     first = spark.createDataFrame([(1, at(10)), (2, at(12))], "event_id int, ts timestamp")
     second = spark.createDataFrame([(3, at(13)), (4, at(11)), (5, at(8))], "event_id int, ts timestamp")
-    on_time, late = (sinks.VersionedTable(spark, str(tmp_path / n)) for n in ("ok", "late"))
-    write = J.late_splitter(on_time, late, "ts", 3600)
+    on_time, late, marks = (sinks.VersionedTable(spark, str(tmp_path / n)) for n in ("ok", "late", "marks"))
+    write = J.late_splitter(on_time, late, marks, "ts", 3600)
     write(first, 0)
     write(second, 1)
     write(second, 1)

@@ -229,9 +229,9 @@ def test_chunks_delta_and_guards(spark, sources):
 
 
 QUESTIONS = [
-    ("Berapa proyeksi revenue bulan depan?", "entity_prediction"), ("Kenapa customer kami churn?", "insight"),
-    ("Berapa booking kemarin?", "raw_fact"), ("halo", "greeting"), ("makasih ya", "gratitude"),
-    ("halo, berapa revenue kemarin?", "entity_prediction"), ("ｈａｌｏ", "greeting"), ("forecast revenue per channel", "raw_fact"),
+    ("Ramalan omzet untuk minggu depan?", "entity_prediction"), ("Mengapa pelanggan lama pergi?", "insight"),
+    ("Berapa jumlah pesanan tadi pagi?", "raw_fact"), ("halo", "greeting"), ("makasih ya", "gratitude"),
+    ("halo, minta angka revenue tadi malam ya", "entity_prediction"), ("ｈａｌｏ", "greeting"), ("forecast revenue per channel", "raw_fact"),
     ("berapa tren booking", "exploratory"),
 ]
 
@@ -242,7 +242,7 @@ def test_intents(spark):
 
 
 def test_language(spark):
-    assert lit(spark, "Berapa revenue untuk bulan ini?", Q.language) == "id"
+    assert lit(spark, "Berapa omzet untuk pekan ini?", Q.language) == "id"
     assert lit(spark, "How is the revenue", Q.language) == "en"
     assert lit(spark, "danau apartemen", Q.language) == "en"
 

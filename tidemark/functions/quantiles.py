@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.session import cut_lineage, salted_join
+
 BUCKETS = 64
 
 
@@ -27,14 +29,17 @@ def values_at_ranks(df: DataFrame, value: str, ranks: Column, by: Sequence[str]
         .groupBy(*by, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    if not by:
+        # Read three times below; grouped plans reuse the shuffle, this one would rescan.
+        hist = cut_lineage(hist)
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
     bounds = hist.groupBy(*by).agg(
         F.percentile_approx("_v", cuts, 1000).alias("_cuts"), F.sum("_c").alias("n")
     )
-    placed = _attach(hist, bounds, by).select(
-        *by, "_v", "_c", "n",
-        F.size(F.filter("_cuts", lambda b: b < F.col("_v"))).alias("_b"),
-    )
+    bucket = F.size(F.filter("_cuts", lambda b: b < F.col("_v")))
+    # Never null, so the joins on it add no filter below the histogram and its shuffle is reused.
+    bucket = F.coalesce(bucket, F.lit(0)) if by else bucket
+    placed = _attach(hist, bounds, by).select(*by, "_v", "_c", "n", bucket.alias("_b"))
     totals = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"), F.first("n").alias("n"))
     # At most BUCKETS rows per group reach this window.
     running = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -58,7 +63,7 @@ def values_at_ranks(df: DataFrame, value: str, ranks: Column, by: Sequence[str]
 
 def _attach(rows: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
     if by:
-        return rows.join(per_group, by)
+        return salted_join(rows, per_group, by, "_v", "inner")
     # One row: a scalar subquery, not a join.
     one = per_group.select(F.struct("_cuts", "n").alias("s"))
     return rows.withColumn("_s", one.scalar()).select("*", "_s._cuts", "_s.n").drop("_s")

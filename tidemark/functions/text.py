@@ -52,10 +52,16 @@ def canonical_number(token: Column) -> Column:
     return F.when(value.isNull(), token).otherwise(F.concat(shown, F.when(percent, "%").otherwise("")))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with `value` computed once: inside a lambda Spark would compute it per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unverified_numbers(answer: Column, context: Column) -> Column:
     """Number tokens of the answer (duplicates kept) whose canonical form the context lacks."""
-    known = F.transform(number_tokens(context), canonical_number)
-    return F.filter(number_tokens(answer), lambda t: ~F.array_contains(known, canonical_number(t)))
+    said, known = number_tokens(answer), number_tokens(context)
+    missing = F.array_except(F.transform(said, canonical_number), F.transform(known, canonical_number))
+    return bound(missing, lambda m: F.filter(said, lambda t: F.array_contains(m, canonical_number(t))))
 
 
 def chunk_id(collection: Column, key: Column, text: Column) -> Column:

@@ -284,13 +284,13 @@ def _rollup(spark, sf):
         F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("total_price_idr"), F.col("o_orderdate").alias("booking_date"))
     table = _table(spark)
     J.run_batches(stream, J.rollup_writer(table), J.shared_folder(spark))
-    return table.read()
+    return J.rollup_of(table)
 
 
 @query("stream_late_data")
 def _late(spark, sf):
-    on_time, late = _table(spark), _table(spark)
-    J.run_batches(J.read_stream(spark, sf, "events"), J.late_splitter(on_time, late, "ts", 3600), J.shared_folder(spark))
+    on_time, late, marks = _table(spark), _table(spark), _table(spark)
+    J.run_batches(J.read_stream(spark, sf, "events"), J.late_splitter(on_time, late, marks, "ts", 3600), J.shared_folder(spark))
     return on_time.read().groupBy("batch").agg(F.count(F.lit(1)).alias("on_time"))
 
 

@@ -25,10 +25,10 @@ PACKAGE_TYPES = ["City", "Beach", "Nature", "Culture", "Family"]
 CAMPAIGN_TYPES = ["Loyalty Points", "Instagram", "Google Ads", "Influencer", "WhatsApp"]
 # One opening sentence per question row, so the tagging rules have something to find.
 OPENINGS = [
-    "Berapa proyeksi revenue bulan depan?",
-    "Kenapa customer kami churn dan apa strategi yang sebaiknya dipakai?",
-    "Berapa booking kemarin?",
-    "Siapa presiden Indonesia?",
+    "Berapa ramalan omzet untuk minggu depan?",
+    "Mengapa pelanggan lama berhenti memesan dan apa strategi yang sebaiknya dipakai?",
+    "Berapa jumlah pesanan tadi pagi?",
+    "Siapa juara liga musim lalu?",
     "halo",
     "terima kasih",
     "Show the monthly revenue trend for january 2023 to march 2023",

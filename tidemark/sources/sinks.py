@@ -61,6 +61,11 @@ class VersionedTable:
         at = next((i for i, r in enumerate(log) if r["tag"] == tag), len(log))
         return self._content(log[:at])
 
+    def pieces(self) -> int:
+        """Folders that make up the current content."""
+        log = self._log()
+        return len(log) - max((i for i, r in enumerate(log) if r["replaces"]), default=0)
+
     def has_tag(self, tag: str) -> bool:
         return any(r["tag"] == tag for r in self._log())
 

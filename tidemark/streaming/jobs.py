@@ -56,38 +56,51 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], fold
         availableNow=True).start().awaitTermination()
 
 
-def rollup_writer(target: VersionedTable) -> Callable[[DataFrame, int], None]:
+def rollup_writer(target: VersionedTable, compact_every: int = 50) -> Callable[[DataFrame, int], None]:
     """Add each micro-batch of committed bookings to the stored customer rollup, exactly once.
 
-    The table version carries the batch number, so a batch that is replayed
-    after a lost driver finds itself already counted.
+    A batch writes only its own sums; `rollup_of` adds them up when read, and
+    every so many batches the table is rewritten as one version.  The tag of a
+    write is its batch number, so a batch that is replayed after a lost driver
+    finds itself already counted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if target.has_tag(f"batch-{number}"):
+        tag = f"batch-{number}"
+        if target.has_tag(tag):
             return
         fresh = batch.groupBy("customer_id").agg(
             F.count(F.lit(1)).alias("total_trips"), money_sum("total_price_idr").alias("total_spent_idr"),
             F.max("booking_date").alias("last_purchase_date"))
-        stored = target.read()
-        if stored is not None:
-            both = stored.select(*fresh.columns).unionByName(fresh)
-            fresh = both.groupBy("customer_id").agg(
-                F.sum("total_trips").alias("total_trips"), money_sum("total_spent_idr").alias("total_spent_idr"),
-                F.max("last_purchase_date").alias("last_purchase_date"))
-        target.refresh(fresh.withColumn("is_repeat_customer", F.col("total_trips") > 1), tag=f"batch-{number}")
+        if target.pieces() < compact_every:
+            target.add(fresh, tag)
+        else:
+            target.refresh(_added_up(target.read().unionByName(fresh)), tag)
 
     return write
 
 
+def _added_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("customer_id").agg(
+        F.sum("total_trips").alias("total_trips"), money_sum("total_spent_idr").alias("total_spent_idr"),
+        F.max("last_purchase_date").alias("last_purchase_date"))
+
+
+def rollup_of(target: VersionedTable) -> DataFrame | None:
+    """The current rollup of everything written so far."""
+    rows = target.read()
+    return None if rows is None else _added_up(rows).withColumn("is_repeat_customer", F.col("total_trips") > 1)
+
+
 def budget_writer(accepted: VersionedTable, ts: str, ident: str, budget: int = DAILY_BUDGET) -> Callable[[DataFrame, int], None]:
     """Accept the first requests of every day until the budget is spent, over micro-batches.
 
-    Only the accepted rows of a day (at most the budget) are stored and compared.
+    Only accepted rows are stored, at most one budget per day.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if accepted.has_tag(f"batch-{number}"):
+        tag = f"batch-{number}"
+        if accepted.has_tag(tag):
             return
         stored = accepted.read()
         fresh = running_budget(batch, ts, ident, budget=budget)
@@ -95,27 +108,29 @@ def budget_writer(accepted: VersionedTable, ts: str, ident: str, budget: int = D
             spent = stored.groupBy("day").agg(F.count(F.lit(1)).alias("spent"))
             fresh = fresh.join(spent, "day", "left").where(
                 F.col("position") + F.coalesce("spent", F.lit(0)) <= budget).drop("spent")
-            fresh = stored.unionByName(fresh)
-        accepted.refresh(fresh, tag=f"batch-{number}")
+        accepted.add(fresh, tag)
 
     return write
 
 
-def late_splitter(on_time: VersionedTable, late: VersionedTable, ts: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
-    """Rows older than the newest time of earlier batches minus the delay go to the late table."""
+def late_splitter(on_time: VersionedTable, late: VersionedTable, marks: VersionedTable, ts: str,
+                  delay_seconds: int) -> Callable[[DataFrame, int], None]:
+    """Rows older than the newest time of earlier batches minus the delay go to the late table.
+
+    `marks` keeps one row per batch with its newest time, so no batch has to
+    scan the stored events.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         tag = f"batch-{number}"
-        stored = on_time.read_before(tag)
-        newest = stored.agg(F.max(ts)).first()[0] if stored is not None else None
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        earlier = marks.read_before(tag)
+        newest = earlier.agg(F.max("newest")).first()[0] if earlier is not None else None
+        is_late = F.lit(False) if newest is None else at < newest - delay_seconds * 1_000_000
         rows = batch.withColumn("batch", F.lit(number))
-        if newest is None:
-            is_late = F.lit(False)
-        else:
-            is_late = F.unix_micros(F.col(ts).cast("timestamp")) < F.unix_micros(
-                F.lit(newest).cast("timestamp")) - delay_seconds * 1_000_000
-        # Each table notices by its own tag whether this batch is already in it.
+        # Every table knows by the tag whether this batch is already in it.
         late.add(rows.where(is_late), tag)
         on_time.add(rows.where(~is_late), tag)
+        marks.add(batch.agg(F.max(at).alias("newest")), tag)
 
     return write
