@@ -108,9 +108,10 @@ def test_resolve_is_additive_over_actuals(spark):
 def test_empty_forecast_table_is_an_error(spark):
     with pytest.raises(Exception, match="empty"):
         RS.resolve(daily_bookings(spark), forecast_table(spark).where("false"), "2024-07-01", "2024-07-31", "2024-07-01")[0].collect()
-    with pytest.raises(Exception, match="empty"):
-        rows = FC.by_horizon(forecast_table(spark).where("false"), "monthly")
-        assert rows.count() > 0, "empty"
+    with pytest.raises(ValueError, match="empty"):
+        FC.by_horizon(forecast_table(spark).where("false"), "monthly")
+    yearly = FC.by_horizon(forecast_table(spark), "yearly").collect()
+    assert len(yearly) == 6 and {r["total_idr"] for r in yearly} == {18200.0}
 
 
 def test_ranges_table_equals_one_by_one(spark):

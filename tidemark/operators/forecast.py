@@ -274,9 +274,10 @@ def by_horizon(forecast: DataFrame, horizon: str) -> DataFrame:
     """Periods of one horizon with the total; yearly means the first twelve monthly rows; none is an error."""
     source = "monthly" if horizon == "yearly" else horizon
     rows = forecast.where(F.col("horizon") == source).orderBy("period")
+    if rows.isEmpty():
+        raise ValueError(f"the forecast table is empty for {source}")
     if horizon == "yearly":
         rows = rows.limit(12)
     total = rows.agg(F.sum(F.col("forecast_idr").cast("decimal(28,6)")).cast("double")).scalar()
-    guarded = F.when(total.isNull(), F.raise_error(F.lit("the forecast table is empty"))).otherwise(F.round(total, 2))
     return rows.select(F.lit(horizon).alias("horizon"), "period", "forecast_idr", "model_mape_pct",
-                       guarded.alias("total_idr")).orderBy("period")
+                       F.round(total, 2).alias("total_idr")).orderBy("period")
