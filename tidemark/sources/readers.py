@@ -10,10 +10,20 @@ from pyspark.sql import types as T
 
 MAX_PARSE_FAILURES = 0.05
 EPOCH_MILLIS_ABOVE = 1e11
-# Accepted formats, month first before day first.
-MONTH_FIRST = ("M/d/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]", "MMM d, yyyy[ H:mm[:ss]]", "MMMM d, yyyy[ H:mm[:ss]]",
-               "d MMM yyyy[ H:mm[:ss]]", "d MMMM yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "yyyyMMdd")
-DAY_FIRST = ("d/M/yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]")
+_TIME = "[ H:mm[:ss]]"
+# Shape of the text -> formats tried in order, month first before day first.
+# A failed parse costs an exception inside Spark, so only formats of the right shape are tried.
+DATE_SHAPES = {
+    r"^(0?[1-9]|1[0-2])/": ("M/d/yyyy", "d/M/yyyy"),
+    r"^\d{1,2}/": ("d/M/yyyy",),
+    r"^\d{4}/": ("yyyy/M/d",),
+    r"^(0?[1-9]|1[0-2])-": ("M-d-yyyy", "d-M-yyyy"),
+    r"^\d{1,2}-\d": ("d-M-yyyy",),
+    r"^\d{1,2}\.": ("d.M.yyyy",),
+    r"^[A-Za-z]+ \d": ("MMM d, yyyy", "MMMM d, yyyy"),
+    r"^\d{1,2} [A-Za-z]": ("d MMM yyyy", "d MMMM yyyy"),
+    r"^\d{8}$": ("yyyyMMdd",),
+}
 
 _WRAPPERS = {"$oid", "$date", "$numberLong", "$numberInt", "$numberDouble", "$numberDecimal"}
 
@@ -33,8 +43,11 @@ def parse_date(raw: str | Column) -> Column:
     millis = F.when(number > EPOCH_MILLIS_ABOVE, F.timestamp_millis(number.try_cast("bigint")))
     # A bare number is no ISO date, whatever its length.
     iso = F.when(number.isNull(), text.try_cast("timestamp"))
-    rest = [F.try_to_timestamp(text, F.lit(f)) for f in MONTH_FIRST + DAY_FIRST]
-    return F.coalesce(millis, iso, *rest)
+    shaped = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for shape, formats in DATE_SHAPES.items():
+        tail = "" if shape.endswith("$") else _TIME
+        shaped = shaped.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f + tail)) for f in formats]))
+    return F.coalesce(millis, iso, shaped)
 
 
 def parse_dates(df: DataFrame, columns: Iterable[str], max_failures: float = MAX_PARSE_FAILURES) -> DataFrame:
