@@ -143,3 +143,12 @@ def test_top_customers_named_by_earliest_booking(spark):
     b = bookings(spark, [{"booking_date": "2024-01-05", "customer_name": "New"}, {"booking_date": "2024-01-02", "customer_name": "Old"}])
     row = X.top_customers(b, "2024-01-01", "2024-01-31", 99).first()
     assert (row["customer_name"], row["booking_count"]) == ("Old", 2)
+
+
+def test_by_dimension_equals_by_key(spark):
+    """Half of the bookings belong to one customer, one customer is unknown to the other table."""
+    b = bookings(spark, [{"customer_id": "hot" if i % 2 else f"c{i % 7}", "total_price_idr": i + 0.25,
+                          "destination_name": None if i % 14 == 0 and i % 2 == 0 else "D" + ("hot" if i % 2 else str(i % 7))} for i in range(70)])
+    homes = spark.createDataFrame([("hot", "Dhot")] + [(f"c{k}", f"D{k}") for k in range(1, 7)], "customer_id string, home string")
+    got = pairs(R.by_dimension(b, homes, "customer_id", "2024-01-01", "2024-01-01", "home"), "home", "revenue", "booking_count")
+    assert got == pairs(R.by_key(b, "2024-01-01", "2024-01-01", "destination_name"), "destination_name", "revenue", "booking_count")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import (
-    as_date, calendar, in_range, key_or_unknown, money_sum, period_start, realised, safe_ratio,
+    as_date, as_money, calendar, in_range, key_or_unknown, money_sum, period_start, realised, safe_ratio,
 )
 
 
@@ -68,6 +68,27 @@ def by_key(bookings: DataFrame, start, end, column: str, name: str | None = None
     )
 
 
+def by_dimension(bookings: DataFrame, dimension: DataFrame, key: str, start, end, column: str,
+                 name: str | None = None) -> DataFrame:
+    """`by_key` for a column that lives in another table, one row per `key` there.
+
+    Bookings are summed per key before they meet the other table, so the join
+    moves one row per key instead of every booking, and a key that holds a
+    large share of the bookings is one row like any other.
+    """
+    name = name or column
+    per_key = (
+        bookings.where(realised() & in_range("created_at", start, end)).groupBy(key)
+        .agg(F.sum(as_money("total_price_idr")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    )
+    return (
+        per_key.join(dimension.select(key, column), key, "left")
+        .groupBy(key_or_unknown(column).alias(name))
+        .agg(F.coalesce(F.sum("_sum").cast("double"), F.lit(0.0)).alias("revenue"), F.sum("_n").alias("booking_count"))
+        .orderBy(F.desc("revenue"), name)
+    )
+
+
 def by_customer_type(bookings: DataFrame, start, end) -> DataFrame:
     """New against repeat customers; a missing flag means new."""
     flag = F.coalesce(F.col("is_repeat_customer"), F.lit(False))

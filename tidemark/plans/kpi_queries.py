@@ -58,18 +58,22 @@ query("revenue_daily", oracle("bookings", f"""
     lambda spark, sf: R.daily(T.bookings(spark, sf), YEAR_START, YEAR_END))
 
 
-def _by(name: str, column: str, out: str, **joins: bool) -> None:
+def _by(name: str, column: str, out: str, dimension: bool = False) -> None:
+    def run(spark, sf):
+        if dimension:
+            return R.by_dimension(T.bookings(spark, sf), T.homes(spark, sf), "customer_id", START, END, column, out)
+        return R.by_key(T.bookings(spark, sf), START, END, column, out)
+
     query(name, oracle("bookings", f"""
       SELECT coalesce(nullif(CAST({column} AS VARCHAR), ''), 'Unknown') AS {out}, {money()} AS revenue,
-        count(*) AS booking_count FROM bookings WHERE {REAL} AND {span('created_at')} GROUP BY 1"""))(
-        lambda spark, sf: R.by_key(T.bookings(spark, sf, **joins), START, END, column, out))
+        count(*) AS booking_count FROM bookings WHERE {REAL} AND {span('created_at')} GROUP BY 1"""))(run)
 
 
-_by("revenue_by_destination", "destination_name", "destination_name", destination=True)
+_by("revenue_by_destination", "destination_name", "destination_name", dimension=True)
 _by("revenue_by_package_type", "package_type", "package_type")
 _by("revenue_by_channel", "channel", "channel")
 _by("revenue_by_payment_method", "payment_method", "payment_method")
-_by("revenue_by_segment", "customer_segment", "segment", customer=True)
+_by("revenue_by_segment", "customer_segment", "segment", dimension=True)
 _by("agent_performance", "agent_id", "agent_id")
 
 query("customer_type_revenue", oracle("bookings", f"""

@@ -98,6 +98,14 @@ def bookings(spark: SparkSession, sf_dir: str, customer: bool = False, destinati
     return rows
 
 
+def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment and destination of every customer."""
+    nation = read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("destination_name"))
+    return read(spark, sf_dir, "customer").join(nation, "c_nationkey", "left").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("customer_segment"), "destination_name")
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Booking lines with a travel date."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
