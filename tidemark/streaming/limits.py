@@ -32,17 +32,14 @@ def hits_in_window(events: DataFrame, key: str, ts: str = "ts", seconds: int = W
     return copies.withColumn("hits", F.count(F.lit(1)).over(recent)).where("_copy = 0").drop("_at", "_bucket", "_copy")
 
 
-def _accept(times, accepted: deque, limit: int, width: float):
+def _admit(t: int, accepted: deque, limit: int, width: int) -> bool:
     """Greedy limiter: an event passes when fewer than `limit` accepted ones lie in the window before it."""
-    out = []
-    for t in times:
-        while accepted and accepted[0] < t - width:
-            accepted.popleft()
-        ok = len(accepted) < limit
-        if ok:
-            accepted.append(t)
-        out.append(ok)
-    return out
+    while accepted and accepted[0] < t - width:
+        accepted.popleft()
+    if len(accepted) >= limit:
+        return False
+    accepted.append(t)
+    return True
 
 
 def rate_limit(events: DataFrame, key: str, ident: str, ts: str = "ts", limit: int = MAX_REQUESTS,
@@ -70,10 +67,11 @@ def rate_limit(events: DataFrame, key: str, ident: str, ts: str = "ts", limit: i
         current, kept = None, deque()
         for pdf in batches:
             flags = []
-            for group, part in pdf.groupby([key, "_run"], sort=False):
-                if group != current:
-                    current, kept = group, deque()
-                flags += _accept(part["_at"].to_numpy(), kept, limit, width)
+            for name, run, t in zip(pdf[key].tolist(), pdf["_run"].tolist(), pdf["_at"].tolist()):
+                if (name, run) != current:
+                    current = (name, run)
+                    kept.clear()
+                flags.append(_admit(t, kept, limit, width))
             yield pdf.assign(accepted=flags)
 
     return ready.mapInPandas(scan, schema).drop("_at", "_run")
@@ -101,7 +99,7 @@ def rate_limit_stream(events: DataFrame, key: str, ident: str, ts: str = "ts", l
         pdf = pd.concat(list(batches)).sort_values(["ts", ident])
         kept = deque(state.get[0] if state.exists else [])
         times = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        flags = _accept(times, kept, limit, width)
+        flags = [_admit(int(t), kept, limit, width) for t in times]
         state.update(([int(t) for t in kept],))
         expiry = int(times[-1] // 1000) + seconds * 1000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
