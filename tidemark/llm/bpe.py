@@ -28,6 +28,7 @@ CACHED = 700_000
 NEVER = np.int64(1 << 40)
 NONE = 1 << 40
 SHORT = 200
+AT_ONCE = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -251,7 +252,18 @@ class ByteBpe:
             bare[p] = b"".join(map(of, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
+        """Packed ids of each text; the pieces of only some texts are held at once."""
+        out: list[bytes] = []
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > AT_ONCE:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.led) + len(self.bare) > CACHED:
             self.led, self.bare = {}, {}
         self.bare[""] = b""
