@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, quality, tokencounts
+from tidemark.llm import bpe, chat, decontam, langid, quality, secretscan, tokencounts
 from tidemark.llm.base import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,16 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
   coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    learned = langid.profiles(docs.where(~held_out & F.col("lang").isNotNull()), "text", "lang")
+    return langid.predict(docs, learned, carry={"held_out": held_out})
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(secretscan.scan(read(spark, sf_dir, "documents")))
