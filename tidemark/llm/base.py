@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 # Bytes that separate words: blank and \x09-\x0D, as bytes.split() has them.
 BLANKS = b" \t\n\x0b\x0c\r"
+# Rows that a function of per_batch gets at once.
+AT_ONCE = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,12 +47,12 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
-    """Apply a function from record batch to record batch; batches are bounded, so is the memory."""
+    """Apply a function from record batch to record batch, on a bounded number of rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                yield fn(batch.slice(at, AT_ONCE))
 
     return df.mapInArrow(run, schema)
 

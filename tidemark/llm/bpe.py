@@ -24,7 +24,7 @@ from tidemark.llm.base import per_batch, texts_of
 
 #: The pattern of the byte-level pre-tokenizer (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 700_000
+CACHED = 500_000
 NEVER = np.int64(1 << 40)
 NONE = 1 << 40
 SHORT = 200
@@ -301,19 +301,24 @@ def shipped(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
     """Encode whole texts: key, n_tokens, ids (binary, little-endian unsigned 32-bit integers).
 
     One row per input row, also for repeated rows and null keys; a null or empty text has no ids.  Strings of the file's
-    added tokens become those tokens, no others are added.  Other input columns are left out.
+    added tokens become those tokens, no others are added.  Other input columns are left out.  `decoded` names a further
+    column with the text of the ids, decoded in the same pass.
     """
     spec = shipped(df, path)
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = loaded(spec).encode(texts_of(batch.column(1)))
+        bpe = loaded(spec)
+        ids = bpe.encode(texts_of(batch.column(1)))
+        again = [pa.array([bpe.decode(x) for x in ids], pa.string())] if decoded else []
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
+            [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *again], names=schema.fieldNames())
 
     return per_batch(df.select(F.col(key), F.col(text).cast("string")), run, schema)
 
