@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, langid, quality, secretscan, tokencounts
+from tidemark.llm import bpe, chat, decontam, langid, linededup, quality, secretscan, tokencounts
 from tidemark.llm.base import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +29,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("op1_bpe_round_trip")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    ids = bpe.encode(read(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids", 256))
-    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    ids = bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), decoded="decoded")
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query("op5_quality_rules")
@@ -92,3 +91,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan(read(spark, sf_dir, "documents")))
+
+
+@query("op3_line_dedup", r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, line, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x
+  FROM (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS line FROM t)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i, len(regexp_extract_all(x, '[^ \t-\r]+')) AS words FROM l WHERE x <> ''),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS xs FROM n),
+w AS (SELECT a.doc_id, a.i, a.line AS first, b.line AS last, b.i - a.i + 1 AS size, array_to_string(a.xs[a.i:b.i], chr(10)) AS run
+  FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= 50
+  WHERE b.upto - b.words - a.upto + a.words < 50 OR b.upto - a.upto < 50),
+g AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY run, size) AS place FROM w),
+gone AS (SELECT DISTINCT l.doc_id, l.line FROM l JOIN g ON l.doc_id = g.doc_id AND l.line BETWEEN g.first AND g.last WHERE place <> (g.doc_id, g.i)),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY line) AS s FROM (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS line FROM t) q
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = q.doc_id AND gone.line = q.line) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_deleted,
+  sha256(coalesce(s, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(read(spark, sf_dir, "documents"))
+    gone = F.aggregate(F.coalesce("ranges", F.array().cast("array<struct<first: int, last: int>>")), F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    n_lines = F.coalesce(F.size(F.split("row.text", "\n", -1)), F.lit(0))
+    return out.select("row.doc_id", F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), gone.alias("n_deleted"), F.sha2(F.coalesce("cleaned", F.lit("")), 256).alias("kept_sha256"))
