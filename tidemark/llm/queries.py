@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, langid, linededup, quality, secretscan, tokencounts
+from tidemark.llm import bpe, chat, decontam, langid, linededup, ngramjoin, quality, secretscan, tokencounts
 from tidemark.llm.base import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.aggregate(F.coalesce("ranges", F.array().cast("array<struct<first: int, last: int>>")), F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     n_lines = F.coalesce(F.size(F.split("row.text", "\n", -1)), F.lit(0))
     return out.select("row.doc_id", F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), gone.alias("n_deleted"), F.sha2(F.coalesce("cleaned", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op6_ngram_jaccard", r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) q ON q.a = d.doc_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.groups(read(spark, sf_dir, "documents"))
