@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, langid, linededup, ngramjoin, quality, secretscan, tokencounts
+from tidemark.llm import bpe, chat, decontam, htmltext, langid, linededup, ngramjoin, quality, secretscan, tokencounts
 from tidemark.llm.base import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,9 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM documents
 JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) q ON q.a = d.doc_id""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.groups(read(spark, sf_dir, "documents"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages))
