@@ -115,18 +115,18 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id
     if intervals is None:
         return runs.select("_d", "_h", F.array(F.struct("first", "last")).alias("ranges")).limit(0)
     copies = _named(intervals, ["size", "left", "right"]).where(F.struct(*PLACE) != F.col("rank"))
-    ranges = copies.groupBy("_d", "_h").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges"))
+    ranges = copies.groupBy("_d", "_h").agg(F.sort_array(F.collect_set(F.struct("i", (F.col("i") + F.col("size")).alias("end"), "first", "last"))).alias("ranges"))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for row in batch.column(2).to_pylist():
             merged: list[dict] = []
             for r in row:
-                if merged and r["first"] <= merged[-1]["last"] + 1:
-                    merged[-1]["last"] = max(merged[-1]["last"], r["last"])
+                if merged and r["i"] <= merged[-1]["end"]:  # no line with a word lies between
+                    merged[-1]["end"], merged[-1]["last"] = max(merged[-1]["end"], r["end"]), max(merged[-1]["last"], r["last"])
                 else:
                     merged.append(dict(r))
-            out.append(merged)
+            out.append([{"first": m["first"], "last": m["last"]} for m in merged])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["_d", "_h", "ranges"])
 
     return per_batch(ranges, merge, "_d long, _h long, ranges array<struct<first: int, last: int>>")
@@ -135,8 +135,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of `docs` in the column `row`, with `cleaned` (the text without later copies) and `ranges` (deleted lines).
 
-    Lines are compared without the white space around them; lines without a word are passed over, and go with the run
-    they lie in.  `ranges` is null for a document that loses nothing; its text stays as it is, null too.  A document
+    Lines are compared without the white space around them.  Lines without a word are passed over; they go if the next
+    lines with a word on both sides go.  `ranges` is null for a document that loses nothing; its text stays as it is, null too.  A document
     may lose all its lines and is then an empty text.  Rows of one id and different texts are different documents.
     """
     copies = later_copies(docs, min_words, key, text).select(F.col("_d").alias("_cd"), F.col("_h").alias("_ch"), "ranges")

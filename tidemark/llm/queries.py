@@ -102,7 +102,9 @@ w AS (SELECT a.doc_id, a.i, a.line AS first, b.line AS last, b.i - a.i + 1 AS si
   FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= 50
   WHERE b.upto - b.words - a.upto + a.words < 50 OR b.upto - a.upto < 50),
 g AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY run, size) AS place FROM w),
-gone AS (SELECT DISTINCT l.doc_id, l.line FROM l JOIN g ON l.doc_id = g.doc_id AND l.line BETWEEN g.first AND g.last WHERE place <> (g.doc_id, g.i)),
+gw AS (SELECT DISTINCT n.doc_id, n.i, n.line FROM n JOIN g ON n.doc_id = g.doc_id AND n.line BETWEEN g.first AND g.last WHERE place <> (g.doc_id, g.i)),
+gr AS (SELECT a.doc_id, a.line AS first, coalesce(b.line, a.line) AS last FROM gw a LEFT JOIN gw b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+gone AS (SELECT DISTINCT l.doc_id, l.line FROM l JOIN gr ON l.doc_id = gr.doc_id AND l.line BETWEEN gr.first AND gr.last),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY line) AS s FROM (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS line FROM t) q
   WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = q.doc_id AND gone.line = q.line) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_deleted,
