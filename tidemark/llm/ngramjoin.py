@@ -6,9 +6,9 @@ positional filter (what can still follow the shared place) and the suffix filter
 is then verified once on whole sets.
 
 Skew.  Equal sets are one node.  A short posting list gives all its pairs.  A long one gives only the pairs with its
-pivot; what they link is contracted, and then only pairs of different components are left to try: the members outside
-a list's largest component against the others.  So a group of copies costs pairs in proportion to its size, and no
-link between components is lost.
+pivot; what they link is contracted, and only pairs of different components are left to try.  Some turns try further
+pivots of a list's largest component with the members outside it, and at last the members still outside meet the whole
+list.  So a group of copies costs pairs in proportion to its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ COUNTERS, PIECES = 1 << 20, 256
 #: Lists up to this length give all pairs.
 SHORT_LIST = 8
 RANGES = 128  # of the suffix filter
+#: Turns with further pivots, this many each, before all pairs of different components are tried; pairs a member that are no matter.
+TURNS, PIVOTS, EASY = 3, 16, 4
 NO_ID = -(1 << 63)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -199,9 +201,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Those of the candidate pairs (distinct, stored) that link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_d")).distinct()
+def _keys_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The whole sets of the wanted ids (_d), as packed keys; rows of one id with equal texts give one set."""
     if small_enough(wanted, 1_000_000):
         wanted = F.broadcast(wanted)  # at most a million ids
 
@@ -211,8 +212,11 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n).tobytes() for t in texts_of(part.column(1))], pa.binary())], names=["_d", "keys"])
 
-    # Rows of one id with equal texts give one set.
-    sets = docs.join(wanted, "_d", "left_semi").mapInArrow(run, "_d long, keys binary").where("length(keys) > 0").repartition("_d").distinct()
+    return docs.join(wanted, "_d", "left_semi").mapInArrow(run, "_d long, keys binary").where("length(keys) > 0").repartition("_d").distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the candidate pairs (distinct) that link."""
     a, b = (sets.select(F.col("_d").alias(c), F.col("keys").alias(f"{c}_keys")) for c in ("a", "b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_keys", "b_keys").mapInArrow(_verify, "a long, b long").distinct()
 
@@ -259,6 +263,25 @@ def components(edges: DataFrame) -> DataFrame:
         e = stored(star(star(e, True), False))
 
 
+#: The filters of a pair that shares a place, as SQL: other component, length, position.
+_CAN_LINK = """x_part != part AND 4 * least(x_n, n) >= 3 * greatest(x_n, n)
+    AND least(x_n - x_at, n - at) >= ceil(3 * (x_n + n) / 7)"""
+
+
+def _open_lists(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the lists with several components, with their own (part) and the largest (main); and those lists."""
+    members = stored(members.join(joined, "node", "left").select("key", "node", "n", "at", F.coalesce("least", "node").alias("part")))
+    sizes = members.groupBy("key", "part").count()
+    lists = stored(sizes.groupBy("key").agg(
+        F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("all"), F.max("count").alias("most")).where("parts > 1"))
+    return stored(salted_join(members, lists.select("key", "main"), ["key"], "node", "inner", parts=8)), lists
+
+
+def _cross(lists: DataFrame) -> int:
+    """Pairs to try if every member outside a list's largest component meets the whole list."""
+    return lists.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+
+
 def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (s1, s2, node: least id with that set), verified links of nodes, and their components."""
     spark = docs.sparkSession
@@ -272,24 +295,37 @@ def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame,
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", F.col("at").cast("long").alias("at"))
     met = stored(postings.repartition("key").sortWithinPartitions("key", F.xxhash64("node"), "node").mapInArrow(_meet, _PAIRS))
     pairs = stored(met.where("key IS NULL").select("a", "b").distinct())
-    found = stored(_linked(docs, pairs, n))
+    sets_of = lambda ids: _keys_of(docs, ids.distinct(), n)
+    found = stored(_linked(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_d")))))
     joined = components(found)
     # What the pivots left: lists that still hold several components.
     members = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "n", "at")
-    part = F.coalesce("least", F.col("node")).alias("part")
-    members = stored(members.join(joined, "node", "left").select("key", "node", "n", "at", part))
-    sizes = members.groupBy("key", "part").count()
-    main = sizes.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    rest = salted_join(members, main, ["key"], "node", "inner", parts=8)
-    few, all_ = rest.where("part != main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "part"))), rest
-    less, more = F.least("x_n", "n"), F.greatest("x_n", "n")
-    needed = F.ceil(3 * (F.col("x_n") + F.col("n")) / 7)
-    can = (4 * less >= 3 * more) & (F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at")) >= needed) & (F.col("x_part") != F.col("part"))
-    others = few.join(all_, (few["key"] == all_["key"]) & can).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
-    others = stored(others.join(pairs, ["a", "b"], "left_anti"))
-    if not others.isEmpty():
-        found = stored(found.unionByName(_linked(docs, others, n)))
-        joined = components(found)
+    members, open_ = _open_lists(members, joined)
+    if open_.isEmpty():
+        return nodes.select("s1", "s2", "node"), found, joined
+    kept = stored(sets_of(members.select(F.col("node").alias("_d"))))
+    for turn in range(TURNS + 1):
+        few = members.where("part != main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "part")))
+        if turn < TURNS and _cross(open_) > EASY * members.count():
+            # More pivots of the largest component, for those outside it.
+            member = F.struct("node", "n", "at", "part")
+            chosen = F.array(*[F.min_by(member, F.xxhash64(F.lit(turn * PIVOTS + i), "node")) for i in range(PIVOTS)])
+            others = members.where("part = main").groupBy("key").agg(F.array_distinct(chosen).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.*")
+            more = salted_join(few, others, ["key"], "x_node", "inner", parts=8)
+        else:
+            turn = TURNS
+            more = few.join(members, "key")
+        tried = more.where(_CAN_LINK).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+        tried = stored(tried.join(pairs, ["a", "b"], "left_anti"))
+        if not tried.isEmpty():
+            pairs = pairs.unionByName(tried)
+            found = stored(found.unionByName(_linked(tried, kept)))
+            joined = components(found)
+        if turn == TURNS:
+            break
+        members, open_ = _open_lists(members.select("key", "node", "n", "at"), joined)
+        if open_.isEmpty():
+            break
     return nodes.select("s1", "s2", "node"), found, joined
 
 
