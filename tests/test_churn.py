@@ -173,3 +173,10 @@ def test_due_to_return_peaks_at_the_usual_interval(spark):
                          {"customer_id": "once", "booking_date": "2024-01-01"}])
     rows = H.due_to_return(b, "2024-06-29").collect()
     assert [r["customer_id"] for r in rows] == ["due", "early"] and rows[0]["weight"] == pytest.approx(1.000001)
+
+
+def test_rows_without_a_label_stay(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "customer_id int, label int")
+    split = H.stratified_split(df)
+    assert split.count() == 100 and split.where("label IS NULL AND is_test").count() == 4
+    assert {r["label"]: round(r["weight"], 4) for r in H.balanced_weights(df).collect()} == {None: 2.5, 0: 1.25, 1: 1.25}

@@ -137,3 +137,11 @@ def test_train_job_outputs(spark):
     assert dict(pairs(rows.groupBy("horizon").count(), "horizon", "count")) == {"daily": 30, "weekly": 12, "monthly": 12}
     assert "MAPE" in FC.forecast_insight(rows).first()["text"]
     assert set(FC.forecast_run(rows).first()["mape"]) == {"daily", "weekly", "monthly"}
+
+
+def test_ranges_without_a_forecast_are_returned(spark):
+    f = forecast_table(spark)
+    rows = [(1, date(1990, 1, 1), date(1990, 2, 1), "monthly"), (2, date(2024, 8, 1), date(2030, 1, 1), "monthly"), (3, date(2024, 8, 1), date(2024, 8, 31), "monthly")]
+    got = {r["request_id"]: r for r in RS.forecast_for_ranges(spark.createDataFrame(rows, "request_id int, start date, end date, horizon string"), f).collect()}
+    assert (got[1]["periods"], got[1]["total_idr"], got[1]["partial"], got[1]["beyond_horizon"]) == (0, 0.0, False, True)
+    assert got[2]["beyond_horizon"] and got[2]["total_idr"] > 0 and not got[3]["beyond_horizon"]

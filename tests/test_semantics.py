@@ -109,11 +109,18 @@ def test_facets_sum_to_the_total(spark):
 def test_previous_period_and_spans():
     assert S.previous_period("2024-03-01", "2024-03-31") == (date(2024, 1, 30), date(2024, 2, 29))
     assert [S.granularity_for_span(n) for n in (1, 30, 31, 84, 85)] == ["daily", "daily", "weekly", "weekly", "monthly"]
-    assert S.granularity_fallbacks("monthly", 10) == ["monthly", "daily", "weekly"]
     with pytest.raises(ValueError):
         S.checked_range("2024-02-01", "2024-01-01")
 
 
+def test_horizon_rank(spark):
+    df = spark.createDataFrame([("daily",), ("weekly",), ("monthly",), ("yearly",)], "h string")
+    order = lambda first, days: [r["h"] for r in df.withColumn("r", S.horizon_rank(F.col("h"), first, days)).where("r IS NOT NULL").orderBy("r").collect()]
+    assert order("monthly", 10) == ["monthly", "daily", "weekly"]
+    assert order("daily", 60) == ["daily", "weekly", "monthly"]
+    assert order("monthly", 200) == ["monthly"] and order("weekly", 200) == ["weekly", "monthly"]
+
+
 def test_overlap_fraction(spark):
     d = lambda s: F.lit(date.fromisoformat(s))
     f = lambda *a: one(spark, S.overlap_fraction(*[d(x) for x in a]))[0]

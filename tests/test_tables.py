@@ -160,8 +160,12 @@ def test_catalogue(spark):
         catalog.run("customer_search", t)
     out = catalog.run_selected(["customer_age_distribution", "bad id", "booking_status_summary", "booking_volume"], t,
                                start="2024-01-01", end="2024-01-02")
-    assert isinstance(out["customer_age_distribution"], KeyError) and out["booking_status_summary"].count() == 1
-    assert "booking_volume" not in out
+    assert [o.id for o in out] == ["customer_age_distribution", "bad id", "booking_status_summary", "booking_volume"]
+    assert all(isinstance(o.error, KeyError) and o.act(lambda p: p.count()) == (None, o.error) for o in out[:2])
+    assert [o.act(lambda p: p.count())[0] for o in out[2:]] == [1, 2]
+    broken = catalog.Outcome("x", t["bookings"].selectExpr("raise_error('no')"))
+    result, error = broken.act(lambda p: p.collect())
+    assert result is None and "no" in str(error)
 
 
 def hits(spark, n=1500, seed=4):
@@ -206,6 +210,36 @@ def test_budget_with_amounts(spark):
     assert L.running_budget(df, budget=7).count() == 7
 
 
+def test_refused_amounts_consume_nothing(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, ts("2024-01-01") + timedelta(minutes=37 * i), float(a)) for i, a in enumerate(rng.choice([0.25, 1, 3, 6, 12], 200))] + [(900, None, 2.0), (901, ts("2024-01-01"), None)]
+    df = spark.createDataFrame(rows, "event_id int, ts timestamp, amount double")
+    want, spent = set(), {}
+    for i, t, a in sorted(rows, key=lambda r: (str(r[1]), r[0])):
+        day = t and t.date()
+        if spent.get(day, 0.0) + (a or 0.0) <= 10:
+            spent[day] = spent.get(day, 0.0) + (a or 0.0)
+            want.add(i)
+    assert {r["event_id"] for r in L.running_budget(df, amount="amount", budget=10).collect()} == want
+    three = spark.createDataFrame([(i, ts("2024-01-01") + timedelta(minutes=i), a) for i, a in enumerate([6, 6, 4])], "event_id int, ts timestamp, amount int")
+    assert {r["event_id"] for r in L.running_budget(three, amount="amount", budget=10).collect()} == {0, 2}
+
+
+def test_limits_keep_null_keys_and_times(spark):
+    rows = [(1, None, ts("2024-01-01")), (2, None, ts("2024-01-01") + timedelta(seconds=1)), (3, "a", None), (4, "a", ts("2024-01-01")), (5, None, None)]
+    df = spark.createDataFrame(rows, "event_id int, user string, ts timestamp")
+    got = {r["event_id"]: r["accepted"] for r in L.rate_limit(df, "user", "event_id", limit=1).collect()}
+    assert got == {1: True, 2: False, 3: None, 4: True, 5: None}
+
+
+def test_batch_dedup_of_questions_follows_the_ttl(spark):
+    at = ts("2024-01-01")
+    rows = [("Hi?", at), ("hi?", at + timedelta(minutes=59)), ("hi?", at + timedelta(minutes=60)), ("hi?", at + timedelta(days=4)), (None, at), (None, at + timedelta(minutes=1)), ("other", at)]
+    df = spark.createDataFrame(rows, "text string, asked_at timestamp")
+    got = sorted(((r["text"] or "").lower(), (r["asked_at"] - at).total_seconds() / 60) for r in E.distinct_questions(df).collect())
+    assert got == [("", 0.0), ("hi?", 0.0), ("hi?", 60.0), ("hi?", 4 * 24 * 60.0), ("other", 0.0)]
+
+
 def split_files(spark, df, folder, parts):
     for i, part in enumerate(parts):
         df.where(part).coalesce(1).write.parquet(str(folder / f"f{i}"))

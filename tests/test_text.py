@@ -301,3 +301,24 @@ def test_grid_accepts_two_sides_of_one_table(spark):
     right = base.select(F.col("id").alias("chunk_id"), "vector", "g")
     key = lambda df: sorted(pairs(df, "query_id", "chunk_id", "score"))
     assert key(similarity.topk(left, right, on=["g"], block=4)) == key(similarity.topk(left, right, on=["g"]))
+
+
+def test_null_keys_meet_on_both_paths_of_topk(spark):
+    rows = [(1, [1.0, 0.0], None), (2, [0.9, 0.1], None), (3, [1.0, 0.0], "en"), (4, [0.0, 1.0], "en")]
+    chunks = spark.createDataFrame(rows, "chunk_id int, vector array<double>, language string")
+    queries = chunks.select(F.col("chunk_id").alias("query_id"), "vector", F.lit(3).alias("k"), "language")
+    one, other = (sorted(map(tuple, similarity.topk(queries, chunks, on=["language"], block=b).collect())) for b in (4096, 1))
+    assert one == other and [(q, c) for q, c, *_ in one if q == 1] == [(1, 1), (1, 2)]
+
+
+def test_bm25_paths_agree_on_null_and_empty_texts(spark):
+    chunks = spark.createDataFrame([(1, "red house"), (2, None), (3, ""), (4, "red red green"), (5, "red house")], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "red house", 5), (2, None, 5), (3, "", 5)], "query_id int, text string, k int")
+    scan, join = (sorted(map(tuple, RT.bm25_topk(asked, chunks, max_terms=n).collect())) for n in (1000, 0))
+    assert scan == join and len(scan) == 3
+
+
+def test_greetings_have_no_length_cap(spark):
+    texts = ["halo ! ! ! ! ! ! ! !", "hi \U0001f600 \U0001f600 \U0001f600 \U0001f600 \U0001f600 \U0001f600 \U0001f600 \U0001f600", "hi one two three", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(Q.is_greeting(F.col("text"))).collect()] == [True, True, False, False]

@@ -171,6 +171,9 @@ def overlap_fraction(p_start: Column, p_end: Column, q_start: Column, q_end: Col
     return F.when(low > high, 0.0).otherwise(shared / (F.datediff(p_end, p_start) + 1))
 
 
+FINENESS = {"daily": 1, "weekly": 2, "monthly": 3}
+
+
 def granularity_for_span(days: int) -> str:
     return "daily" if days <= 30 else "weekly" if days <= 84 else "monthly"
 
@@ -179,11 +182,14 @@ def granularity_column(days: Column) -> Column:
     return F.when(days <= 30, "daily").when(days <= 84, "weekly").otherwise("monthly")
 
 
-def granularity_fallbacks(first: str, days: int) -> list[str]:
-    """Candidate horizons in order of preference for a span of `days`."""
-    order = ["daily", "weekly", "monthly"]
-    allowed = order[order.index(granularity_for_span(days)):]
-    return [first] + [g for g in allowed if g != first]
+def horizon_rank(horizon: Column, first: str, days: int) -> Column:
+    """Place of a forecast horizon in the order of preference for a span of `days`; null if it is too fine for it.
+
+    The wanted horizon comes first, then the others from the finest that suits the span on.
+    """
+    fineness = F.create_map(*[F.lit(x) for g, n in FINENESS.items() for x in (g, n)])
+    level = fineness[horizon]
+    return F.when(horizon == first, 0).when(level >= FINENESS[granularity_for_span(days)], level)
 
 
 def previous_period(start, end) -> tuple[date, date]:

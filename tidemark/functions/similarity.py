@@ -93,9 +93,13 @@ def topk(queries: DataFrame, chunks: DataFrame, on: Sequence[str] = (), ttl_seco
 
     queries: query_id, vector, k, the `on` columns, and `at` (epoch seconds) with a ttl.
     chunks: chunk_id, vector, the `on` columns, and `at` with a ttl: only chunks
-    older than the query by less than the ttl count.
+    older than the query by less than the ttl count.  The `on` columns are
+    compared as one text, in which a null equals a null, on every path.
     """
-    on = list(on)
+    if on:
+        same = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in on]), {"ignoreNullFields": "false"})
+        queries, chunks = queries.withColumn("_on", same), chunks.withColumn("_on", same)
+    on = ["_on"] if on else []
     extra = on + (["at"] if ttl_seconds is not None else [])
     queries = queries.where("vector IS NOT NULL").select("query_id", "vector", F.col("k").cast("int").alias("k"), *extra)
     chunks = chunks.where("vector IS NOT NULL").select("chunk_id", "vector", *extra)

@@ -18,7 +18,7 @@ from tidemark.functions.semantics import (
     CANCELLED, as_date, booking_track, committed, half_even, key_or_unknown, money_avg, money_sum,
     object_id, risk_bucket, whole_days,
 )
-from tidemark.plans.session import cut_lineage
+from tidemark.plans.session import broadcast_if_small, cut_lineage
 
 # Fixed values of the feature contract, in model order.
 CATEGORIES = {
@@ -31,6 +31,8 @@ NUMERIC = ["recency_days", "frequency", "monetary_total", "monetary_avg", "pax_a
            "avg_interval", "recency_ratio", "cancel_rate", "review_rating", "aspect_value", "has_review", "age"]
 CONTRACT = NUMERIC + [f"{c}_{v}" for c, values in CATEGORIES.items() for v in values]
 LABEL_WINDOW_DAYS = 365
+# How the latest review's null fields are treated in training and in scoring alike.
+NULL_POLICY = "skip"
 AUC_TOLERANCE = 0.01
 MAX_INLINE_IDS = 100
 
@@ -138,8 +140,11 @@ def churn_features(bookings: DataFrame, reviews: DataFrame, customers: DataFrame
     )
 
 
-def align_features(features: DataFrame, contract: Sequence[str] = CONTRACT) -> DataFrame:
-    """One column per contract entry, in order; unseen or null categories are all zeros."""
+def align_features(features: DataFrame, contract: Sequence[str] = CONTRACT, keep: Sequence[str] = ()) -> DataFrame:
+    """One column per contract entry, in order; unseen or null categories are all zeros.
+
+    The columns of `keep` go along unchanged, as kept_<name>.
+    """
     picked = ["customer_id"] + [c for c in ("track", "label", "weight") if c in features.columns]
     columns = [F.col(c) for c in picked]
     for name in contract:
@@ -151,7 +156,7 @@ def align_features(features: DataFrame, contract: Sequence[str] = CONTRACT) -> D
             columns.append(F.col(name).cast("double").alias(name))
         else:
             raise ValueError(f"feature {name} of the contract is missing")
-    return features.select(*columns)
+    return features.select(*columns, *[F.col(c).alias(f"kept_{c}") for c in keep])
 
 
 def unseen_categories(features: DataFrame, contract: Sequence[str] = CONTRACT) -> DataFrame:
@@ -186,18 +191,23 @@ def split_hash(key: str, seed: int) -> Column:
 
 def stratified_split(df: DataFrame, label: str = "label", share: float = 0.2, seed: int = 42,
                      key: str = "customer_id") -> DataFrame:
-    """Flag exactly ceil(share * n) rows of every class as test, without ranking a class in one task."""
-    rows = df.withColumn("_h", split_hash(key, seed))
+    """Flag exactly ceil(share * n) rows of every class as test, without ranking a class in one task.
+
+    Rows without a label are a class of their own.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("none"))
+    rows = df.withColumn("_h", split_hash(key, seed)).withColumn("_class", name)
     last = F.array((F.ceil(F.col("n") * share) - 1).cast("bigint"))
-    cut = values_at_ranks(rows.select(label, "_h"), "_h", last, [label]).select(label, F.col("value").alias("_cut"))
-    return rows.join(F.broadcast(cut), label).withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+    cut = values_at_ranks(rows.select("_class", "_h"), "_h", last, ["_class"]).select("_class", F.col("value").alias("_cut"))
+    return rows.join(broadcast_if_small(cut), "_class").withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut", "_class")
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """weight = n / (2 * n_class)."""
+    """weight = n / (2 * n_class); rows without a label are a class of their own."""
     n = df.agg(F.count(F.lit(1))).scalar()
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn("weight", n / (2.0 * F.col("_n")))
-    return df.join(F.broadcast(sizes.drop("_n")), label)
+    sizes = broadcast_if_small(sizes.select(F.col(label).alias("_label"), "weight"))
+    return df.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def churn_estimator(contract: Sequence[str] = CONTRACT, seed: int = 42, rounds: int = 20,
@@ -226,8 +236,8 @@ def model_input(aligned: DataFrame, contract: Sequence[str] = CONTRACT) -> DataF
 
 
 def train_churn(aligned: DataFrame, contract: Sequence[str] = CONTRACT, seed: int = 42, rounds: int = 20) -> PipelineModel:
-    """Fit on the training rows of `aligned` (columns label, is_test optional)."""
-    rows = aligned.where(~F.col("is_test")) if "is_test" in aligned.columns else aligned
+    """Fit on the training rows of `aligned` (columns label, is_test optional); rows without a label teach nothing."""
+    rows = (aligned.where(~F.col("is_test")) if "is_test" in aligned.columns else aligned).where("label IS NOT NULL")
     numeric = [c for c in NUMERIC if c in contract]
     known = rows.agg(*[F.count(c).alias(c) for c in numeric]).first()
     empty = [c for c in numeric if known[c] == 0]
@@ -236,31 +246,38 @@ def train_churn(aligned: DataFrame, contract: Sequence[str] = CONTRACT, seed: in
     return churn_estimator(contract, seed, rounds, empty).fit(ready)
 
 
-def score(model: PipelineModel, aligned: DataFrame, contract: Sequence[str] = CONTRACT) -> DataFrame:
-    """Probability at 4 digits, bucket by the unrounded probability."""
-    rows = model_input(aligned, contract).withColumn("weight", F.lit(1.0)).withColumn("label", F.lit(0))
+def score(model: PipelineModel, aligned: DataFrame, contract: Sequence[str] = CONTRACT, keep: Sequence[str] = ()) -> DataFrame:
+    """Probability at 4 digits, bucket by the unrounded probability; the columns of `keep` stay."""
+    rows = model_input(aligned, contract)
+    for name, value in (("weight", 1.0), ("label", 0)):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(value))
     p = F.get(vector_to_array(F.col("probability")), F.lit(1))
     return model.transform(rows).select(
-        "customer_id", "track", half_even(p, 4).alias("churn_proba"), risk_bucket(p).alias("risk_bucket"))
+        "customer_id", "track", half_even(p, 4).alias("churn_proba"), risk_bucket(p).alias("risk_bucket"), *keep)
 
 
-def rescore_all(model: PipelineModel, bookings: DataFrame, reviews: DataFrame, customers: DataFrame, as_of) -> DataFrame:
-    """The score table of every customer with history at `as_of`."""
-    features = churn_features(bookings, reviews, customers, as_of)
-    scored = score(model, align_features(features))
-    return scored.join(features.select("customer_id", "monetary_total", "tenure_days"), "customer_id").withColumn(
+def rescore_all(model: PipelineModel, bookings: DataFrame, reviews: DataFrame, customers: DataFrame, as_of,
+                null_policy: str = NULL_POLICY) -> DataFrame:
+    """The score table of every customer with history at `as_of`, with the features' null policy of training."""
+    features = churn_features(bookings, reviews, customers, as_of, null_policy=null_policy)
+    # The profile values travel with the row; the features are computed once.
+    aligned = align_features(features, keep=("monetary_total", "tenure_days"))
+    return score(model, aligned, keep=("kept_monetary_total", "kept_tenure_days")).withColumnsRenamed(
+        {"kept_monetary_total": "monetary_total", "kept_tenure_days": "tenure_days"}).withColumn(
         "scored_at", F.lit(as_date(as_of)).cast("timestamp"))
 
 
 def predict_churn(model: PipelineModel, ids, bookings: DataFrame, reviews: DataFrame, customers: DataFrame,
-                  as_of) -> tuple[DataFrame, DataFrame]:
+                  as_of, null_policy: str = NULL_POLICY) -> tuple[DataFrame, DataFrame]:
     """Scores of the wanted ids, and the ids that have no history."""
     spark = bookings.sparkSession
     if not isinstance(ids, DataFrame):
         ids = spark.createDataFrame([(i,) for i in ids], ["customer_id"])
     wanted = ids.select("customer_id").distinct()
-    scored = rescore_all(model, only_ids(bookings, wanted), only_ids(reviews, wanted), only_ids(customers, wanted), as_of)
-    return scored, wanted.join(scored.select("customer_id"), "customer_id", "left_anti")
+    scored = rescore_all(model, only_ids(bookings, wanted), only_ids(reviews, wanted), only_ids(customers, wanted), as_of, null_policy)
+    known = booking_features(only_ids(bookings, wanted), as_of).select("customer_id")
+    return scored, wanted.join(known, "customer_id", "left_anti")
 
 
 def auc(df: DataFrame, proba: str = "churn_proba", label: str = "label", by: str | None = None,
@@ -300,7 +317,7 @@ def champion_gate(new_auc: float, previous_auc: float | None, tolerance: float =
 
 
 def retrain(bookings: DataFrame, reviews: DataFrame, customers: DataFrame, as_of, runs: DataFrame | None = None,
-            model_path: str | None = None) -> tuple[PipelineModel, DataFrame, Gate]:
+            model_path: str | None = None, null_policy: str = NULL_POLICY) -> tuple[PipelineModel, DataFrame, Gate]:
     """Label a year back, train, evaluate on the held-out fifth, gate against the last deployed run.
 
     Only metrics reach the driver.  Returns the model, the one-row run record and the gate.
@@ -308,12 +325,12 @@ def retrain(bookings: DataFrame, reviews: DataFrame, customers: DataFrame, as_of
     from tidemark.sources.sinks import latest_run
 
     snapshot = as_date(as_of) - timedelta(days=LABEL_WINDOW_DAYS)
-    labelled = with_label(churn_features(bookings, reviews, customers, snapshot, LABEL_WINDOW_DAYS, "skip"))
+    labelled = with_label(churn_features(bookings, reviews, customers, snapshot, LABEL_WINDOW_DAYS, null_policy))
     # Written once: the split, the training passes and the evaluation all read it.
     aligned = stratified_split(cut_lineage(align_features(labelled)))
     model = train_churn(aligned)
     held = aligned.where("is_test")
-    scored = score(model, held).join(held.select("customer_id", "label"), "customer_id")
+    scored = score(model, held, keep=("label",))
     parts = {r["track"]: r["auc"] for r in auc(scored, by="track").collect()}
     overall = auc(scored).first()["auc"]
     size = aligned.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).first()

@@ -84,8 +84,11 @@ def repeat_ratio(customers: DataFrame) -> DataFrame:
     return counts.withColumn("repeat_rate", safe_ratio(F.col("repeat_customer_count"), total))
 
 
-def search(customers: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Case-insensitive substring of name or code; shorter than two characters finds nothing."""
+def search(customers: DataFrame, query: str, limit: int = 10, most: int = MAX_SEARCH) -> DataFrame:
+    """Case-insensitive substring of name or code; shorter than two characters finds nothing.
+
+    A report of at most `most` rows, as the surveyed search has it; pass a larger one for more.
+    """
     text = (query or "").strip().lower()
     hit = (
         F.lower("name").contains(text) | F.lower("customer_code").contains(text)
@@ -99,19 +102,19 @@ def search(customers: DataFrame, query: str, limit: int = 10) -> DataFrame:
             F.coalesce("total_spent_idr", F.lit(0.0)).alias("total_spent_idr"),
         )
         .orderBy("customer_code")
-        .limit(min(limit, MAX_SEARCH))
+        .limit(min(limit, most))
     )
 
 
-def churn_risk(scores: DataFrame, customers: DataFrame, bucket: str | None = None, limit: int = 25) -> DataFrame:
+def churn_risk(scores: DataFrame, customers: DataFrame, bucket: str | None = None, limit: int = 25, most: int = MAX_RISK) -> DataFrame:
     """Highest-risk customers with their profile.
 
-    The limit is taken before the join, so at most MAX_RISK rows meet the
-    customer table and AQE broadcasts them.
+    A report of at most `most` rows, as the surveyed one.  The limit is taken
+    before the join, so no more than that meet the customer table.
     """
     rows = scores.where(F.col("risk_bucket") == bucket) if bucket else scores
     order = [F.desc("churn_proba"), F.desc("monetary_total"), F.asc("customer_id")]
-    top = rows.orderBy(*order).limit(clamp(limit, 1, MAX_RISK))
+    top = rows.orderBy(*order).limit(clamp(limit, 1, most))
     profile = customers.select("customer_id", "customer_code", "name", "segment")
     # The limited side is the row-preserving one, so only a hint on it lets the big side stream.
     matched = profile.join(F.broadcast(top.select("customer_id")), "customer_id", "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import approx_quantiles, quantiles
 from tidemark.functions.semantics import (
-    PAID, checked_range, clamp, committed, committed_paid, growth_vs_nonzero_base, half_even,
+    PAID, checked_range, committed, committed_paid, growth_vs_nonzero_base, half_even,
     in_range, key_or_unknown, money_sum, period_label, period_start, previous_period, safe_ratio,
 )
 
@@ -77,7 +77,7 @@ def top_destinations(bookings: DataFrame, start, end, limit: int = DEFAULT_TOP_N
         .groupBy(key_or_unknown("destination_name").alias("destination"))
         .agg(F.count(F.lit(1)).alias("bookings"), money_sum("total_price_idr").alias("revenue_idr"))
         .orderBy(F.desc("revenue_idr"), "destination")
-        .limit(clamp(limit, 1, MAX_TOP_N))
+        .limit(limit)
     )
 
 
@@ -94,7 +94,7 @@ def top_customers(bookings: DataFrame, start, end, limit: int = DEFAULT_TOP_N) -
             F.count(F.lit(1)).alias("booking_count"),
         )
         .orderBy(F.desc("total_spent_idr"), "customer_id")
-        .limit(clamp(limit, 1, MAX_TOP_N))
+        .limit(limit)
     )
 
 

@@ -20,8 +20,6 @@ from tidemark.operators.facts import DEFAULT_TOP_N, MAX_TOP_N
 from tidemark.operators.retrieval import MIN_RELEVANCE
 
 MAX_EXTRA_WORDS = 2
-# The longest greeting has three words, so a message with more than five cannot be one.
-MAX_GREETING_WORDS = 8
 MAX_METRICS = 3
 MAX_NAME_MATCHES = 10
 
@@ -47,8 +45,9 @@ def language(text: Column) -> Column:
 
 def _only(text: Column, patterns: Iterable[str]) -> Column:
     """The message is one of the patterns plus at most two other words."""
-    short = F.when(F.size(words(text)) <= MAX_GREETING_WORDS, text)
-    plain = F.regexp_replace(F.lower(nfkc(short)), r"(?U)[^\w\s']", " ")
+    # ASCII is its own normal form; only other texts go to Python.
+    composed = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    plain = F.regexp_replace(F.lower(composed), r"(?U)[^\w\s']", " ")
     hit = F.lit(False)
     for p in patterns:
         halves = F.split(plain, rf"(?U)\b{p}\b", 2)

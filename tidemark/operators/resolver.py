@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import (
-    as_date, checked_range, granularity_fallbacks, granularity_for_span, growth_vs_positive_base, half_even,
-    overlap_fraction,
+    as_date, checked_range, granularity_for_span, growth_vs_positive_base, half_even, horizon_rank, overlap_fraction,
 )
 from tidemark.operators import facts
 
@@ -35,13 +34,12 @@ def _actual_segment(bookings: DataFrame, start, end, granularity: str) -> DataFr
 
 def _forecast_rows(forecast: DataFrame, start, end, granularity: str) -> DataFrame:
     """Forecast rows with the preference rank of their horizon and their share of the range."""
-    order = granularity_fallbacks(granularity, (end - start).days + 1)
-    rank = F.array_position(F.array(*[F.lit(g) for g in order]), F.col("horizon"))
+    rank = horizon_rank(F.col("horizon"), granularity, (end - start).days + 1)
     p_end = _end_of(F.col("period"), F.col("horizon"))
     share = overlap_fraction(F.col("period"), p_end, F.lit(start), F.lit(end))
     return forecast.select(
         rank.alias("rank"), "horizon", F.col("period").alias("period_start"), p_end.alias("period_end"),
-        "forecast_idr", "model_mape_pct", share.alias("share")).where("rank > 0")
+        "forecast_idr", "model_mape_pct", share.alias("share")).where("rank IS NOT NULL")
 
 
 def _forecast_segment(forecast: DataFrame, start, end, granularity: str) -> DataFrame:
@@ -104,7 +102,8 @@ def forecast_for_ranges(requests: DataFrame, forecast: DataFrame) -> DataFrame:
 
     Forecast periods start on a calendar grid, so every range is expanded to
     the period starts it touches and meets the forecast in an equi-join; there
-    is no interval (nested-loop) join.
+    is no interval (nested-loop) join.  A range that no period covers has a
+    total of 0; beyond_horizon tells that the forecast ends before the range.
     """
     first = (
         F.when(F.col("horizon") == "daily", F.col("start"))
@@ -115,9 +114,12 @@ def forecast_for_ranges(requests: DataFrame, forecast: DataFrame) -> DataFrame:
         .when(F.col("horizon") == "weekly", F.sequence(first, "end", F.expr(HORIZON_STEP["weekly"])))
         .otherwise(F.sequence(first, "end", F.expr(HORIZON_STEP["monthly"]))))
     grid = requests.withColumn("period", F.explode(touched))
-    hits = grid.join(forecast.select("horizon", "period", "forecast_idr"), ["horizon", "period"])
+    hits = grid.join(forecast.select("horizon", "period", "forecast_idr"), ["horizon", "period"], "left")
     share = overlap_fraction(F.col("period"), _end_of(F.col("period"), F.col("horizon")), F.col("start"), F.col("end"))
     part = (F.col("forecast_idr") * share).cast("decimal(28,6)")
-    return hits.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("periods"), F.round(F.sum(part).cast("double"), 2).alias("total_idr"),
-        F.max(share < 1).alias("partial"))
+    known = F.col("forecast_idr").isNotNull()
+    covered = F.max(F.when(known, _end_of(F.col("period"), F.col("horizon"))))
+    return hits.groupBy("request_id", "end").agg(
+        F.count("forecast_idr").alias("periods"), F.coalesce(F.round(F.sum(part).cast("double"), 2), F.lit(0.0)).alias("total_idr"),
+        F.coalesce(F.max(F.when(known, share < 1)), F.lit(False)).alias("partial"),
+        F.coalesce(covered < F.col("end"), F.lit(True)).alias("beyond_horizon")).drop("end")

@@ -48,7 +48,7 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings (chunk_id, dl, term, tf) and one row of corpus totals (n, avgdl); empty chunks count."""
-    sized = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), "t")
+    sized = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.coalesce(F.size("t"), F.lit(0)).alias("dl"), "t")
     postings = sized.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(
         F.count(F.lit(1)).alias("tf"))
     return postings, sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.functions import semantics as S
@@ -70,10 +71,14 @@ query("profile_features", oracle("customers", "SELECT customer_id, age, segment,
     lambda spark, sf: H.profile_features(T.customers(spark, sf)))
 
 
-def features(spark, sf, label_days=None):
-    """Features at the booking snapshot; the review events lie in 2024, so they are moved back 25 years first."""
-    moved = T.reviews(spark, sf).withColumn("review_date", F.col("review_date") - F.expr("INTERVAL 25 YEARS"))
-    return H.churn_features(T.bookings(spark, sf), moved, T.customers(spark, sf), SNAPSHOT, label_days)
+def moved_reviews(spark, sf):
+    """The review events lie in 2024; the bookings end before, so the reviews are moved back 25 years."""
+    return T.reviews(spark, sf).withColumn("review_date", F.col("review_date") - F.expr("INTERVAL 25 YEARS"))
+
+
+def features(spark, sf, label_days=None, null_policy="keep"):
+    """Features at the booking snapshot."""
+    return H.churn_features(T.bookings(spark, sf), moved_reviews(spark, sf), T.customers(spark, sf), SNAPSHOT, label_days, null_policy)
 
 
 _ALL_REVIEWED = _REVIEWED.replace(f" WHERE review_date <= DATE '{REVIEW_SNAPSHOT}'", "")
@@ -126,28 +131,48 @@ query("evaluate_auc", oracle("bookings reviews customers", f"""
 
 
 def _scored(spark, sf):
-    labelled = H.with_label(features(spark, sf, 365))
+    labelled = H.with_label(features(spark, sf, 365, H.NULL_POLICY))
     aligned = H.stratified_split(cut_lineage(H.align_features(labelled)))
     return H.train_churn(aligned), aligned
 
 
-@query("train_churn")
+_SPLIT = f"""SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASH}) <= ceil(count(*) OVER (PARTITION BY label) * 0.2) AS is_test
+  FROM ({_FEATURES})"""
+
+
+@query("train_churn", oracle("bookings reviews customers", f"""
+  SELECT track, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives, true AS auc_in_range
+  FROM ({_SPLIT}) WHERE is_test GROUP BY 1"""))
 def _train(spark, sf):
+    """The held-out rows of each track and whether their AUC can be one."""
     model, aligned = _scored(spark, sf)
-    held = aligned.where("is_test")
-    return H.auc(H.score(model, held).join(held.select("customer_id", "label"), "customer_id"), by="track")
+    quality = H.auc(H.score(model, aligned.where("is_test"), keep=("label",)), by="track")
+    return quality.select("track", "positives", "negatives", F.col("auc").between(0, 1).alias("auc_in_range"))
+
 
+def _bucket_fits():
+    """The bucket is that of the stored probability, unless rounding put that on a border."""
+    edge = F.round(F.col("churn_proba") * 4) / 4
+    return (S.risk_bucket(F.col("churn_proba")) == F.col("risk_bucket")) | (F.abs(F.col("churn_proba") - edge) < 1e-4)
 
-@query("rescore_all")
+
+@query("rescore_all", oracle("bookings", f"""
+  SELECT customer_id, track, monetary_total, tenure_days, TIMESTAMP '{SNAPSHOT}' AS scored_at, true AS in_range, true AS bucket_fits
+  FROM ({base_sql()})"""))
 def _rescore(spark, sf):
-    model, aligned = _scored(spark, sf)
-    return H.score(model, aligned)
+    model, _ = _scored(spark, sf)
+    rows = H.rescore_all(model, T.bookings(spark, sf), moved_reviews(spark, sf), T.customers(spark, sf), SNAPSHOT)
+    return rows.select("customer_id", "track", "monetary_total", "tenure_days", F.col("scored_at").cast("timestamp_ntz").alias("scored_at"),
+                       F.col("churn_proba").between(0, 1).alias("in_range"), _bucket_fits().alias("bucket_fits"))
 
 
-@query("champion_gate")
+@query("champion_gate", oracle("bookings reviews customers", f"""
+  SELECT 'retrain_churn' AS job, '{SNAPSHOT}' AS snapshot, count(*) AS population, round(avg(label), 4) AS churn_rate,
+    true AS auc_in_range, true AS first_run, true AS deployed FROM ({_FEATURES})"""))
 def _gate(spark, sf):
-    _, record, _ = H.retrain(T.bookings(spark, sf), T.reviews(spark, sf), T.customers(spark, sf), "2001-06-30")
-    return record.select("job", "snapshot", "population", "churn_rate", "auc", "prev_auc", "deployed")
+    _, record, _ = H.retrain(T.bookings(spark, sf), moved_reviews(spark, sf), T.customers(spark, sf), "2001-06-30")
+    return record.select("job", "snapshot", "population", "churn_rate", F.col("auc").between(0, 1).alias("auc_in_range"),
+                         F.col("prev_auc").isNull().alias("first_run"), "deployed")
 
 
 def _score_run(spark, sf):
@@ -177,13 +202,19 @@ query("churn_overview_insight", oracle("bookings reviews customers", f"""
   FROM ({_FEATURES})"""))(lambda spark, sf: H.overview_insight(_score_run(spark, sf)))
 
 
-@query("predict_churn")
+@query("predict_churn", oracle("customers bookings", f"""
+  SELECT customer_id, h.customer_id IS NOT NULL AS has_history, CASE WHEN h.customer_id IS NOT NULL THEN true END AS as_rescored
+  FROM customers c LEFT JOIN (SELECT customer_id FROM ({base_sql()})) h USING (customer_id) WHERE segment = 'Gold'"""))
 def _predict(spark, sf):
+    """The wanted customers, and whether each is scored as in the score table."""
     model, _ = _scored(spark, sf)
-    tables = (T.bookings(spark, sf), T.reviews(spark, sf), T.customers(spark, sf))
+    tables = (T.bookings(spark, sf), moved_reviews(spark, sf), T.customers(spark, sf))
     ids = T.customers(spark, sf).where("segment = 'Gold'").select("customer_id")
     scored, missing = H.predict_churn(model, ids, *tables, SNAPSHOT)
-    return scored.select("customer_id", "churn_proba", "risk_bucket").unionByName(missing, allowMissingColumns=True)
+    table = H.rescore_all(model, *tables, SNAPSHOT).select("customer_id", F.col("churn_proba").alias("p"), F.col("risk_bucket").alias("b"))
+    same = (F.col("churn_proba") == F.col("p")) & (F.col("risk_bucket") == F.col("b"))
+    return scored.join(table, "customer_id", "left").select("customer_id", F.lit(True).alias("has_history"), F.coalesce(same, F.lit(False)).alias("as_rescored")).unionByName(
+        missing.select("customer_id", F.lit(False).alias("has_history"), F.lit(None).cast("boolean").alias("as_rescored")))
 
 
 query("ids_without_history", oracle("customers bookings", f"""
@@ -193,10 +224,15 @@ query("ids_without_history", oracle("customers bookings", f"""
         H.booking_features(T.bookings(spark, sf), SNAPSHOT).select("customer_id"), "customer_id", "left_anti"))
 
 
-@query("customer_clusters")
+@query("customer_clusters", oracle("bookings", f"SELECT customer_id, true AS nearest FROM ({base_sql()})"))
 def _clusters(spark, sf):
+    """Every customer lies nearest to the centre of the own cluster."""
     rows = H.rfm(T.bookings(spark, sf), SNAPSHOT)
-    return K.assign_clusters(K.fit_clusters(rows), rows).select("customer_id", "cluster", *K.RFM)
+    model = K.fit_clusters(rows)
+    at = vector_to_array("features")
+    away = [F.aggregate(F.zip_with(at, F.array(*map(F.lit, map(float, c))), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+            for c in model.stages[-1].clusterCenters()]
+    return model.transform(K.log_rfm(rows)).select("customer_id", (F.get(F.array(*away), F.col("cluster")) <= F.least(*away) + 1e-9).alias("nearest"))
 
 
 # The profile is checked on a fixed grouping; cluster numbers of k-means have no SQL form.
@@ -280,20 +316,58 @@ query("series_features", oracle("bookings", f"""
     lambda spark, sf: FC.series_features(FC.revenue_series(T.bookings(spark, sf), "monthly"), "monthly"))
 
 
-@query("fit_ridge")
+_MONTHS = ", ".join(f"'period_{m}'" for m in range(2, 13))
+
+
+@query("fit_ridge", oracle("bookings", f"""
+  SELECT unnest(['lag1', 'lag_s', 't', {_MONTHS}, 'intercept']) AS feature, n, true AS solves FROM (
+    SELECT count(*) AS n FROM ({lags_sql('monthly')}) WHERE lag_s IS NOT NULL AND from_end > {FC.GRAINS['monthly'].test_rows})"""))
 def _ridge(spark, sf):
-    names, model = FC.fit_ridge(FC.series_features(FC.revenue_series(T.bookings(spark, sf), "monthly"), "monthly"), "monthly")
-    return spark.createDataFrame([(n, float(w)) for n, w in zip(names, model.coefficients)] + [("intercept", model.intercept)],
-                                 "feature string, weight double")
+    """Whether each weight solves its normal equation: the residuals' sum with the feature equals alpha times the weight."""
+    rows = FC.series_features(FC.revenue_series(T.bookings(spark, sf), "monthly"), "monthly")
+    names, model = FC.fit_ridge(rows, "monthly")
+    weights = dict(zip(names, map(float, model.coefficients)))
+    train, _ = FC.holdout(rows, "monthly")
+    left = F.col("y") - model.intercept - sum(F.col(n) * w for n, w in weights.items())
+    columns = {**{n: F.col(n).cast("double") for n in names}, "intercept": F.lit(1.0)}
+    sums = train.select(left.alias("left"), *[c.alias(f"x_{n}") for n, c in columns.items()], "y").agg(
+        F.count("*").alias("n"), F.array(*[F.struct(
+            F.lit(n).alias("feature"), F.sum(F.col("left") * F.col(f"x_{n}")).alias("g"), F.sum(F.abs(F.col("y") * F.col(f"x_{n}"))).alias("size"),
+            F.lit(weights.get(n, 0.0)).alias("w")) for n in columns]).alias("e"))
+    return sums.select("n", F.explode("e").alias("e")).select("e.feature", "n", (F.abs(F.col("e.g") - F.col("e.w")) <= 1e-6 * (F.col("e.size") + 1)).alias("solves"))
+
+
+_NEXT = {"daily": "INTERVAL 1 DAY", "weekly": "INTERVAL 7 DAY", "monthly": "INTERVAL 1 MONTH"}
+
+
+def ahead_sql(g: str) -> str:
+    """Periods of a forecast with the length of its series and the naive rule's error."""
+    return f"""
+      SELECT '{g}' AS horizon, CAST(m + k * {_NEXT[g]} AS DATE) AS period, n AS rows_used, mape_naive AS naive_mape_pct, true AS consistent
+      FROM (SELECT CAST(max(period) AS TIMESTAMP) AS m, count(*) AS n FROM ({series_sql(g)})), ({backtest_sql(g)}),
+        (SELECT unnest(range(1, {FC.GRAINS[g].horizon + 1})) AS k)"""
+
+
+def _forecast_checks(rows):
+    """The naive rule is used exactly if the model does not beat it, and no forecast is negative."""
+    naive = ~(F.col("model_mape_pct") < F.col("naive_mape_pct"))
+    fits = (F.col("used_naive") == naive) | (F.abs(F.col("model_mape_pct") - F.col("naive_mape_pct")) < 0.011)
+    return rows.select("horizon", "period", "rows_used", "naive_mape_pct", (fits & (F.col("forecast_idr") >= 0)).alias("consistent"))
 
 
-query("forecast_recursive")(
-    lambda spark, sf: FC.ridge_forecast(FC.revenue_series(T.bookings(spark, sf), "monthly"), "monthly"))
-query("train_forecasts")(lambda spark, sf: FC.train_forecasts(T.bookings(spark, sf), "2001-08-02"))
+query("forecast_recursive", oracle("bookings", ahead_sql("monthly")))(
+    lambda spark, sf: _forecast_checks(FC.ridge_forecast(FC.revenue_series(T.bookings(spark, sf), "monthly"), "monthly")))
+query("train_forecasts", oracle("bookings", " UNION ALL ".join(map(ahead_sql, FC.GRAINS))))(
+    lambda spark, sf: _forecast_checks(FC.train_forecasts(T.bookings(spark, sf), "2001-08-02")))
 query("forecast_panel")(
     lambda spark, sf: FC.forecast_panel(T.bookings(spark, sf, destination=True), "destination_name"))
 query("forecast_insight")(lambda spark, sf: FC.forecast_insight(FC.train_forecasts(T.bookings(spark, sf), "2001-08-02")))
-query("forecast_run")(lambda spark, sf: FC.forecast_run(FC.train_forecasts(T.bookings(spark, sf), "2001-08-02")))
+query("forecast_run", oracle("bookings", f"""
+  SELECT 'retrain_forecast' AS job, TIMESTAMP '2001-08-02' AS ran_at, n AS rows_used, 3 AS horizons, true AS complete FROM (
+    SELECT greatest({', '.join(f"(SELECT count(*) FROM ({series_sql(g)}))" for g in FC.GRAINS)}) AS n)"""))(
+    lambda spark, sf: FC.forecast_run(FC.train_forecasts(T.bookings(spark, sf), "2001-08-02")).select(
+        "job", F.col("ran_at").cast("timestamp_ntz").alias("ran_at"), "rows_used", F.size("mape").alias("horizons"),
+        (F.array_size(F.map_keys("used_naive")) == F.size("mape")).alias("complete")))
 
 query("forecast_table", oracle("bookings", FORECAST_SQL))(
     lambda spark, sf: FC.naive_table(T.bookings(spark, sf), AS_OF).drop("generated_at"))
@@ -370,11 +444,11 @@ query("revenue_resolve_daily", oracle("bookings", _resolve_sql("2000-07-01", "20
     _resolved("2000-07-01", "2000-07-25", 1))
 
 query("forecast_for_ranges", oracle("bookings", f"""
-  SELECT request_id, count(*) AS periods, round(CAST(sum(CAST(forecast_idr * share AS DECIMAL(28,6))) AS DOUBLE), 2) AS total_idr,
-    bool_or(share < 1) AS partial FROM (
-    SELECT request_id, forecast_idr, (date_diff('day', greatest(period, s), least(pe, e)) + 1)
+  SELECT request_id, count(forecast_idr) AS periods, coalesce(round(CAST(sum(CAST(forecast_idr * share AS DECIMAL(28,6))) AS DOUBLE), 2), 0.0) AS total_idr,
+    coalesce(bool_or(share < 1), false) AS partial, coalesce(max(pe) < max(e), true) AS beyond_horizon FROM (
+    SELECT request_id, e, pe, forecast_idr, (date_diff('day', greatest(period, s), least(pe, e)) + 1)
       / (date_diff('day', period, pe) + 1) AS share
-    FROM requests r JOIN (SELECT *, {_end_sql()} AS pe FROM ({FORECAST_SQL})) f
+    FROM requests r LEFT JOIN (SELECT *, {_end_sql()} AS pe FROM ({FORECAST_SQL})) f
       ON f.horizon = r.horizon AND period <= e AND pe >= s) GROUP BY 1""",
     requests=f"""SELECT c_custkey AS request_id, DATE '{AS_OF}' + CAST(c_custkey % 40 AS INT) AS s,
       DATE '{AS_OF}' + CAST(c_custkey % 40 + c_custkey % 120 AS INT) AS e,

@@ -68,10 +68,17 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_from: st
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where everything runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; survives lost executors."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)

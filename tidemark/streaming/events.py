@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import as_money
 from tidemark.functions.text import query_key
+from tidemark.streaming.limits import rate_limit
 
 
 def with_event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -44,8 +46,15 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes
 
 
 def distinct_questions(questions: DataFrame, ts: str = "asked_at", ttl: str = "1 hour") -> DataFrame:
-    """The first of equal questions (after normalising) within the ttl."""
+    """The first of equal questions (after normalising) within the ttl.
+
+    A question that follows the last kept equal one by less than the ttl is
+    left out; a stream and a batch in time order agree.  Null texts are equal;
+    a batch row without a time is left out, as a stream drops it.
+    """
     rows = with_event_time(questions, ts).withColumn("query_key", query_key(F.col("text")))
     if not rows.isStreaming:
-        return rows.dropDuplicates(["query_key"])
+        seconds = pd.Timedelta(ttl).total_seconds()
+        ordered = rows.withColumn("_tie", F.coalesce("text", F.lit("")))
+        return rate_limit(ordered, "query_key", "_tie", ts, limit=1, seconds=seconds, inclusive=False).where("accepted").drop("accepted", "_tie")
     return rows.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["query_key"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import money_sum
+from tidemark.plans.session import shared_base
 from tidemark.sources.sinks import VersionedTable
 from tidemark.streaming.limits import DAILY_BUDGET, running_budget
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster names; a temporary one only where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder below the one the cluster names."""
+    return f"{shared_base(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:

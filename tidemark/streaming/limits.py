@@ -43,15 +43,18 @@ def _admit(t: int, accepted: deque, limit: int, width: int) -> bool:
 
 
 def rate_limit(events: DataFrame, key: str, ident: str, ts: str = "ts", limit: int = MAX_REQUESTS,
-               seconds: int = WINDOW_SECONDS) -> DataFrame:
+               seconds: float = WINDOW_SECONDS, inclusive: bool = True) -> DataFrame:
     """Accept or refuse every event; refused events do not count.
 
+    `inclusive`: an event exactly one window ago still counts.
+
     After an empty window the limiter has forgotten everything, so each run of
     non-empty time buckets of a key is independent and can go to its own task.
     Rows stream through a sorted partition; only the accepted times of the
-    running window are kept.
+    running window are kept.  A null key is a key; an event without a time
+    can't be placed, so `accepted` is null.
     """
-    width = seconds * 1_000_000
+    width = int(seconds * 1_000_000) - (not inclusive)
     rows = events.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
     rows = rows.withColumn("_bucket", F.floor(F.col("_at") / width))
     # One row per non-empty bucket; their number per key is bounded by the calendar.
@@ -59,7 +62,8 @@ def rate_limit(events: DataFrame, key: str, ident: str, ts: str = "ts", limit: i
     used = rows.select(key, "_bucket").distinct()
     fresh = (F.col("_bucket") - F.lag("_bucket").over(order) > 1).cast("int")
     runs = used.withColumn("_new", F.coalesce(fresh, F.lit(1))).withColumn("_run", F.sum("_new").over(order)).drop("_new")
-    placed = rows.join(runs, [key, "_bucket"]).drop("_bucket")
+    runs = runs.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), "_run")
+    placed = rows.join(runs, F.col(key).eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b"))).drop("_bucket", "_k", "_b")
     ready = placed.repartition(key, "_run").sortWithinPartitions(key, "_run", "_at", ident)
     schema = T.StructType([*placed.schema.fields, T.StructField("accepted", T.BooleanType())])
 
@@ -67,12 +71,13 @@ def rate_limit(events: DataFrame, key: str, ident: str, ts: str = "ts", limit: i
         current, kept = None, deque()
         for pdf in batches:
             flags = []
-            for name, run, t in zip(pdf[key].tolist(), pdf["_run"].tolist(), pdf["_at"].tolist()):
+            names = pdf[key].astype(object).where(pdf[key].notna(), None)
+            for name, run, t in zip(names.tolist(), pdf["_run"].tolist(), pdf["_at"].tolist()):
                 if (name, run) != current:
                     current = (name, run)
                     kept.clear()
-                flags.append(_admit(t, kept, limit, width))
-            yield pdf.assign(accepted=flags)
+                flags.append(None if pd.isna(t) else _admit(int(t), kept, limit, width))
+            yield pdf.assign(accepted=pd.Series(flags, index=pdf.index, dtype=object))
 
     return ready.mapInPandas(scan, schema).drop("_at", "_run")
 
@@ -111,17 +116,35 @@ def rate_limit_stream(events: DataFrame, key: str, ident: str, ts: str = "ts", l
 
 def running_budget(events: DataFrame, ts: str = "ts", ident: str = "event_id", amount: str | None = None,
                    budget: int = DAILY_BUDGET) -> DataFrame:
-    """Accepted requests of every UTC day: the first ones, until the budget is spent.
+    """Accepted requests of every UTC day, in order, as long as the budget lasts.
 
     With unit amounts these are the first `budget` requests, found by a
-    group limit in every task before the shuffle.  With other amounts the
-    running sum is cut at the budget; since an amount is at least 1, only the
-    first `budget` requests can matter.
+    group limit in every task before the shuffle.  With other amounts a
+    request passes if it still fits; a refused one consumes nothing, so later
+    smaller ones may pass.  Each day then streams through one sorted
+    partition, of which only the sum is kept; `spent` is the sum so far.  A
+    null amount counts as 0; rows without a time belong to a day of their own.
     """
     order = Window.partitionBy("day").orderBy(ts, ident)
     rows = events.withColumn("day", F.col(ts).cast("date"))
-    first = rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= budget)
     if amount is None:
-        return first
-    return first.withColumn("spent", F.sum(amount).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(
-        F.col("spent") <= budget)
+        return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= budget)
+    # What alone exceeds the budget never passes and consumes nothing.
+    fits = rows.withColumn("_amount", F.coalesce(F.col(amount).cast("double"), F.lit(0.0))).where(F.col("_amount") <= budget)
+    schema = T.StructType([*rows.schema.fields, T.StructField("position", T.IntegerType()), T.StructField("spent", T.DoubleType())])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        day, spent, taken = (), 0.0, 0
+        for pdf in batches:
+            keep, positions, sums = [], [], []
+            for today, cost in zip(pdf["day"].astype(object).where(pdf["day"].notna(), None), pdf["_amount"]):
+                if (today,) != day:
+                    day, spent, taken = (today,), 0.0, 0
+                passes = spent + cost <= budget
+                spent, taken = (spent + cost, taken + 1) if passes else (spent, taken)
+                keep.append(passes)
+                positions.append(taken)
+                sums.append(spent)
+            yield pdf.drop(columns="_amount").assign(position=positions, spent=sums)[keep]
+
+    return fits.repartition("day").sortWithinPartitions("day", ts, ident).mapInPandas(scan, schema)
