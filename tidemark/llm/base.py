@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.session import shared_base
+
 # Bytes that separate words: blank and \x09-\x0D, as bytes.split() has them.
 BLANKS = b" \t\n\x0b\x0c\r"
 # Rows that a function of per_batch gets at once.
@@ -22,21 +23,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: the session's spark.checkpoint.dir, or one of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid4().hex}"
+    path = f"{shared_base(spark)}/llm-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
