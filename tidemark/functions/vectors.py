@@ -65,6 +65,19 @@ def _hashed_counts(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit_rows.ravel()), mask=pc.is_null(lists))
 
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _hashed_lists(lists: pa.Array) -> pa.Array:
+    """The same for each token list of a row."""
+    flat = _hashed_counts.func(lists.flatten())
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), flat, mask=pc.is_null(lists))
+
+
+def hashed_embeddings(texts: Column) -> Column:
+    """A vector for each text of an array."""
+    return _hashed_lists(F.transform(texts, tokens))
+
+
 def hashed_embedding(text: Column) -> Column:
     """Deterministic stand-in for an embedding model; the text is tokenised on the JVM side."""
     return _hashed_counts(tokens(text))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import similarity
 from tidemark.functions.text import query_key, sentences, unverified_numbers
-from tidemark.functions.vectors import hashed_embedding
+from tidemark.functions.vectors import hashed_embedding, hashed_embeddings
 
 # Fixed values of the checks.
 SENTENCE_SIMILARITY = 0.55
@@ -26,32 +29,37 @@ def numbers_report(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", unverified_numbers(F.col("answer"), F.col("context")).alias("unverified_numbers"))
 
 
-def groundedness(answers: DataFrame, embed: Callable[[Column], Column] | None = hashed_embedding,
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _best_matches(said: pa.Array, known: pa.Array) -> pa.Array:
+    """For each vector of the first list its highest cosine with one of the second; both lie in one row."""
+    out = []
+    for mine, theirs in zip(said.to_pylist(), known.to_pylist(), strict=True):
+        if not mine or not theirs:
+            out.append([])
+            continue
+        a, b = (np.array(x, dtype=float) for x in (mine, theirs))
+        a, b = (np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x, n in ((x, np.linalg.norm(x, axis=1, keepdims=True)) for x in (a, b)))
+        out.append(np.round((a @ b.T).max(axis=1), similarity.DIGITS).tolist())
+    return pa.array(out, pa.list_(pa.float64()))
+
+
+def groundedness(answers: DataFrame, embed: Callable[[Column], Column] | None = hashed_embeddings,
                  similar: float = SENTENCE_SIMILARITY, overall: float = GROUNDED_SCORE) -> DataFrame:
     """Share of answer sentences that resemble some context sentence, and the verdict.
 
     No sentence to check is grounded, no context sentence is not, and without
-    an embedder the answer counts as unchecked and grounded.
+    an embedder the answer counts as unchecked and grounded.  `embed` turns a
+    column of text arrays into one of vector arrays; both texts of an answer
+    lie in its row, so nothing is shuffled.
     """
     base = answers.select(
         "answer_id", sentences(F.col("answer")).alias("said"), sentences(F.col("context")).alias("known"),
         unverified_numbers(F.col("answer"), F.col("context")).alias("unverified_numbers"))
-    counted = base.select("answer_id", F.size("said").alias("total"), F.size("known").alias("context_total"), "unverified_numbers")
-    if embed is None:
-        supported = base.select("answer_id", F.lit(0).cast("bigint").alias("supported"))
-    else:
-        said = base.select("answer_id", F.posexplode("said").alias("pos", "sentence")).select(
-            "answer_id", F.struct("answer_id", "pos").alias("s"), "sentence")
-        known = base.select("answer_id", F.posexplode("known").alias("pos", "sentence"))
-        ident = F.concat_ws("/", F.col("answer_id").cast("string"), F.col("pos").cast("string"))
-        left = said.select("answer_id", F.concat_ws("/", F.col("answer_id").cast("string"), F.col("s.pos").cast("string")).alias("query_id"),
-                           embed(F.col("sentence")).alias("vector"), F.lit(1).alias("k"))
-        right = known.select("answer_id", ident.alias("chunk_id"), embed(F.col("sentence")).alias("vector"))
-        best = similarity.topk(left, right, on=["answer_id"], floor=similar)
-        hits = left.select("answer_id", "query_id").join(best.select("query_id"), "query_id", "left_semi")
-        supported = hits.groupBy("answer_id").agg(F.count(F.lit(1)).alias("supported"))
+    best = F.array().cast("array<double>") if embed is None else _best_matches(embed(F.col("said")), embed(F.col("known")))
+    joined = base.select(
+        "answer_id", F.size("said").alias("total"), F.size("known").alias("context_total"), "unverified_numbers",
+        F.size(F.filter(best, lambda x: x >= similar)).cast("bigint").alias("supported"))
     checked = F.lit(embed is not None) | (F.col("total") == 0) | (F.col("context_total") == 0)
-    joined = counted.join(supported, "answer_id", "left").withColumn("supported", F.coalesce("supported", F.lit(0)))
     score = (
         F.when(F.col("total") == 0, 1.0).when(F.col("context_total") == 0, 0.0)
         .when(~checked, 1.0).otherwise(F.col("supported") / F.col("total")))

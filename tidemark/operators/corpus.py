@@ -62,6 +62,14 @@ def delta_counts(delta: DataFrame) -> DataFrame:
         F.count_if(F.col("action") == "keep").alias("unchanged"))
 
 
+def guard_decision(delta: DataFrame, force: bool = False) -> DataFrame:
+    """Counts of a delta and the guard's decision: apply, `empty source` or `mass delete`."""
+    stored = F.col("deleted") + F.col("unchanged")
+    wiped = (stored > 0) & (F.col("added") + F.col("unchanged") == 0)
+    heavy = (stored > 0) & (F.col("deleted") / F.greatest(stored, F.lit(1)) > MAX_DELETE_RATIO) & ~F.lit(force)
+    return delta_counts(delta).withColumn("decision", F.when(wiped, "empty source").when(heavy, "mass delete").otherwise("apply"))
+
+
 def guard(added: int, deleted: int, unchanged: int, force: bool = False) -> None:
     """An empty source must not empty the index, and a mass delete needs consent."""
     stored = deleted + unchanged
