@@ -16,7 +16,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import as_date, committed_paid, key_or_unknown, money_sum, period_start
+from tidemark.functions.semantics import as_date, as_money, committed_paid, key_or_unknown, period_start
+from tidemark.plans.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -42,18 +43,28 @@ def season_level(period: str | Column, granularity: str) -> Column:
     return {"daily": F.weekday, "weekly": F.weekofyear, "monthly": F.month}[granularity](period)
 
 
+def daily_sums(bookings: DataFrame, key: str | None = None, until=None) -> DataFrame:
+    """(series, booking_date, amount): committed-paid revenue of each day, as a decimal; weeks and months add up from it."""
+    rows = bookings.where(committed_paid() & F.col("booking_date").isNotNull() & F.col("total_price_idr").isNotNull())
+    if until is not None:
+        rows = rows.where(F.col("booking_date") < F.lit(as_date(until)))
+    series = key_or_unknown(key) if key else F.lit("all")
+    return rows.groupBy(series.alias("series"), F.col("booking_date").cast("date").alias("booking_date")).agg(
+        F.sum(as_money("total_price_idr")).alias("amount"))
+
+
 def revenue_series(bookings: DataFrame, granularity: str, key: str | None = None, until=None) -> DataFrame:
     """(series, period, y): committed-paid revenue, gaps filled with 0, the last and incomplete period left out.
 
     Each known period is expanded up to the next one, so one scan gives both
     the sums and the calendar; the last period has no successor and drops out.
     """
-    rows = bookings.where(committed_paid() & F.col("booking_date").isNotNull() & F.col("total_price_idr").isNotNull())
-    if until is not None:
-        rows = rows.where(F.col("booking_date") < F.lit(as_date(until)))
-    series = key_or_unknown(key) if key else F.lit("all")
-    sums = rows.groupBy(series.alias("series"), period_start("booking_date", granularity).alias("p")).agg(
-        money_sum("total_price_idr").alias("amount"))
+    return series_of(daily_sums(bookings, key, until), granularity)
+
+
+def series_of(days: DataFrame, granularity: str) -> DataFrame:
+    """The series of one granularity from the sums of the days."""
+    sums = days.groupBy("series", period_start("booking_date", granularity).alias("p")).agg(F.sum("amount").cast("double").alias("amount"))
     following = F.lead("p").over(Window.partitionBy("series").orderBy("p"))
     spread = sums.withColumn("next", following).where("next IS NOT NULL").select(
         "series", "p", "amount",
@@ -132,12 +143,14 @@ def naive_forecast(series: DataFrame, granularity: str) -> DataFrame:
 def naive_table(bookings: DataFrame, as_of) -> DataFrame:
     """Forecast table of all granularities by the seasonal-naive rule, from bookings before `as_of`.
 
-    The backtest is a window aggregate over the same rows, so each granularity scans once.
+    The bookings are read once, into the sums of the days; the backtest is a window aggregate over the same rows.
     """
     out = None
+    # One scan: a row for each day is all that is left of the bookings.
+    days = cut_lineage(daily_sums(bookings, until=as_of))
     for granularity, grain in GRAINS.items():
         # The period that contains as_of is incomplete; the series leaves its last period out.
-        rows = with_lags(revenue_series(bookings, granularity, until=as_of), granularity)
+        rows = with_lags(series_of(days, granularity), granularity)
         error = F.abs((F.col("y") - F.col("lag_s")) / F.nullif(F.col("y"), F.lit(0.0)))
         tested = F.when(F.col("from_end") <= grain.test_rows, F.round(error, 9))
         rows = rows.withColumn("mape", F.round(F.avg(tested).over(Window.partitionBy("series")) * 100, 2))
@@ -240,8 +253,9 @@ def short_series(series: DataFrame, granularity: str) -> DataFrame:
 def train_forecasts(bookings: DataFrame, generated_at) -> DataFrame:
     """Forecast rows of all three granularities, keyed by (period, horizon), ready for an upsert."""
     out = None
+    days = cut_lineage(daily_sums(bookings))
     for granularity in GRAINS:
-        rows = ridge_forecast(revenue_series(bookings, granularity), granularity)
+        rows = ridge_forecast(series_of(days, granularity), granularity)
         out = rows if out is None else out.unionByName(rows)
     return out.drop("series").withColumn("generated_at", F.lit(generated_at).cast("timestamp"))
 

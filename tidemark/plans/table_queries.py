@@ -242,11 +242,11 @@ query("resolve_codes", """
 query("stream_revenue_tumbling", f"""
   SELECT date_trunc('day', ts) AS day_start, event_type, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(*) AS events
   FROM events GROUP BY 1, 2""")(
-    lambda spark, sf: J.drain(E.revenue_tumbling(J.read_stream(spark, sf, "events"), "event_type"), "complete"))
+    lambda spark, sf: J.drain(E.revenue_tumbling(J.read_stream(spark, sf, "events"), "event_type"), "update", keys=["day_start", "event_type"]))
 query("stream_activity_sliding", """
   SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, user_id, count(*) AS events FROM (
     SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2, 3""")(
-    lambda spark, sf: J.drain(E.activity_sliding(J.read_stream(spark, sf, "events"), "user_id"), "complete"))
+    lambda spark, sf: J.drain(E.activity_sliding(J.read_stream(spark, sf, "events"), "user_id"), "update", keys=["window_start", "user_id"]))
 query("stream_sessions", """
   SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM (
     SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
@@ -297,12 +297,22 @@ def _rollup(spark, sf):
     return J.rollup_of(table)
 
 
-# The supplied file is one micro-batch, so nothing in it is late; tests feed several.
-@query("stream_late_data", "SELECT CAST(0 AS INT) AS batch, count(*) AS on_time FROM events")
+# The events arrive in four files, so rows of the later ones are late.
+@query("stream_late_data", """
+  WITH e AS (SELECT event_id, ts, CAST(event_id % 4 AS INT) AS batch FROM events),
+  m AS (SELECT b.batch, max(ts) AS newest FROM (SELECT unnest([0, 1, 2, 3]) AS batch) b JOIN e ON e.batch < b.batch GROUP BY 1)
+  SELECT e.batch, coalesce(ts < newest - INTERVAL 1 HOUR, false) AS is_late, count(*) AS n FROM e LEFT JOIN m USING (batch) GROUP BY 1, 2""")
 def _late(spark, sf):
     on_time, late, marks = _table(spark), _table(spark), _table(spark)
-    J.run_batches(J.read_stream(spark, sf, "events"), J.late_splitter(on_time, late, marks, "ts", 3600), J.shared_folder(spark))
-    return on_time.read().groupBy("batch").agg(F.count(F.lit(1)).alias("on_time"))
+    folder = J.shared_folder(spark)
+    events = T.read(spark, sf, "events")
+    for k in range(4):
+        # One file a part, written one after another: a micro-batch each.
+        events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    J.run_batches(stream, J.late_splitter(on_time, late, marks, "ts", 3600), folder)
+    both = on_time.read().withColumn("is_late", F.lit(False)).unionByName(late.read().withColumn("is_late", F.lit(True)))
+    return both.groupBy(F.col("batch").cast("int").alias("batch"), "is_late").agg(F.count(F.lit(1)).alias("n"))
 
 
 query("stream_dedup_questions", """

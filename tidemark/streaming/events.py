@@ -49,8 +49,8 @@ def distinct_questions(questions: DataFrame, ts: str = "asked_at", ttl: str = "1
     """The first of equal questions (after normalising) within the ttl.
 
     A question that follows the last kept equal one by less than the ttl is
-    left out; a stream and a batch in time order agree.  Null texts are equal;
-    a batch row without a time is left out, as a stream drops it.
+    left out.  A stream leaves it out for longer, namely until its watermark
+    has passed the ttl.  Null texts are equal; a row without a time is left out.
     """
     rows = with_event_time(questions, ts).withColumn("query_key", query_key(F.col("text")))
     if not rows.isStreaming:

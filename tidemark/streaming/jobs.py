@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.semantics import money_sum
 from tidemark.plans.session import shared_base
@@ -28,11 +29,13 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Process all available input and read back what was written; nothing passes the driver.
 
-    Append output goes to the file sink.  Complete output replaces one folder
-    per micro-batch, and the last batch is the answer.
+    Append output goes to the file sink.  Update output adds the changed rows
+    of each micro-batch, and the latest row of each of `keys` is the answer: a
+    closed window is written no more.  Complete output replaces one folder per
+    micro-batch, and the last batch is the answer.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark)
@@ -45,7 +48,11 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
     run.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-    last = spark.read.parquet(f"{folder}/out").agg(F.max("batch")).first()[0]
+    written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/out")
+    if mode == "update":
+        newest = F.max_by(F.struct(*stream.columns), "batch")
+        return written.groupBy(*keys).agg(newest.alias("_row")).select("_row.*")
+    last = written.agg(F.max("batch")).first()[0]
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch={int(last):09d}")
 
 
