@@ -32,7 +32,9 @@ COUNTERS, PIECES = 1 << 20, 256
 SHORT_LIST = 8
 RANGES = 128  # of the suffix filter
 #: Turns with further pivots, this many each, before all pairs of different components are tried; pairs a member that are no matter.
-TURNS, PIVOTS, EASY = 3, 16, 4
+TURNS, PIVOTS, EASY = 2, 16, 4
+#: Up to so many edges (16 bytes each) one task joins them all; beyond, stars over the cluster do. Both give the same.
+FEW_EDGES = 500_000
 NO_ID = -(1 << 63)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -221,7 +223,22 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_keys", "b_keys").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each node that isn't the least of its component, with that least one."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return [(x, r) for x in list(root) if (r := find(x)) != x]
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """node and the least node it is connected with, for all nodes of the edges (a, b).
 
     Alternating large and small stars (a published method): every node hands its neighbours to its least one until
@@ -237,22 +254,17 @@ def components(edges: DataFrame) -> DataFrame:
             least.select("a", F.col("m").alias("b")))
         return out.where("a != b").distinct()
 
+    pairs_of = lambda batch: zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+    as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each task first joins what it has on its own, so few edges are left to shuffle."""
         for batch in batches:
-            root: dict[int, int] = {}
-
-            def find(x: int, root=root) -> int:
-                while (up := root.setdefault(x, x)) != x:
-                    root[x] = x = root.get(up, up)
-                return x
-
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = find(x), find(y)
-                root[max(x, y)] = min(x, y)
-            rows = [(x, find(x)) for x in list(root)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows if r[0] != r[1]], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield as_batch(_roots(pairs_of(batch)))
 
+    if small_enough(edges, few):
+        whole = edges.select("a", "b").coalesce(1).mapInArrow(lambda batches: iter([as_batch(_roots(p for batch in batches for p in pairs_of(batch)))]), "a long, b long")
+        return stored(whole).select(F.col("a").alias("node"), F.col("b").alias("least"))
     e = stored(edges.select("a", "b").mapInArrow(forest, "a long, b long").distinct())
     before = None
     while True:
