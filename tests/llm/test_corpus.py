@@ -111,7 +111,8 @@ def test_keep_one(spark):
     assert ngramjoin.groups(cases.empty(spark)).count() == 0 and ngramjoin.keep_one(cases.empty(spark)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 40)] + [(r.randrange(500, 900), r.randrange(500, 900)) for _ in range(150)]
     label = {x: x for e in edges for x in e}
@@ -119,7 +120,7 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     df = spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "a long, b long")
-    got = {x.node: x.least for x in ngramjoin.components(df).collect()}
+    got = {x.node: x.least for x in ngramjoin.components(df, few).collect()}
     assert got == {x: c for x, c in label.items() if x != c}
 
 
