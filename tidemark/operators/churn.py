@@ -363,5 +363,5 @@ def due_to_return(bookings: DataFrame, as_of, limit: int | None = None) -> DataF
     rows = booking_features(bookings, as_of).where(F.col("frequency") > 1).select(
         "customer_id", "frequency", "recency_days", F.round("avg_interval", 6).alias("avg_interval"),
         F.round(F.exp(-0.5 * z * z) + 1e-6, 6).alias("weight"))
-    ordered = rows.orderBy(F.desc("weight"), "customer_id")
-    return ordered.limit(limit) if limit else ordered
+    # The whole table is left unsorted: its order is the sink's business.
+    return rows.orderBy(F.desc("weight"), "customer_id").limit(limit) if limit else rows

@@ -143,6 +143,17 @@ def _dense_sql(where: str) -> str:
 
 query("dense_topk", _dense_sql(""))(lambda spark, sf: _dense(spark, sf))
 query("dense_topk_filtered", _dense_sql("AND c.label = 3"))(lambda spark, sf: _dense(spark, sf, {"label": 3}))
+# Neighbours found by the approximate form, against the exact ones: at least nine of ten.
+@query("dense_topk_recall", "SELECT count(*) AS questions, true AS recalled FROM embeddings")
+def _recall(spark, sf):
+    v = _vectors(spark, sf)
+    asked, chunks = v.select(F.col("id").alias("query_id"), "vector", F.lit(5).alias("k")), v.withColumnRenamed("id", "chunk_id")
+    exact = RT.dense_topk(asked, chunks, exclude_self=True).select("query_id", "chunk_id")
+    near = RT.dense_topk_approx(asked, chunks, exclude_self=True).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    return exact.join(near, ["query_id", "chunk_id"], "left").agg(
+        F.count_distinct("query_id").alias("questions"), (F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("recalled"))
+
+
 query("cosine_similarity", """
   SELECT a.vec_id AS vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")(
