@@ -22,6 +22,8 @@ DIMENSIONS = 1024
 AT_ONCE = 1_000_000
 BITS = 21  # of a code point
 MAX_LANGUAGES = 2000
+# Trigram vectors that a task holds at once.
+HELD = 30_000
 
 _LETTERS: dict[int, np.ndarray] = {}
 _IS_LETTER: list[np.ndarray] = []
@@ -125,11 +127,14 @@ def score_texts(texts: list[str], names: list[str], prototypes: np.ndarray) -> t
         known, at = np.unique(keys, return_inverse=True)
         pairs = np.unique(owner * len(known) + at)
         owner, at = pairs // len(known), pairs % len(known)
-        vectors = trigram_vectors(known, dimensions)
+        vectors = trigram_vectors(known, dimensions) if len(known) <= HELD else None
         firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         ends = np.r_[firsts[1:], len(owner)]
         for s, e in zip(firsts.tolist(), ends.tolist(), strict=True):
-            bundle = vectors[at[s:e]].sum(axis=0, dtype=np.int32).astype(np.float64)
+            if vectors is not None:
+                bundle = vectors[at[s:e]].sum(axis=0, dtype=np.int64).astype(np.float64)
+            else:  # a large alphabet: bind and add block by block
+                bundle = sum(trigram_vectors(known[at[i : min(e, i + HELD // 8)]], dimensions).sum(axis=0, dtype=np.int64) for i in range(s, e, HELD // 8)).astype(np.float64)
             norm = math.sqrt(float(bundle @ bundle))
             cosines = prototypes @ bundle / norm if norm else np.zeros(len(names))
             top = int(cosines.argmax())
