@@ -137,6 +137,14 @@ def test_language_profiles(spark):
     assert {x.lang_pred for x in langid.predict(cases.docs(spark), {}).collect()} == {"und"}
 
 
+def test_large_alphabets_give_the_same_scores(monkeypatch):
+    texts = ["".join(chr(0x4E00 + i * j % 900) for j in range(200)) for i in range(1, 6)] + ["", "abc"]
+    prototypes = np.random.default_rng(3).normal(size=(3, 256))
+    want = langid.score_texts(texts, ["a", "b", "c"], prototypes)
+    monkeypatch.setattr(langid, "HELD", 64)
+    assert langid.score_texts(texts, ["a", "b", "c"], prototypes) == want
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     owner, keys = langid.trigrams(["Ab c", "b"])
     assert owner.tolist() == [0, 0, 0, 1]
@@ -305,5 +313,5 @@ def test_battery_separates_draws_from_structure():
 def test_limits_follow_benjamini_and_hochberg():
     b = secretscan.Battery(q=0.1, floor=0.001)
     assert secretscan.limits([("hex", 9, c, 10) for c in range(5)], b) == {("hex", 9): 0.001}  # nothing looks structured
-    found = secretscan.limits([("hex", 9, 200, 90), ("hex", 9, 0, 10), ("hex", 11, 13, 1)], b)
-    assert found == {("hex", 9): 1e-20 if 1e-20 > 0.001 else 0.001, ("hex", 11): 10 ** -1.3}
+    found = secretscan.limits([("hex", 9, 20, 90), ("hex", 9, 0, 10), ("hex", 11, 13, 1), ("hex", 12, 300, 9), ("hex", 12, 5, 1)], b)
+    assert found == {("hex", 9): 0.01, ("hex", 11): 10 ** -1.3, ("hex", 12): 0.001}
