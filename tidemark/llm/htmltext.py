@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.base import per_batch, texts_of
 
-#: Comments, tags (quotes count only behind an equals sign; nothing is tried twice, so any page takes linear time), declarations.
+#: Comments, tags (quotes count only behind an equals sign; nothing is tried twice), declarations.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?][^>]*>", re.S)
+OPENS = re.compile(r"</?[a-zA-Z]|<!")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 #: Elements of HTML by what they do to a page's text (fixed values).
@@ -65,8 +66,16 @@ def blocks(page: str) -> list[Block]:
             if any(t == "a" for t, _ in stack):
                 linked += len(text.strip())
 
-    while m := TOKEN.search(page, at):
-        say(page[at : m.start()])
+    look = 0
+    while (start := page.find("<", max(at, look))) >= 0:
+        if not (m := TOKEN.match(page, start)):
+            if not OPENS.match(page, start):
+                look = start + 1  # a plain sign
+                continue
+            say(page[at:start])
+            at = len(page)  # the page ends inside a tag, which says nothing
+            break
+        say(page[at:start])
         at = m.end()
         if m[2] is None:
             continue
