@@ -160,7 +160,9 @@ def test_blocks_of_untidy_pages():
     page = "<p>one &amp; two<br>three<p><b>four</b> five<script>var t='</p>';</script></p>six<!-- x > --><ul><li><a href='/x>y'>seven</a><li>eight</ul>it's &am"
     assert [b.text for b in htmltext.blocks(page)] == ["one & two three", "four five", "six", "seven", "eight", "it's &am"]
     assert [b.text for b in htmltext.blocks("<style>p{}")] == [] and htmltext.blocks("") == []
-    assert len(htmltext.blocks("<a '" * 20_000 + "<div " * 20_000)) <= 1  # linear time
+    assert [b.text for b in htmltext.blocks("<p>1 < 2 <3 & x</p><b" + "<a '" * 20_000 + "<div " * 20_000)] == ["1 < 2 <3 & x"]  # linear time
+    assert [b.text for b in htmltext.blocks("<" * 20_000 + "a<!-- <p>")] == ["<" * 19_999]
+    assert [b.text for b in htmltext.blocks("<p>one<br/>two<!--" + "<p>" * 20_000)] == ["one two"]
 
 
 def test_extraction_learns_layouts(spark):
