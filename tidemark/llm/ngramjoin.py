@@ -32,7 +32,7 @@ COUNTERS, PIECES = 1 << 20, 256
 SHORT_LIST = 8
 RANGES = 128  # of the suffix filter
 #: Turns with further pivots, this many each, before all pairs of different components are tried; pairs a member that are no matter.
-TURNS, PIVOTS, EASY = 2, 16, 4
+TURNS, PIVOTS, EASY = 2, 48, 4
 #: Up to so many edges (16 bytes each) one task joins them all; beyond, stars over the cluster do. Both give the same.
 FEW_EDGES = 500_000
 NO_ID = -(1 << 63)
@@ -142,7 +142,7 @@ _PAIRS = "key long, a long, b long, n long, at long"
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From postings ordered by key, then pivot first: candidate pairs (key null), and the rows of long lists (b null)."""
     names = ["key", "a", "b", "n", "at"]
-    columns = [np.empty(0, np.int64)] * 4  # key, node, size, place of rows not yet dealt with
+    columns = [np.empty(0, np.int64)] * 3  # key, node, size and place of rows not yet dealt with
     pivot: tuple[int, ...] | None = None  # of the list that is being read and already long
 
     def pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -153,8 +153,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = pa.nulls(len(both)).cast(pa.int64())
         return pa.RecordBatch.from_arrays([no, pa.array(both[:, 0]), pa.array(both[:, 1]), no, no], names=names)
 
-    def deal(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch | None]:
+    def deal(packed: list[np.ndarray]) -> Iterator[pa.RecordBatch | None]:
         nonlocal pivot
+        rows = [packed[0], packed[1], packed[2] >> 32, packed[2] & 0xFFFFFFFF]
         starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]) if len(rows[0]) else np.empty(0, np.int64)
         lengths = np.diff(np.r_[starts, len(rows[0])])
         for size in range(2, SHORT_LIST + 1):
@@ -304,7 +305,8 @@ def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame,
     sketch = spark.sparkContext.broadcast(counts.tobytes())
     nodes = docs.mapInArrow(_prefixes(n, sketch), "_d long, s1 long, s2 long, n long, prefix array<long>").groupBy("s1", "s2").agg(
         F.min("_d").alias("node"), F.first("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", F.col("at").cast("long").alias("at"))
+    # Size and place share a column: this is the widest shuffle.
+    postings = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", (F.shiftleft("n", 32) + F.col("at")).alias("n_at"))
     met = stored(postings.repartition("key").sortWithinPartitions("key", F.xxhash64("node"), "node").mapInArrow(_meet, _PAIRS))
     pairs = stored(met.where("key IS NULL").select("a", "b").distinct())
     sets_of = lambda ids: _keys_of(docs, ids.distinct(), n)
