@@ -301,6 +301,23 @@ def test_secret_scan(spark):
     assert secretscan.digest(secretscan.scan(cases.empty(spark))).count() == 0
 
 
+def test_secret_scan_of_names_paths_and_single_classes(spark):
+    r = random.Random(14)
+    key = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    base62 = secretscan.UPPER + secretscan.LOWER + secretscan.DIGITS
+    # Texts with {} where the one random span belongs.
+    keys = [("DB_PASS={}", key(32, base62)), ("auth={} next", key(32, base62)), ("a={}", key(33, base62) + "="), ("={}", key(22, base62) + "=="), ("x/my-app_v2/{}/end", key(36, base62)),
+            ("api/hooks/services/of/words/{}", key(36, base62)), ("lower {}", key(40, secretscan.LOWER)), ("upper {}", key(40, secretscan.UPPER)), ("n {}", key(22, secretscan.DIGITS)),
+            ("letters {}", key(40, secretscan.UPPER + secretscan.LOWER)), ("mixed {}", key(12, base62) + "+" + key(12, base62) + "-" + key(16, base62)), ("DIR=0123456789abcdef01234567/{}", key(36, base62))]
+    plain = ["internationalization counterrevolutionaries Donaudampfschifffahrtsgesellschaft electroencephalographically", "DATABASE_CONNECTION=usr/local/share-of/some_library/of-things/paths",
+             "=" * 40 + " " + "-" * 40 + " " + "_=" * 20 + " 00000000000000000000 12345678901234567890", "AbstractSingletonProxyFactoryBean Access-Control-Allow-Origin MAXIMUM_LINE_LENGTH_OF_TEXT"]
+    texts = [t.format(k) for t, k in keys] + plain
+    got = {x.doc_id: x.spans for x in secretscan.digest(secretscan.scan(cases.docs(spark, some=[(i, t, "en", "s", 1) for i, t in enumerate(texts)]))).collect()}
+    for i, (t, k) in enumerate(keys):
+        assert [s for s in got[i].split(",") if s.startswith("random")] == [f"random:{(at := t.index('{}'))}:{at + len(k)}"], t
+    assert [got[len(keys) + i] for i in range(len(plain))] == [""] * len(plain)
+
+
 def test_battery_separates_draws_from_structure():
     r = random.Random(8)
     draws = {name: ["".join(r.choice(a) for _ in range(40)) for _ in range(300)] for name, a in secretscan.ENCODINGS}

@@ -23,12 +23,18 @@ ASSIGN = re.compile(rf"({'|'.join(map(any_case, ('password', 'passwd', 'secret',
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: '=' pads the end of a token; elsewhere it stands between two of them.
+PADDED = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
 
 HEX_DIGITS = "0123456789abcdef"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Alphabets from the narrowest on; a token has the first that holds all its characters.
-ENCODINGS = (("hex", HEX_DIGITS), ("HEX", HEX_DIGITS.upper()), ("base32", UPPER + "234567"), ("base36", DIGITS + LOWER), ("BASE36", DIGITS + UPPER),
-             ("base62", UPPER + LOWER + DIGITS), ("base64", UPPER + LOWER + DIGITS + "+/"), ("base64url", UPPER + LOWER + DIGITS + "-_"))
+#: Alphabets from the narrowest on; a token has the first that holds all its characters.  The last holds every sign of a token.
+ENCODINGS = (("digits", DIGITS), ("hex", HEX_DIGITS), ("HEX", HEX_DIGITS.upper()), ("upper", UPPER), ("lower", LOWER), ("base32", UPPER + "234567"),
+             ("base36", DIGITS + LOWER), ("BASE36", DIGITS + UPPER), ("letters", UPPER + LOWER), ("base62", UPPER + LOWER + DIGITS),
+             ("base64", UPPER + LOWER + DIGITS + "+/"), ("base64url", UPPER + LOWER + DIGITS + "-_"), ("any", UPPER + LOWER + DIGITS + "+/-_"))
+#: Frequent letter pairs of European languages (fixed values): more than half of the pairs of a word, a ninth of those of drawn letters.
+PAIRS = frozenset(("th he in er an re nd on en at ou ed ha to or it is hi es ng st ar te se me al ti nt ve le de ri ro ic ne ea ra ce li ch ll be ma si om ur la el as di "
+                   "ei un ie sc ge ss us qu au ue ai os ad co ca io ta ia no na da do").split())
 
 
 @dataclass(frozen=True)
@@ -53,18 +59,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def encoding_of(token: str) -> tuple[str, str] | None:
-    """Name and alphabet of the narrowest encoding; None without both a letter and a digit (words, numbers, rules)."""
-    letters = token.rstrip("=")
-    if not any(c.isdigit() for c in letters) or not any(c.isalpha() for c in letters):
-        return None
-    used = set(letters)
-    return next(((n, a) for n, a in ENCODINGS if used <= set(a)), None)
+    """Name and alphabet of the narrowest encoding; None only for a token without a sign, or with one of no alphabet."""
+    used = set(token.rstrip("="))
+    return None if not used else next(((n, a) for n, a in ENCODINGS if used <= set(a)), None)
 
 
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """Probability of k or more of n."""
+    if n > 500:
+        return normal_tail((k - 0.5 - n * p) / math.sqrt(n * p * (1 - p)))
+    return min(1.0, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)))
+
+
 def chi_squared(counts: np.ndarray, expected: np.ndarray) -> float:
     """Upper tail of Pearson's statistic (Wilson and Hilferty's approximation)."""
     df = len(counts) - 1
@@ -74,7 +84,7 @@ def chi_squared(counts: np.ndarray, expected: np.ndarray) -> float:
 
 
 def p_value(token: str, alphabet: str) -> float:
-    """How well the token agrees with uniform draws from the alphabet: three tests, combined by Bonferroni."""
+    """How well the token agrees with uniform draws from the alphabet: up to five tests, combined by Bonferroni."""
     letters = token.rstrip("=")
     place = {c: i for i, c in enumerate(alphabet)}
     v = np.array([place[c] for c in letters], float)
@@ -86,9 +96,14 @@ def p_value(token: str, alphabet: str) -> float:
     tests = [chi_squared(np.histogram(v, edges)[0], expected)]
     if size > 36:
         # Words keep to one case; draws mix upper case, lower case, digits and signs.
-        classes = [sum(c in part for c in letters) for part in (UPPER, LOWER, DIGITS)]
-        shares = [sum(c in part for c in alphabet) / size for part in (UPPER, LOWER, DIGITS)]
+        parts = [part for part in (UPPER, LOWER, DIGITS) if part[0] in place]
+        classes = [sum(c in part for c in letters) for part in parts]
+        shares = [sum(c in part for c in alphabet) / size for part in parts]
         tests.append(chi_squared(np.array(classes), n * np.array(shares)))
+    if alphabet in (UPPER, LOWER, UPPER + LOWER):
+        # Tokens of letters only may be words, which are made of few pairs; draws take all pairs alike.
+        low = letters.lower()
+        tests.append(binomial_tail(sum(low[i : i + 2] in PAIRS for i in range(n - 1)), n - 1, len(PAIRS) / 26**2))
     # Runs above and below the middle of the alphabet.
     high = v >= size / 2
     a, b = int(high.sum()), int((~high).sum())
@@ -107,14 +122,27 @@ def p_value(token: str, alphabet: str) -> float:
     return min(1.0, len(tests) * min(tests))
 
 
-def candidates(text: str, base: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str, int, float]]:
-    """Long tokens outside the base spans: start, end, encoding, class of length, p."""
+def candidates(text: str, base: Iterable[tuple[int, int, str]]) -> list[list[tuple[int, int, str, int, float]]]:
+    """Long tokens outside the base spans: start, end, encoding, class of length, p.
+
+    An '=' inside a token ends it, as in NAME=value.  A token with '/' may be a key or a path that holds one: it is
+    followed, in its own list, by its long parts between the '/', which count if the whole doesn't.
+    """
     out, taken = [], [(s, e) for s, e, _ in base]
+
+    def tested(start: int, end: int) -> list[tuple[int, int, str, int, float]]:
+        if end - start < 20 or any(s < end and start < e for s, e in taken) or not (kind := encoding_of(text[start:end])):
+            return []
+        return [(start, end, kind[0], int(2 * math.log2(end - start)), p_value(text[start:end], kind[1]))]
+
     for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e in taken):
-            continue
-        if kind := encoding_of(m[0]):
-            out.append((m.start(), m.end(), kind[0], int(2 * math.log2(len(m[0]))), p_value(m[0], kind[1])))
+        for t in PADDED.finditer(m[0]):
+            at = m.start() + t.start()
+            whole = tested(at, at + len(t[0]))
+            parts = [x for p in re.finditer("[^/]+", t[0]) for x in tested(at + p.start(), at + p.end())] if "/" in t[0] else []
+            if parts and whole and whole[0][2] == "any":
+                whole = []  # no encoding has signs of both kinds: a path, whose parts say more
+            out += [whole + parts] if whole else [[x] for x in parts]
     return out
 
 
@@ -141,9 +169,9 @@ def limits(table: Iterable[tuple[str, int, int, int]], battery: Battery) -> dict
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
-TESTED = T.ArrayType(T.StructType([
+TESTED = T.ArrayType(T.ArrayType(T.StructType([
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("encoding", T.StringType()),
-    T.StructField("length", T.LongType()), T.StructField("p", T.DoubleType())]))
+    T.StructField("length", T.LongType()), T.StructField("p", T.DoubleType())])))
 
 
 def scan(df: DataFrame, battery: Battery = Battery(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,17 +191,18 @@ def scan(df: DataFrame, battery: Battery = Battery(), key: str = "doc_id", text:
         for t in texts_of(batch.column(1)):
             b = base_spans(t)
             bases.append([dict(zip(base_names, s, strict=True)) for s in b])
-            tests.append([dict(zip(tested_names, s, strict=True)) for s in candidates(t, b)])
+            tests.append([[dict(zip(tested_names, s, strict=True)) for s in ways] for ways in candidates(t, b)])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(bases, as_pa("base", base_names)), pa.array(tests, as_pa("tested", tested_names))], names=[key, "base", "tested"])
+            [batch.column(0), pa.array(bases, as_pa("base", base_names)), pa.array(tests, pa.list_(as_pa("tested", tested_names)))], names=[key, "base", "tested"])
 
     spans = stored(per_batch(df.select(F.col(key), F.col(text).cast("string")), run, schema))
     cell = F.least(F.lit(300), F.floor(-10 * F.log10(F.greatest("t.p", F.lit(1e-30))))).cast("int")
     # A few encodings, length classes and cells: bounded, whatever the data.
-    table = spans.select(F.explode("tested").alias("t")).groupBy("t.encoding", "t.length", cell.alias("cell")).count()
+    table = spans.select(F.explode(F.flatten("tested")).alias("t")).groupBy("t.encoding", "t.length", cell.alias("cell")).count()
     judged = limits([(r["encoding"], r["length"], r["cell"], r["count"]) for r in table.collect()], battery)
     least = F.create_map(*[F.lit(x) for (kind, length), p in judged.items() for x in (f"{kind}:{length}", p)]) if judged else None
-    random = F.filter("tested", lambda s: s["p"] >= least[F.concat_ws(":", s["encoding"], s["length"])]) if judged else F.filter("tested", lambda s: F.lit(False))
+    passes = (lambda s: s["p"] >= least[F.concat_ws(":", s["encoding"], s["length"])]) if judged else lambda s: F.lit(False)
+    random = F.flatten(F.transform("tested", lambda ways: F.when(passes(ways[0]), F.slice(ways, 1, 1)).otherwise(F.filter(ways, passes))))
     added = F.transform(random, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("random").alias("kind")))
     place = F.array(*[F.lit(k) for k in KINDS])
     order = lambda s: F.struct(s["start"].alias("start"), F.array_position(place, s["kind"]).alias("at"), s["end"].alias("end"), s["kind"].alias("kind"))
