@@ -165,6 +165,13 @@ def test_blocks_of_untidy_pages():
     assert [b.text for b in htmltext.blocks("<p>one<br/>two<!--" + "<p>" * 20_000)] == ["one two"]
 
 
+def test_end_tags_behind_letters_that_grow_in_lower_case():
+    for tag in ("script", "STYLE", "Select"):
+        page = f"<p>{'İ' * 40}</p><{tag}>x</{tag.swapcase()} ><p>whole paragraph</p><p>next</p>"
+        assert [b.text for b in htmltext.blocks(page)] == ["İ" * 40, "whole paragraph", "next"]
+    assert [b.text for b in htmltext.blocks("<script>x</scripts>y</ſcript></script\n><p>next")] == ["next"]
+
+
 def test_extraction_learns_layouts(spark):
     texts = [cases.prose(i, 25).capitalize() + "." for i in range(60)]
     pages = [f"<nav><ul><li><a href='/'>{texts[i][:9]}</a></ul></nav><article><h1>{texts[i][:30]}</h1><p>{texts[i + 1]}</p><p>{texts[i + 2]}</article><footer>&copy; {texts[i][:9]}</footer>" for i in range(50)]

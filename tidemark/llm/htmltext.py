@@ -28,7 +28,8 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 WORD = re.compile(r"[a-z]+")
 #: Elements of HTML by what they do to a page's text (fixed values).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg select button object canvas".split())
+#: Raw elements, each with the pattern of its end tag (ASCII letters of any case, in the page itself).
+RAW = {t: re.compile(rf"</{t}(?![^\s/>])", re.I | re.A) for t in "script style title textarea noscript template iframe svg select button object canvas".split()}
 INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NEST = {"ul", "ol", "dl", "table", "body"}
@@ -48,7 +49,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = at = 0
-    low = ""
 
     def flush() -> None:
         nonlocal parts, linked
@@ -89,10 +89,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             # Their content is no markup: go on behind the end tag, or at the end of the page.
-            low = low or page.lower()
-            end = low.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            if end >= 0 and (close := page.find(">", end)) >= 0:
+            end = RAW[tag].search(page, at)
+            at = len(page) if end is None else end.start()
+            if end and (close := page.find(">", at)) >= 0:
                 at = close + 1
             parts.append(" ")
             continue
