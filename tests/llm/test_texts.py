@@ -172,6 +172,20 @@ def test_end_tags_behind_letters_that_grow_in_lower_case():
     assert [b.text for b in htmltext.blocks("<script>x</scripts>y</ſcript></script\n><p>next")] == ["next"]
 
 
+def test_controls_end_by_nesting():
+    read = lambda page: [b.text for b in htmltext.blocks(page)]
+    for tag in ("<svg width='1'/>", "<SVG/>", "<svg><path d='x'/>", "<svg><title/>", "<button>", "<object data=x/>", "<canvas>", "<select>", "<template>"):
+        assert read(f"<article><p>one</p>{tag}<p>two</p></article><p>three</p>") == ["one", "two", "three"], tag
+        assert [b.tags for b in htmltext.blocks(f"<article>{tag}<p>two</p></article>")] == [("article", "p")], tag
+        assert read(f"<article><p>one</p>{tag}<p>two</p></article><p>three <button>x</button>") == ["one", "two", "three"], tag
+    for tag in ("svg", "button", "object", "canvas", "select", "template"):
+        assert read(f"<p>one<{tag} a='b'>x<g><q>y</q></g></{tag.upper()}> two <a>three</a></p>") == ["one two three"], tag
+        assert read(f"<ul><li>a<{tag}>x</{tag}>b<li>c</ul></{tag}>") == ["a b", "c"], tag
+    assert read("<p>one <object><p>x</p><ul><li>y</ul><canvas>z</object> two</p>") == ["one two"]
+    assert read("<p>a</p><button>Share<p>b</p><p>c</p><button>More</button><p>d</p>") == ["a", "Share", "b", "c", "d"]
+    assert read("<p>one <select><option>x<option>y</select> two <svg><foreignObject><p>z</p></foreignObject></svg></p>") == ["one two"]
+
+
 def test_extraction_learns_layouts(spark):
     texts = [cases.prose(i, 25).capitalize() + "." for i in range(60)]
     pages = [f"<nav><ul><li><a href='/'>{texts[i][:9]}</a></ul></nav><article><h1>{texts[i][:30]}</h1><p>{texts[i + 1]}</p><p>{texts[i + 2]}</article><footer>&copy; {texts[i][:9]}</footer>" for i in range(50)]

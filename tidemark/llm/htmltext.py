@@ -29,12 +29,22 @@ WORD = re.compile(r"[a-z]+")
 #: Elements of HTML by what they do to a page's text (fixed values).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Raw elements, each with the pattern of its end tag (ASCII letters of any case, in the page itself).
-RAW = {t: re.compile(rf"</{t}(?![^\s/>])", re.I | re.A) for t in "script style title textarea noscript template iframe svg select button object canvas".split()}
+RAW = {t: re.compile(rf"</{t}(?![^\s/>])", re.I | re.A) for t in "script style title textarea noscript iframe".split()}
+#: Elements of ordinary markup that hold no text of the page, up to their own end tag.
+CONTROLS = set("template svg select button object canvas".split())
+#: HTML elements that end an svg they begin in.
+LEAVE_SVG = set("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span
+                strong strike sub sup table tt u ul var article aside footer header main nav section form""".split())
 INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NEST = {"ul", "ol", "dl", "table", "body"}
 
 
+def self_closed(attributes: str) -> bool:
+    """Whether a tag ends in '/>', with the '/' outside an unquoted value."""
+    return attributes.endswith("/") and "=" not in attributes.replace('"', " ").replace("'", " ").split()[-1]
+
+
 @dataclass
 class Block:
     text: str
@@ -44,18 +54,23 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; scripts, styles, comments, controls and the head's texts are none."""
+    """Leaf blocks in page order; scripts, styles, comments, controls and the head's texts are none.
+
+    A control that its own end tag doesn't close says its text like any other element.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Open elements: tag, name words, and for controls what was said before them.
+    stack: list[tuple[str, tuple[str, ...], tuple[int, list[str], int, int] | None]] = []
     parts: list[str] = []
     linked = at = 0
+    controls = False  # whether the page has had any
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            held = [x for x in stack if x[0] not in INLINE]
-            out.append(Block(text, tuple(t for t, _ in held), tuple(n for _, names in held for n in names), linked))
+            held = [x for x in stack if x[0] not in INLINE and x[0] not in CONTROLS]
+            out.append(Block(text, tuple(t for t, *_ in held), tuple(n for _, names, _ in held for n in names), linked))
         parts, linked = [], 0
 
     def say(raw: str) -> None:
@@ -63,9 +78,12 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if any(t == "a" for t, *_ in stack):
                 linked += len(text.strip())
 
+    def last(tags: set[str]) -> int:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in tags), -1) if controls else -1
+
     look = 0
     while (start := page.find("<", max(at, look))) >= 0:
         if not (m := TOKEN.match(page, start)):
@@ -81,12 +99,23 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if closing:
+            if tag in CONTROLS:
+                if (depth := last({tag})) >= 0:
+                    n_out, parts, n_parts, linked = stack[depth][2]  # a flush leaves the list as it was
+                    del out[n_out:], parts[n_parts:], stack[depth:]
+                parts.append(" ")
+                continue
             if tag not in INLINE:
                 flush()
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[depth:])):
+            if depth is not None and (tag not in INLINE or all(t in INLINE for t, *_ in stack[depth:])):
                 del stack[depth:]
             continue
+        if (svg := last({"svg"})) >= 0 and svg > last({"foreignobject", "desc"}):
+            if tag in LEAVE_SVG:
+                del stack[svg:]
+            elif self_closed(m[3]):
+                continue
         if tag in RAW:
             # Their content is no markup: go on behind the end tag, or at the end of the page.
             end = RAW[tag].search(page, at)
@@ -95,16 +124,25 @@ def blocks(page: str) -> list[Block]:
                 at = close + 1
             parts.append(" ")
             continue
+        if tag in CONTROLS:
+            if tag in ("button", "select") and (open_one := last({tag})) >= 0:
+                del stack[open_one:]  # they hold none of their kind
+            parts.append(" ")
+            if tag != "svg" or not self_closed(m[3]):
+                stack.append((tag, (), (len(out), parts, len(parts), linked)))
+                controls = True
+            continue
         if tag in VOID:
             if tag != "wbr":
                 parts.append(" ")
             continue
         if tag not in INLINE:
             flush()
-            if any(t == "p" for t, _ in stack):  # an open paragraph ends where a block begins
-                del stack[next(i for i, x in enumerate(stack) if x[0] == "p") :]
+            floor = last(CONTROLS) + 1  # a block in a control ends nothing around it
+            if (open_p := next((i for i in range(floor, len(stack)) if stack[i][0] == "p"), -1)) >= 0:  # an open paragraph ends where a block begins
+                del stack[open_p:]
             if tag in CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, floor - 1, -1):
                     if stack[i][0] in CLOSES[tag]:
                         del stack[i:]
                         break
@@ -113,7 +151,7 @@ def blocks(page: str) -> list[Block]:
         if m[3].rstrip().endswith("/") and tag not in INLINE and "=" not in m[3]:
             continue
         names = tuple(w for a in NAMES.findall(m[3]) for w in WORD.findall("".join(a).lower())) if m[3] else ()
-        stack.append((tag, names))
+        stack.append((tag, names, None))
     say(page[at:])
     flush()
     return out
