@@ -101,6 +101,14 @@ def test_ngram_join(spark, monkeypatch, short):
     assert sorted(map(tuple, got), key=repr) == plain_groups(rows)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    s, t, u = (cases.prose(700 + i, 40) for i in range(3))
+    rows = [(i, x, "en", "s", 1) for i, x in [(3, s), (5, s), (5, t), (5, ""), (9, t), (9, u), (12, u), (13, ""), (13, None), (20, cases.prose(800, 40))]]
+    got = ngramjoin.groups(cases.docs(spark, True, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [*[(i, 3) for i in (3, 5, 5, 5, 9, 9, 12)], (13, 13), (13, 13), (20, 20)]
+    assert sorted(r.doc_id for r in ngramjoin.keep_one(cases.docs(spark, True, rows)).collect()) == [3, 13, 20]
+
+
 def test_keep_one(spark):
     rows = cases.rows() + copies(3, 20)
     docs = cases.docs(spark, True, rows)

@@ -353,13 +353,25 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORD
     """
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_d"), F.col(text).cast("string").alias("text"))
     sets = stored(docs.mapInArrow(_sets(n), "_d long, n long, s1 long, s2 long, piece int, counts binary"))
-    _, _, joined = links(docs, sets, n)
+    _, found, joined = links(docs, sets, n)
     rows = sets.where("piece IS NULL").select("_d", "n", "s1", "s2")
     of_set = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("_d").alias("node"))
+    # Sets of one id belong together, and so do its rows without words.
+    repeated = stored(rows.groupBy("_d").agg(F.count("*").alias("rows"), F.max("n").alias("n")).where("rows > 1 AND n > 0").select("_d"))
+    of_id = None
+    if not repeated.isEmpty():
+        of_id = rows.where("n > 0").join(repeated, "_d", "left_semi").select("_d", "s1", "s2").distinct()
+        of_id = stored(salted_join(of_id, of_set, ["s1", "s2"], "_d", "inner", parts=8).select("_d", "node").distinct())
+        least = of_id.groupBy("_d").agg(F.min("node").alias("a"))
+        same = stored(salted_join(of_id, least, ["_d"], "node", "inner", parts=8).where("a != node").select("a", F.col("node").alias("b")).distinct())
+        if not same.isEmpty():
+            joined = components(stored(found.select("a", "b").unionByName(same)))
+        of_id = least.join(joined, least["a"] == joined["node"], "left").select("_d", F.coalesce("least", "a").alias("of_id"))
     of_set = of_set.join(joined, "node", "left").select("s1", "s2", F.coalesce("least", "node").alias("part"))
     linked = salted_join(rows, of_set, ["s1", "s2"], "_d", "left", parts=8)
+    linked = linked.withColumn("of_id", F.lit(None).cast("long")) if of_id is None else salted_join(linked, of_id, ["_d"], "s1", "left", parts=8)
     shown = lambda c: F.nullif(c, F.lit(NO_ID))
-    return linked.select(shown(F.col("_d")).alias(key), F.col("n").alias("n_shingles"), shown(F.coalesce(F.when(F.col("n") > 0, F.col("part")), F.col("_d"))).alias("component_id"))
+    return linked.select(shown(F.col("_d")).alias(key), F.col("n").alias("n_shingles"), shown(F.coalesce(F.when(F.col("n") > 0, F.col("part")), F.col("of_id"), F.col("_d"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
