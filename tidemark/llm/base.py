@@ -19,6 +19,31 @@ BLANKS = b" \t\n\x0b\x0c\r"
 AT_ONCE = 1000
 
 
+class Kept(dict):
+    """A cache bounded by bytes, not by entries: emptied when its texts are full, and long keys are not kept at all.
+
+    It only saves time: whoever fills it must be able to do without an entry.  With its default size it takes some 48 MB.
+    """
+
+    LONGEST = 64  # longer keys are hardly ever met again
+
+    def __init__(self, most: int = 48_000_000, overhead: int = 220):
+        super().__init__()
+        # What an entry takes besides its characters: the objects and its place in the table.
+        self.most, self.overhead, self.held = most, overhead, 0
+
+    def keep(self, key, value) -> None:
+        size = len(key)
+        if size > self.LONGEST:
+            return
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        # A character of a text takes up to four bytes, as does a packed id.
+        self.held += self.overhead + 4 * size
+        self[key] = value
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

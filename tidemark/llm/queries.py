@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, htmltext, langid, linededup, ngramjoin, quality, secretscan, tokencounts
+from tidemark.llm import bpe, chat, decontam, htmltext, langid, linededup, ngramjoin, periodic, pieces, quality, secretscan, tokencounts
 from tidemark.llm.base import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -134,3 +135,33 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return htmltext.extract(pages, htmltext.fit(pages))
+
+
+@query("op12_sentencepiece_round_trip")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), decoded="decoded")
+    return ids.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: CRC-32 of the decimal text of a number, as SQL over a table `tab` with the list t of 256 remainders.
+_TAB = "tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+
+@query("op11_periodic_runs", f"""WITH {_TAB},
+d AS (SELECT doc_id, {_CRC.format("doc_id")} AS h, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS o FROM documents, tab),
+a AS (SELECT doc_id, o, len(o) AS n, h % 10 = 0 AND len(o) > 0 AS changed, (h // 10) % greatest(len(o), 1) AS a, h // 10 AS g FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (SELECT doc_id, n, i, CASE WHEN changed AND i >= a THEN o[a + (i - a) % p + 1] ELSE o[i + 1] END AS x FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+e AS (SELECT s.doc_id, s.i, z.i - s.i AS q FROM w s JOIN w z ON s.doc_id = z.doc_id AND s.x = z.x AND z.i > s.i AND 3 * (z.i - s.i) <= s.n),
+g AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, s, len, min(q) AS q FROM g GROUP BY doc_id, s, len),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) = 1),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(periodic.planted(read(spark, sf_dir, "documents"))))
