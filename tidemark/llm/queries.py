@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, htmltext, langid, linededup, ngramjoin, periodic, pieces, quality, secretscan, tokencounts
+from tidemark.llm import bpe, chat, decontam, htmltext, langid, linededup, ngramjoin, periodic, pieces, prefixtrie, quality, secretscan, tokencounts
 from tidemark.llm.base import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,24 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find(periodic.planted(read(spark, sf_dir, "documents"))))
+
+
+@query("op13_prefix_trie", f"""WITH {_TAB},
+c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, {_CRC.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM c), tab),
+x AS (SELECT conv_id, pos, r, t FROM c JOIN k USING (conv_id) WHERE pos >= h
+  UNION ALL SELECT k.conv_id, pos, r, t FROM k JOIN c ON c.conv_id = k.conv_id - k.conv_id % 100 AND pos < h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, length(t) AS size,
+  md5(string_agg(length(r) || ':' || length(t) || ':' || r || t, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS id FROM x),
+p AS (SELECT conv_id, depth, size, id, coalesce(lag(id) OVER w, '') AS up, count(*) OVER (PARTITION BY conv_id) = depth AS ends FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM s) FROM k),
+n AS (SELECT id, min(up) AS up, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size,
+  coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '') AS listed FROM p GROUP BY id),
+h AS (SELECT up AS id, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+b AS (SELECT p.id, count(*) FILTER (h.id IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved_tokens
+  FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN h ON h.id = n.id GROUP BY p.id)
+SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.listed) AS ends_sha256
+FROM n JOIN b USING (id) LEFT JOIN h USING (id) LEFT JOIN n o ON o.id = n.up""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie_of_rebuilt(read(spark, sf_dir, "conversations"))
