@@ -231,6 +231,39 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert said(chat.fold(events.limit(0))) == []
 
 
+def plain_fold(log):
+    """Final messages, event by event."""
+    out = {}
+    for conv, message, seq, kind, role, text in sorted(
+            set(log), key=lambda x: (-(10**9) if x[2] is None else x[2], (x[3] or "delta") not in chat.RESETS, x[5] or "")):
+        m = out.setdefault((conv, message), {"first": seq, "role": None, "text": "", "gone": False})
+        if role is not None:
+            m["role"] = role
+        m["gone"] |= kind == "delete"
+        m["text"] = (text or "") if kind in chat.RESETS else m["text"] + (text or "")
+    return sorted(((c, m["role"], m["text"]) for (c, _), m in out.items() if not m["gone"]), key=repr)
+
+
+def test_fold_equals_playing_the_log(spark):
+    r = random.Random(11)
+    log = [(r.choice([1, 2, None]), r.choice(["a", "b", None]), seq if r.random() < 0.8 else None, r.choice(["start", "delta", "delta", "delta", "edit", "regenerate", None]), f"role{seq}" if r.random() < 0.3 else None,
+            r.choice([None, "", "x", "yy"])) for seq in range(70)]
+    # One reset only among the rows without a place, which are ordered by kind and text.
+    log = [x for x in log if not (x[2] is None and (x[3] in chat.RESETS or x[4]))] + [(1, "a", None, "start", "user", "first"), (3, "c", None, "delta", "user", "only"), (3, "d", 1, "delete", None, None)]
+    log += r.sample(log, 10)
+    events = spark.createDataFrame(log, "conv_id long, message string, seq long, kind string, role string, text string")
+    assert sorted(((x.conv_id, x.role, x.text) for x in chat.fold(events).collect()), key=repr) == plain_fold(log)
+
+
+def test_rows_without_a_turn_come_first_and_keep_their_role(spark):
+    rows = [(1, 0, "user", "q"), (1, None, "assistant", "hello"), (1, None, "assistant", None), (1, 1, "assistant", "bye"), (2, None, None, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: x for x in chat.read_back(chat.render(chat.fold(chat.events_of(df)))).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got[1].turns_sha256 == sha("assistant\n\nassistant\nhello\nuser\nq\nassistant\nbye\n")
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (4, 8, sha("hellobye")) and got[2].turns_sha256 == sha("\nx\n")
+
+
 def test_formatting_is_reversible(spark):
     texts = [None, "", "\\", "\\\\", "###", "### Assistant: ", "</turn>", "\\</turn>\n", "a:b\\:c", PLANTED, "x" * 50_000, "a\nb", "\\### \\</turn>\\"]
     rows = [(i // 5, i % 5, role, t) for i, t in enumerate(texts) for role in ("user", "assistant", "a:\\###</turn>")] + [(9, 0, None, "no role"), (9, 0, None, "no role"), (9, 7, "assistant", "last")]

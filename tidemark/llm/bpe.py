@@ -3,7 +3,7 @@
 A token sequence is the BPE encoding of its text exactly if every pair of neighbours is the encoding of its own text.
 So each distinct word gets a guess (the longest vocabulary entry at each place), all pairs of all guesses are tested
 at once in numpy, and only words with a failing pair are merged by rank.  Words repeat, so both results are cached;
-the caches are bounded and only save time.
+the caches are bounded by bytes, keep no long pieces, and only save time.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from tidemark.llm.base import per_batch, texts_of
 
 #: The pattern of the byte-level pre-tokenizer (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 500_000
+#: Bytes of the caches of a worker, and the longest piece that stays in them.
+CACHED, LONGEST = 64_000_000, 64
 NEVER = np.int64(1 << 40)
 NONE = 1 << 40
 SHORT = 200
@@ -87,6 +88,7 @@ class ByteBpe:
         self.special = regex.compile("|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.led: dict[str, bytes] = {}  # ids of a blank and this piece, for pieces that don't end in white space
         self.bare: dict[str, bytes] = {}  # ids of any other text between two cuts
+        self.held = 0
         self.stats = {"words": 0, "merged": 0}
 
     # ---- one word ----
@@ -226,8 +228,8 @@ class ByteBpe:
             return [(first, pieces)]
         return [(chunk, []) for chunk in self.cut(text)]
 
-    def learn(self, plans: list[list[tuple[str, list[str]] | int]]) -> None:
-        """Encode what the caches lack, all distinct pre-tokens at once."""
+    def learn(self, plans: list[list[tuple[str, list[str]] | int]]) -> list[str]:
+        """Encode what the caches lack, all distinct pre-tokens at once; the pieces too long to stay there."""
         led, bare = self.led, self.bare
         pieces: set[str] = set()
         firsts: set[str] = set()
@@ -250,6 +252,10 @@ class ByteBpe:
             led[p] = of(parts[0]) if len(parts) == 1 else b"".join(map(of, parts))
         for p, parts in others.items():
             bare[p] = b"".join(map(of, parts))
+        added = [*words, *missing, *others]
+        # A key takes up to four bytes a character, its ids four a token; the objects and the tables the rest.
+        self.held += sum(map(len, added)) * 4 + 200 * len(added)
+        return [x for x in added if len(x) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; the pieces of only some texts are held at once."""
@@ -264,13 +270,19 @@ class ByteBpe:
         return out + self._encode(held)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.led) + len(self.bare) > CACHED:
-            self.led, self.bare = {}, {}
+        if self.held > CACHED:
+            self.led, self.bare, self.held = {}, {}, 0
         self.bare[""] = b""
         plans = [self.plan(text) for text in texts]
-        self.learn(plans)
+        long = self.learn(plans)
         led, bare = self.led, self.bare
-        return [b"".join([y for x in plan for y in ([bare[x[0]], *[led[p] for p in x[1]]] if isinstance(x, tuple) else [np.array([x], "<u4").tobytes()])]) for plan in plans]
+        out = [b"".join([y for x in plan for y in ([bare[x[0]], *[led[p] for p in x[1]]] if isinstance(x, tuple) else [np.array([x], "<u4").tobytes()])]) for plan in plans]
+        for x in long:
+            led.pop(x, None)
+            led.pop(x[1:], None)
+            bare.pop(x, None)
+            self.held -= 4 * len(x)
+        return out
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; ids outside the vocabulary are passed over, broken UTF-8 is replaced."""
@@ -291,6 +303,7 @@ def loaded(spec) -> ByteBpe:
     """The encoder of a broadcast file, built once in each Python worker."""
     key = hash(spec.value)
     if key not in _LOADED:
+        _LOADED.clear()  # of several files the last is kept
         _LOADED[key] = ByteBpe(spec.value)
     return _LOADED[key]
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.base import texts_of
 
@@ -19,29 +20,30 @@ TURN = re.compile(r"### ((?:[^\\:]|\\\\|\\:|\\###|\\</turn>)*): (.*?)(?<!\\)((?:
 ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
 #: Events that replace what a message said so far.
 RESETS = ("start", "edit", "regenerate")
+NO_SEQ = -(1 << 63)
 
 
 def fold(events: DataFrame) -> DataFrame:
     """Final messages of event logs: conv_id, seq (of the first event), message, role, text.
 
     Events: conv_id, message (id within the conversation), seq, kind, role, text.  `start` opens a message, `delta`
-    appends, `edit` replaces the text, `regenerate` empties it before new deltas, `delete` removes the message.  Only
-    events from the last reset on are gathered, per message, so a long log or a long conversation never meets in one
-    row.  Null texts are empty, an event delivered twice counts once, ties in seq go by kind (resets first) and text.
-    The role is that of the last event that names one.
+    appends, `edit` replaces the text, `regenerate` empties it before new deltas, `delete` removes the message.  Events
+    of a message meet once, sorted and streamed; only those from the last reset on are gathered, so a long log or a long
+    conversation never meets in one row.  A null seq comes before all others and is given back as null, a null kind is a
+    delta, null texts are empty, an event delivered twice counts once, ties in seq go by kind (resets first) and text.
+    The role is that of the last event that names one (of several with one seq the greatest).
     """
-    reset = F.col("kind").isin(*RESETS)
-    e = events.select("conv_id", "message", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    key = ["conv_id", "message"]
-    last = e.groupBy(*key).agg(
-        F.min("seq").alias("first_seq"), F.max(F.when(reset, F.col("seq"))).alias("last_reset"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("last_role"),
-        F.max(F.col("kind") == "delete").alias("deleted")).where("NOT deleted")
-    same = F.col("e.conv_id").eqNullSafe(F.col("l.conv_id")) & F.col("e.message").eqNullSafe(F.col("l.message"))
-    live = e.alias("e").join(last.alias("l"), same).where("last_reset IS NULL OR e.seq >= last_reset")
-    parts = F.sort_array(F.collect_list(F.struct("e.seq", (~F.col("e.kind").isin(*RESETS)).alias("delta"), "e.text")))
-    return live.groupBy("e.conv_id", "e.message", "first_seq", "last_role").agg(parts.alias("parts")).select(
-        "conv_id", F.col("first_seq").alias("seq"), "message", F.col("last_role").alias("role"),
-        F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    kind, key = F.coalesce("kind", F.lit("delta")), ["conv_id", "message"]
+    rows = events.select(*key, F.coalesce("seq", F.lit(NO_SEQ)).alias("seq"), kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    reset, of_message = F.col("kind").isin(*RESETS), Window.partitionBy(*key)
+    # One exchange: all that follows is by the same key.
+    e = rows.repartition(*key).distinct().select(
+        "*", F.min("seq").over(of_message).alias("first_seq"), F.max(F.when(reset, F.col("seq"))).over(of_message).alias("last_reset"),
+        F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(of_message).alias("named"), F.max(F.col("kind") == "delete").over(of_message).alias("deleted"))
+    live = e.where("NOT deleted AND (last_reset IS NULL OR seq >= last_reset)")
+    parts = F.sort_array(F.collect_list(F.struct("seq", (~reset).alias("delta"), "text")))
+    return live.groupBy(*key).agg(F.min("first_seq").alias("seq"), F.max("named.role").alias("role"), parts.alias("parts")).select(
+        "conv_id", F.nullif("seq", F.lit(NO_SEQ)).alias("seq"), "message", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 def escape(text: Column, controls: tuple[str, ...] = CONTROL[:3]) -> Column:
@@ -123,14 +125,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def events_of(conversations: DataFrame) -> DataFrame:
     """An event log of finished conversations (conv_id, turn, role, text): a start and a delta for each row.
 
-    Equal rows stay apart as numbered copies; rows of one turn are ordered by role and text.
+    Rows without a turn come first.  Rows of one turn are ordered by role and text, and equal rows stay apart: the id of
+    a message is its turn and its place within it, so no text is part of a key.
     """
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    copies = rows.groupBy("conv_id", "turn", "role", "text").count().select("*", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
-    # The id sorts as the rows of a turn shall: by role, text, copy.
-    message = F.concat(F.coalesce("role", F.lit("")), F.lit("\0"), "text", F.lit("\0"), F.format_string("%019d", "copy"), F.lit("\0"), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    of_turn = Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), "text")
+    message = F.format_string("%s:%019d", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.row_number().over(of_turn))
     seq = F.col("turn") * 2
-    return copies.select("conv_id", message.alias("message"), F.explode(F.array(
+    return rows.withColumn("message", message).select("conv_id", "message", F.explode(F.array(
         F.struct(seq.alias("seq"), F.lit("start").alias("kind"), F.col("role"), F.lit("").alias("text")),
         F.struct((seq + 1).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.col("text"))))
         .alias("event")).select("conv_id", "message", "event.*")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import stored, texts_of, windows
+from tidemark.llm.base import Kept, stored, texts_of, windows
 from tidemark.plans.session import salted_join, small_enough
 
 WORDS = 5
@@ -39,17 +39,16 @@ NO_ID = -(1 << 63)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class Hashes(dict):
-    """64-bit hash of words, kept."""
+class Hashes(Kept):
+    """64-bit hash of words, kept within a bound in bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        self.keep(word, h)
         return h
 
 
-_HASHES = Hashes()
+_HASHES = Hashes(32_000_000)
 
 
 def shingles(text: str, n: int = WORDS) -> np.ndarray:

@@ -1,109 +1,134 @@
-"""Token counts: the pieces of every distinct pre-token once, joined to the pre-tokens of each document."""
+"""Token counts: the pieces of every distinct pre-token once, met with the pre-tokens of each document."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import key_and_text, stored, texts_of
+from tidemark.llm.base import AT_ONCE, Kept, key_and_text, texts_of
 from tidemark.llm.bpe import ByteBpe, loaded, shipped
 
-#: Pre-tokens that most documents share go to every task; the bound on their number holds whatever the data's size.
-COMMON = 1 << 17
+#: The most frequent pre-tokens of a sample go to every task; the bounds hold whatever the data's size.
+COMMON, SAMPLE = 1 << 17, 4000
 #: Distinct pre-tokens a task gathers before it hands them on.
 GATHERED = 300_000
 
 
-def _counted(bpe: ByteBpe, text: str, parts: dict[str, list[str]]) -> tuple[Counter, int]:
-    """Frequencies of the pre-tokens of a text, and how many added tokens it names."""
-    found: Counter = Counter()
-    specials = 0
-    for part, added in bpe.plain_parts(text):
-        if added is not None:
-            specials += 1
-            continue
-        for piece, n in Counter(bpe.cut(part)).items():
-            if (words := parts.get(piece)) is None:
-                words = parts[piece] = bpe.pre_tokens(piece)
-            for w in words:
-                found[w] += n
-    return found, specials
-
-
-def vocabulary(docs: DataFrame, path: str) -> DataFrame:
-    """Every distinct pre-token of the texts with its frequency and its number of pieces."""
+class Cutter:
+    """Cuts texts into pre-tokens and adds up the pieces of known ones; the others are left to a join."""
+
+    def __init__(self, bpe: ByteBpe, known: dict[str, int]):
+        self.bpe, self.known = bpe, known
+        self.parts: Kept = Kept()  # of a piece of text: pieces of its known pre-tokens, its other pre-tokens
+
+    def of(self, piece: str) -> tuple[int, tuple[str, ...]]:
+        if (parts := self.parts.get(piece)) is None:
+            words = self.bpe.pre_tokens(piece)
+            parts = sum(self.known.get(w, 0) for w in words), tuple(w for w in words if w not in self.known)
+            self.parts.keep(piece, parts)
+        return parts
+
+    def count(self, text: str) -> tuple[int, dict[str, int]]:
+        """Pieces of the known pre-tokens and the added tokens; how often each other pre-token occurs."""
+        total, rest = 0, {}
+        for part, added in self.bpe.plain_parts(text):
+            if added is not None:
+                total += 1
+                continue
+            for piece, n in Counter(self.bpe.cut(part)).items():
+                sure, others = self.of(piece)
+                total += n * sure
+                for w in others:
+                    rest[w] = rest.get(w, 0) + n
+        return total, rest
+
+
+def frequencies(docs: DataFrame, path: str) -> DataFrame:
+    """Every distinct pre-token of the texts (column text) and how often it occurs."""
     spec = shipped(docs, path)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, total = loaded(spec), Counter()
+        cutter, total = Cutter(loaded(spec), {}), Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], names=["token", "n"])
         for batch in batches:
-            parts: dict[str, list[str]] = {}
             for text in texts_of(batch.column(0)):
-                total.update(_counted(bpe, text, parts)[0])
+                for w, n in cutter.count(text)[1].items():
+                    total[w] += n
                 if len(total) > GATHERED:
                     yield out()
                     total.clear()
         if total:
             yield out()
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select("text").mapInArrow(gather, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _pieces(spec):
+    """From rows ordered by token: the pieces of each token, made once for all rows of it, times n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, int] = {}  # of the token that may go on in the next batch
         for batch in batches:
-            counts = [len(x) // 4 for x in loaded(spec).encode_words(batch.column(0).to_pylist())] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=["token", "n", "pieces"])
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            new = [w for w in words if w not in last and w]
+            counts = last | dict(zip(new, (len(x) // 4 for x in loaded(spec).encode_words(new)), strict=True)) if new else dict(last)
+            counts[""] = 0
+            each = np.array([counts[w] for w in words], np.int64)[coded.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(each * batch.column(3).to_numpy())], names=["_key", "_hash", "n", "n_bytes", "summed", "more"])
+            last = {words[-1]: counts[words[-1]]}
 
-    distinct = docs.select("text").mapInArrow(gather, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return distinct.mapInArrow(pieces, "token string, n long, pieces long")
+    return run
 
 
-def count(df: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text", common: int = COMMON) -> DataFrame:
+def count(df: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text", common: int = COMMON, sample: int = SAMPLE) -> DataFrame:
     """key, n_bytes (UTF-8), n_tokens, over_limit of every text; no ids are made.
 
-    Pre-tokens are counted in pieces once each.  The `common` most frequent ones, a bounded number, are sent to the
-    scan, which sums them in place; the others of each document are joined with their pieces and summed.  Both ways
-    give the same sum for any `common`.  One row per input row, repeated rows too; a null text is empty and has no
-    tokens.  Strings of added tokens count as one token.  Only key and text are read.
+    Texts are cut once.  Pre-tokens are counted in pieces once each: those `common` in a sample of about `sample` rows
+    are sent to the scan, which sums them in place; the rows (document, pre-token, frequency) of all others meet by
+    pre-token, get its pieces and are summed by document.  Any sample and any `common` give the same sums.  One row per
+    input row, repeated rows too; a null text is empty and has no tokens.  Strings of added tokens count as one token.
+    Only key and text are read.
     """
     docs = key_and_text(df, key, text).withColumnRenamed(key, "_key")
-    spec, words = shipped(df, path), stored(vocabulary(docs, path))
-    top = words.orderBy(F.desc("n"), "token").limit(common).select("token", "pieces")
-    head = df.sparkSession.sparkContext.broadcast({r["token"]: r["pieces"] for r in top.collect()})
+    spec, rows = shipped(df, path), max(1, docs.count())
+    few = frequencies(docs.sample(min(1.0, sample / rows), seed=1), path).orderBy(F.desc("n"), "token").limit(common)
+    words = [r["token"] for r in few.select("token").collect()]  # at most what the sample holds
+    pieces = [len(x) // 4 for x in loaded(spec).encode_words(words)] if words else []
+    head = df.sparkSession.sparkContext.broadcast(dict(zip(words, pieces, strict=True)))
     schema = T.StructType([
         T.StructField("_key", docs.schema["_key"].dataType), T.StructField("_hash", T.LongType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("summed", T.LongType()), T.StructField("rest", T.MapType(T.StringType(), T.LongType()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = loaded(spec), head.value
+        cutter = Cutter(loaded(spec), head.value)
         for batch in batches:
-            sizes, sums, rests, parts = [], [], [], {}
-            for t in texts_of(batch.column(2)):
-                found, total = _counted(bpe, t, parts)
-                rest = []
-                for w, n in found.items():
-                    if (p := known.get(w)) is None:
-                        rest.append((w, n))
-                    else:
-                        total += n * p
-                sizes.append(len(t.encode()))
-                sums.append(total)
-                rests.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rests, pa.map_(pa.string(), pa.int64()))],
-                names=schema.fieldNames())
-
-    same = ["_key", "_hash", "n_bytes", "summed"]
-    rows = docs.select("_key", F.xxhash64("text").alias("_hash"), "text").mapInArrow(scan, schema)
-    # A row without a token of its own stands for the document; repeated rows are counted by it.
-    marked = rows.select(*same, F.explode(F.map_concat(F.create_map(F.lit(""), F.lit(1).cast("long")), "rest")).alias("token", "n"))
-    rare = words.select("token", "pieces")
-    joined = marked.join(rare, "token", "left")
-    total = joined.groupBy(*same).agg(
-        F.sum(F.when(F.col("token") == "", F.lit(1))).alias("rows"), F.sum(F.when(F.col("token") != "", F.col("n") * F.col("pieces"))).alias("more"))
-    tokens = F.col("summed") + F.coalesce(F.col("more"), F.lit(0)) / F.col("rows")
-    out = total.select(F.col("_key").alias(key), "n_bytes", tokens.cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows"))))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                texts = texts_of(part.column(2))
+                found = [cutter.count(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([x[0] for x in found], pa.int64()),
+                    pa.array([[*x[1].items()] for x in found], pa.map_(pa.string(), pa.int64()))], names=schema.fieldNames())
+
+    cut = docs.select("_key", F.xxhash64("text").alias("_hash"), "text").mapInArrow(scan, schema)
+    # A row without a token stands for the document; repeated rows are counted by it.
+    marked = cut.select("_key", "_hash", "n_bytes", "summed", F.explode(F.map_concat(F.create_map(F.lit(""), F.lit(1).cast("long")), "rest")).alias("token", "n"))
+    mark = F.col("token") == ""
+    marked = marked.select("token", "_key", "_hash", "n", *(F.when(mark, F.col(c)).alias(c) for c in ("n_bytes", "summed")))
+    # The rows of a pre-token meet, those that stand for documents don't.
+    met = marked.repartition(F.when(mark, F.xxhash64("_key", "_hash")).otherwise(F.xxhash64("token"))).sortWithinPartitions("token")
+    counted = met.mapInArrow(_pieces(spec), T.StructType([*(marked.schema[c] for c in ("_key", "_hash", "n", "n_bytes", "summed")), T.StructField("more", T.LongType())]))
+    total = counted.groupBy("_key", "_hash").agg(
+        F.count("n_bytes").alias("rows"), F.max("n_bytes").alias("n_bytes"), F.max("summed").alias("summed"), F.sum("more").alias("more"))
+    tokens = F.col("summed") + F.col("more") / F.col("rows")
+    out = total.select(F.col("_key").alias(key), "n_bytes", tokens.cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
