@@ -154,3 +154,23 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, folder)
     assert none.count() == 0
+
+
+def test_bit_maps_never_refuse_a_link():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    refused = 0
+    for _ in range(3000):
+        n = int(r.integers(1, 400))
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) << np.uint64(1))
+        keep = x[r.random(len(x)) < r.choice([0.5, 0.8, 0.95])]
+        y = np.unique(np.concatenate([keep, r.integers(0, 2**63, int(r.integers(0, 1 + n // 3)), dtype=np.uint64)]))
+        if not len(y):
+            continue
+        both = len(np.intersect1d(x, y))
+        links = 100 * both >= 75 * (len(x) + len(y) - both)
+        agrees = ngramjoin.may_agree(len(x), ngramjoin.bit_map(x), len(y), ngramjoin.bit_map(y))
+        assert agrees or not links
+        refused += not agrees
+    assert refused > 500

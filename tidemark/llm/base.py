@@ -20,29 +20,37 @@ AT_ONCE = 1000
 
 
 class Kept(dict):
-    """A cache bounded by bytes, not by entries: emptied when its texts are full, and long keys are not kept at all.
+    """A cache bounded by bytes, not by entries, for results that can always be made again.
 
-    It only saves time: whoever fills it must be able to do without an entry.  With its default size it takes some 48 MB.
+    Entries have two ages: when the younger ones fill half the bound they become the older ones, which go.  `known` also
+    looks there, and makes young what it finds.  Long keys, which are hardly ever met again, are not kept at all.
     """
 
-    LONGEST = 64  # longer keys are hardly ever met again
+    LONGEST = 64
 
-    def __init__(self, most: int = 48_000_000, overhead: int = 220):
+    def __init__(self, most: int = 48_000_000, overhead: int = 180):
         super().__init__()
         # What an entry takes besides its characters: the objects and its place in the table.
         self.most, self.overhead, self.held = most, overhead, 0
+        self.old: dict = {}
 
     def keep(self, key, value) -> None:
         size = len(key)
         if size > self.LONGEST:
             return
-        if self.held > self.most:
+        if self.held > self.most // 2:
+            self.old, self.held = dict(self), 0
             self.clear()
-            self.held = 0
         # A character of a text takes up to four bytes, as does a packed id.
         self.held += self.overhead + 4 * size
         self[key] = value
 
+    def known(self, key):
+        """The entry, or None."""
+        if (value := self.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -88,6 +88,9 @@ class ByteBpe:
         self.special = regex.compile("|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.led: dict[str, bytes] = {}  # ids of a blank and this piece, for pieces that don't end in white space
         self.bare: dict[str, bytes] = {}  # ids of any other text between two cuts
+        # The entries of before: the caches have two ages, each of half the bound.
+        self.old_led: dict[str, bytes] = {}
+        self.old_bare: dict[str, bytes] = {}
         self.held = 0
         self.stats = {"words": 0, "merged": 0}
 
@@ -238,6 +241,11 @@ class ByteBpe:
                 if isinstance(x, tuple):
                     firsts.add(x[0])
                     pieces.update(x[1])
+        again = 0
+        for wanted, young, old in ((pieces, led, self.old_led), (firsts, bare, self.old_bare)):
+            for p in (wanted - young.keys()) & old.keys():
+                young[p] = old[p]
+                again += 200 + 4 * len(p)
         missing = {p: self.pre_tokens(" " + p) for p in pieces - led.keys()}
         others = {x: self.pre_tokens(x) for x in firsts - bare.keys()}
         new = list({w for parts in (missing, others) for words in parts.values() for w in words if w not in bare and not (w[0] == " " and w[1:] in led)})
@@ -254,7 +262,7 @@ class ByteBpe:
             bare[p] = b"".join(map(of, parts))
         added = [*words, *missing, *others]
         # A key takes up to four bytes a character, its ids four a token; the objects and the tables the rest.
-        self.held += sum(map(len, added)) * 4 + 200 * len(added)
+        self.held += again + sum(map(len, added)) * 4 + 200 * len(added)
         return [x for x in added if len(x) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -270,7 +278,8 @@ class ByteBpe:
         return out + self._encode(held)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.held > CACHED:
+        if self.held > CACHED // 2:
+            self.old_led, self.old_bare = self.led, self.bare
             self.led, self.bare, self.held = {}, {}, 0
         self.bare[""] = b""
         plans = [self.plan(text) for text in texts]

@@ -2,8 +2,9 @@
 
 Rare-first prefix filtering: with the shingles of every set in one global order, rare ones first, two similar sets
 share one of the first |x| - ceil(0.75 |x|) + 1.  Sets meet on these; a pair must pass the length filter, the
-positional filter (what can still follow the shared place) and the suffix filter (what can agree range by range), and
-is then verified once on whole sets.
+positional filter (what can still follow the shared place) and the suffix filter, and is then verified once on whole
+sets.  The suffix filter compares bit maps, a sixteenth of the sets: a bit that only one of them has is a shingle that the
+other lacks, so they bound the intersection from above, and only pairs that may link have their sets shuffled.
 
 Skew.  Equal sets are one node.  A short posting list gives all its pairs.  A long one gives only the pairs with its
 pivot; what they link is contracted, and only pairs of different components are left to try.  Some turns try further
@@ -30,7 +31,8 @@ WORDS = 5
 COUNTERS, PIECES = 1 << 20, 256
 #: Lists up to this length give all pairs.
 SHORT_LIST = 8
-RANGES = 128  # of the suffix filter
+BITS = 4  # of a map, for each shingle of its set
+VERIFIED = 32_000_000  # bytes of sets compared at once
 #: Turns with further pivots, this many each, before all pairs of different components are tried; pairs a member that are no matter.
 TURNS, PIVOTS, EASY = 2, 48, 4
 #: Up to so many edges (16 bytes each) one task joins them all; beyond, stars over the cluster do. Both give the same.
@@ -43,8 +45,9 @@ class Hashes(Kept):
     """64-bit hash of words, kept within a bound in bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        self.keep(word, h)
+        if (h := self.known(word)) is None:
+            h = xxhash.xxh64_intdigest(word)
+            self.keep(word, h)
         return h
 
 
@@ -58,16 +61,39 @@ def shingles(text: str, n: int = WORDS) -> np.ndarray:
     return np.unique(windows(ids, min(n, len(ids)), len(ids) if len(ids) < n else 0)) if len(ids) else ids
 
 
+def bit_map(keys: np.ndarray) -> bytes:
+    """One bit for each shingle, placed by its first bits; a power of two, at least 64 of them."""
+    if not len(keys):
+        return b""
+    size = max(6, (BITS * len(keys) - 1).bit_length())
+    bits = np.zeros(1 << size, np.uint8)
+    bits[(keys >> np.uint64(64 - size)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_agree(nx: int, x: bytes, ny: int, y: bytes) -> bool:
+    """Can sets of these sizes and maps link?  Never false for those that do."""
+    a, b = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
+    while len(a) != len(b):  # the finer map is folded
+        if len(a) > len(b):
+            a = a[::2] | a[1::2]
+        else:
+            b = b[::2] | b[1::2]
+    both = int((a & b).sum())
+    most = min(nx - int(a.sum()) + both, ny - int(b.sum()) + both)
+    return 100 * most >= 75 * (nx + ny - most)
+
+
 def _sets(n: int):
-    """Per row: id, size and 128 bits of its set; at the end of a partition its counts, in pieces."""
+    """Per row: id, size, 128 bits and bit map of its set; at the end of a partition its counts, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["_d", "n", "s1", "s2", "piece", "counts"]
+        names = ["_d", "n", "s1", "s2", "bits", "piece", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sizes, s1, s2 = [], [], []
+                sizes, s1, s2, bits = [], [], [], []
                 for t in texts_of(part.column(1)):
                     keys = shingles(t, n)
                     np.add.at(counts, (keys % np.uint64(COUNTERS)).astype(np.int64), 1)
@@ -75,14 +101,16 @@ def _sets(n: int):
                     sizes.append(len(keys))
                     s1.append(int(digest[0]))
                     s2.append(int(digest[1]))
+                    bits.append(bit_map(keys))
                 nulls = pa.nulls(len(sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()),
+                    nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=names)
         size, pack = COUNTERS // PIECES, zstandard.ZstdCompressor(level=1).compress
         pieces = [(p, pack(counts[p * size : (p + 1) * size].tobytes())) for p in range(PIECES) if counts[p * size : (p + 1) * size].any()]
         if pieces:
             longs = pa.nulls(len(pieces)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([longs] * 4 + [pa.array([p for p, _ in pieces], pa.int32()), pa.array([c for _, c in pieces], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([longs] * 4 + [pa.nulls(len(pieces), pa.binary()), pa.array([p for p, _ in pieces], pa.int32()), pa.array([c for _, c in pieces], pa.binary())], names=names)
 
     return run
 
@@ -184,23 +212,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from (x for x in deal(columns) if x)
 
 
+def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bit maps allow a link."""
+    for batch in batches:
+        a, b, *rest = (c.to_pylist() for c in batch.columns)
+        kept = [i for i, (nx, ny, x, y) in enumerate(zip(*rest, strict=True)) if may_agree(nx, x, ny, y)]
+        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link: suffix filter (agreement bounded range by range), then the exact intersection."""
+    """Pairs that link, by the exact intersection; a bounded number of bytes is held as sets at once."""
     for batch in batches:
-        a_, b_ = [], []
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            needed = -(-3 * (len(x) + len(y)) // 7)
-            if min(len(x), len(y)) > 4 * RANGES:
-                edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(57)
-                inside = [np.diff(np.r_[0, np.searchsorted(s, edges), len(s)]) for s in (x, y)]
-                if np.minimum(*inside).sum() < needed:
-                    continue
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if 100 * both >= 75 * (len(x) + len(y) - both):
-                a_.append(a)
-                b_.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
+        sizes = sum(np.diff(np.frombuffer(batch.column(c).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(c).offset)).sum(dtype=np.int64) for c in (2, 3)) if batch.num_rows else 0
+        rows = max(1, int(batch.num_rows * VERIFIED / max(sizes, VERIFIED)))
+        for at in range(0, batch.num_rows, rows):
+            a_, b_ = [], []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= 75 * (len(x) + len(y) - both):
+                    a_.append(a)
+                    b_.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
 
 
 def _keys_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -217,10 +250,19 @@ def _keys_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return docs.join(wanted, "_d", "left_semi").mapInArrow(run, "_d long, keys binary").where("length(keys) > 0").repartition("_d").distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the candidate pairs (distinct) that link."""
-    a, b = (sets.select(F.col("_d").alias(c), F.col("keys").alias(f"{c}_keys")) for c in ("a", "b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_keys", "b_keys").mapInArrow(_verify, "a long, b long").distinct()
+def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Those of the candidate pairs (distinct) that link; written.  Only sets of pairs that pass the suffix filter are made."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_d")).distinct()
+    if small_enough(ids, 1_000_000):
+        ids = F.broadcast(ids)  # at most a million ids
+    maps = sets.where("n > 0").select("_d", "n", "bits").join(ids, "_d", "left_semi").distinct()
+    a, b = (maps.select(F.col("_d").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
+    pairs = stored(both.mapInArrow(_suffix_filter, "a long, b long").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_d")).distinct()
+    whole = stored(_keys_of(docs, wanted, n))
+    a, b = (whole.select(F.col("_d").alias(c), F.col("keys").alias(f"{c}_keys")) for c in ("a", "b"))
+    return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "a_keys", "b_keys").mapInArrow(_verify, "a long, b long").distinct())
 
 
 def _roots(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -308,15 +350,13 @@ def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame,
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", (F.shiftleft("n", 32) + F.col("at")).alias("n_at"))
     met = stored(postings.repartition("key").sortWithinPartitions("key", F.xxhash64("node"), "node").mapInArrow(_meet, _PAIRS))
     pairs = stored(met.where("key IS NULL").select("a", "b").distinct())
-    sets_of = lambda ids: _keys_of(docs, ids.distinct(), n)
-    found = stored(_linked(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_d")))))
+    found = _linked(pairs, sets, docs, n)
     joined = components(found)
     # What the pivots left: lists that still hold several components.
     members = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "n", "at")
     members, open_ = _open_lists(members, joined)
     if open_.isEmpty():
         return nodes.select("s1", "s2", "node"), found, joined
-    kept = stored(sets_of(members.select(F.col("node").alias("_d"))))
     for turn in range(TURNS + 1):
         few = members.where("part != main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "part")))
         if turn < TURNS and _cross(open_) > EASY * members.count():
@@ -332,7 +372,7 @@ def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame,
         tried = stored(tried.join(pairs, ["a", "b"], "left_anti"))
         if not tried.isEmpty():
             pairs = pairs.unionByName(tried)
-            found = stored(found.unionByName(_linked(tried, kept)))
+            found = stored(found.unionByName(_linked(tried, sets, docs, n)))
             joined = components(found)
         if turn == TURNS:
             break
@@ -351,7 +391,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORD
     Shingles are compared by 64-bit keys.
     """
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_d"), F.col(text).cast("string").alias("text"))
-    sets = stored(docs.mapInArrow(_sets(n), "_d long, n long, s1 long, s2 long, piece int, counts binary"))
+    sets = stored(docs.mapInArrow(_sets(n), "_d long, n long, s1 long, s2 long, bits binary, piece int, counts binary"))
     _, found, joined = links(docs, sets, n)
     rows = sets.where("piece IS NULL").select("_d", "n", "s1", "s2")
     of_set = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("_d").alias("node"))

@@ -33,6 +33,8 @@ SPACE = "▁"  # stands for a blank inside pieces
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file (fixed values)
 #: Characters whose pieces are gathered before they are put together.
 AT_ONCE = 1_000_000
+#: Pairs of neighbours whose check is kept (some 140 bytes each).
+PAIRS = 250_000
 
 codecs.register_error("one_for_each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -54,11 +56,17 @@ def spec_of(path: str) -> bytes:
 
 
 class Pieces:
-    """Encoder and decoder of one model."""
+    """Encoder and decoder of one model.
+
+    Tokens are numbers here: the id of a piece, or, for a character without one, its code point after all ids.
+    """
 
     def __init__(self, spec: bytes):
         pieces = json.loads(spec)
+        self.size = len(pieces)
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
+        self.text_of = [p for p, *_ in pieces]
+        self.lengths = [len(p) for p, *_ in pieces]
         self.scores = {p: score for p, score, kind in pieces if kind == NORMAL}
         self.kinds = [kind for *_, kind in pieces]
         bytes_ = {int(p[3:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
@@ -67,21 +75,19 @@ class Pieces:
             bytes([int(p[3:-1], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else b"" if kind == CONTROL else p.replace(SPACE, " ").encode()
             for p, _, kind in pieces]
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        # The next shorter piece that begins a piece; 0: only the bare character is left, which has no piece.
-        self.shorter = {p: next((n for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), 0) for p in self.ids}
-        if any("\0" in p for p in self.ids):
-            raise ValueError("pieces with a character NUL are not supported")
+        # The next shorter piece that begins a piece; -1: there is none.
+        self.shorter = [next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), -1) for p in self.text_of]
         longer = [p for p in self.ids if len(p) > 1]
         # No merge crosses a border before a blank, or one beside a line feed, if no piece holds it: then words are encoded apart.
         self.by_blank = not any(SPACE in p.lstrip(SPACE) for p in longer)
         self.by_line = not any("\n" in p for p in longer)
         self.parts = re.compile(f"\n|{SPACE}*[^\n{SPACE}]+|{SPACE}+" if self.by_line else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.pairs: Kept = Kept(32_000_000, overhead=140)
+        self.pairs: dict[int, bool] = {}
         self.units: Kept = Kept(16_000_000)
-        self.led: Kept = Kept(48_000_000)
+        self.led: Kept = Kept(96_000_000)
 
     # ---- one unit ----
 
@@ -99,60 +105,65 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """Do the two, merged anew, come out as they are?  An empty left asks for the right one alone."""
-        known = self.merged(left + right) == ([left, right] if left else [right])
-        self.pairs.keep(f"{left}\0{right}", known)
-        return known
+    def shown(self, token: int) -> str:
+        return self.text_of[token] if token < self.size else chr(token - self.size)
+
+    def fits(self, left: int, right: int, key: int) -> bool:
+        """Do the two, merged anew, come out as they are?  Without a left one (-1): does the right one alone?"""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        parts = [self.shown(right)] if left < 0 else [self.shown(left), self.shown(right)]
+        self.pairs[key] = fit = self.merged("".join(parts)) == parts
+        return fit
 
     def longest(self, unit: str) -> list[int]:
-        """Length of the longest piece at every place; 0 where there is none."""
-        found = [0] * len(unit)
-        for end, n in self.automaton.iter(unit):  # by end, so at each place the longest comes last
-            found[end + 1 - n] = n
+        """The longest token at every place."""
+        found, lengths = [-1] * len(unit), self.lengths
+        for end, token in self.automaton.iter(unit):  # by end, so at each place the longest comes last
+            found[end + 1 - lengths[token]] = token
+        if -1 in found:
+            found = [self.size + ord(c) if t < 0 else t for t, c in zip(found, unit, strict=True)]
         return found
 
-    def split(self, unit: str) -> list[str]:
+    def split(self, unit: str) -> list[int]:
         """The tokens of a unit, by backtracking."""
-        n, shorter, longest = len(unit), self.shorter, self.longest(unit)
+        n, size, shorter, lengths, longest = len(unit), self.size, self.shorter, self.lengths, self.longest(unit)
         known, fits = self.pairs.get, self.fits
         failed = bytearray(n // 8 + 1)
-        tokens: list[str] = []
-        at, size, last = 0, longest[0] or 1, ""
-        while at < n:
-            end = at + size
-            token = unit[at:end]
+        tokens: list[int] = []
+        at, token, last = 0, longest[0], -1
+        while True:
+            end = at + (lengths[token] if token < size else 1)
             if not failed[end >> 3] >> (end & 7) & 1:
-                # A character NUL has no piece, so no other pair has this key.
-                if (fit := known(f"{last}\0{token}")) is None:
-                    fit = fits(last, token)
+                key = last << 32 | token
+                if (fit := known(key)) is None:
+                    fit = fits(last, token, key)
                 if fit:
                     tokens.append(token)
-                    at, last = end, token
-                    size = longest[at] or 1 if at < n else 0
+                    if end == n:
+                        return tokens
+                    at, last, token = end, token, longest[end]
                     continue
-            size = shorter.get(token, 0)
-            while not size:  # nothing fits after the last token: take it back, then try a shorter one
+            token = shorter[token] if token < size else -1
+            while token < 0:  # nothing fits after the last token: take it back, then try a shorter one
                 if not tokens:
                     raise ValueError("no sequence of pieces fits; the model is not complete")
                 failed[at >> 3] |= 1 << (at & 7)
                 token = tokens.pop()
-                at -= len(token)
-                size, last = shorter.get(token, 0), tokens[-1] if tokens else ""
-        return tokens
+                at -= lengths[token] if token < size else 1
+                last = tokens[-1] if tokens else -1
+                token = shorter[token] if token < size else -1
 
     def packed(self, unit: str) -> bytes:
         """Ids of a unit as little-endian 32-bit integers; characters without a piece become their bytes."""
-        tokens = self.split(unit)
-        try:
-            return pack(f"<{len(tokens)}i", *[self.ids[t] for t in tokens])
-        except KeyError:
-            ids = [i for t in tokens for i in ([self.ids[t]] if t in self.ids else [self.byte_ids[b] for b in t.encode()])]
-            return pack(f"<{len(ids)}i", *ids)
+        ids = self.split(unit)
+        if max(ids) >= self.size:
+            ids = [i for t in ids for i in ([t] if t < self.size else [self.byte_ids[b] for b in chr(t - self.size).encode()])]
+        return pack(f"<{len(ids)}i", *ids)
 
     def unit(self, unit: str) -> bytes:
         """The same, kept."""
-        if (known := self.units.get(unit)) is None:
+        if (known := self.units.known(unit)) is None:
             self.units.keep(unit, known := self.packed(unit))
         return known
 
@@ -160,6 +171,8 @@ class Pieces:
 
     def word(self, word: str) -> bytes:
         """Ids of a blank and these characters, none of them a blank."""
+        if (known := self.led.known(word)) is not None:
+            return known
         out = self.packed(SPACE + word) if not (self.by_line and "\n" in word) else b"".join(map(self.unit, self.parts(SPACE + word)))
         self.led.keep(word, out)
         return out
@@ -173,10 +186,8 @@ class Pieces:
             # Runs of blanks lead the word after them; other models may merge across words.
             whole = SPACE + text.replace(" ", SPACE)
             return b"".join(map(self.unit, self.parts(whole))) if self.by_blank else self.packed(whole)
-        led, out = self.led, []
-        for w in words:
-            out.append(led.get(w) or self.word(w))
-        return b"".join(out)
+        led = self.led
+        return b"".join([led.get(w) or self.word(w) for w in words])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: one leading blank goes, bytes that make no character become U+FFFD each."""

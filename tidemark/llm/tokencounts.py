@@ -28,7 +28,7 @@ class Cutter:
         self.parts: Kept = Kept()  # of a piece of text: pieces of its known pre-tokens, its other pre-tokens
 
     def of(self, piece: str) -> tuple[int, tuple[str, ...]]:
-        if (parts := self.parts.get(piece)) is None:
+        if (parts := self.parts.known(piece)) is None:
             words = self.bpe.pre_tokens(piece)
             parts = sum(self.known.get(w, 0) for w in words), tuple(w for w in words if w not in self.known)
             self.parts.keep(piece, parts)
