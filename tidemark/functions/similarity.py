@@ -10,7 +10,7 @@ spreads over many tasks instead of meeting in one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -118,13 +118,18 @@ def topk(queries: DataFrame, chunks: DataFrame, on: Sequence[str] = (), ttl_seco
 
         found = chunks.mapInPandas(scan, schema)
     else:
-        found = _grid(queries, chunks, on, ttl_seconds, floor, exclude_self, block, schema)
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            work = _Scan(a, on, ttl_seconds, floor, exclude_self)
+            work.add(b)
+            return work.leaders.frame()
+
+        found = grid(queries, chunks, on, block, run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).drop("k")
 
 
-def _grid(queries: DataFrame, chunks: DataFrame, on: list[str], ttl, floor, other: bool, block: int, schema) -> DataFrame:
-    """Every (query block, chunk block) cell in its own task.
+def grid(queries: DataFrame, chunks: DataFrame, on: list[str], block: int, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """What `run` makes of every (query block, chunk block) cell, each in its own task; it compares the `on` columns itself.
 
     Keys with few rows share cells of about one block; a key with more rows
     than that is cut into blocks of its own, each query block meeting each
@@ -153,10 +158,4 @@ def _grid(queries: DataFrame, chunks: DataFrame, on: list[str], ttl, floor, othe
     # Fresh column ids: both sides may stem from one DataFrame.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     cell = ["_g", "_i", "_j"]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        work = _Scan(a, on, ttl, floor, other)
-        work.add(b)
-        return work.leaders.frame()
-
     return left.drop("nq", "nc").groupBy(*cell).cogroup(right.drop("nq", "nc").groupBy(*cell)).applyInPandas(run, schema)

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.functions import similarity
 from tidemark.functions.text import KEY_LENGTH, PREVIEW_LENGTH, adaptive_k, tokens
 from tidemark.functions.vectors import hashed_embedding
+from tidemark.operators import vector_index
 from tidemark.plans.session import broadcast_if_small, cut_lineage, small_enough
 
 # Fixed values of the ranking.
@@ -40,47 +41,10 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, where: dict[str, object]
     return similarity.topk(questions, matching(chunks, where), exclude_self=exclude_self)
 
 
-def dense_topk_approx(questions: DataFrame, chunks: DataFrame, cells: int = 64, probes: int = 32, sample: int = 20_000, seed: int = 42,
+def dense_topk_approx(questions: DataFrame, chunks: DataFrame, where: dict[str, object] | None = None, probes: int = 32, rescored: int = 25,
                       exclude_self: bool = False) -> DataFrame:
-    """Approximate form of `dense_topk` for two large sides, as (query_id, chunk_id, score, rank).
-
-    Centroids are fitted on at most `sample` chunks; every chunk is indexed in the cell of its nearest centroid, and a
-    question meets only the `probes` cells nearest to it, so about probes / cells of all pairs are scored.  Scores of
-    what is found are exact; recall grows with `probes` and reaches the exact result at probes = cells.  A hot cell is
-    cut into blocks like any hot key of the exact form.
-    """
-    known = chunks.where("vector IS NOT NULL")
-    # A bounded sample, the same for the same chunks.
-    picked = known.orderBy(F.xxhash64(F.lit(seed), "chunk_id"), "chunk_id").limit(sample).select("vector").toPandas()
-    points = similarity._unit(picked["vector"]) if len(picked) else np.zeros((0, 1))
-    sent = chunks.sparkSession.sparkContext.broadcast(_centroids(points, cells, seed))
-
-    def nearest(n: int) -> Callable[[Column], Column]:
-        @F.arrow_udf(T.ArrayType(T.IntegerType()))
-        def cell_of(vectors: pa.Array) -> pa.Array:
-            closeness = similarity._unit(vectors.to_pandas()) @ sent.value.T if len(vectors) else np.zeros((0, 1))
-            return pa.array(np.argsort(-closeness, axis=1, kind="stable")[:, :n].tolist(), pa.list_(pa.int32()))
-
-        return cell_of
-
-    if not len(points):
-        return dense_topk(questions, chunks, exclude_self=exclude_self)
-    asked = questions.where("vector IS NOT NULL").withColumn("cell", F.explode(nearest(probes)(F.col("vector"))))
-    indexed = known.withColumn("cell", F.get(nearest(1)(F.col("vector")), F.lit(0)))
-    return similarity.topk(asked, indexed, on=["cell"], exclude_self=exclude_self)
-
-
-def _centroids(points: np.ndarray, cells: int, seed: int, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means of a bounded sample."""
-    rng = np.random.default_rng(seed)
-    centres = points[rng.choice(len(points), min(cells, len(points)), replace=False)] if len(points) else points
-    for _ in range(rounds if len(points) else 0):
-        own = (points @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, points)
-        length = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(length > 0, np.divide(sums, length, out=np.zeros_like(sums), where=length > 0), centres)
-    return centres
+    """Approximate form of `dense_topk`, as (query_id, chunk_id, score, rank): see `vector_index`, which also keeps an index."""
+    return vector_index.search(vector_index.build(matching(chunks, where)), questions, probes, rescored, exclude_self)
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
