@@ -250,17 +250,21 @@ def _keys_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return docs.join(wanted, "_d", "left_semi").mapInArrow(run, "_d long, keys binary").where("length(keys) > 0").repartition("_d").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids in pairs (a, b), each once, as _d."""
+    return pairs.select(F.col("a").alias("_d")).unionByName(pairs.select(F.col("b").alias("_d"))).distinct()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Those of the candidate pairs (distinct) that link; written.  Only sets of pairs that pass the suffix filter are made."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_d")).distinct()
+    ids = _ends(pairs)
     if small_enough(ids, 1_000_000):
         ids = F.broadcast(ids)  # at most a million ids
     maps = sets.where("n > 0").select("_d", "n", "bits").join(ids, "_d", "left_semi").distinct()
     a, b = (maps.select(F.col("_d").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
     pairs = stored(both.mapInArrow(_suffix_filter, "a long, b long").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_d")).distinct()
-    whole = stored(_keys_of(docs, wanted, n))
+    whole = stored(_keys_of(docs, _ends(pairs), n))
     a, b = (whole.select(F.col("_d").alias(c), F.col("keys").alias(f"{c}_keys")) for c in ("a", "b"))
     return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "a_keys", "b_keys").mapInArrow(_verify, "a long, b long").distinct())
 
