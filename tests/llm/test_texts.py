@@ -64,7 +64,7 @@ def test_encode_and_decode_tables(spark, library):
     assert bpe.encode(cases.empty(spark), PATH).count() == 0
 
 
-@pytest.mark.parametrize("common", [0, 3, 1 << 17])
+@pytest.mark.parametrize("common", [0, 3, 1 << 18])
 def test_token_counts(spark, library, common):
     got = tokencounts.count(cases.docs(spark, extra=True), PATH, limit=100, common=common).collect()
     want = [(i, len((t or "").encode()), n := len(expected_ids(library, t)), n > 100) for i, t, *_ in cases.rows()]

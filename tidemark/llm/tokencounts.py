@@ -15,7 +15,7 @@ from tidemark.llm.base import AT_ONCE, Kept, key_and_text, texts_of
 from tidemark.llm.bpe import ByteBpe, loaded, shipped
 
 #: The most frequent pre-tokens of a sample go to every task; the bounds hold whatever the data's size.
-COMMON, SAMPLE = 1 << 17, 4000
+COMMON, SAMPLE = 1 << 18, 4000
 #: Distinct pre-tokens a task gathers before it hands them on.
 GATHERED = 300_000
 
@@ -81,9 +81,9 @@ def _pieces(spec):
             words = coded.dictionary.to_pylist()
             new = [w for w in words if w not in last and w]
             counts = last | dict(zip(new, (len(x) // 4 for x in loaded(spec).encode_words(new)), strict=True)) if new else dict(last)
-            counts[""] = 0
+            counts[""] = -1  # the rows that stand for documents
             each = np.array([counts[w] for w in words], np.int64)[coded.indices.to_numpy()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(each * batch.column(3).to_numpy())], names=["_key", "_hash", "n", "n_bytes", "summed", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(each)], names=["_key", "_hash", "n", "pieces"])
             last = {words[-1]: counts[words[-1]]}
 
     return run
@@ -120,15 +120,18 @@ def count(df: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text:
                     pa.array([[*x[1].items()] for x in found], pa.map_(pa.string(), pa.int64()))], names=schema.fieldNames())
 
     cut = docs.select("_key", F.xxhash64("text").alias("_hash"), "text").mapInArrow(scan, schema)
-    # A row without a token stands for the document; repeated rows are counted by it.
-    marked = cut.select("_key", "_hash", "n_bytes", "summed", F.explode(F.map_concat(F.create_map(F.lit(""), F.lit(1).cast("long")), "rest")).alias("token", "n"))
-    mark = F.col("token") == ""
-    marked = marked.select("token", "_key", "_hash", "n", *(F.when(mark, F.col(c)).alias(c) for c in ("n_bytes", "summed")))
+    # Two rows without a token stand for the document, with its sum and with its size (as -1 - size): the rows that are
+    # shuffled stay narrow.  Repeated rows are counted by them.
+    rest = F.transform(F.map_entries("rest"), lambda x: F.struct(x["key"].alias("token"), x["value"].alias("n")))
+    own = F.array(F.struct(F.lit("").alias("token"), F.col("summed").alias("n")), F.struct(F.lit("").alias("token"), (-1 - F.col("n_bytes")).alias("n")))
+    marked = cut.select("_key", "_hash", F.explode(F.concat(own, rest)).alias("x")).select("x.token", "_key", "_hash", "x.n")
     # The rows of a pre-token meet, those that stand for documents don't.
-    met = marked.repartition(F.when(mark, F.xxhash64("_key", "_hash")).otherwise(F.xxhash64("token"))).sortWithinPartitions("token")
-    counted = met.mapInArrow(_pieces(spec), T.StructType([*(marked.schema[c] for c in ("_key", "_hash", "n", "n_bytes", "summed")), T.StructField("more", T.LongType())]))
+    met = marked.repartition(F.when(F.col("token") == "", F.xxhash64("_key", "_hash")).otherwise(F.xxhash64("token"))).sortWithinPartitions("token")
+    counted = met.mapInArrow(_pieces(spec), T.StructType([*(marked.schema[c] for c in ("_key", "_hash", "n")), T.StructField("pieces", T.LongType())]))
+    of_sum, of_size = (F.col("pieces") < 0) & (F.col("n") >= 0), F.col("n") < 0
     total = counted.groupBy("_key", "_hash").agg(
-        F.count("n_bytes").alias("rows"), F.max("n_bytes").alias("n_bytes"), F.max("summed").alias("summed"), F.sum("more").alias("more"))
+        F.sum(of_sum.cast("long")).alias("rows"), F.max(F.when(of_size, -1 - F.col("n"))).alias("n_bytes"), F.max(F.when(of_sum, F.col("n"))).alias("summed"),
+        F.sum(F.when(F.col("pieces") >= 0, F.col("n") * F.col("pieces")).otherwise(0)).alias("more"))
     tokens = F.col("summed") + F.col("more") / F.col("rows")
     out = total.select(F.col("_key").alias(key), "n_bytes", tokens.cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
