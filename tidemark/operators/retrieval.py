@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions import similarity
 from tidemark.functions.text import KEY_LENGTH, PREVIEW_LENGTH, adaptive_k, tokens
 from tidemark.functions.vectors import hashed_embedding
-from tidemark.operators import vector_index
+from tidemark.operators import sparse_index, vector_index
 from tidemark.plans.session import broadcast_if_small, cut_lineage, small_enough
 
 # Fixed values of the ranking.
-K1, B = 1.5, 0.75
 BASE_K = 8
 ALPHA = 0.5
 MIN_RELEVANCE = 0.35
-# Distinct (question, term) rows that may be sent to every task: some 20 MB.
-MAX_SENT_TERMS = 300_000
 
 
 def matching(chunks: DataFrame, where: dict[str, object] | None) -> DataFrame:
@@ -47,133 +38,35 @@ def dense_topk_approx(questions: DataFrame, chunks: DataFrame, where: dict[str,
     return vector_index.search(vector_index.build(matching(chunks, where)), questions, probes, rescored, exclude_self)
 
 
-def query_terms(questions: DataFrame) -> DataFrame:
-    """(query_id, k, term, qtf); a repeated term counts every time."""
-    rows = questions.select("query_id", "k", F.explode(tokens(F.col("text"))).alias("term"))
-    return rows.groupBy("query_id", "k", "term").agg(F.count(F.lit(1)).alias("qtf"))
-
+def bm25_topk(questions: DataFrame, chunks: DataFrame, where: dict[str, object] | None = None,
+              max_terms: int = sparse_index.MAX_SENT_TERMS) -> DataFrame:
+    """The k best chunks per question with a positive score; see `sparse_index`, which also keeps an index.
 
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (chunk_id, dl, term, tf) and one row of corpus totals (n, avgdl); empty chunks count."""
-    sized = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.coalesce(F.size("t"), F.lit(0)).alias("dl"), "t")
-    postings = sized.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
-    return postings, sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    A metadata filter restricts the result, not the corpus statistics.  The corpus is read once; when the question terms
+    are few (measured) only they are indexed.
+    """
+    terms = cut_lineage(sparse_index.query_terms(questions))
+    rows = _spread(chunks).select("chunk_id", _usable(where).alias("usable"), tokens(F.col("text")).alias("t"))
+    return sparse_index.search(sparse_index.build(rows, _few_terms(terms, max_terms)), terms, max_terms)
 
 
-def bm25_topk(questions: DataFrame, chunks: DataFrame, where: dict[str, object] | None = None,
-              max_terms: int = MAX_SENT_TERMS) -> DataFrame:
-    """The k best chunks per question with a positive score.
+def _spread(chunks: DataFrame) -> DataFrame:
+    """A small corpus (measured) often is one file that only one task can read: deal its rows out before the work on texts."""
+    return chunks.repartition(chunks.sparkSession.sparkContext.defaultParallelism) if small_enough(chunks) else chunks
 
-    A metadata filter restricts the result, not the corpus statistics.  When
-    the question terms are few (measured) they are sent to the scan, which
-    keeps a running top-k: no text and no (question, chunk) pair is shuffled.
-    Otherwise matched postings meet the question terms in a join.
-    """
-    terms = cut_lineage(query_terms(questions))
-    scored = _bm25_scan(terms, chunks, where) if small_enough(terms, max_terms) else _bm25_join(terms, chunks, where)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).drop("k")
 
+def _usable(where: dict[str, object] | None) -> Column:
+    """Do the metadata of a chunk equal every given value?"""
+    out = F.lit(True)
+    for name, value in (where or {}).items():
+        out = out & F.coalesce(F.col(name) == value, F.lit(False))
+    return out
 
-def _bm25_join(terms: DataFrame, chunks: DataFrame, where: dict[str, object] | None) -> DataFrame:
-    """Scores of all matching pairs; only terms of some question leave the scan.
 
-    The matched postings are written once, because document frequency and
-    scoring both read them.
-    """
-    postings, totals = bm25_index(chunks)
-    matched = cut_lineage(postings.join(terms.select("term").distinct(), "term", "left_semi"))
-    size = totals.first()
-    n, average = size["n"], size["avgdl"] or 1.0
-    frequency = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(frequency, "term").select("query_id", "k", "term", (F.col("qtf") * idf).alias("w"))
-    if where:
-        matched = matched.join(matching(chunks, where).select("chunk_id"), "chunk_id", "left_semi")
-    length = 1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / F.lit(average)
-    gain = F.col("w") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * length)
-    return matched.join(weighted, "term").groupBy("query_id", "k", "chunk_id").agg(
-        F.round(F.sum(gain), similarity.DIGITS).alias("score")).where("score > 0")
-
-
-def _term_counts(batch: pa.RecordBatch, vocabulary: pa.Array):
-    """(chunk, term, tf) arrays of one batch and the chunk lengths."""
-    lists = batch.column("t")
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    term = pc.index_in(lists.flatten(), value_set=vocabulary)
-    known = pc.is_valid(term).to_numpy(zero_copy_only=False)
-    code = owner[known] * len(vocabulary) + term.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-    code, tf = np.unique(code, return_counts=True)
-    return code // len(vocabulary), code % len(vocabulary), tf, lengths
-
-
-def _bm25_scan(terms: DataFrame, chunks: DataFrame, where: dict[str, object] | None) -> DataFrame:
-    """Two scans of the corpus: document frequencies, then scores with a running top-k per task."""
-    asked = terms.toPandas()
-    words, position = np.unique(asked["term"].to_numpy(dtype=object), return_inverse=True)
-    vocabulary = pa.array(list(words), pa.string())
-    tokenised = chunks.select(tokens(F.col("text")).alias("t"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, chunks_seen, length = np.zeros(len(words), dtype=np.int64), 0, 0
-        for batch in batches:
-            _, term, _, lengths = _term_counts(batch, vocabulary)
-            df += np.bincount(term, minlength=len(words))
-            chunks_seen, length = chunks_seen + len(lengths), length + int(lengths.sum())
-        hit = np.nonzero(df)[0]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.append(hit, -1), pa.int64()), pa.array(np.append(df[hit], chunks_seen), pa.int64()),
-            pa.array(np.append(np.zeros(len(hit), dtype=np.int64), length), pa.int64())], names=["term", "df", "dl"])
-
-    # At most one row per question term comes back.
-    totals = tokenised.mapInArrow(count, "term long, df long, dl long").groupBy("term").agg(F.sum("df"), F.sum("dl")).collect()
-    frequency = {t: d for t, d, _ in totals}
-    n, average = frequency.pop(-1, 0), max((d for t, _, d in totals if t == -1), default=0)
-    average = average / n if n and average else 1.0
-    queries = asked[["query_id", "k"]].drop_duplicates("query_id").reset_index(drop=True)
-    row_of = {q: i for i, q in enumerate(queries["query_id"])}
-    by_term: dict[int, tuple[list[int], list[float]]] = {}
-    for q, qtf, t in zip(asked["query_id"], asked["qtf"], position):
-        if t in frequency:
-            idf = math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5))
-            rows, weights = by_term.setdefault(int(t), ([], []))
-            rows.append(row_of[q])
-            weights.append(qtf * idf)
-    weights = {t: (np.array(r), np.array(w)) for t, (r, w) in by_term.items()}
-    sent = chunks.sparkSession.sparkContext.broadcast((queries, vocabulary, weights))
-    schema = T.StructType([
-        terms.schema["query_id"], chunks.schema["chunk_id"], T.StructField("score", T.DoubleType()),
-        T.StructField("k", T.IntegerType())])
-    ids = chunks.schema["chunk_id"].name
-    # Dense score blocks stay near 100 MB.
-    rows_at_once = max(64, 12_000_000 // max(1, len(queries)))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions_, known, weighted = sent.value
-        leaders = similarity.Leaders(questions_["query_id"].to_numpy(), questions_["k"].to_numpy())
-        for whole in batches:
-            for low in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(low, rows_at_once)
-                owner, term, tf, lengths = _term_counts(batch, known)
-                norm = K1 * (1 - B + B * np.maximum(lengths, 1) / average)
-                gain = tf * (K1 + 1) / (tf + norm[owner])
-                scores = np.zeros((len(questions_), batch.num_rows))
-                order = np.argsort(term, kind="stable")
-                term, owner, gain = term[order], owner[order], gain[order]
-                starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.array([], dtype=int)
-                for a, z in zip(starts, np.r_[starts[1:], len(term)]):
-                    rows, w = weighted[int(term[a])]
-                    scores[np.ix_(rows, owner[a:z])] += np.outer(w, gain[a:z])
-                scores = np.round(scores, similarity.DIGITS)
-                scores[scores <= 0] = -np.inf
-                leaders.merge(scores, batch.column(ids).to_pylist())
-        out = leaders.frame()
-        if len(out):
-            yield pa.RecordBatch.from_pandas(out, schema=to_arrow_schema(schema), preserve_index=False)
-
-    return matching(chunks, where).select("chunk_id", tokens(F.col("text")).alias("t")).mapInArrow(scan, schema)
+def _few_terms(terms: DataFrame, most: int) -> list[str] | None:
+    """The distinct terms, if there are at most so many."""
+    head = terms.select("term").distinct().limit(most + 1).toPandas()["term"]
+    return sorted(head) if len(head) <= most else None
 
 
 def normalised(hits: DataFrame) -> DataFrame:
@@ -205,13 +98,18 @@ def hybrid_retrieve(questions: DataFrame, chunks: DataFrame, where: dict[str, ob
     """(query_id, chunk_id, score, rank) for questions (query_id, text) over chunks (chunk_id, text[, vector])."""
     k = adaptive_k(F.col("text"), base_k) if adaptive else F.lit(base_k)
     asked = questions.select("query_id", "text", k.alias("k"))
-    if "vector" not in chunks.columns:
-        chunks = chunks.withColumn("vector", embed(F.col("text")))
-    dense = dense_topk(asked.withColumn("vector", embed(F.col("text"))), chunks, where)
+    vector = F.col("vector") if "vector" in chunks.columns else embed(F.col("text"))
+    asking = asked.withColumn("vector", embed(F.col("text")))
     if not hybrid:
-        return dense
-    sparse = bm25_topk(asked, chunks.drop("vector"), where)
-    keys = chunks.select("chunk_id", F.substring("text", 1, KEY_LENGTH).alias("key"))
+        return dense_topk(asking, chunks.withColumn("vector", vector), where)
+    # One pass over the corpus: the index carries what both sides and the fusion need of a chunk.
+    terms = cut_lineage(sparse_index.query_terms(asked))
+    rows = _spread(chunks).select("chunk_id", _usable(where).alias("usable"), F.substring("text", 1, KEY_LENGTH).alias("key"), vector.alias("vector"), tokens(F.col("text")).alias("t"))
+    index = sparse_index.build(rows, _few_terms(terms, sparse_index.MAX_SENT_TERMS))
+    carried = sparse_index.described(index)
+    dense = dense_topk(asking, carried.where("usable"))
+    sparse = sparse_index.search(index, terms)
+    keys = carried.select("chunk_id", "key")
     found = dense.withColumn("side", F.lit("d")).unionByName(sparse.withColumn("side", F.lit("s")))
     # k rows per question and side, read several times below: written once.
     found = keys.join(broadcast_if_small(cut_lineage(found)), "chunk_id")
