@@ -11,8 +11,8 @@ from tidemark.functions.semantics import (
     as_date, checked_range, granularity_for_span, growth_vs_positive_base, half_even, horizon_rank, overlap_fraction,
 )
 from tidemark.operators import facts
-
-HORIZON_STEP = {"daily": "interval 1 day", "weekly": "interval 7 days", "monthly": "interval 1 month"}
+from tidemark.operators.asof import asof_join
+from tidemark.plans.session import cut_lineage
 
 
 def _end_of(period, horizon):
@@ -97,29 +97,41 @@ def resolve(bookings: DataFrame, forecast: DataFrame, start, end, as_of) -> tupl
         periods.orderBy("kind", "period"))
 
 
+def _share(row, start, end):
+    return overlap_fraction(row["period"], row["last_day"], start, end)
+
+
 def forecast_for_ranges(requests: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Prorated forecast of a table of ranges (request_id, start, end, horizon).
+    """Prorated forecast of a table of ranges (request_id, start, end, horizon), one row each.
 
-    Forecast periods start on a calendar grid, so every range is expanded to
-    the period starts it touches and meets the forecast in an equi-join; there
-    is no interval (nested-loop) join.  A range that no period covers has a
-    total of 0; beyond_horizon tells that the forecast ends before the range.
+    The forecast becomes running totals per horizon; a range is the difference of two of them, those at its two edges,
+    with the periods that an edge cuts taken in part.  Each edge finds its total by an as-of join, so a range costs the
+    same however long it is, and periods need not lie on a calendar grid (but must not overlap within a horizon).  A range
+    that no period covers has a total of 0; beyond_horizon tells that the forecast ends before the range.
     """
-    first = (
-        F.when(F.col("horizon") == "daily", F.col("start"))
-        .when(F.col("horizon") == "weekly", F.date_trunc("week", "start").cast("date"))
-        .otherwise(F.trunc("start", "month")))
-    touched = (
-        F.when(F.col("horizon") == "daily", F.sequence(first, "end", F.expr(HORIZON_STEP["daily"])))
-        .when(F.col("horizon") == "weekly", F.sequence(first, "end", F.expr(HORIZON_STEP["weekly"])))
-        .otherwise(F.sequence(first, "end", F.expr(HORIZON_STEP["monthly"]))))
-    grid = requests.withColumn("period", F.explode(touched))
-    hits = grid.join(forecast.select("horizon", "period", "forecast_idr"), ["horizon", "period"], "left")
-    share = overlap_fraction(F.col("period"), _end_of(F.col("period"), F.col("horizon")), F.col("start"), F.col("end"))
-    part = (F.col("forecast_idr") * share).cast("decimal(28,6)")
-    known = F.col("forecast_idr").isNotNull()
-    covered = F.max(F.when(known, _end_of(F.col("period"), F.col("horizon"))))
-    return hits.groupBy("request_id", "end").agg(
-        F.count("forecast_idr").alias("periods"), F.coalesce(F.round(F.sum(part).cast("double"), 2), F.lit(0.0)).alias("total_idr"),
-        F.coalesce(F.max(F.when(known, share < 1)), F.lit(False)).alias("partial"),
-        F.coalesce(covered < F.col("end"), F.lit(True)).alias("beyond_horizon")).drop("end")
+    amount = F.col("forecast_idr").cast("decimal(28,6)")
+    rows = forecast.where("forecast_idr IS NOT NULL").groupBy("horizon", "period").agg(F.sum(amount).cast("decimal(28,6)").alias("idr"), F.count("*").alias("n"))
+    rows = rows.withColumn("last_day", _end_of(F.col("period"), F.col("horizon")))
+    # One row per period: as many as the calendar has.
+    order = Window.partitionBy("horizon").orderBy("period")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    period = F.struct("period", "last_day", "idr")
+    running = cut_lineage(rows.select(
+        "horizon", period.alias("own"), F.sum("idr").over(upto).alias("idr"), F.sum("n").over(upto).alias("n"), F.lead(period).over(order).alias("next")))
+    begun = running.select("horizon", F.col("own.period").alias("since"), "own", "idr", "n")
+    over = running.select("horizon", F.date_add("own.last_day", 1).alias("since"), F.col("next").alias("own"), "idr", "n")
+    wanted = requests.select("request_id", "start", "end", "horizon")
+    edges = asof_join(asof_join(wanted, begun, ["horizon"], "end", "since", "upper"), over, ["horizon"], "start", "since", "lower")
+    # Before the end of the first period nothing is over, and that one comes next.
+    edges = edges.join(F.broadcast(running.groupBy("horizon").agg(F.min("own").alias("first"))), "horizon", "left")  # one row per horizon
+    first, last = F.when(F.col("lower").isNull(), F.col("first")).otherwise(F.col("lower.own")), F.col("upper.own")
+    n, idr = F.coalesce("lower.n", F.lit(0)), F.coalesce("lower.idr", F.lit(0).cast("decimal(38,6)"))
+    hit = F.coalesce(F.col("upper.n") - n, F.lit(0)) > 0
+    low, high = (_share(x, F.col("start"), F.col("end")) for x in (first, last))
+    cut = lambda x, share: x["idr"] - (x["idr"].cast("double") * share).cast("decimal(28,6)")  # noqa: E731  what lies outside
+    whole = F.col("upper.idr") - idr
+    total = whole - cut(last, high) - F.when(first["period"] != last["period"], cut(first, low)).otherwise(F.lit(0).cast("decimal(28,6)"))
+    return edges.select(
+        "request_id", F.when(hit, F.col("upper.n") - n).otherwise(F.lit(0)).cast("long").alias("periods"),
+        F.when(hit, F.round(total.cast("double"), 2)).otherwise(F.lit(0.0)).alias("total_idr"),
+        (hit & ((low < 1) | (high < 1))).alias("partial"), (~hit | (last["last_day"] < F.col("end"))).alias("beyond_horizon"))
