@@ -87,7 +87,7 @@ class Pieces:
         self.parts = re.compile(f"\n|{SPACE}*[^\n{SPACE}]+|{SPACE}+" if self.by_line else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.pairs: dict[int, bool] = {}
         self.units: Kept = Kept(16_000_000)
-        self.led: Kept = Kept(96_000_000)
+        self.led: Kept = Kept(64_000_000)
 
     # ---- one unit ----
 
