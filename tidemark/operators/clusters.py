@@ -9,7 +9,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import approx_quantiles, quantiles
+from tidemark.functions.quantiles import approx_quantiles, quantiles_of
 
 RFM = ["recency_days", "frequency", "monetary_total"]
 
@@ -40,12 +40,15 @@ def silhouette(model: PipelineModel, features: DataFrame) -> float:
 
 def cluster_profile(clustered: DataFrame, exact: bool = True) -> DataFrame:
     """Size, median spend, median recency and share of single bookers per cluster."""
-    pick = quantiles if exact else approx_quantiles
     sizes = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("customers"), F.avg((F.col("track") == "single").cast("int")).alias("single_share"))
-    spend = pick(clustered, "monetary_total", {"median_spend_idr": 0.5}, ["cluster"]).drop("n")
-    recency = pick(clustered, "recency_days", {"median_recency_days": 0.5}, ["cluster"]).drop("n")
-    return sizes.join(spend, "cluster").join(recency, "cluster").select(
+    names = {"monetary_total": {"median_spend_idr": 0.5}, "recency_days": {"median_recency_days": 0.5}}
+    if exact:
+        medians = quantiles_of(clustered.select("cluster", *names), names, ["cluster"])
+    else:
+        spend, recency = (approx_quantiles(clustered, m, p, ["cluster"]).drop("n") for m, p in names.items())
+        medians = spend.join(recency, "cluster")
+    return sizes.join(medians, "cluster").select(
         "cluster", "customers", "single_share", F.round("median_spend_idr", 4).alias("median_spend_idr"),
         F.round("median_recency_days", 4).alias("median_recency_days"),
     ).orderBy(F.desc("median_spend_idr"), "cluster")
