@@ -3,6 +3,7 @@
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,13 +30,50 @@ def test_series_fills_gaps_and_drops_the_last_period(spark):
     assert FC.revenue_series(b, "weekly").first()["period"] == date(2024, 1, 8)
 
 
-def test_spark_ridge_equals_closed_form(spark):
-    features = FC.series_features(monthly(spark), "monthly")
-    names, model = FC.fit_ridge(features, "monthly")
-    train = FC.holdout(features, "monthly")[0].toPandas()
-    w, b = FC._closed_form(train[names].to_numpy(float), train["y"].to_numpy(), 1.0)
-    assert np.allclose(model.coefficients.toArray(), w, rtol=1e-6, atol=1e-6)
-    assert model.intercept == pytest.approx(b, rel=1e-6)
+def closed_form(pdf, granularity):
+    """Weights, backtest error and recursive forecast of one series, from its gathered rows."""
+    grain = FC.GRAINS[granularity]
+    pdf = pdf.sort_values("period")
+    y, index, s = pdf["y"].to_numpy(float), pd.DatetimeIndex(pdf["period"]), grain.season
+    level_of = {"daily": lambda i: i.dayofweek, "weekly": lambda i: i.isocalendar().week, "monthly": lambda i: i.month}[granularity]
+    levels = np.array([int(v) for v in level_of(index)])
+    coded = np.unique(levels)[1:]
+    row = lambda lag1, lag_s, t, level: np.array([lag1, lag_s, t, *(level == coded)], float)
+    x = np.array([row(y[i - 1], y[i - s], i, levels[i]) for i in range(s, len(y))])
+    cut = len(x) - grain.test_rows
+    mean_x, mean_y = x[:cut].mean(axis=0), y[s:][:cut].mean()
+    xc = x[:cut] - mean_x
+    w = np.linalg.solve(xc.T @ xc + np.eye(x.shape[1]), xc.T @ (y[s:][:cut] - mean_y))
+    b = mean_y - mean_x @ w
+    test = y[s:][cut:] != 0
+    mape = np.mean(np.abs((y[s:][cut:] - x[cut:] @ w - b) / y[s:][cut:])[test]) * 100
+    step, history, out = {"daily": pd.offsets.Day(1), "weekly": pd.offsets.Day(7), "monthly": pd.offsets.MonthBegin(1)}[granularity], list(y), []
+    for k in range(1, grain.horizon + 1):
+        period = index[-1] + k * step
+        history.append(row(history[-1], history[-s], len(history), int(level_of(pd.DatetimeIndex([period]))[0])) @ w + b)
+        out.append((period.date(), max(history[-1], 0.0)))
+    return dict(zip(["lag1", "lag_s", "t", *(f"period_{c}" for c in coded), "intercept"], [*w, b])), mape, out
+
+
+@pytest.mark.parametrize("granularity, n", [("monthly", 70), ("weekly", 160), ("daily", 600)])
+def test_models_of_many_series_equal_the_closed_form(spark, granularity, n):
+    rng = np.random.default_rng(8)
+    index = pd.date_range("2019-01-07" if granularity == "weekly" else "2019-01-01", periods=n, freq={"daily": "D", "weekly": "7D", "monthly": "MS"}[granularity])
+    pdf = pd.concat([pd.DataFrame({"series": f"s{i}", "period": index.date, "y": 1e6 * (i + 1) * (50 + np.arange(n) / 9 + 9 * np.sin(np.arange(n)) + rng.standard_normal(n))}) for i in range(3)])
+    series = spark.createDataFrame(pdf, "series string, period date, y double").repartition(5)
+    weights = {}
+    for r in FC.fit_ridge(series, granularity).collect():
+        weights.setdefault(r["series"], {})[r["feature"]] = r["weight"]
+    rows = {}
+    for r in FC.ridge_forecast(series, granularity).orderBy("period").collect():
+        rows.setdefault(r["series"], []).append(r)
+    for name, own in pdf.groupby("series"):
+        w, mape, ahead = closed_form(own, granularity)
+        assert weights[name] == pytest.approx(w, rel=1e-5, abs=1e-3)
+        assert [r["period"] for r in rows[name]] == [p for p, _ in ahead] and rows[name][0]["rows_used"] == n
+        assert rows[name][0]["model_mape_pct"] == pytest.approx(mape, abs=0.01)
+        if not rows[name][0]["used_naive"]:
+            assert [r["forecast_idr"] for r in rows[name]] == pytest.approx([v for _, v in ahead], rel=1e-6)
 
 
 def test_forecast_beats_naive_on_a_trend_and_is_recursive(spark):

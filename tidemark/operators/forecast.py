@@ -1,8 +1,8 @@
 """Revenue series, seasonal features, ridge and seasonal-naive forecasts.
 
 A series is one row per calendar period after aggregation, so its length is
-bounded by the calendar and not by the number of bookings.  Windows and grouped
-functions below partition by series; many series run in parallel.
+bounded by the calendar and not by the number of bookings.  Windows below
+partition by series; many series run in parallel, and models are solved from sums, never from gathered series.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,21 +97,6 @@ def holdout(features: DataFrame, granularity: str) -> tuple[DataFrame, DataFrame
     return features.where(~last), features.where(last)
 
 
-def fit_ridge(features: DataFrame, granularity: str, alpha: float = 1.0):
-    """Ridge with an unpenalised intercept as a Spark ML model, equal to the closed form.
-
-    Spark scales the label by its population deviation and divides the loss by
-    n, hence regParam = alpha * stddev_pop(y) / n.
-    """
-    names = [c for c in features.columns if c not in ("series", "period", "y", "from_end")]
-    train, _ = holdout(features, granularity)
-    stats = train.agg(F.count("y").alias("n"), F.stddev_pop("y").alias("s")).first()
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(train)
-    model = LinearRegression(labelCol="y", elasticNetParam=0.0, standardization=False, solver="normal",
-                             regParam=alpha * stats["s"] / stats["n"])
-    return names, model.fit(assembled)
-
-
 def naive_backtest(series: DataFrame, granularity: str) -> DataFrame:
     """MAPE of the seasonal-naive forecast on the holdout; periods with y = 0 are counted, not divided by."""
     test = with_lags(series, granularity).where(F.col("from_end") <= GRAINS[granularity].test_rows)
@@ -161,81 +144,128 @@ def naive_table(bookings: DataFrame, as_of) -> DataFrame:
     return out
 
 
-FORECAST_SCHEMA = ("series string, period date, horizon string, forecast_idr double, model_mape_pct double,"
-                   " naive_mape_pct double, used_naive boolean, rows_used long")
-
-
-def _closed_form(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    mean_x, mean_y = x.mean(axis=0), y.mean()
-    xc = x - mean_x
-    w = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ (y - mean_y))
-    return w, float(mean_y - mean_x @ w)
-
-
-def _mape(actual: np.ndarray, guess: np.ndarray) -> float:
-    usable = actual != 0
-    if not usable.any():
-        return float("nan")
-    return float(np.mean(np.abs((actual[usable] - guess[usable]) / actual[usable])) * 100)
+#: Columns that a model weighs besides the calendar dummies.
+LAGS = ("lag1", "lag_s", "t")
+#: Products whose sums a model needs.
+_SUMS = [(a, b) for i, a in enumerate(LAGS) for b in (*LAGS, "y")[i:]]
 
 
-def _levels(index: pd.DatetimeIndex, granularity: str) -> np.ndarray:
-    if granularity == "daily":
-        return index.dayofweek.to_numpy()
-    if granularity == "weekly":
-        return index.isocalendar().week.to_numpy().astype(int)
-    return index.month.to_numpy()
+def _solved(parts: list[dict], alpha: float) -> tuple[float, list[float], list[float]]:
+    """Intercept, weights of LAGS and of each calendar level after the first, from the sums of the training rows.
 
-
-def _forecast_one(pdf: pd.DataFrame, granularity: str, alpha: float, on_short: str) -> pd.DataFrame:
+    A level that no training row has gets weight 0, as does the first one, which the intercept stands for.
+    """
+    n = sum(p["n"] for p in parts)
+    levels = parts[1:]
+    d = len(LAGS) + len(levels)
+    total = np.array([sum(p[c] for p in parts) for c in LAGS] + [float(p["n"]) for p in levels])
+    gram, cross = np.zeros((d, d)), np.zeros(d)
+    for a, b in _SUMS:
+        both, i = sum(p[f"{a}_{b}"] for p in parts), LAGS.index(a)
+        if b == "y":
+            cross[i] = both
+        else:
+            gram[i, LAGS.index(b)] = gram[LAGS.index(b), i] = both
+    for k, p in enumerate(levels, len(LAGS)):
+        gram[k, k], cross[k] = p["n"], p["y"]
+        for i, c in enumerate(LAGS):
+            gram[i, k] = gram[k, i] = p[c]
+    y = sum(p["y"] for p in parts)
+    # Centred, so the intercept is not shrunk.
+    w = np.linalg.solve(gram - np.outer(total, total) / n + alpha * np.eye(d), cross - total * y / n)
+    return float((y - total @ w) / n), w[: len(LAGS)].tolist(), [0.0, *w[len(LAGS):].tolist()]
+
+
+def ridge_models(series: DataFrame, granularity: str, alpha: float = 1.0) -> DataFrame:
+    """One row per series with its ridge model (unpenalised intercept), fitted on all but the last test rows.
+
+    Columns: series, rows (length), usable (rows with both lags), last (period), intercept, weights (of `LAGS`), levels
+    (calendar level to weight), test and tail: the test rows, and the values of a season ago for each step ahead.
+
+    The Gram matrix is sums of products per series and calendar level, partial aggregates that never gather a series;
+    what is solved is a row of at most a season's levels, whatever the series' length.
+    """
     grain = GRAINS[granularity]
-    pdf = pdf.sort_values("period")
-    name, y = pdf["series"].iloc[0], pdf["y"].to_numpy(float)
-    index = pd.DatetimeIndex(pdf["period"])
-    n = len(y) - grain.season
-    if n < 3 * grain.test_rows:
-        if on_short == "error":
-            raise ValueError(f"{granularity} series {name}: {max(n, 0)} rows after a lag of {grain.season} are too few")
-        return pd.DataFrame(columns=[c.split()[0] for c in FORECAST_SCHEMA.split(", ")])
-    levels = _levels(index, granularity)
-    coded = np.unique(levels)[1:]
-
-    def design(lag1, lag_s, t, level):
-        return np.column_stack([lag1, lag_s, t, (np.asarray(level)[:, None] == coded).astype(float)])
-
-    s = grain.season
-    rows = design(y[s - 1:-1], y[:-s], np.arange(s, len(y)), levels[s:])
-    target, cut = y[s:], n - grain.test_rows
-    w, b = _closed_form(rows[:cut], target[:cut], alpha)
-    model_mape = _mape(target[cut:], rows[cut:] @ w + b)
-    naive_mape = _mape(target[cut:], rows[cut:, 1])
-    # NaN (nothing to compare) keeps the naive rule.
-    use_naive = not model_mape < naive_mape
-    history, out = list(y), []
-    freq = {"daily": pd.offsets.Day(1), "weekly": pd.offsets.Day(7), "monthly": pd.offsets.MonthBegin(1)}[granularity]
-    for k in range(1, grain.horizon + 1):
-        period = index[-1] + k * freq
-        value = history[-s]
-        if not use_naive:
-            level = _levels(pd.DatetimeIndex([period]), granularity)
-            value = float(design([history[-1]], [history[-s]], [len(history)], level)[0] @ w + b)
-        history.append(value)
-        out.append((name, period.date(), granularity, max(value, 0.0), round(model_mape, 2), round(naive_mape, 2),
-                    use_naive, len(y)))
-    return pd.DataFrame(out, columns=[c.strip().split()[0] for c in FORECAST_SCHEMA.split(",")])
+    rows = with_lags(series, granularity).withColumn("level", season_level("period", granularity))
+    usable = F.col("lag1").isNotNull() & F.col("lag_s").isNotNull()
+    train = usable & (F.col("from_end") > grain.test_rows)
+    of = lambda c: F.col(c).cast("double")
+    sums = {**{c: of(c) for c in (*LAGS, "y")}, **{f"{a}_{b}": of(a) * of(b) for a, b in _SUMS}}
+    ahead = (F.col("from_end") <= grain.season) & (F.col("from_end") > grain.season - grain.horizon)
+    per_level = rows.groupBy("series", "level").agg(
+        F.count_if(train).alias("n"), *[F.coalesce(F.sum(F.when(train, x)), F.lit(0.0)).alias(c) for c, x in sums.items()],
+        F.count("*").alias("rows"), F.count_if(usable).alias("usable"), F.max(F.struct("period", "y")).alias("last"),
+        F.collect_list(F.when(usable & (F.col("from_end") <= grain.test_rows), F.struct("period", "y", *LAGS, "level"))).alias("test"),
+        F.collect_list(F.when(ahead, F.struct((grain.season - F.col("from_end") + 1).alias("k"), "y"))).alias("tail"))
+    per_series = per_level.groupBy("series").agg(
+        F.sort_array(F.collect_list(F.struct("level", "n", *sums))).alias("sums"), F.sum("rows").alias("rows"), F.sum("usable").alias("usable"), F.max("last").alias("last"),
+        F.sort_array(F.flatten(F.collect_list("test"))).alias("test"), F.sort_array(F.flatten(F.collect_list("tail"))).alias("tail"))
+
+    @F.pandas_udf("struct<intercept: double, weights: array<double>, levels: map<int, double>>")
+    def solve(parts: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in parts:
+            given = [dict(x) if isinstance(x, dict) else x.asDict() for x in p]
+            if not sum(x["n"] for x in given):
+                out.append((None, None, None))
+                continue
+            intercept, weights, levels = _solved(given, alpha)
+            out.append((intercept, weights, dict(zip((int(x["level"]) for x in given), levels, strict=True))))
+        return pd.DataFrame(out, columns=["intercept", "weights", "levels"])
+
+    return per_series.withColumn("model", solve("sums")).select("series", "rows", "usable", "last", "model.*", "test", "tail")
+
+
+def fit_ridge(series: DataFrame, granularity: str, alpha: float = 1.0) -> DataFrame:
+    """(series, feature, weight) of every series: lag1, lag_s, t, period_<level> after the first level, intercept."""
+    models = ridge_models(series, granularity, alpha).where("intercept IS NOT NULL")
+    named = F.map_from_arrays(F.array(*map(F.lit, LAGS)), "weights")
+    first = F.array_min(F.map_keys("levels"))
+    later = F.transform_keys(F.map_filter("levels", lambda k, v: k != first), lambda k, v: F.concat(F.lit("period_"), k.cast("string")))
+    return models.select("series", F.explode(F.map_concat(named, later, F.create_map(F.lit("intercept"), F.col("intercept")))).alias("feature", "weight"))
+
+
+def _next_period(last: Column, k: Column, granularity: str) -> Column:
+    if granularity == "monthly":
+        return F.add_months(last, k.cast("int"))
+    return F.date_add(last, (k * (7 if granularity == "weekly" else 1)).cast("int"))
 
 
 def ridge_forecast(series: DataFrame, granularity: str, alpha: float = 1.0, on_short: str = "error") -> DataFrame:
     """Backtested recursive forecast of every series; a model that loses to seasonal naive is replaced by it.
 
-    Each step feeds the unclipped prediction into the next; the output is never
-    negative.  The recursion is sequential within a series only.
+    Each step feeds the unclipped prediction into the next; the output is never negative.  A series too short to model
+    is an error, or left out with on_short="skip".  Backtest and recursion run on the fixed-size row of a model.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _forecast_one(pdf, granularity, alpha, on_short)
-
-    return series.groupBy("series").applyInPandas(run, FORECAST_SCHEMA)
+    grain = GRAINS[granularity]
+    short = F.col("usable") < 3 * grain.test_rows
+    models = ridge_models(series, granularity, alpha)
+    if on_short == "error":
+        message = F.format_string(f"{granularity} series %s: %s rows after a lag of {grain.season} are too few", F.col("series"), F.col("usable").cast("string"))
+        models = models.withColumn("usable", F.when(short, F.raise_error(message).cast("bigint")).otherwise(F.col("usable")))
+    models = models.where(~short)
+    w = [F.get("weights", F.lit(i)) for i in range(len(LAGS))]
+    guess = lambda lag1, lag_s, t, level: F.col("intercept") + w[0] * lag1 + w[1] * lag_s + w[2] * t + F.coalesce(F.col("levels")[level], F.lit(0.0))
+    error = lambda r, at: F.abs((r["y"] - at) / r["y"])
+    known = F.filter("test", lambda r: r["y"] != 0)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(xs), F.lit(0)) * 100
+    models = models.withColumns({
+        "model_mape": mean(F.transform(known, lambda r: error(r, guess(r["lag1"], r["lag_s"], r["t"], r["level"])))),
+        "naive_mape": mean(F.transform(known, lambda r: error(r, r["lag_s"])))})
+    # Nothing to compare keeps the naive rule.
+    models = models.withColumn("used_naive", ~F.coalesce(F.col("model_mape") < F.col("naive_mape"), F.lit(False)))
+    steps = F.transform("tail", lambda r: F.struct(r["y"].alias("lag_s"), _next_period(F.col("last.period"), r["k"], granularity).alias("period"), (F.col("rows") + r["k"] - 1).cast("double").alias("t")))
+    start = F.struct(F.col("last.y").alias("at"), F.array().cast("array<struct<period: date, value: double>>").alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        value = F.when(F.col("used_naive"), r["lag_s"]).otherwise(guess(acc["at"], r["lag_s"], r["t"], season_level(r["period"], granularity)))
+        return F.struct(value.alias("at"), F.concat(acc["out"], F.array(F.struct(r["period"].alias("period"), value.alias("value")))).alias("out"))
+
+    models = models.withColumn("ahead", F.explode(F.aggregate(steps, start, step)["out"]))
+    shown = lambda c: F.coalesce(F.round(c, 2), F.lit(float("nan"))).alias(f"{c}_pct")
+    return models.select(
+        "series", "ahead.period", F.lit(granularity).alias("horizon"), F.greatest("ahead.value", F.lit(0.0)).alias("forecast_idr"), shown("model_mape"), shown("naive_mape"), "used_naive",
+        F.col("rows").alias("rows_used"))
 
 
 def forecast_panel(bookings: DataFrame, key: str, granularity: str = "monthly") -> DataFrame:

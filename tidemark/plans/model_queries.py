@@ -319,49 +319,85 @@ query("series_features", oracle("bookings", f"""
 _MONTHS = ", ".join(f"'period_{m}'" for m in range(2, 13))
 
 
-@query("fit_ridge", oracle("bookings", f"""
-  SELECT unnest(['lag1', 'lag_s', 't', {_MONTHS}, 'intercept']) AS feature, n, true AS solves FROM (
-    SELECT count(*) AS n FROM ({lags_sql('monthly')}) WHERE lag_s IS NOT NULL AND from_end > {FC.GRAINS['monthly'].test_rows})"""))
-def _ridge(spark, sf):
-    """Whether each weight solves its normal equation: the residuals' sum with the feature equals alpha times the weight."""
-    rows = FC.series_features(FC.revenue_series(T.bookings(spark, sf), "monthly"), "monthly")
-    names, model = FC.fit_ridge(rows, "monthly")
-    weights = dict(zip(names, map(float, model.coefficients)))
-    train, _ = FC.holdout(rows, "monthly")
-    left = F.col("y") - model.intercept - sum(F.col(n) * w for n, w in weights.items())
-    columns = {**{n: F.col(n).cast("double") for n in names}, "intercept": F.lit(1.0)}
-    sums = train.select(left.alias("left"), *[c.alias(f"x_{n}") for n, c in columns.items()], "y").agg(
-        F.count("*").alias("n"), F.array(*[F.struct(
-            F.lit(n).alias("feature"), F.sum(F.col("left") * F.col(f"x_{n}")).alias("g"), F.sum(F.abs(F.col("y") * F.col(f"x_{n}"))).alias("size"),
-            F.lit(weights.get(n, 0.0)).alias("w")) for n in columns]).alias("e"))
-    return sums.select("n", F.explode("e").alias("e")).select("e.feature", "n", (F.abs(F.col("e.g") - F.col("e.w")) <= 1e-6 * (F.col("e.size") + 1)).alias("solves"))
+# Level of a period (as a number), and the levels after the first.
+_LEVEL = {"monthly": ("month({0})", (2, 13)), "weekly": ("weekofyear({0})", (2, 54)), "daily": ("isodow({0}) - 1", (1, 7))}
+_PANEL = f"""SELECT series, CAST(p AS DATE) AS period, coalesce(y, 0.0) AS y FROM (
+    SELECT series, unnest(generate_series(min(p), max(p) - INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS p FROM sums GROUP BY 1) LEFT JOIN sums USING (series, p)"""
+_PANEL_SUMS = f"""SELECT coalesce(nullif(destination_name, ''), 'Unknown') AS series, CAST(date_trunc('month', booking_date) AS TIMESTAMP) AS p, {money()} AS y
+    FROM bookings WHERE {COMMIT_PAID} GROUP BY 1, 2"""
+
+
+def ridge_ctes(series: str, g: str, p: str = "") -> dict[str, str]:
+    """Ridge models of all series, solved by Gauss-Jordan elimination of the centred normal equations, and what follows from
+    them; names begin with p.  `solved` and `steps` rest on recursive tables."""
+    grain, (level, (low, high)) = FC.GRAINS[g], _LEVEL[g]
+    d = 3 + high - low
+    dummies = lambda period: f"list_transform(range({low}, {high}), lambda q: CAST({level.format(period)} = q AS DOUBLE))"
+    later = f"last + CAST(s.k + 1 AS INT) * {_STEP[g]}"
+    return {
+        f"{p}panel": series,
+        f"{p}lagged": f"""SELECT *, lag(y, 1) OVER w AS lag1, lag(y, {grain.season}) OVER w AS lag_s, row_number() OVER w - 1 AS t,
+            row_number() OVER (PARTITION BY series ORDER BY period DESC) AS from_end, count(*) OVER (PARTITION BY series) AS n
+          FROM {p}panel WINDOW w AS (PARTITION BY series ORDER BY period)""",
+        f"{p}x": f"SELECT *, [lag1, lag_s, CAST(t AS DOUBLE)] || {dummies('period')} AS v FROM {p}lagged WHERE lag_s IS NOT NULL AND n - {grain.season} >= {3 * grain.test_rows}",
+        f"{p}cells": f"SELECT series, t, y, i, v[i] AS v FROM (SELECT *, unnest(range(1, {d + 1})) AS i FROM {p}x WHERE from_end > {grain.test_rows})",
+        f"{p}centred": f"SELECT *, v - avg(v) OVER (PARTITION BY series, i) AS c, y - avg(y) OVER (PARTITION BY series, i) AS z FROM {p}cells",
+        f"{p}gram": f"""SELECT series, i, list(s ORDER BY j) AS r FROM (
+          SELECT a.series, a.i, b.i AS j, sum(a.c * b.c) + CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END AS s FROM {p}centred a JOIN {p}centred b USING (series, t) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        f"{p}rhs": f"SELECT series, i, sum(c * z) AS s FROM {p}centred GROUP BY 1, 2",
+        f"{p}matrix": f"SELECT series, list(r || [s] ORDER BY i) AS m FROM {p}gram JOIN {p}rhs USING (series, i) GROUP BY 1",
+        f"{p}elimination": f"""SELECT series, 1 AS k, m FROM {p}matrix UNION ALL
+          SELECT series, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END)
+          FROM {p}elimination WHERE k <= {d}""",
+        f"{p}solved": f"SELECT series, list_transform(m, lambda r: r[{d + 1}]) AS w FROM {p}elimination WHERE k = {d + 1}",
+        f"{p}means": f"SELECT series, list(a ORDER BY i) AS a, any_value(b) AS b FROM (SELECT series, i, avg(v) AS a, avg(y) AS b FROM {p}cells GROUP BY 1, 2) GROUP BY 1",
+        f"{p}models": f"SELECT series, w, b - list_inner_product(a, w) AS intercept FROM {p}solved JOIN {p}means USING (series)",
+        f"{p}errors": f"""SELECT series, avg(abs((y - intercept - list_inner_product(v, w)) / y)) * 100 AS model, avg(abs((y - lag_s) / y)) * 100 AS naive
+          FROM {p}x JOIN {p}models USING (series) WHERE from_end <= {grain.test_rows} AND y <> 0 GROUP BY 1""",
+        f"{p}tail": f"SELECT series, {grain.season} - from_end + 1 AS k, y AS lag_s FROM {p}lagged WHERE from_end <= {grain.season} AND from_end > {grain.season - grain.horizon}",
+        f"{p}steps": f"""SELECT series, 0 AS k, period AS last, y AS value, n, NOT coalesce(model < naive, false) AS used_naive, round(model, 2) AS model, round(naive, 2) AS naive
+            FROM {p}lagged JOIN {p}errors USING (series) WHERE from_end = 1 UNION ALL
+          SELECT s.series, s.k + 1, last, CASE WHEN used_naive THEN lag_s ELSE intercept + list_inner_product([s.value, lag_s, CAST(n + s.k AS DOUBLE)] || {dummies(later)}, w) END,
+            n, used_naive, model, naive
+          FROM {p}steps s JOIN {p}tail t ON t.series = s.series AND t.k = s.k + 1 JOIN {p}models m ON m.series = s.series""",
+    }
+
+
+def recursive(body: str, **extra: str) -> str:
+    return oracle("bookings", body, **extra).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_MONTHLY_PANEL = {"sums": _PANEL_SUMS, **ridge_ctes(_PANEL, "monthly")}
+query("fit_ridge", recursive(f"""SELECT series, f[i] AS feature, round(CASE WHEN i <= 14 THEN w[i] ELSE intercept END, 3) AS weight FROM (
+  SELECT *, ['lag1', 'lag_s', 't', {_MONTHS}, 'intercept'] AS f, unnest(range(1, 16)) AS i FROM models)""", **_MONTHLY_PANEL))(
+    lambda spark, sf: FC.fit_ridge(FC.revenue_series(T.bookings(spark, sf, destination=True), "monthly", "destination_name"), "monthly").withColumn("weight", F.round("weight", 3)))
 
 
 _NEXT = {"daily": "INTERVAL 1 DAY", "weekly": "INTERVAL 7 DAY", "monthly": "INTERVAL 1 MONTH"}
 
 
-def ahead_sql(g: str) -> str:
-    """Periods of a forecast with the length of its series and the naive rule's error."""
-    return f"""
-      SELECT '{g}' AS horizon, CAST(m + k * {_NEXT[g]} AS DATE) AS period, n AS rows_used, mape_naive AS naive_mape_pct, true AS consistent
-      FROM (SELECT CAST(max(period) AS TIMESTAMP) AS m, count(*) AS n FROM ({series_sql(g)})), ({backtest_sql(g)}),
-        (SELECT unnest(range(1, {FC.GRAINS[g].horizon + 1})) AS k)"""
+def _whole_forecast(g: str, p: str) -> str:
+    return (f"SELECT '{g}' AS horizon, CAST(last + CAST(k AS INT) * {_NEXT[g]} AS DATE) AS period, n AS rows_used, model AS model_mape_pct, naive AS naive_mape_pct, used_naive, "
+            f"round(greatest(value, 0.0), 0) AS forecast_idr FROM {p}steps WHERE k > 0")
 
 
-def _forecast_checks(rows):
-    """The naive rule is used exactly if the model does not beat it, and no forecast is negative."""
-    naive = ~(F.col("model_mape_pct") < F.col("naive_mape_pct"))
-    fits = (F.col("used_naive") == naive) | (F.abs(F.col("model_mape_pct") - F.col("naive_mape_pct")) < 0.011)
-    return rows.select("horizon", "period", "rows_used", "naive_mape_pct", (fits & (F.col("forecast_idr") >= 0)).alias("consistent"))
+def _shown_forecast(rows):
+    return rows.select("horizon", "period", "rows_used", "model_mape_pct", "naive_mape_pct", "used_naive", F.round("forecast_idr", 0).alias("forecast_idr"))
 
 
-query("forecast_recursive", oracle("bookings", ahead_sql("monthly")))(
-    lambda spark, sf: _forecast_checks(FC.ridge_forecast(FC.revenue_series(T.bookings(spark, sf), "monthly"), "monthly")))
-query("train_forecasts", oracle("bookings", " UNION ALL ".join(map(ahead_sql, FC.GRAINS))))(
-    lambda spark, sf: _forecast_checks(FC.train_forecasts(T.bookings(spark, sf), "2001-08-02")))
-query("forecast_panel")(
-    lambda spark, sf: FC.forecast_panel(T.bookings(spark, sf, destination=True), "destination_name"))
-query("forecast_insight")(lambda spark, sf: FC.forecast_insight(FC.train_forecasts(T.bookings(spark, sf), "2001-08-02")))
+query("forecast_recursive", recursive(_whole_forecast("monthly", ""), **ridge_ctes(series_sql("monthly"), "monthly")))(
+    lambda spark, sf: _shown_forecast(FC.ridge_forecast(FC.revenue_series(T.bookings(spark, sf), "monthly"), "monthly")))
+query("train_forecasts", recursive(" UNION ALL ".join(_whole_forecast(g, g[0] + "_") for g in FC.GRAINS), **{
+    k: v for g in FC.GRAINS for k, v in ridge_ctes(series_sql(g), g, g[0] + "_").items()}))(
+    lambda spark, sf: _shown_forecast(FC.train_forecasts(T.bookings(spark, sf), "2001-08-02")))
+query("forecast_panel", recursive("""SELECT series, CAST(last + to_months(CAST(k AS INT)) AS DATE) AS period, 'monthly' AS horizon, round(greatest(value, 0.0), 1) AS forecast_idr,
+  model AS model_mape_pct, naive AS naive_mape_pct, used_naive, n AS rows_used FROM steps WHERE k > 0""", **_MONTHLY_PANEL))(
+    lambda spark, sf: FC.forecast_panel(T.bookings(spark, sf, destination=True), "destination_name").withColumn("forecast_idr", F.round("forecast_idr", 1)))
+query("forecast_insight", recursive("""
+  SELECT 'revenue_forecast' AS id, 'forecast' AS topic, printf('[Update: 2 August 2001] Revenue projection for the next 12 months: Rp %.2f trillion. Out-of-time MAPE: monthly %.1f%%, weekly %.1f%%, daily %.1f%%.',
+    (SELECT sum(greatest(value, 0.0)) FROM m_steps WHERE k > 0) / 1e12, round((SELECT max(model) FROM m_steps), 1), round((SELECT max(model) FROM w_steps), 1), round((SELECT max(model) FROM d_steps), 1)) AS text""",
+    **ridge_ctes(series_sql("monthly"), "monthly", "m_"), **ridge_ctes(series_sql("weekly"), "weekly", "w_"), **ridge_ctes(series_sql("daily"), "daily", "d_")))(
+    lambda spark, sf: FC.forecast_insight(FC.train_forecasts(T.bookings(spark, sf), "2001-08-02")))
 query("forecast_run", oracle("bookings", f"""
   SELECT 'retrain_forecast' AS job, TIMESTAMP '2001-08-02' AS ran_at, n AS rows_used, 3 AS horizons, true AS complete FROM (
     SELECT greatest({', '.join(f"(SELECT count(*) FROM ({series_sql(g)}))" for g in FC.GRAINS)}) AS n)"""))(
