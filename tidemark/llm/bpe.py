@@ -25,7 +25,7 @@ from tidemark.llm.base import per_batch, texts_of
 #: The pattern of the byte-level pre-tokenizer (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of the caches of a worker, and the longest piece that stays in them.
-CACHED, LONGEST = 64_000_000, 64
+CACHED, LONGEST = 48_000_000, 64
 NEVER = np.int64(1 << 40)
 NONE = 1 << 40
 SHORT = 200

@@ -42,7 +42,11 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Hashes(Kept):
-    """64-bit hash of words, kept within a bound in bytes."""
+    """64-bit hash of words, kept within a bound in bytes and until the end of a task."""
+
+    def drop(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
 
     def __missing__(self, word: bytes) -> int:
         if (h := self.known(word)) is None:
@@ -51,7 +55,7 @@ class Hashes(Kept):
         return h
 
 
-_HASHES = Hashes(32_000_000)
+_HASHES = Hashes(16_000_000)
 
 
 def shingles(text: str, n: int = WORDS) -> np.ndarray:
@@ -106,6 +110,7 @@ def _sets(n: int):
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()),
                     nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=names)
+        _HASHES.drop()
         size, pack = COUNTERS // PIECES, zstandard.ZstdCompressor(level=1).compress
         pieces = [(p, pack(counts[p * size : (p + 1) * size].tobytes())) for p in range(PIECES) if counts[p * size : (p + 1) * size].any()]
         if pieces:
@@ -153,6 +158,7 @@ def _prefixes(n: int, sketch):
                     rows.append((d, s1, s2, len(keys), keys[order[:length]].astype(np.int64)))
                 kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["_d", "s1", "s2", "n", "prefix"])
+        _HASHES.drop()
 
     return run
 
@@ -246,6 +252,7 @@ def _keys_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n).tobytes() for t in texts_of(part.column(1))], pa.binary())], names=["_d", "keys"])
+        _HASHES.drop()
 
     return docs.join(wanted, "_d", "left_semi").mapInArrow(run, "_d long, keys binary").where("length(keys) > 0").repartition("_d").distinct()
 
