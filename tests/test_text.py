@@ -288,6 +288,24 @@ def test_name_mentions_equal_brute_force(spark):
     assert {q: sorted(v) for q, v in got.items()} == want
 
 
+@pytest.mark.parametrize("bytes_, rows", [(2_000_000, 200_000), (40, 9)])
+def test_mentions_inside_names_equal_brute_force(spark, monkeypatch, bytes_, rows):
+    """Mentions inside one another, overlapping, of one name a third of all ids; blocks and parts of any number."""
+    monkeypatch.setattr(Q, "MENTION_BYTES", bytes_)
+    monkeypatch.setattr(Q, "NAME_ROWS", rows)
+    rng = np.random.default_rng(2)
+    names = sorted({"".join(rng.choice(list("abé "), int(rng.integers(1, 12)))) for _ in range(60)})
+    ids = {n: sorted(rng.choice(10_000, 300 if i == 3 else 4, replace=False).tolist())[:50] for i, n in enumerate(names)}
+    mentions = sorted({"".join(rng.choice(list("abé "), int(rng.integers(1, 5)))) for _ in range(40)})
+    got = {}
+    for m, c in pairs(Q.containing(spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame(list(ids.items()), "lowered string, ids array<long>"), "customer_id", 10), "mention", "customer_id"):
+        got.setdefault(m, []).append(c)
+    for m in mentions:
+        want = sorted(i for n in names if m in n for i in ids[n])[:10]
+        assert sorted(got.get(m, []))[:10] == want
+    assert Q.containing(spark.createDataFrame([], "mention string"), spark.createDataFrame([], "lowered string, ids array<long>"), "customer_id", 10).count() == 0
+
+
 def test_bm25_join_path_equals_scan_path(spark):
     args = (asked(spark, "revenue second quarter the", "campaign points"), chunks(spark))
     key = lambda df: sorted(pairs(df, "query_id", "chunk_id", "score", "rank"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tidemark.functions import keywords as K
 from tidemark.functions.text import words
 from tidemark.operators.facts import DEFAULT_TOP_N, MAX_TOP_N
 from tidemark.operators.retrieval import MIN_RELEVANCE
+from tidemark.plans.session import cut_lineage
 
 MAX_EXTRA_WORDS = 2
 MAX_METRICS = 3
@@ -161,38 +163,54 @@ def question_mix(tagged: DataFrame) -> DataFrame:
         .orderBy("day", "intent", "language"))
 
 
-def _pieces(name: Column, size: int) -> Column:
-    """Distinct substrings of one length."""
-    count = F.length(name) - size + 1
-    return F.when(count >= 1, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(name, i, F.lit(size)))))
+#: Bytes of mentions in one automaton (some twenty times that in memory), and distinct names scanned by one task.
+MENTION_BYTES, NAME_ROWS = 2_000_000, 200_000
 
 
-# Longest piece of a name that serves as a join key.
-NAME_KEY = 24
+def containing(mentions: DataFrame, names: DataFrame, key: str, limit: int) -> DataFrame:
+    """(mention, key): for each mention the `limit` smallest keys of the names that contain it.
+
+    mentions: mention, distinct; names: lowered, ids (keys of one name).  An Aho-Corasick automaton over a block of
+    mentions runs once over a part of the names and finds all mentions in them in one pass, so nothing but true matches
+    leaves a task.  The numbers of blocks and parts follow from the measured sizes; every block meets every part.
+    """
+    size = mentions.agg(F.sum(F.octet_length("mention"))).first()[0] or 0
+    blocks, parts = max(1, -(-size // MENTION_BYTES)), max(1, -(-names.count() // NAME_ROWS))
+    schema = T.StructType([T.StructField("mention", T.StringType()), T.StructField(key, names.schema["ids"].dataType.elementType)])
+    left = mentions.withColumn("_b", F.pmod(F.xxhash64("mention"), F.lit(blocks))).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    right = names.withColumn("_p", F.pmod(F.xxhash64("lowered"), F.lit(parts))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+
+    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, list] = {}
+        if len(a) and len(b):
+            automaton = ahocorasick.Automaton()
+            for m in a["mention"]:
+                automaton.add_word(m, m)
+            automaton.make_automaton()
+            for name, ids in zip(b["lowered"], b["ids"], strict=True):
+                for m in {m for _, m in automaton.iter(name)}:
+                    held = found.setdefault(m, [])
+                    held.extend(ids)
+                    if len(held) > 8 * limit + len(ids):
+                        held[:] = sorted(held)[:limit]
+        return pd.DataFrame([(m, i) for m, held in found.items() for i in sorted(held)[:limit]], columns=schema.fieldNames())
+
+    return left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInPandas(match, schema)
 
 
 def name_mentions(questions: DataFrame, customers: DataFrame, limit: int = MAX_NAME_MATCHES) -> DataFrame:
     """Customers whose name contains the name a question mentions; the first `limit` ids per question.
 
-    A mention and a name meet on an exact piece of the name (the mention
-    itself, or its first 24 characters), never in a nested loop.  Equal
-    mentions are matched once, and customers of equal name are first cut to
-    their `limit` smallest ids, which is all that any question can show.
+    Equal mentions are matched once, and customers of equal name are first cut to their `limit` smallest ids, which is
+    all that any question can show.
     """
-    asked = questions.select("question_id", F.lower(F.nullif(
-        F.regexp_extract("text", "(?U)" + K.NAME_AFTER_CUE, 1), F.lit(""))).alias("mention")).where("mention IS NOT NULL")
-    mentions = asked.select("mention").distinct().withColumn("piece", F.substring("mention", 1, NAME_KEY))
+    asked = cut_lineage(questions.select("question_id", F.lower(F.nullif(
+        F.regexp_extract("text", "(?U)" + K.NAME_AFTER_CUE, 1), F.lit(""))).alias("mention")).where("mention IS NOT NULL"))
     people = customers.where("name IS NOT NULL").select("customer_id", F.lower("name").alias("lowered"))
     same_name = Window.partitionBy("lowered").orderBy("customer_id")
-    people = people.withColumn("_n", F.row_number().over(same_name)).where(F.col("_n") <= limit).groupBy("lowered").agg(
-        F.sort_array(F.collect_list("customer_id")).alias("ids"))
-    pieces = F.flatten(F.filter(
-        F.array(*[_pieces(F.col("lowered"), n) for n in range(2, NAME_KEY + 1)]), lambda a: a.isNotNull()))
-    indexed = people.select("lowered", "ids", F.explode(pieces).alias("piece"))
+    people = cut_lineage(people.withColumn("_n", F.row_number().over(same_name)).where(F.col("_n") <= limit).groupBy("lowered").agg(
+        F.sort_array(F.collect_list("customer_id")).alias("ids")))
     order = Window.partitionBy("mention").orderBy("customer_id")
-    found = (
-        mentions.join(indexed, "piece").where(F.col("lowered").contains(F.col("mention")))
-        .select("mention", F.explode("ids").alias("customer_id"))
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
+    found = containing(asked.select("mention").distinct(), people, "customer_id", limit).withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return asked.join(found, "mention").select("question_id", "mention", "customer_id", "rank")
