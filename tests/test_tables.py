@@ -109,22 +109,22 @@ def test_popularity_keeps_both_sides(spark):
         ("Bali", 9.0, 1), ("Bromo", 0.0, 1), ("Komodo", 5.0, 0)]
 
 
-def test_versioned_table(spark, tmp_path):
-    table = sinks.VersionedTable(spark, str(tmp_path / "t"), ["k"])
+def test_upsert_mirror_and_append(spark, tmp_path):
+    base = str(tmp_path / "t")
     rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
-    assert table.read() is None
-    table.upsert(rows((1, "a"), (2, "b")))
-    table.upsert(rows((2, "B"), (3, "c")))
-    assert sorted(pairs(table.read(), "k", "v")) == [(1, "a"), (2, "B"), (3, "c")]
-    assert tuple(table.mirror(rows((3, "C"), (4, "d"))).first()) == (1, 1, 2)
-    table.add(rows((5, "e")), tag="x")
-    table.add(rows((5, "e")), tag="x")
-    assert sorted(pairs(table.read(), "k", "v")) == [(3, "C"), (4, "d"), (5, "e")]
-    assert table.read_before("x").count() == 2
-    table.add(rows())
-    assert table.read().count() == 3
-    table.refresh(table.read().where("k = 4"))
-    assert pairs(table.read(), "k", "v") == [(4, "d")]
+    assert pairs(sinks.upserted(None, rows((1, "a")), ["k"]), "k", "v") == [(1, "a")]
+    table = sinks.saved(rows((1, "a"), (2, "b")), base)
+    table = sinks.saved(sinks.upserted(table, rows((2, "B"), (3, "c")), ["k"]), base)
+    assert sorted(pairs(table, "k", "v")) == [(1, "a"), (2, "B"), (3, "c")]
+    assert tuple(sinks.mirror_counts(table, rows((3, "C"), (4, "d")), ["k"]).first()) == (1, 1, 2)
+    table = sinks.saved(rows((3, "C"), (4, "d")), base)
+    assert len(list((tmp_path / "t").iterdir())) == 3  # earlier folders stay as they were
+    log = sinks.saved(table.withColumn("tag", F.lit("one")), base)
+    for _ in range(2):
+        log = sinks.saved(sinks.appended(log, rows((5, "e")).withColumn("tag", F.lit("two"))), base)
+    assert sorted(pairs(log, "k", "tag")) == [(3, "one"), (4, "one"), (5, "two")]
+    assert sinks.appended(log, log.where("false")).count() == 3
+    assert sinks.appended(log, log.where("k = 5").withColumn("tag", F.lit(None).cast("string"))).count() == 4
 
 
 def test_latest_run_and_backlog(spark):
@@ -249,13 +249,12 @@ def test_rollup_stream_equals_batch_and_survives_replay(spark, tmp_path):
     b = bookings(spark, [{"customer_id": f"c{i % 5}", "total_price_idr": float(i)} for i in range(40)])
     slim = b.select("booking_id", "customer_id", "total_price_idr", "booking_date")
     split_files(spark, slim, tmp_path, ["booking_id < 20", "booking_id >= 20"])
-    target = sinks.VersionedTable(spark, str(tmp_path / "roll"))
-    write = J.rollup_writer(target, compact_every=1)
+    target = str(tmp_path / "roll")
+    write = J.rollup_writer(target)
     stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f*")
     J.run_batches(stream, write, str(tmp_path / "job"))
-    write(slim, 1)
-    got = pairs(J.rollup_of(target).orderBy("customer_id"), "customer_id", "total_trips", "total_spent_idr")
-    assert target.pieces() == 1
+    write(slim.where("booking_id >= 20"), 1)  # replayed
+    got = pairs(J.rollup_of(spark, target).orderBy("customer_id"), "customer_id", "total_trips", "total_spent_idr")
     want = pairs(sinks.customer_rollup(b).orderBy("customer_id"), "customer_id", "total_trips", "total_spent_idr")
     assert got == want
 
@@ -263,23 +262,25 @@ def test_rollup_stream_equals_batch_and_survives_replay(spark, tmp_path):
 def test_budget_stream_over_batches(spark, tmp_path):
     rows = spark.createDataFrame([(i, ts("2024-01-01") + timedelta(hours=i)) for i in range(48)], "event_id int, ts timestamp")
     split_files(spark, rows, tmp_path, ["event_id < 10", "event_id >= 10"])
-    target = sinks.VersionedTable(spark, str(tmp_path / "budget"))
+    target = str(tmp_path / "budget")
+    write = J.budget_writer(target, "ts", "event_id", 15)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f*")
-    J.run_batches(stream, J.budget_writer(target, "ts", "event_id", 15), str(tmp_path / "job"))
-    assert sorted(r[0] for r in target.read().select("event_id").collect()) == list(range(15)) + list(range(24, 39))
+    J.run_batches(stream, write, str(tmp_path / "job"))
+    for _ in range(2):
+        assert sorted(r[0] for r in spark.read.parquet(target).select("event_id").collect()) == list(range(15)) + list(range(24, 39))
+        write(rows.where("event_id >= 10"), 1)  # replayed
 
 
 def test_late_rows_are_set_aside(spark, tmp_path):
     at = lambda h: datetime(2024, 1, 1, h)
     first = spark.createDataFrame([(1, at(10)), (2, at(12))], "event_id int, ts timestamp")
     second = spark.createDataFrame([(3, at(13)), (4, at(11)), (5, at(8))], "event_id int, ts timestamp")
-    on_time, late, marks = (sinks.VersionedTable(spark, str(tmp_path / n)) for n in ("ok", "late", "marks"))
-    write = J.late_splitter(on_time, late, marks, "ts", 3600)
+    write = J.late_splitter(str(tmp_path), "ts", 3600)
     write(first, 0)
     write(second, 1)
     write(second, 1)
-    assert sorted(r[0] for r in on_time.read().select("event_id").collect()) == [1, 2, 3, 4]
-    assert [r[0] for r in late.read().select("event_id").collect()] == [5]
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert sorted(pairs(rows, "event_id", "is_late", "batch")) == [(1, False, 0), (2, False, 0), (3, False, 1), (4, False, 1), (5, True, 1)]
 
 
 def test_windowed_operators_on_batch_input(spark):

@@ -193,19 +193,15 @@ query("price_ratios", """
 # ---- sinks ----------------------------------------------------------------
 
 
-def _table(spark, *keys):
-    return sinks.VersionedTable(spark, J.shared_folder(spark), keys)
-
-
 @query("upsert_forecast", oracle("bookings", f"""
   SELECT period, horizon, forecast_idr FROM ({FORECAST_SQL}) WHERE horizon <> 'weekly'
   UNION ALL SELECT period, horizon, round(forecast_idr * 2, 2) FROM ({FORECAST_SQL}) WHERE horizon = 'weekly'"""))
 def _upsert(spark, sf):
     rows = FC.naive_table(T.bookings(spark, sf), AS_OF).select("period", "horizon", "forecast_idr")
-    table = _table(spark, "period", "horizon")
-    table.upsert(rows)
-    table.upsert(rows.where("horizon = 'weekly'").withColumn("forecast_idr", F.round(F.col("forecast_idr") * 2, 2)))
-    return table.read()
+    base = J.shared_folder(spark)
+    stored = sinks.saved(rows, base)
+    changed = stored.where("horizon = 'weekly'").withColumn("forecast_idr", F.round(F.col("forecast_idr") * 2, 2))
+    return sinks.saved(sinks.upserted(stored, changed, ["period", "horizon"]), base)
 
 
 @query("mirror_sync", """
@@ -213,9 +209,10 @@ def _upsert(spark, sf):
     count(*) FILTER (p_type = 'ECONOMY') AS deleted FROM part""")
 def _mirror(spark, sf):
     parts = T.read(spark, sf, "part")
-    table = _table(spark, "p_partkey")
-    table.refresh(parts.where("p_type <> 'SMALL'"))
-    return table.mirror(parts.where("p_type <> 'ECONOMY'"))
+    base = J.shared_folder(spark)
+    stored = sinks.saved(parts.where("p_type <> 'SMALL'"), base)
+    mirrored = sinks.saved(parts.where("p_type <> 'ECONOMY'"), base)
+    return sinks.mirror_counts(stored, mirrored, ["p_partkey"])
 
 
 @query("latest_deployed_run", """
@@ -280,9 +277,9 @@ query("daily_budget", """
   SELECT event_id, day FROM (SELECT event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS position FROM events)
   WHERE position <= 100""")
 def _budget(spark, sf):
-    table = _table(spark)
-    J.run_batches(J.read_stream(spark, sf, "events"), J.budget_writer(table, "ts", "event_id", 100), J.shared_folder(spark))
-    return table.read().select("event_id", "day")
+    base = J.shared_folder(spark)
+    J.run_batches(J.read_stream(spark, sf, "events"), J.budget_writer(f"{base}/accepted", "ts", "event_id", 100), base)
+    return spark.read.parquet(f"{base}/accepted").select("event_id", "day")
 
 
 @query("stream_customer_rollup", oracle("bookings", f"""
@@ -292,27 +289,25 @@ def _rollup(spark, sf):
     committed = F.col("o_orderstatus").isin("F", "O")
     stream = J.read_stream(spark, sf, "orders").where(committed).select(
         F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("total_price_idr"), F.col("o_orderdate").alias("booking_date"))
-    table = _table(spark)
-    J.run_batches(stream, J.rollup_writer(table), J.shared_folder(spark))
-    return J.rollup_of(table)
+    base = J.shared_folder(spark)
+    J.run_batches(stream, J.rollup_writer(f"{base}/sums"), base)
+    return J.rollup_of(spark, f"{base}/sums")
 
 
-# The events arrive in four files, so rows of the later ones are late.
+# The events arrive in four parts, so rows of the later ones are late.
 @query("stream_late_data", """
   WITH e AS (SELECT event_id, ts, CAST(event_id % 4 AS INT) AS batch FROM events),
   m AS (SELECT b.batch, max(ts) AS newest FROM (SELECT unnest([0, 1, 2, 3]) AS batch) b JOIN e ON e.batch < b.batch GROUP BY 1)
   SELECT e.batch, coalesce(ts < newest - INTERVAL 1 HOUR, false) AS is_late, count(*) AS n FROM e LEFT JOIN m USING (batch) GROUP BY 1, 2""")
 def _late(spark, sf):
-    on_time, late, marks = _table(spark), _table(spark), _table(spark)
-    folder = J.shared_folder(spark)
+    base = J.shared_folder(spark)
     events = T.read(spark, sf, "events")
     for k in range(4):
-        # One file a part, written one after another: a micro-batch each.
-        events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    J.run_batches(stream, J.late_splitter(on_time, late, marks, "ts", 3600), folder)
-    both = on_time.read().withColumn("is_late", F.lit(False)).unionByName(late.read().withColumn("is_late", F.lit(True)))
-    return both.groupBy(F.col("batch").cast("int").alias("batch"), "is_late").agg(F.count(F.lit(1)).alias("n"))
+        # A part in as many files as it has; each run of the stream takes what is new, as one micro-batch.
+        events.where(F.col("event_id") % 4 == k).write.parquet(f"{base}/in/p{k}")
+        J.run_batches(spark.readStream.schema(events.schema).parquet(f"{base}/in/*"), J.late_splitter(base, "ts", 3600), base)
+    rows = spark.read.parquet(f"{base}/rows")
+    return rows.groupBy(F.col("batch").cast("int").alias("batch"), "is_late").agg(F.count(F.lit(1)).alias("n"))
 
 
 query("stream_dedup_questions", """

@@ -46,12 +46,12 @@ def _records(spark, sf):
   UNION ALL SELECT 'reviews', count(*), 1 FROM events""")
 def _run_log(spark, sf):
     """Two runs appended to a log, the second delivered twice under one tag."""
-    log = sinks.VersionedTable(spark, f"{shared_folder(spark)}/runs")
-    record = lambda job, table: T.read(spark, sf, table).agg(F.count("*").alias("rows_used")).select(F.lit(job).alias("job"), "rows_used")
-    log.add(record("revenue", "orders"), "run-1")
+    base = f"{shared_folder(spark)}/runs"
+    record = lambda job, table, tag: T.read(spark, sf, table).agg(F.count("*").alias("rows_used")).select(F.lit(job).alias("job"), "rows_used", F.lit(tag).alias("tag"))
+    log = sinks.saved(record("revenue", "orders", "run-1"), base)
     for _ in range(2):
-        log.add(record("reviews", "events"), "run-2")
-    return log.read().groupBy("job", "rows_used").agg(F.count("*").cast("int").alias("times"))
+        log = sinks.saved(sinks.appended(log, record("reviews", "events", "run-2")), base)
+    return log.groupBy("job", "rows_used").agg(F.count("*").cast("int").alias("times"))
 
 
 query("object_ids", """SELECT doc_id, CASE WHEN regexp_matches(x, '^[0-9a-fA-F]{24}$') THEN lower(x) END AS oid FROM (

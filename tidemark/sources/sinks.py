@@ -1,92 +1,33 @@
 """Writes.
 
-Plain parquet has no row-level update, so every write goes to a new folder and
-one small log record makes it visible.  A reader never sees a half-written
-table, the path being read is never overwritten, and a job that dies leaves an
-unreferenced folder behind and nothing else.
+Plain parquet has no row-level update: what a table holds after an upsert, a mirror or an append is a DataFrame, and it is
+written to a new folder.  So the folder that is being read is never overwritten, and a job that dies leaves an unused
+folder behind and nothing else.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-LOG_SCHEMA = "seq long, replaces boolean, folder string, tag string, schema string"
 
+def saved(df: DataFrame, base: str) -> DataFrame:
+    """Written to a fresh folder below `base`, and read from there."""
+    folder = f"{base.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-class VersionedTable:
-    """Folders below `root` plus a log; one writer at a time.
 
-    The content is the folder of the last replacing write and those added since.
-    A `tag` names a write, so that a replayed job can see that it is done.
-    """
+def appended(log: DataFrame, rows: DataFrame, tag: str = "tag") -> DataFrame:
+    """The log with the rows whose tag it doesn't hold yet, so a run that is delivered twice counts once.
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str] = ()):
-        self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
-
-    def _log(self) -> list:
-        """Log records in order; one small record per write."""
-        try:
-            return sorted(self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/log").collect())
-        except AnalysisException:
-            return []
-
-    def _write(self, df: DataFrame, replaces: bool, tag: str | None) -> None:
-        folder = f"v-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
-        log = self._log()
-        record = (log[-1]["seq"] + 1 if log else 1, replaces, folder, tag, df.schema.json())
-        self.spark.createDataFrame([record], LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{self.root}/log")
-
-    def _content(self, log: list) -> DataFrame | None:
-        last = max((i for i, r in enumerate(log) if r["replaces"]), default=0)
-        live = log[last:]
-        if not live:
-            return None
-        schema = T.StructType.fromJson(json.loads(live[-1]["schema"]))
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['folder']}" for r in live])
-
-    def read(self) -> DataFrame | None:
-        return self._content(self._log())
-
-    def read_before(self, tag: str) -> DataFrame | None:
-        """The content as it was before the write called `tag`, or now when there is none."""
-        log = self._log()
-        at = next((i for i, r in enumerate(log) if r["tag"] == tag), len(log))
-        return self._content(log[:at])
-
-    def pieces(self) -> int:
-        """Folders that make up the current content."""
-        log = self._log()
-        return len(log) - max((i for i, r in enumerate(log) if r["replaces"]), default=0)
-
-    def has_tag(self, tag: str) -> bool:
-        return any(r["tag"] == tag for r in self._log())
-
-    def refresh(self, df: DataFrame, tag: str | None = None) -> None:
-        """Replace everything."""
-        self._write(df, True, tag)
-
-    def add(self, rows: DataFrame, tag: str | None = None) -> None:
-        """Append (audit logs, backlogs); a tag that was written before is skipped."""
-        if tag is None or not self.has_tag(tag):
-            self._write(rows, False, tag)
-
-    def upsert(self, rows: DataFrame, tag: str | None = None) -> None:
-        """Replace rows of equal key, keep the others, add the new."""
-        self._write(upserted(self.read(), rows, self.keys), True, tag)
-
-    def mirror(self, rows: DataFrame) -> DataFrame:
-        """Make the table equal to `rows`; returns added, replaced and deleted counts."""
-        counts = mirror_counts(self.read(), rows, self.keys)
-        self._write(rows, True, None)
-        return counts
+    Rows without a tag are always added.
+    """
+    known = log.select(F.col(tag).alias("_tag")).where("_tag IS NOT NULL").distinct()
+    return log.unionByName(rows.join(known, rows[tag] == F.col("_tag"), "left_anti"), allowMissingColumns=True)
 
 
 def upserted(target: DataFrame | None, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

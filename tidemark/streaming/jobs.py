@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from tidemark.functions.semantics import money_sum
 from tidemark.plans.session import shared_base
-from tidemark.sources.sinks import VersionedTable
 from tidemark.streaming.limits import DAILY_BUDGET, running_budget
 
 
@@ -62,81 +61,69 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], fold
         availableNow=True).start().awaitTermination()
 
 
-def rollup_writer(target: VersionedTable, compact_every: int = 50) -> Callable[[DataFrame, int], None]:
-    """Add each micro-batch of committed bookings to the stored customer rollup, exactly once.
+def of_batch(root: str, number: int) -> str:
+    """The folder of a micro-batch; a batch that is replayed after a lost driver overwrites its own folder."""
+    return f"{root.rstrip('/')}/batch={number}"
+
+
+def batches(spark: SparkSession, root: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The rows of all micro-batches (of those before one) with their number as `batch`; none is an empty table."""
+    # An empty batch, so that the folder exists; written once.
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(of_batch(root, -1))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(root)
+    return rows if before is None else rows.where(F.col("batch") < before)
 
-    A batch writes only its own sums; `rollup_of` adds them up when read, and
-    every so many batches the table is rewritten as one version.  The tag of a
-    write is its batch number, so a batch that is replayed after a lost driver
-    finds itself already counted.
-    """
+
+def rollup_writer(root: str) -> Callable[[DataFrame, int], None]:
+    """Write the sums of each micro-batch of committed bookings to its own folder; `rollup_of` adds them up when read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        tag = f"batch-{number}"
-        if target.has_tag(tag):
-            return
-        fresh = batch.groupBy("customer_id").agg(
+        batch.groupBy("customer_id").agg(
             F.count(F.lit(1)).alias("total_trips"), money_sum("total_price_idr").alias("total_spent_idr"),
-            F.max("booking_date").alias("last_purchase_date"))
-        if target.pieces() < compact_every:
-            target.add(fresh, tag)
-        else:
-            target.refresh(_added_up(target.read().unionByName(fresh)), tag)
+            F.max("booking_date").alias("last_purchase_date")).write.mode("overwrite").parquet(of_batch(root, number))
 
     return write
 
 
-def _added_up(rows: DataFrame) -> DataFrame:
+def rollup_of(spark: SparkSession, root: str) -> DataFrame:
+    """The current rollup of everything written so far."""
+    rows = spark.read.parquet(root)
     return rows.groupBy("customer_id").agg(
         F.sum("total_trips").alias("total_trips"), money_sum("total_spent_idr").alias("total_spent_idr"),
-        F.max("last_purchase_date").alias("last_purchase_date"))
+        F.max("last_purchase_date").alias("last_purchase_date")).withColumn("is_repeat_customer", F.col("total_trips") > 1)
 
 
-def rollup_of(target: VersionedTable) -> DataFrame | None:
-    """The current rollup of everything written so far."""
-    rows = target.read()
-    return None if rows is None else _added_up(rows).withColumn("is_repeat_customer", F.col("total_trips") > 1)
-
-
-def budget_writer(accepted: VersionedTable, ts: str, ident: str, budget: int = DAILY_BUDGET) -> Callable[[DataFrame, int], None]:
+def budget_writer(root: str, ts: str, ident: str, budget: int = DAILY_BUDGET) -> Callable[[DataFrame, int], None]:
     """Accept the first requests of every day until the budget is spent, over micro-batches.
 
     Only accepted rows are stored, at most one budget per day.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        tag = f"batch-{number}"
-        if accepted.has_tag(tag):
-            return
-        stored = accepted.read()
         fresh = running_budget(batch, ts, ident, budget=budget)
-        if stored is not None:
-            spent = stored.groupBy("day").agg(F.count(F.lit(1)).alias("spent"))
-            fresh = fresh.join(spent, "day", "left").where(
-                F.col("position") + F.coalesce("spent", F.lit(0)) <= budget).drop("spent")
-        accepted.add(fresh, tag)
+        spent = batches(batch.sparkSession, root, fresh.schema, number).groupBy("day").agg(F.count(F.lit(1)).alias("spent"))
+        room = F.col("position") + F.coalesce("spent", F.lit(0)) <= budget
+        # A day without a date is a day too.
+        left = fresh.join(spent.withColumnRenamed("day", "_day"), F.col("day").eqNullSafe(F.col("_day")), "left").where(room)
+        left.drop("spent", "_day").write.mode("overwrite").parquet(of_batch(root, number))
 
     return write
 
 
-def late_splitter(on_time: VersionedTable, late: VersionedTable, marks: VersionedTable, ts: str,
-                  delay_seconds: int) -> Callable[[DataFrame, int], None]:
-    """Rows older than the newest time of earlier batches minus the delay go to the late table.
+MARKS = T.StructType([T.StructField("newest", T.LongType())])
+
+
+def late_splitter(root: str, ts: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
+    """Rows older than the newest time of earlier batches minus the delay are marked late: column `is_late`.
 
-    `marks` keeps one row per batch with its newest time, so no batch has to
-    scan the stored events.
+    `{root}/marks` keeps one row per batch with its newest time, so no batch has to scan the stored events.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        tag = f"batch-{number}"
         at = F.unix_micros(F.col(ts).cast("timestamp"))
-        earlier = marks.read_before(tag)
-        newest = earlier.agg(F.max("newest")).first()[0] if earlier is not None else None
-        is_late = F.lit(False) if newest is None else at < newest - delay_seconds * 1_000_000
-        rows = batch.withColumn("batch", F.lit(number))
-        # Every table knows by the tag whether this batch is already in it.
-        late.add(rows.where(is_late), tag)
-        on_time.add(rows.where(~is_late), tag)
-        marks.add(batch.agg(F.max(at).alias("newest")), tag)
+        newest = batches(batch.sparkSession, f"{root}/marks", MARKS, number).agg(F.max("newest")).first()[0]
+        is_late = F.lit(False) if newest is None else F.coalesce(at < newest - delay_seconds * 1_000_000, F.lit(False))
+        batch.withColumn("is_late", is_late).write.mode("overwrite").parquet(of_batch(f"{root}/rows", number))
+        batch.agg(F.max(at).alias("newest")).write.mode("overwrite").parquet(of_batch(f"{root}/marks", number))
 
     return write
