@@ -70,6 +70,9 @@ def test_token_counts(spark, library, common):
     want = [(i, len((t or "").encode()), n := len(expected_ids(library, t)), n > 100) for i, t, *_ in cases.rows()]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert tokencounts.count(cases.empty(spark), PATH).count() == 0
+    once = [r for r in cases.rows()[:13]]  # no id twice
+    alone = tokencounts.count(cases.docs(spark, False, once), PATH, limit=100, common=common).collect()
+    assert sorted(map(tuple, alone), key=repr) == sorted([(i, len((t or "").encode()), n := len(expected_ids(library, t)), n > 100) for i, t, *_ in once], key=repr)
 
 
 # ---- op5 ----

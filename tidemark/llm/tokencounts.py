@@ -119,7 +119,11 @@ def count(df: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text:
                     part.column(0), part.column(1), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([x[0] for x in found], pa.int64()),
                     pa.array([[*x[1].items()] for x in found], pa.map_(pa.string(), pa.int64()))], names=schema.fieldNames())
 
-    cut = docs.select("_key", F.xxhash64("text").alias("_hash"), "text").mapInArrow(scan, schema)
+    # Rows are told apart by their key, and by a hash of the text too where keys repeat: it alone would be a third of what
+    # is shuffled.  Only keys are read for this.
+    repeated = not docs.groupBy("_key").count().where("count > 1").isEmpty()
+    own = F.xxhash64("text") if repeated else F.lit(0).cast("long")
+    cut = docs.select("_key", own.alias("_hash"), "text").mapInArrow(scan, schema)
     # Two rows without a token stand for the document, with its sum and with its size (as -1 - size): the rows that are
     # shuffled stay narrow.  Repeated rows are counted by them.
     rest = F.transform(F.map_entries("rest"), lambda x: F.struct(x["key"].alias("token"), x["value"].alias("n")))
