@@ -19,6 +19,9 @@ from tidemark.sources.driver_tables import oracle
 from tidemark.streaming import events as E
 from tidemark.streaming import jobs as J
 from tidemark.streaming import limits as L
+from tidemark.streaming import stateful as ST
+
+_STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 
 # ---- parsing --------------------------------------------------------------
 
@@ -249,7 +252,7 @@ query("stream_sessions", """
     SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
       SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS INT) AS fresh FROM events))
   GROUP BY user_id, s""")(
-    lambda spark, sf: J.drain(E.sessions(J.read_stream(spark, sf, "events"), "user_id"), "complete"))
+    lambda spark, sf: J.drain_closed(J.read_stream(spark, sf, "events"), lambda e: ST.closed_sessions(e, "user_id"), "ts"))
 # The limiter step by step: the accepted times of the window travel along the events of a user.
 _LIMITER = """
   WITH RECURSIVE ev AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -310,8 +313,13 @@ def _late(spark, sf):
     return rows.groupBy(F.col("batch").cast("int").alias("batch"), "is_late").agg(F.count(F.lit(1)).alias("n"))
 
 
-query("stream_dedup_questions", """
-  SELECT count(DISTINCT md5(lower(trim(event_type)))) AS questions, count(DISTINCT md5(lower(trim(event_type)))) AS distinct_questions FROM events""")(
-    lambda spark, sf: J.drain(E.distinct_questions(
-        J.read_stream(spark, sf, "events").select(F.col("event_type").alias("text"), F.col("ts").alias("asked_at")),
-        ttl="40 days")).agg(F.count(F.lit(1)).alias("questions"), F.count_distinct("query_key").alias("distinct_questions")))
+# Greetings, thanks and repeated texts come back; a repeat is kept once the time to live of the last kept one is over.
+query("stream_dedup_questions", oracle("questions", """
+  SELECT q.question_id, q.query_key, q.asked_at FROM kept q""", keyed=f"""
+  SELECT question_id, md5({_STRIP.format(t="lower(text)")}) AS query_key, asked_at FROM questions""", placed="""
+  SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY asked_at, question_id) AS n FROM keyed""", walk="""
+  SELECT question_id, query_key, asked_at, n, asked_at AS last, true AS keep FROM placed WHERE n = 1 UNION ALL
+  SELECT p.question_id, p.query_key, p.asked_at, p.n, CASE WHEN p.asked_at - w.last >= INTERVAL 36 HOUR THEN p.asked_at ELSE w.last END, p.asked_at - w.last >= INTERVAL 36 HOUR
+  FROM walk w JOIN placed p ON p.query_key = w.query_key AND p.n = w.n + 1""", kept="SELECT * FROM walk WHERE keep").replace("WITH ", "WITH RECURSIVE ", 1))(
+    lambda spark, sf: J.drain(ST.first_questions(T.questions_of(J.read_stream(spark, sf, "conversations")), "question_id", ttl="36 hours")).withColumn(
+        "asked_at", F.col("asked_at").cast("timestamp_ntz")))

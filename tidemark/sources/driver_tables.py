@@ -273,17 +273,24 @@ def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns, each opened by one of the fixed sentences."""
+    """User turns as questions; see `questions_of`."""
+    return questions_of(read(spark, sf_dir, "conversations"))
+
+
+def questions_of(conversations: DataFrame) -> DataFrame:
+    """Every user turn with its whole text, opened by one of the fixed sentences.
+
+    Greetings and thanks also come alone, five minutes later, as questions of their own (with negative ids).
+    """
     key = F.col("conv_id") * 7 + F.col("turn")
-    return read(spark, sf_dir, "conversations").where("role = 'user'").select(
-        "conv_id", "turn",
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-        # Greetings and thanks stand alone, every other opening precedes the stored text.
-        F.when((key % len(OPENINGS)).isin(4, 5), pick(OPENINGS, key))
-        .otherwise(F.concat(pick(OPENINGS, key), F.lit(" "), F.col("text"))).alias("text"),
-        (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
-         + F.make_dt_interval(secs=(F.col("conv_id") * 37 + F.col("turn") * 11) * 60)).alias("asked_at"),
-    )
+    opening, number = pick(OPENINGS, key), F.col("conv_id") * 1000 + F.col("turn")
+    minutes = F.col("conv_id") * 37 + F.col("turn") * 11
+    at = lambda m: F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(secs=m * 60)
+    row = lambda i, text, m: F.struct(i.cast("long").alias("question_id"), text.alias("text"), at(m).alias("asked_at"))
+    asked = row(number, F.concat(opening, F.lit(" "), F.col("text")), minutes)
+    alone = row(-number - 1, opening, minutes + 5)
+    rows = F.when((key % len(OPENINGS)).isin(4, 5), F.array(asked, alone)).otherwise(F.array(asked))
+    return conversations.where("role = 'user'").select("conv_id", "turn", F.explode(rows).alias("q")).select("conv_id", "turn", "q.*")
 
 
 def _case(values: list[str], index: str) -> str:
@@ -377,11 +384,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           FROM orders GROUP BY 1)"""),
     "chunks": ((), "SELECT doc_id AS chunk_id, text, lang AS topic, source AS source_type FROM documents"),
     "search_questions": ((), "SELECT item_id AS question_id, text FROM benchmark"),
-    "questions": ((), f"""SELECT conv_id, turn, conv_id * 1000 + turn AS question_id,
-        CASE WHEN (conv_id * 7 + turn) % {len(OPENINGS)} IN (4, 5) THEN {_case(OPENINGS, 'conv_id * 7 + turn')}
-          ELSE {_case(OPENINGS, 'conv_id * 7 + turn')} || ' ' || text END AS text,
-        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id * 37 + turn * 11 AS INT)) AS asked_at
-        FROM conversations WHERE role = 'user'"""),
+    "questions": ((), f"""SELECT conv_id, turn, conv_id * 1000 + turn AS question_id, {_case(OPENINGS, 'conv_id * 7 + turn')} || ' ' || text AS text,
+        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id * 37 + turn * 11 AS INT)) AS asked_at FROM conversations WHERE role = 'user'
+        UNION ALL SELECT conv_id, turn, -(conv_id * 1000 + turn) - 1, {_case(OPENINGS, 'conv_id * 7 + turn')},
+        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id * 37 + turn * 11 + 5 AS INT)) FROM conversations
+        WHERE role = 'user' AND (conv_id * 7 + turn) % {len(OPENINGS)} IN (4, 5)"""),
 }
 
 

@@ -55,6 +55,26 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None, ke
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch={int(last):09d}")
 
 
+def drain_closed(events: DataFrame, operator: Callable[[DataFrame], DataFrame], ts: str, folder: str | None = None) -> DataFrame:
+    """Append output of an operator over a finite stream, with what its last watermark leaves open flushed at the end.
+
+    The stream runs until its input is read; then one row of nulls, far later than all others, moves the watermark past
+    every timer.  So all groups are closed and the state is empty but for that row, for which nothing comes out.
+    """
+    spark = events.sparkSession
+    folder = folder or shared_folder(spark)
+    schema = T.StructType([*events.schema.fields, T.StructField("_flush", T.BooleanType())])
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/flush/none")
+    marks = spark.readStream.schema(schema).parquet(f"{folder}/flush/*")
+    out = operator(events.withColumn("_flush", F.lit(False)).unionByName(marks))
+    run = lambda: out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    run().awaitTermination()
+    newest = F.lit("2100-01-01 00:00:00").cast(events.schema[ts].dataType)
+    spark.range(1).select(*[(newest if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema], F.lit(True).alias("_flush")).write.parquet(f"{folder}/flush/last")
+    run().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str) -> None:
     """Feed every available micro-batch to `write`."""
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(
