@@ -218,6 +218,59 @@ def test_viterbi_is_the_best_of_all_sequences():
     assert chain.decode(page) == max(every, key=score)
 
 
+def test_articles_without_a_wrapper_are_found():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    model = htmltext.train(htmltext.labelled(pages[:120], 200))
+    for page in pages[120:]:
+        found = htmltext.blocks(page)
+        want = " ".join(b.text for b in found if "article" in b.tags and not htmltext.ASIDE & {*b.tags, *b.names})
+        for changed in (page, re.sub(r"</?article[^>]*>", "", page), page.replace("<article", "<main").replace("</article", "</main")):
+            assert htmltext.main_text(changed, model) == want
+
+
+def test_training_climbs_to_the_enumerated_optimum():
+    """No step in any weight raises the penalised likelihood, with the sum over all labellings written out."""
+    from itertools import product
+
+    r = random.Random(2)
+    pages = [([[r.choice("abc") for _ in range(2)] for _ in range(n)], [r.randrange(2) for _ in range(n)]) for n in (1, 3, 4, 2, 4)]
+    decay = 0.05
+    model = htmltext.train(pages, rounds=4000, rate=0.02, decay=decay)
+
+    def value(m):
+        total = 0.0
+        for x, y in pages:
+            s = m.scores(x)
+            score = lambda y: m.start[y[0]] + m.end[y[-1]] + sum(s[i, c] for i, c in enumerate(y)) + sum(m.move[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+            total += score(y) - np.logaddexp.reduce([score(z) for z in product((0, 1), repeat=len(y))])
+        return total / len(pages) - decay / 2 * sum((w**2).sum() for w in (m.state, m.move, m.start, m.end))
+
+    best = value(model)
+    for weights in (model.state, model.move, model.start, model.end):
+        for at in np.ndindex(weights.shape):
+            for step in (-0.02, 0.02):
+                weights[at] += step
+                assert value(model) < best
+                weights[at] -= step
+
+
+def test_training_pages_are_different_ones_by_hash(spark):
+    page = "<html><body><article><p>some text of words here</p></article><div class='menu'><a href='/'>x</a></div></body></html>"
+    rows = [(i, "u", page) for i in range(50)] + [(100 + i, "u", page.replace("words", f"words{i}")) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    seen = []
+    original = htmltext.labelled
+    try:
+        htmltext.labelled = lambda pages, n: seen.append(pages) or original(pages, n)
+        htmltext.fit(df, sample=5)
+        htmltext.fit(df.repartition(2), sample=5)
+    finally:
+        htmltext.labelled = original
+    assert seen[0] == seen[1] and len(set(seen[0])) == len(seen[0]) == 5
+
+
 # ---- op8 ----
 
 

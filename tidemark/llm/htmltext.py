@@ -257,7 +257,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rat
 
 #: Ways to wrap the main text, and the other parts of a page: opening and closing markup around their blocks.
 MAIN = ("<article>|</article>", "<main>|</main>", "<main><article class='post'>|</article></main>", "<div class='content'>|</div>", "<div id='main'><div class='entry'>|</div></div>",
-        "<div class='article-body'>|</div>", "<section class='story'>|</section>", "<div>|</div>", "<table><tr><td>|</td></tr></table>", "<div class='post-text'>|</div>")
+        "<div class='article-body'>|</div>", "<section class='story'>|</section>", "<div>|</div>", "<table><tr><td>|</td></tr></table>", "<div class='post-text'>|</div>", "|", "|")
 LINKS = ("<nav>|</nav>", "<div class='menu'>|</div>", "<ul class='navigation'>|</ul>", "<aside>|</aside>", "<div id='sidebar'>|</div>", "<div class='related'>|</div>",
          "<div class='breadcrumb'>|</div>", "<div role='navigation'>|</div>", "<div class='links tags'>|</div>", "<div class='share social'>|</div>")
 NOTES = ("<header>|</header>", "<div class='header'>|</div>", "<div class='ad'>|</div>", "<div class='advert banner'>|</div>", "<div class='cookie notice'>|</div>",
@@ -337,12 +337,15 @@ def labelled(pages: list[str], layouts: int = 300) -> list[tuple[list[list[str]]
 
 
 def fit(pages: DataFrame, html: str = "html", sample: int = 300, longest: int = 50_000) -> Chain:
-    """Train on at most `sample` pages of at most `longest` characters, the first by hash; both bounds are parameters.
+    """Train on at most `sample` different pages of at most `longest` characters, the first by hash; both bounds are parameters.
 
-    Without any page the model has no features and calls nothing main text.
+    The hashes are read first, so no more pages than that leave the tasks, however many partitions there are.  Without any
+    page the model has no features and calls nothing main text.
     """
-    rows = pages.where(F.length(html).between(1, longest)).select(F.col(html).cast("string").alias("html")).orderBy(F.xxhash64("html"), "html").limit(sample)
-    return train(labelled([r["html"] for r in rows.collect()], sample))
+    rows = pages.where(F.length(html).between(1, longest)).select(F.col(html).cast("string").alias("html"), F.xxhash64(F.col(html).cast("string")).alias("h"))
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if last is not None else []
+    return train(labelled([r["html"] for r in chosen], sample))
 
 
 def main_text(page: str, model: Chain) -> str:
