@@ -114,6 +114,33 @@ def test_auc_equals_pair_counting(spark):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_auc_of_many_different_scores_over_many_ranges(spark):
+    """Scores that differ in the last digits, ties across ranges, tracks, and a track without one class."""
+    rng = np.random.default_rng(4)
+    rows = [(f"t{i % 3}", float(0.5 + rng.integers(0, 4000) * 1e-12), int(rng.random() < 0.3)) for i in range(5000)] + [("one", 0.1, 1), ("one", 0.2, 1)]
+    df = spark.createDataFrame(rows, "track string, churn_proba double, label int")
+    got = {r["track"]: r["auc"] for r in H.auc(df, by="track").collect()}
+    for track in ("t0", "t1", "t2"):
+        pos, neg = (np.array([s for t, s, l in rows if t == track and l == c]) for c in (1, 0))
+        assert got[track] == pytest.approx(np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)), abs=1e-6)
+    assert got["one"] is None
+
+
+def test_trees_split_on_absence(spark):
+    """Only whether a value is missing tells the label; its median says nothing."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        gone = i % 2 == 0
+        rows.append((f"c{i}", "single", int(gone), None if gone else float(rng.normal(100, 10)), float(rng.normal())))
+    df = spark.createDataFrame(rows, "customer_id string, track string, label int, recency_days double, frequency double")
+    contract = ["recency_days", "frequency"]
+    model = H.train_churn(df, contract, rounds=3)
+    assert H.auc(H.score(model, df, contract, keep=("label",))).first()["auc"] == 1.0
+    none = df.withColumn("frequency", F.lit(None).cast("double"))
+    assert H.auc(H.score(H.train_churn(none, contract, rounds=2), df, contract, keep=("label",))).first()["auc"] == 1.0
+
+
 def test_gate():
     assert H.champion_gate(0.7, None).deploy
     assert H.champion_gate(0.70, 0.71).deploy

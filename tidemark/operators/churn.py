@@ -8,7 +8,7 @@ from datetime import timedelta
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import QuantileDiscretizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from tidemark.functions.semantics import (
     CANCELLED, as_date, booking_track, committed, half_even, key_or_unknown, money_avg, money_sum,
     object_id, risk_bucket, whole_days,
 )
-from tidemark.plans.session import broadcast_if_small, cut_lineage
+from tidemark.plans.session import broadcast_if_small, cut_lineage, small_enough
 
 # Fixed values of the feature contract, in model order.
 CATEGORIES = {
@@ -210,29 +210,38 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
+#: Quantile bins of a numeric feature; missing values get one more.
+BINS = 64
+#: Training rows that are dealt to a few tasks only: boosting makes hundreds of small passes.
+FEW_ROWS = 200_000
+
+
 def churn_estimator(contract: Sequence[str] = CONTRACT, seed: int = 42, rounds: int = 20,
                     empty: Sequence[str] = ()) -> Pipeline:
-    """Gradient-boosted trees; nulls become medians plus the indicator columns of `model_input`.
+    """Gradient-boosted trees over quantile bins, in which missing values have a bin of their own, so trees split on absence.
 
-    A column of `empty` has no value in the training rows, hence no median, and enters as 0.
+    A column of `empty` has no value in the training rows, hence no bins, and enters as 0.
     """
-    gappy = [c for c in NUMERIC if c in contract and c not in empty]
-    filled = [f"{c}__filled" for c in gappy] + [f"{c}__zero" for c in NUMERIC if c in contract and c in empty]
-    missing = [f"{c}__missing" for c in NUMERIC if c in contract]
+    numeric = [c for c in NUMERIC if c in contract]
+    known, bins = [c for c in numeric if c not in empty], [f"{c}__bin" for c in numeric if c not in empty]
+    absent = [f"{c}__zero" for c in numeric if c in empty]
     rest = [c for c in contract if c not in NUMERIC]
+    # Bins are ordered: as sums they lose the mark of a category.
+    places = ", ".join(f"{b} + 0.0 AS {b}_place" for b in bins)
+    binned = [
+        QuantileDiscretizer(numBuckets=BINS, relativeError=0.001, handleInvalid="keep", inputCols=[f"{c}__value" for c in known], outputCols=bins),
+        SQLTransformer(statement=f"SELECT *, {places} FROM __THIS__")] if known else []
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=gappy, outputCols=[f"{c}__filled" for c in gappy]),
-        VectorAssembler(inputCols=filled + missing + rest, outputCol="features"),
-        GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=4, seed=seed),
+        *binned, VectorAssembler(inputCols=[f"{b}_place" for b in bins] + absent + rest, outputCol="features"),
+        GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=4, maxBins=BINS + 2, seed=seed),
     ])
 
 
 def model_input(aligned: DataFrame, contract: Sequence[str] = CONTRACT) -> DataFrame:
-    """Missing-value indicators and zero-filled copies next to the features."""
+    """Numeric features as doubles with NaN for what is missing, and a zero column for those without any value."""
     numeric = [c for c in NUMERIC if c in contract]
-    gaps = [F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in numeric]
-    zeros = [F.coalesce(F.col(c), F.lit(0.0)).alias(f"{c}__zero") for c in numeric]
-    return aligned.select("*", *gaps, *zeros)
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"{c}__value") for c in numeric]
+    return aligned.select("*", *values, *[F.lit(0.0).alias(f"{c}__zero") for c in numeric])
 
 
 def train_churn(aligned: DataFrame, contract: Sequence[str] = CONTRACT, seed: int = 42, rounds: int = 20) -> PipelineModel:
@@ -241,8 +250,9 @@ def train_churn(aligned: DataFrame, contract: Sequence[str] = CONTRACT, seed: in
     numeric = [c for c in NUMERIC if c in contract]
     known = rows.agg(*[F.count(c).alias(c) for c in numeric]).first()
     empty = [c for c in numeric if known[c] == 0]
+    ready = model_input(balanced_weights(rows), contract)
     # Written once: boosting passes over its input many times.
-    ready = cut_lineage(model_input(balanced_weights(rows), contract))
+    ready = cut_lineage(ready.coalesce(2) if small_enough(rows, FEW_ROWS) else ready)
     return churn_estimator(contract, seed, rounds, empty).fit(ready)
 
 
@@ -280,25 +290,26 @@ def predict_churn(model: PipelineModel, ids, bookings: DataFrame, reviews: DataF
     return scored, wanted.join(known, "customer_id", "left_anti")
 
 
-def auc(df: DataFrame, proba: str = "churn_proba", label: str = "label", by: str | None = None,
-        digits: int = 4) -> DataFrame:
-    """ROC-AUC as the Mann-Whitney statistic, ties counted half.
+def auc(df: DataFrame, proba: str = "churn_proba", label: str = "label", by: str | None = None) -> DataFrame:
+    """ROC-AUC as the Mann-Whitney statistic, ties counted half, on the scores as they are.
 
-    Scores are compared at `digits` decimals (the precision that is stored), so
-    the histogram has at most 10**digits + 1 rows per group, whatever the table size.
+    Rows become counts per score.  These are dealt by ranges of the score; the counts below a score are those of the
+    ranges before, a row per range, and those within its range.  So no track is ranked in one task.
     """
     group = key_or_unknown(by) if by else F.lit("all")
-    hist = df.groupBy(group.alias("track"), F.round(proba, digits).alias("s")).agg(
+    counts = df.groupBy(group.alias("track"), F.col(proba).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = Window.partitionBy("track").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = hist.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    wins = F.col("pos") * (F.col("lower") + F.col("neg") / 2)
-    totals = ranked.groupBy("track").agg(
-        F.sum(wins).alias("w"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-    return totals.select(
-        "track", "positives", "negatives",
-        F.round(F.try_divide(F.col("w"), F.col("positives") * F.col("negatives")), 6).alias("auc"),
-    ).orderBy("track")
+    ranges = cut_lineage(counts.repartitionByRange("track", "s").withColumn("part", F.spark_partition_id()))
+    sums = ranges.groupBy("track", "part").agg(F.sum("neg").alias("neg"))
+    # A row for each range and track.
+    earlier = Window.partitionBy("track").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("track", "part", F.coalesce(F.sum("neg").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("track", "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranges.withColumn("lower", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(broadcast_if_small(before), ["track", "part"])
+    twice = F.col("pos").cast("decimal(38,0)") * (2 * (F.col("lower") + F.col("before")) + F.col("neg"))
+    totals = ranked.groupBy("track").agg(F.sum(twice).cast("double").alias("w"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    pairs = 2 * F.col("positives").cast("double") * F.col("negatives")
+    return totals.select("track", "positives", "negatives", F.round(F.try_divide(F.col("w"), pairs), 6).alias("auc")).orderBy("track")
 
 
 @dataclass
@@ -316,33 +327,44 @@ def champion_gate(new_auc: float, previous_auc: float | None, tolerance: float =
     return Gate(new_auc, previous_auc, ok)
 
 
-def retrain(bookings: DataFrame, reviews: DataFrame, customers: DataFrame, as_of, runs: DataFrame | None = None,
-            model_path: str | None = None, null_policy: str = NULL_POLICY) -> tuple[PipelineModel, DataFrame, Gate]:
-    """Label a year back, train, evaluate on the held-out fifth, gate against the last deployed run.
-
-    Only metrics reach the driver.  Returns the model, the one-row run record and the gate.
-    """
-    from tidemark.sources.sinks import latest_run
-
+def retrained_rows(bookings: DataFrame, reviews: DataFrame, customers: DataFrame, as_of, null_policy: str = NULL_POLICY) -> tuple[PipelineModel, DataFrame]:
+    """A model of the labels of a year back, and all its rows with a held-out fifth."""
     snapshot = as_date(as_of) - timedelta(days=LABEL_WINDOW_DAYS)
     labelled = with_label(churn_features(bookings, reviews, customers, snapshot, LABEL_WINDOW_DAYS, null_policy))
     # Written once: the split, the training passes and the evaluation all read it.
     aligned = stratified_split(cut_lineage(align_features(labelled)))
-    model = train_churn(aligned)
-    held = aligned.where("is_test")
-    scored = score(model, held, keep=("label",))
+    return train_churn(aligned), aligned
+
+
+def gated(model: PipelineModel, aligned: DataFrame, as_of, runs: DataFrame | None = None) -> tuple[DataFrame, Gate]:
+    """The one-row run record of a model on its held-out rows, gated against the last deployed run.  Only metrics reach the driver."""
+    from tidemark.sources.sinks import latest_run
+
+    snapshot = as_date(as_of) - timedelta(days=LABEL_WINDOW_DAYS)
+    scored = score(model, aligned.where("is_test"), keep=("label",))
     parts = {r["track"]: r["auc"] for r in auc(scored, by="track").collect()}
     overall = auc(scored).first()["auc"]
     size = aligned.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).first()
     last = latest_run(runs, "retrain_churn").select("auc").first() if runs is not None else None
     gate = champion_gate(overall, last["auc"] if last else None)
-    if gate.deploy and model_path:
-        model.write().overwrite().save(model_path)
-    record = bookings.sparkSession.createDataFrame(
+    record = aligned.sparkSession.createDataFrame(
         [("retrain_churn", str(as_of), str(snapshot), size["n"], round(size["rate"], 4), round(overall, 4), parts,
           gate.previous, gate.deploy)],
         "job string, ran_at string, snapshot string, population long, churn_rate double, auc double,"
         " auc_by_track map<string,double>, prev_auc double, deployed boolean")
+    return record, gate
+
+
+def retrain(bookings: DataFrame, reviews: DataFrame, customers: DataFrame, as_of, runs: DataFrame | None = None,
+            model_path: str | None = None, null_policy: str = NULL_POLICY) -> tuple[PipelineModel, DataFrame, Gate]:
+    """Label a year back, train, evaluate on the held-out fifth, gate against the last deployed run.
+
+    Returns the model, the one-row run record and the gate.
+    """
+    model, aligned = retrained_rows(bookings, reviews, customers, as_of, null_policy)
+    record, gate = gated(model, aligned, as_of, runs)
+    if gate.deploy and model_path:
+        model.write().overwrite().save(model_path)
     return model, record, gate
 
 

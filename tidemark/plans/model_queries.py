@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from tidemark.operators import forecast as FC
 from tidemark.operators import resolver as RS
 from tidemark.plans.kpi_queries import COMMIT, COMMIT_PAID, money, span
 from tidemark.plans.registry import query
-from tidemark.plans.session import cut_lineage
+from tidemark.plans.session import cut_lineage, shared_base
 from tidemark.sources import driver_tables as T
 from tidemark.sources import sinks
 from tidemark.sources.driver_tables import oracle
@@ -124,16 +127,26 @@ query("evaluate_auc", oracle("bookings reviews customers", f"""
     round((sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2)
       / (sum(label) * sum(1 - label)), 6) AS auc
   FROM (SELECT track, label, rank() OVER w + (count(*) OVER (PARTITION BY track, s) - 1) / 2 AS r FROM (
-      SELECT track, label, round(recency_days / 4000, 4) AS s FROM ({_FEATURES}))
+      SELECT track, label, recency_days / 4000 + frequency / 7 AS s FROM ({_FEATURES}))
     WINDOW w AS (PARTITION BY track ORDER BY s)) GROUP BY 1"""))(
     lambda spark, sf: H.auc(
-        features(spark, sf, 365).transform(H.with_label).withColumn("churn_proba", F.col("recency_days") / 4000), by="track"))
+        features(spark, sf, 365).transform(H.with_label).withColumn("churn_proba", F.col("recency_days") / 4000 + F.col("frequency") / 7), by="track"))
+
+
+#: Where the model of an application and a folder is stored, so that it is trained once.
+_TRAINED: dict[tuple[str, str], str] = {}
 
 
 def _scored(spark, sf):
-    labelled = H.with_label(features(spark, sf, 365, H.NULL_POLICY))
-    aligned = H.stratified_split(cut_lineage(H.align_features(labelled)))
-    return H.train_churn(aligned), aligned
+    """The model and the rows it was trained and is tested on, written by the first query that needs them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        base = f"{shared_base(spark).rstrip('/')}/churn-{uuid4().hex}"
+        labelled = H.with_label(features(spark, sf, 365, H.NULL_POLICY))
+        H.stratified_split(cut_lineage(H.align_features(labelled))).write.parquet(f"{base}/rows")
+        H.train_churn(spark.read.parquet(f"{base}/rows")).write().save(f"{base}/model")
+        _TRAINED[key] = base
+    return PipelineModel.load(f"{_TRAINED[key]}/model"), spark.read.parquet(f"{_TRAINED[key]}/rows")
 
 
 _SPLIT = f"""SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASH}) <= ceil(count(*) OVER (PARTITION BY label) * 0.2) AS is_test
@@ -141,13 +154,16 @@ _SPLIT = f"""SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASH}) <
 
 
 @query("train_churn", oracle("bookings reviews customers", f"""
-  SELECT track, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives, true AS auc_in_range
+  SELECT track, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives, true AS auc_in_range, true AS as_good_as_recency
   FROM ({_SPLIT}) WHERE is_test GROUP BY 1"""))
 def _train(spark, sf):
-    """The held-out rows of each track and whether their AUC can be one."""
+    """The held-out rows of each track, and whether the model ranks them all at least as well as recency alone does."""
     model, aligned = _scored(spark, sf)
-    quality = H.auc(H.score(model, aligned.where("is_test"), keep=("label",)), by="track")
-    return quality.select("track", "positives", "negatives", F.col("auc").between(0, 1).alias("auc_in_range"))
+    held = aligned.where("is_test")
+    scored = H.score(model, held, keep=("label",))
+    plain = H.auc(held.withColumn("churn_proba", F.col("recency_days").cast("double"))).select("auc").scalar()
+    whole = H.auc(scored).select("auc").scalar()
+    return H.auc(scored, by="track").select("track", "positives", "negatives", F.col("auc").between(0, 1).alias("auc_in_range"), (whole >= plain).alias("as_good_as_recency"))
 
 
 def _bucket_fits():
@@ -166,13 +182,20 @@ def _rescore(spark, sf):
                        F.col("churn_proba").between(0, 1).alias("in_range"), _bucket_fits().alias("bucket_fits"))
 
 
+# Three runs: the first is deployed, a better champion keeps its place, an even worse one loses it.
 @query("champion_gate", oracle("bookings reviews customers", f"""
-  SELECT 'retrain_churn' AS job, '{SNAPSHOT}' AS snapshot, count(*) AS population, round(avg(label), 4) AS churn_rate,
-    true AS auc_in_range, true AS first_run, true AS deployed FROM ({_FEATURES})"""))
+  SELECT 'retrain_churn' AS job, '{SNAPSHOT}' AS snapshot, count(*) AS population, round(avg(label), 4) AS churn_rate, true AS auc_in_range, run,
+    run = 'first' AS no_champion, run <> 'refused' AS deployed FROM ({_FEATURES}), (SELECT unnest(['first', 'refused', 'replaced']) AS run) GROUP BY run"""))
 def _gate(spark, sf):
-    _, record, _ = H.retrain(T.bookings(spark, sf), moved_reviews(spark, sf), T.customers(spark, sf), "2001-06-30")
-    return record.select("job", "snapshot", "population", "churn_rate", F.col("auc").between(0, 1).alias("auc_in_range"),
-                         F.col("prev_auc").isNull().alias("first_run"), "deployed")
+    tables = (T.bookings(spark, sf), moved_reviews(spark, sf), T.customers(spark, sf))
+    model, rows = H.retrained_rows(*tables, "2001-06-30")
+    first, _ = H.gated(model, rows, "2001-06-30")
+    out = first.withColumn("run", F.lit("first"))
+    for run, champion in (("refused", F.lit(1.0)), ("replaced", F.col("auc") - 0.2)):
+        runs = first.withColumn("auc", champion)
+        out = out.unionByName(H.gated(model, rows, "2001-06-30", runs)[0].withColumn("run", F.lit(run)))
+    return out.select("job", "snapshot", "population", "churn_rate", F.col("auc").between(0, 1).alias("auc_in_range"), "run",
+                      F.col("prev_auc").isNull().alias("no_champion"), "deployed")
 
 
 def _score_run(spark, sf):
