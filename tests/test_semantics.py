@@ -159,3 +159,22 @@ def test_by_dimension_equals_by_key(spark):
     homes = spark.createDataFrame([("hot", "Dhot")] + [(f"c{k}", f"D{k}") for k in range(1, 7)], "customer_id string, home string")
     got = pairs(R.by_dimension(b, homes, "customer_id", "2024-01-01", "2024-01-01", "home"), "home", "revenue", "booking_count")
     assert got == pairs(R.by_key(b, "2024-01-01", "2024-01-01", "destination_name"), "destination_name", "revenue", "booking_count")
+
+
+def test_sums_before_the_join_equal_joined_rows(spark):
+    """Names in another table: unknown customers, customers without a name, one with most bookings."""
+    rows = [{"customer_id": c, "total_price_idr": 10.0 + i, "booking_date": f"2024-01-{1 + i % 28:02d}", "channel": "Web" if i % 3 else None} for i, c in enumerate(["hot"] * 30 + ["a", "b", "c", "d", "a"])]
+    b = bookings(spark, rows)
+    homes = spark.createDataFrame([("hot", "Bali", "Gold"), ("a", "Bali", "Silver"), ("b", "", "Gold"), ("c", "Lombok", None)], "customer_id string, destination_name string, customer_segment string")
+    joined = b.drop("destination_name", "customer_segment").join(homes, "customer_id", "left")
+    slim = b.drop("destination_name", "customer_segment", "customer_name")
+    span = ("2024-01-01", "2024-12-31")
+    same = lambda one, other: sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) != []
+    columns = {"destination": "destination_name", "channel": "channel", "segment": "customer_segment"}
+    assert same(R.facets(slim, *span, columns, dimension=homes), R.facets(joined, *span, columns))
+    assert same(R.facets(slim, *span, {"destination": "destination_name"}, dimension=homes), R.facets(joined, *span, {"destination": "destination_name"}))
+    assert same(R.by_dimension(slim, homes, "customer_id", *span, "destination_name"), R.by_key(joined, *span, "destination_name"))
+    assert same(X.top_destinations(slim, *span, 9, homes), X.top_destinations(joined, *span, 9))
+    people = spark.createDataFrame([("hot", "H", "Gold"), ("a", "A", "Silver")], "customer_id string, customer_name string, customer_segment string")
+    got = X.top_customers(slim, *span, 4, people).collect()
+    assert [(r["customer_id"], r["customer_name"], r["booking_count"]) for r in got][:2] == [("hot", "H", 30), ("a", "A", 2)] and len(got) == 4 and got[3]["segment"] is None

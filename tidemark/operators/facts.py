@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.quantiles import approx_quantiles, quantiles
 from tidemark.functions.semantics import (
     PAID, checked_range, committed, committed_paid, growth_vs_nonzero_base, half_even,
-    in_range, key_or_unknown, money_sum, period_label, period_start, previous_period, safe_ratio,
+    as_money, in_range, key_or_unknown, money_sum, period_label, period_start, previous_period, safe_ratio,
 )
+from tidemark.operators.revenue import sums_by
 
 # Top-n bounds and the number of months a trend shows.
 DEFAULT_TOP_N = 5
@@ -70,32 +71,26 @@ def churn_buckets(scores: DataFrame) -> DataFrame:
     )
 
 
-def top_destinations(bookings: DataFrame, start, end, limit: int = DEFAULT_TOP_N) -> DataFrame:
-    """Committed bookings, paid or not."""
-    return (
-        bookings.where(committed() & in_range("booking_date", start, end))
-        .groupBy(key_or_unknown("destination_name").alias("destination"))
-        .agg(F.count(F.lit(1)).alias("bookings"), money_sum("total_price_idr").alias("revenue_idr"))
-        .orderBy(F.desc("revenue_idr"), "destination")
-        .limit(limit)
-    )
+def top_destinations(bookings: DataFrame, start, end, limit: int = DEFAULT_TOP_N, dimension: DataFrame | None = None, key: str = "customer_id") -> DataFrame:
+    """Committed bookings, paid or not; the destination may live in `dimension`, one row per `key`."""
+    rows = bookings.where(committed() & in_range("booking_date", start, end))
+    sums = sums_by(rows, "destination_name", "destination", {"bookings": F.lit(1), "_sum": as_money("total_price_idr")}, dimension, key)
+    return sums.select("destination", "bookings", F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("revenue_idr")).orderBy(
+        F.desc("revenue_idr"), "destination").limit(limit)
 
 
-def top_customers(bookings: DataFrame, start, end, limit: int = DEFAULT_TOP_N) -> DataFrame:
-    """Biggest spenders of a range, named as on their earliest booking in it."""
+def top_customers(bookings: DataFrame, start, end, limit: int = DEFAULT_TOP_N, people: DataFrame | None = None) -> DataFrame:
+    """Biggest spenders of a range, named as on their earliest booking in it, or as in `people`, which only the top meet."""
     first = F.struct("booking_date", "booking_id")
-    return (
-        bookings.where(committed_paid() & in_range("booking_date", start, end))
-        .groupBy("customer_id")
-        .agg(
-            F.min_by("customer_name", first).alias("customer_name"),
-            F.min_by("customer_segment", first).alias("segment"),
-            money_sum("total_price_idr").alias("total_spent_idr"),
-            F.count(F.lit(1)).alias("booking_count"),
-        )
-        .orderBy(F.desc("total_spent_idr"), "customer_id")
-        .limit(limit)
-    )
+    names = {"customer_name": "customer_name", "customer_segment": "segment"}
+    named = [] if people is not None else [F.min_by(c, first).alias(n) for c, n in names.items()]
+    top = bookings.where(committed_paid() & in_range("booking_date", start, end)).groupBy("customer_id").agg(
+        *named, money_sum("total_price_idr").alias("total_spent_idr"), F.count(F.lit(1)).alias("booking_count")).orderBy(
+        F.desc("total_spent_idr"), "customer_id").limit(limit)
+    if people is not None:
+        known = people.select("customer_id", *[F.col(c).alias(n) for c, n in names.items()])
+        top = known.join(F.broadcast(top), "customer_id", "right")  # `limit` rows
+    return top.select("customer_id", *names.values(), "total_spent_idr", "booking_count").orderBy(F.desc("total_spent_idr"), "customer_id")
 
 
 def period_comparison(bookings: DataFrame, start, end) -> DataFrame:

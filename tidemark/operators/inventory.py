@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import in_range, key_or_unknown, money_sum, realised
+from tidemark.functions.semantics import as_money, in_range, key_or_unknown, realised
+from tidemark.operators.revenue import sums_by
 
 
-def popularity(destinations: DataFrame, bookings: DataFrame, start, end) -> DataFrame:
-    """Master popularity next to realised bookings; either side may be missing."""
-    sold = (
-        bookings.where(realised() & in_range("created_at", start, end))
-        .groupBy(key_or_unknown("destination_name").alias("destination_name"))
-        .agg(F.count(F.lit(1)).alias("n"), money_sum("total_price_idr").alias("revenue"))
-    )
+def popularity(destinations: DataFrame, bookings: DataFrame, start, end, dimension: DataFrame | None = None, key: str = "customer_id") -> DataFrame:
+    """Master popularity next to realised bookings; either side may be missing.
+
+    The destination may live in `dimension`, one row per `key`: bookings are summed per key before the join.
+    """
+    rows = bookings.where(realised() & in_range("created_at", start, end))
+    sold = sums_by(rows, "destination_name", "destination_name", {"n": F.lit(1), "_sum": as_money("total_price_idr")}, dimension, key)
+    sold = sold.select("destination_name", "n", F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("revenue"))
     # A name listed twice keeps one score.
     master = destinations.groupBy(key_or_unknown("name").alias("destination_name")).agg(
         F.max("popularity_score").alias("popularity_score")

@@ -68,25 +68,27 @@ def by_key(bookings: DataFrame, start, end, column: str, name: str | None = None
     )
 
 
+def sums_by(rows: DataFrame, column: str, name: str, sums: dict[str, Column], dimension: DataFrame | None = None, key: str = "customer_id") -> DataFrame:
+    """Sums (as name -> summed column) per value of a column, of the rows or of another table with one row per `key`.
+
+    In that case rows are summed per key before they meet the table, so the join moves one row per key instead of every
+    row, and a key with a large share of the rows is one row like any other.
+    """
+    totals = [F.sum(c).alias(n) for n, c in sums.items()]
+    if dimension is None:
+        return rows.groupBy(key_or_unknown(column).alias(name)).agg(*totals)
+    per_key = rows.groupBy(key).agg(*totals)
+    return per_key.join(dimension.select(key, column), key, "left").groupBy(key_or_unknown(column).alias(name)).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def by_dimension(bookings: DataFrame, dimension: DataFrame, key: str, start, end, column: str,
                  name: str | None = None) -> DataFrame:
     """`by_key` for a column that lives in another table, one row per `key` there.
-
-    Bookings are summed per key before they meet the other table, so the join
-    moves one row per key instead of every booking, and a key that holds a
-    large share of the bookings is one row like any other.
     """
     name = name or column
-    per_key = (
-        bookings.where(realised() & in_range("created_at", start, end)).groupBy(key)
-        .agg(F.sum(as_money("total_price_idr")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    )
-    return (
-        per_key.join(dimension.select(key, column), key, "left")
-        .groupBy(key_or_unknown(column).alias(name))
-        .agg(F.coalesce(F.sum("_sum").cast("double"), F.lit(0.0)).alias("revenue"), F.sum("_n").alias("booking_count"))
-        .orderBy(F.desc("revenue"), name)
-    )
+    rows = bookings.where(realised() & in_range("created_at", start, end))
+    sums = sums_by(rows, column, name, {"_sum": as_money("total_price_idr"), "_n": F.lit(1)}, dimension, key)
+    return sums.select(name, F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("revenue"), F.col("_n").alias("booking_count")).orderBy(F.desc("revenue"), name)
 
 
 def by_customer_type(bookings: DataFrame, start, end) -> DataFrame:
@@ -130,28 +132,33 @@ FACETS = {
 }
 
 
-def facets(bookings: DataFrame, start, end, columns: dict[str, str] | None = None) -> DataFrame:
-    """Several breakdowns as one long table from one scan (GROUPING SETS)."""
+def facets(bookings: DataFrame, start, end, columns: dict[str, str] | None = None, dimension: DataFrame | None = None, key: str = "customer_id") -> DataFrame:
+    """Several breakdowns as one long table from one scan (GROUPING SETS).
+
+    Columns of `dimension`, a table with one row per `key`, are broken down from the sums per key, which are one more
+    grouping set of the same scan.
+    """
     columns = columns or FACETS
-    names = list(columns)
+    other = {n: c for n, c in columns.items() if dimension is not None and c in dimension.columns and c not in bookings.columns}
+    names = [n for n in columns if n not in other]
+    sets = names + (["_key"] if other else [])
     rows = bookings.where(realised() & in_range("created_at", start, end)).select(
-        *[key_or_unknown(c).alias(n) for n, c in columns.items()], "total_price_idr"
-    )
-    grouped = rows.groupingSets(
-        [[F.col(n)] for n in names], *[F.col(n) for n in names]
-    ).agg(
-        F.grouping_id().alias("_set"),
-        money_sum("total_price_idr").alias("revenue"),
-        F.count(F.lit(1)).alias("booking_count"),
-    )
+        *[key_or_unknown(columns[n]).alias(n) for n in names], *([F.col(key).alias("_key")] if other else []), "total_price_idr")
+    grouped = rows.groupingSets([[F.col(n)] for n in sets], *[F.col(n) for n in sets]).agg(
+        F.grouping_id().alias("_set"), F.sum(as_money("total_price_idr")).alias("_sum"), F.count(F.lit(1)).alias("booking_count"))
+    # grouping_id has a 1 for every column that is aggregated away.
+    kept = {n: (2 ** len(sets) - 1) - 2 ** (len(sets) - 1 - i) for i, n in enumerate(sets)}
     facet: Column = F.lit(None).cast("string")
-    width = len(names)
-    for position, name in enumerate(names):
-        # grouping_id has a 1 for every column that is aggregated away.
-        kept = (2**width - 1) - 2 ** (width - 1 - position)
-        facet = F.when(F.col("_set") == kept, F.lit(name)).otherwise(facet)
-    return (
-        grouped.select(
-            facet.alias("facet"), F.coalesce(*names).alias("key"), "revenue", "booking_count"
-        ).orderBy("facet", F.desc("revenue"), "key")
-    )
+    for n in names:
+        facet = F.when(F.col("_set") == kept[n], F.lit(n)).otherwise(facet)
+    out = None
+    if names:
+        out = grouped.where(F.col("_set").isin([kept[n] for n in names])).select(facet.alias("facet"), F.coalesce(*names).alias("key"), "_sum", "booking_count")
+    if other:
+        homes = dimension.select(F.col(key).alias("_home"), *[key_or_unknown(c).alias(n) for n, c in other.items()])
+        per_key = grouped.where(F.col("_set") == kept["_key"]).join(homes, F.col("_key") == F.col("_home"), "left")
+        named = F.array(*[F.struct(F.lit(n).alias("facet"), F.coalesce(n, F.lit("Unknown")).alias("key")) for n in other])
+        more = per_key.select(F.explode(named).alias("f"), "_sum", "booking_count").groupBy("f.facet", "f.key").agg(
+            F.sum("_sum").alias("_sum"), F.sum("booking_count").alias("booking_count"))
+        out = more if out is None else out.unionByName(more)
+    return out.select("facet", "key", F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("revenue"), "booking_count").orderBy("facet", F.desc("revenue"), "key")

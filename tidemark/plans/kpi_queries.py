@@ -95,7 +95,7 @@ query("payment_status_summary", oracle("bookings", f"""
 query("revenue_facets", oracle("bookings", " UNION ALL ".join(f"""
   SELECT '{f}' AS facet, CAST({c} AS VARCHAR) AS key, {money()} AS revenue, count(*) AS booking_count
   FROM bookings WHERE {REAL} AND {span('created_at')} GROUP BY 2""" for f, c in R.FACETS.items())))(
-    lambda spark, sf: R.facets(T.bookings(spark, sf, destination=True), START, END))
+    lambda spark, sf: R.facets(T.bookings(spark, sf), START, END, dimension=T.homes(spark, sf)))
 
 query("customer_segment_distribution", oracle("customers", f"""
   SELECT coalesce(segment, 'Unknown') AS segment, count(*) AS customer_count, {money('total_spent_idr')} AS total_spent_idr
@@ -198,7 +198,7 @@ query("destination_popularity", oracle("destinations bookings", f"""
     coalesce(n, 0) AS actual_booking_count, coalesce(r, 0.0) AS actual_revenue_idr
   FROM destinations d FULL JOIN (SELECT destination_name AS name, count(*) AS n, {money()} AS r FROM bookings
     WHERE {REAL} AND {span('created_at')} GROUP BY 1) b ON d.name = b.name"""))(
-    lambda spark, sf: I.popularity(T.destinations(spark, sf), T.bookings(spark, sf, destination=True), START, END))
+    lambda spark, sf: I.popularity(T.destinations(spark, sf), T.bookings(spark, sf), START, END, T.homes(spark, sf)))
 
 _MEAN = "round(CAST(sum(CAST({c} AS DECIMAL(28,10))) AS DOUBLE) / count({c}), 6)"
 
@@ -232,7 +232,7 @@ query("review_rating_trend", oracle("reviews", f"""
 query("review_destination_rating", oracle("reviews", f"""
   SELECT coalesce(destination_name, 'Unknown') AS destination_name, avg(rating) AS avg_rating, count(*) AS review_count
   FROM reviews WHERE {_REV} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))(
-    lambda spark, sf: V.destination_ratings(T.reviews(spark, sf, destination=True), EVENTS_START, EVENTS_END, 10))
+    lambda spark, sf: V.destination_ratings(T.reviews(spark, sf), EVENTS_START, EVENTS_END, 10, T.homes(spark, sf)))
 
 _BOOKED = span("booking_date")
 
@@ -262,14 +262,14 @@ query("churn_bucket_distribution", oracle("churn_scores", """
 query("top_destinations", oracle("bookings", f"""
   SELECT destination_name AS destination, count(*) AS bookings, {money()} AS revenue_idr FROM bookings
   WHERE {COMMIT} AND {_BOOKED} GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5"""))(
-    lambda spark, sf: X.top_destinations(T.bookings(spark, sf, destination=True), START, END, 5))
+    lambda spark, sf: X.top_destinations(T.bookings(spark, sf), START, END, 5, T.homes(spark, sf)))
 
 query("top_customers_in_period", oracle("bookings", f"""
   SELECT customer_id, arg_min(customer_name, (booking_date, booking_id)) AS customer_name,
     arg_min(customer_segment, (booking_date, booking_id)) AS segment, {money()} AS total_spent_idr,
     count(*) AS booking_count FROM bookings WHERE {COMMIT_PAID} AND {_BOOKED}
   GROUP BY 1 ORDER BY total_spent_idr DESC, customer_id LIMIT 25"""))(
-    lambda spark, sf: X.top_customers(T.bookings(spark, sf, customer=True), START, END, 25))
+    lambda spark, sf: X.top_customers(T.bookings(spark, sf), START, END, 25, T.people(spark, sf)))
 
 _NOW, _BEFORE = span("booking_date", YEAR_START, YEAR_END), span("booking_date", "1996-01-02", "1996-12-31")
 

@@ -106,6 +106,12 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("customer_segment"), "destination_name")
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name and segment of every customer."""
+    return read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"), F.col("c_mktsegment").alias("customer_segment"))
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Booking lines with a travel date."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
