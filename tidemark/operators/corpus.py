@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import MIN_CHUNK_LENGTH, chunk_id, strip
 from tidemark.functions.vectors import hashed_embedding
+from tidemark.plans.session import cut_lineage
 
 MAX_DELETE_RATIO = 0.5
 
@@ -81,10 +82,17 @@ def guard(added: int, deleted: int, unchanged: int, force: bool = False) -> None
 
 def apply_delta(desired: DataFrame, existing: DataFrame, force: bool = False,
                 embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
-    """The new index: stored rows that are still wanted plus newly embedded ones; only new text is embedded."""
-    guard(**delta_counts(index_delta(desired, existing)).first().asDict(), force=force)
-    kept = existing.join(desired.select("chunk_id"), "chunk_id", "left_semi")
-    fresh = desired.join(existing.select("chunk_id"), "chunk_id", "left_anti")
+    """The new index: stored rows that are still wanted plus newly embedded ones; only new text is embedded.
+
+    The two meet once, in a full outer join that is written: the guard counts it, and the index is taken from it.
+    """
+    new = desired.select("chunk_id", F.struct(*desired.columns).alias("wanted"))
+    old = existing.select("chunk_id", F.struct(*existing.columns).alias("stored"))
+    both = cut_lineage(new.join(old, "chunk_id", "full_outer"))
+    action = F.when(F.col("stored").isNull(), "add").when(F.col("wanted").isNull(), "delete").otherwise("keep")
+    guard(**delta_counts(both.select(action.alias("action"))).first().asDict(), force=force)
+    kept = both.where("wanted IS NOT NULL AND stored IS NOT NULL").select("stored.*")
+    fresh = both.where("stored IS NULL").select("wanted.*")
     return kept.unionByName(fresh.withColumn("embedding", embed(F.col("text"))), allowMissingColumns=True)
 
 

@@ -107,19 +107,27 @@ query("repair_nights", """
   SELECT CAST(CASE WHEN l_linenumber >= 2 THEN l_linenumber - 2 ELSE l_linenumber - 2 + CAST(l_partkey % 13 = 0 AS INT) END AS INT) AS nights, count(*) AS rows
   FROM lineitem GROUP BY 1""")(
     lambda spark, sf: QA.repair_nights(_stays(spark, sf)).groupBy(F.col("nights").cast("int").alias("nights")).agg(F.count(F.lit(1)).alias("rows")))
+# Some amounts get a sign they must not have.
 query("audit_transactions", oracle("transactions", """
-  SELECT 'amount_idr' AS column_name, 'negative_but_not_refund' AS issue, count(*) FILTER (amount_idr < 0 AND type <> 'Refund') AS rows FROM transactions"""))(
-    lambda spark, sf: QA.audit_consistency(T.transactions(spark, sf)))
+  SELECT 'amount_idr' AS column_name, 'negative_but_not_refund' AS issue, count(*) FILTER (amount_idr <> 0 AND booking_id % 11 = 0 AND type <> 'Refund') AS rows FROM transactions"""))(
+    lambda spark, sf: QA.audit_consistency(T.transactions(spark, sf).withColumn(
+        "amount_idr", F.when(F.col("booking_id") % 11 == 0, -F.col("amount_idr")).otherwise(F.col("amount_idr")))))
 query("audit_organic", oracle("bookings", """
   SELECT 'campaign_id' AS column_name, 'organic_bookings' AS issue, count(*) FILTER (campaign_id IS NULL) AS rows FROM bookings"""))(
     lambda spark, sf: QA.audit_nulls(T.bookings(spark, sf), ["campaign_id"], "organic_bookings"))
+# Features as they are, and spoiled by customer number: every rule has rows that break it.
 query("feature_sanity", oracle("bookings", f"""
-  SELECT * FROM (SELECT 'recency_days' AS column_name, 'negative' AS issue, count(*) FILTER (recency_days < 0) AS rows FROM ({base_sql()})
-    UNION ALL SELECT 'frequency', 'below_one', count(*) FILTER (frequency < 1) FROM ({base_sql()})
-    UNION ALL SELECT 'track', 'unknown', count(*) FILTER (track NOT IN ('single', 'repeat')) FROM ({base_sql()})
-    UNION ALL SELECT 'recency_ratio', 'infinite', count(*) FILTER (isinf(recency_ratio)) FROM ({base_sql()})
-    UNION ALL SELECT 'recency_ratio', 'nan', count(*) FILTER (isnan(recency_ratio)) FROM ({base_sql()}))"""))(
-    lambda spark, sf: QA.feature_sanity(H.booking_features(T.bookings(spark, sf), "2000-06-30")))
+  SELECT 'recency_days' AS column_name, 'negative' AS issue, count(*) FILTER (recency_days < 0 OR customer_id % 13 = 0) AS rows FROM ({base_sql()})
+    UNION ALL SELECT 'frequency', 'below_one', count(*) FILTER (frequency < 1 OR customer_id % 17 = 0) FROM ({base_sql()})
+    UNION ALL SELECT 'track', 'unknown', count(*) FILTER (track NOT IN ('single', 'repeat') OR customer_id % 19 < 2) FROM ({base_sql()})
+    UNION ALL SELECT 'recency_ratio', 'infinite', count(*) FILTER (customer_id % 23 < 2) FROM ({base_sql()})
+    UNION ALL SELECT 'recency_ratio', 'nan', count(*) FILTER (customer_id % 23 = 2) FROM ({base_sql()})"""))(
+    lambda spark, sf: QA.feature_sanity(H.booking_features(T.bookings(spark, sf), "2000-06-30").withColumns({
+        "recency_days": F.when(F.col("customer_id") % 13 == 0, -1).otherwise(F.col("recency_days")),
+        "frequency": F.when(F.col("customer_id") % 17 == 0, 0).otherwise(F.col("frequency")),
+        "track": F.when(F.col("customer_id") % 19 == 0, "gold").when(F.col("customer_id") % 19 != 1, F.col("track")),
+        "recency_ratio": F.when(F.col("customer_id") % 23 == 0, F.lit(float("inf"))).when(F.col("customer_id") % 23 == 1, F.lit(float("-inf"))).when(
+            F.col("customer_id") % 23 == 2, F.lit(float("nan"))).otherwise(F.col("recency_ratio"))})))
 
 
 def _two_scores(spark, sf):

@@ -66,12 +66,27 @@ query("index_delta", oracle("", _DELTA, **_PAIR))(
 query("index_delta_counts", oracle("", f"""SELECT count(*) FILTER (action = 'add') AS added,
   count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'keep') AS unchanged FROM ({_DELTA})""", **_PAIR))(
     lambda spark, sf: CO.delta_counts(CO.index_delta(_desired(spark, sf), _existing(spark, sf))))
-query("apply_index_delta", oracle("", "SELECT chunk_id, source_type, 64 AS dim FROM desired", **_PAIR))(
+def slots(source: str, ident: str, text: str = "text") -> str:
+    """Hashed, normalised token vectors as (id, slot, v)."""
+    return f"""SELECT id, slot, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS v FROM (
+      SELECT {ident} AS id, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % 64 AS slot, CAST(count(*) AS DOUBLE) AS c
+      FROM (SELECT {ident}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS tok FROM {source}) GROUP BY 1, 2)"""
+
+
+# A vector is compared by its length, its entries that are not zero and its sum weighted by place.
+def _weighed():
+    return F.round(F.aggregate(F.zip_with("embedding", F.sequence(F.lit(1), F.size("embedding")), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x), 6)
+
+
+query("apply_index_delta", oracle("", f"""SELECT d.chunk_id, source_type, 64 AS dim, CAST(count(slot) AS INT) AS used, coalesce(round(sum((slot + 1) * v), 6), 0.0) AS weighed
+  FROM desired d LEFT JOIN ({slots('desired', 'chunk_id')}) s ON s.id = d.chunk_id GROUP BY 1, 2""", **_PAIR))(
     lambda spark, sf: CO.apply_delta(_desired(spark, sf), _existing(spark, sf)).select(
-        "chunk_id", "source_type", F.size("embedding").alias("dim")))
-query("corpus_stats", oracle("", """SELECT source_type, count(*) AS chunks, 64 AS min_dim, 64 AS max_dim,
-  count(*) FILTER (id IS NULL) AS missing_ids FROM desired GROUP BY 1""", **_PAIR))(
-    lambda spark, sf: CO.corpus_stats(_desired(spark, sf).withColumn("embedding", hashed_embedding(F.col("text")))))
+        "chunk_id", "source_type", F.size("embedding").alias("dim"), F.size(F.filter("embedding", lambda x: x != 0)).alias("used"), _weighed().alias("weighed")))
+# Vectors of several lengths, and chunks that lost their id.
+query("corpus_stats", oracle("", """SELECT source_type, count(*) AS chunks, CAST(min(64 - length(text) % 5) AS INT) AS min_dim, CAST(max(64 - length(text) % 5) AS INT) AS max_dim,
+  count(*) FILTER (length(text) % 7 = 0) AS missing_ids FROM desired GROUP BY 1""", **_PAIR))(
+    lambda spark, sf: CO.corpus_stats(_desired(spark, sf).withColumns({
+        "embedding": F.slice(hashed_embedding(F.col("text")), F.lit(1), 64 - F.char_length("text") % 5), "id": F.when(F.char_length("text") % 7 != 0, F.col("id"))})))
 
 # ---- text functions -------------------------------------------------------
 
@@ -196,13 +211,6 @@ def bm25_ctes(questions: str) -> dict[str, str]:
     }
 
 
-def slots(source: str, ident: str, text: str = "text") -> str:
-    """Hashed, normalised token vectors as (id, slot, v)."""
-    return f"""SELECT id, slot, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS v FROM (
-      SELECT {ident} AS id, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % 64 AS slot, CAST(count(*) AS DOUBLE) AS c
-      FROM (SELECT {ident}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS tok FROM {source}) GROUP BY 1, 2)"""
-
-
 _ASKED = f"SELECT question_id AS query_id, text, {adaptive_sql('text')} AS k FROM search_questions"
 HYBRID = {
     **bm25_ctes(_ASKED),
