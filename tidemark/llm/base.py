@@ -56,9 +56,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows carry whole texts, so Arrow batches of Spark's default 10,000 rows are large: both sides hold several of them.
+
+    A value that the user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(AT_ONCE))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_base(spark)}/llm-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -71,6 +82,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """Apply a function from record batch to record batch, on a bounded number of rows at once."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,6 +94,7 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 def key_and_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two columns an operator reads, so other columns can't clash with its own."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key), F.col(text).cast("string").alias("text"))
 
 

@@ -150,7 +150,7 @@ def _prefixes(n: int, sketch):
                     if raw in seen:
                         rows.append((d, s1, s2, len(keys), None))
                         continue
-                    if len(seen) > 200_000:
+                    if len(seen) > 50_000:
                         seen.clear()
                     seen.add(raw)
                     order = np.argsort(frequency[(keys % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import mix
+from tidemark.llm.base import mix, small_batches
 
 LEAST, TIMES = 24, 3
 #: Words of the texts dealt with at once (a longer text alone), candidates extended at once, and the words whose grid is kept.
@@ -237,6 +237,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LE
     run holds after its first period.  One row per input row, repeated rows and null keys too; a null text has no word,
     no run and an empty collapsed text.  Rows are dealt with on their own, so nothing is shuffled.
     """
+    small_batches(df.sparkSession)
     schema = T.StructType([df.schema[key], T.StructField("runs", T._parse_datatype_string(ROW)), T.StructField("collapsed", T.StringType())])
 
     def deal(keys: list[pa.Array], words: list[list[bytes]]) -> pa.RecordBatch:

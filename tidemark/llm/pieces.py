@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import Kept, per_batch
+from tidemark.llm.base import Kept, per_batch, small_batches
 
 SPACE = "▁"  # stands for a blank inside pieces
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file (fixed values)
@@ -223,6 +223,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", de
     pieces inside a text are plain text.  Other input columns are left out.  `decoded` names a further column with the
     text of the ids, decoded in the same pass.
     """
+    small_batches(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(spec_of(path))  # about 1 MB, whatever the data
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if decoded:
