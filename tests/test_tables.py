@@ -190,14 +190,31 @@ def test_rate_limit_batch_equals_brute_force(spark):
     assert got == greedy(rows, 5, 60)
 
 
-def test_rate_limit_stream_equals_batch(spark, tmp_path):
+def test_rate_limit_over_micro_batches_equals_one_batch(spark, tmp_path):
     rows, df = hits(spark, 600)
-    df.coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
-    stream = L.rate_limit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "e.parquet")), "user", "event_id", limit=5, seconds=60)
-    got = dict(pairs(J.drain(stream, folder=str(tmp_path / "out")), "event_id", "accepted"))
+    ordered = sorted(rows, key=lambda r: (r[2], r[0]))
+    cuts = [ordered[i][2] for i in (200, 400)]
+    at = F.unix_micros("ts") / 1_000_000 if dict(df.dtypes)["ts"] == "timestamp" else F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    first = df.agg(F.min(at)).first()[0] - min(r[2] for r in rows)
+    parts = [at - first < cuts[0], (at - first >= cuts[0]) & (at - first < cuts[1]), at - first >= cuts[1]]
+    write = J.limit_writer(str(tmp_path / "out"), "user", "event_id", limit=5, seconds=60)
+    for number, part in enumerate(parts):
+        write(df.where(part), number)
+    write(df.where(parts[1]), 1)  # replayed
+    got = dict(pairs(spark.read.parquet(str(tmp_path / "out")), "event_id", "accepted"))
     assert got == greedy(rows, 5, 60)
 
 
+@pytest.mark.parametrize("segment", [60, 150])
+def test_segments_agree_with_one_pass(spark, segment):
+    """One key with most rows and no pause, so its segments depend on each other."""
+    rng = np.random.default_rng(segment)
+    rows = [(i, "hot" if rng.random() < 0.8 else f"u{i % 5}", float(t)) for i, t in enumerate(np.sort(rng.integers(0, 500, 350)))]
+    df = spark.createDataFrame([(i, u, ts("2024-01-01") + timedelta(seconds=t)) for i, u, t in rows], "event_id int, user string, ts timestamp").repartition(3)
+    got = dict(pairs(L.rate_limit(df, "user", "event_id", limit=4, seconds=30, segment=segment), "event_id", "accepted"))
+    assert got == greedy(rows, 4, 30)
+
+
 def test_hits_in_window(spark):
     rows, df = hits(spark, 400)
     got = dict(pairs(L.hits_in_window(df, "user", seconds=60), "event_id", "hits"))
@@ -220,7 +237,9 @@ def test_refused_amounts_consume_nothing(spark):
         if spent.get(day, 0.0) + (a or 0.0) <= 10:
             spent[day] = spent.get(day, 0.0) + (a or 0.0)
             want.add(i)
-    assert {r["event_id"] for r in L.running_budget(df, amount="amount", budget=10).collect()} == want
+    for segment in (200_000, 30):
+        got = L.running_budget(df, amount="amount", budget=10, segment=segment).collect()
+        assert {r["event_id"] for r in got} == want and all(r["spent"] <= 10 for r in got)
     three = spark.createDataFrame([(i, ts("2024-01-01") + timedelta(minutes=i), a) for i, a in enumerate([6, 6, 4])], "event_id int, ts timestamp, amount int")
     assert {r["event_id"] for r in L.running_budget(three, amount="amount", budget=10).collect()} == {0, 2}
 

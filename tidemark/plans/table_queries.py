@@ -270,8 +270,13 @@ _LIMITER = """
       SELECT e.*, list_filter(s.kept, lambda t: t >= e.ts - INTERVAL 10 HOUR) AS live FROM step s JOIN ev e ON e.user_id = s.user_id AND e.n = s.n + 1))
   SELECT {columns} FROM step WHERE n > 0"""
 
-query("stream_rate_limit", _LIMITER.format(columns="user_id, event_id, ts, accepted"))(
-    lambda spark, sf: J.drain(L.rate_limit_stream(J.read_stream(spark, sf, "events"), "user_id", "event_id", limit=3, seconds=36_000)))
+@query("stream_rate_limit", _LIMITER.format(columns="user_id, event_id, ts, accepted"))
+def _limited(spark, sf):
+    base = J.shared_folder(spark)
+    J.run_batches(J.read_stream(spark, sf, "events"), J.limit_writer(f"{base}/out", "user_id", "event_id", limit=3, seconds=36_000), base)
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
 query("rate_limit_batch", _LIMITER.format(columns="user_id, event_id, accepted"))(
     lambda spark, sf: L.rate_limit(T.read(spark, sf, "events"), "user_id", "event_id", limit=3, seconds=36_000).select(
         "user_id", "event_id", "accepted"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.semantics import money_sum
 from tidemark.plans.session import shared_base
-from tidemark.streaming.limits import DAILY_BUDGET, running_budget
+from tidemark.streaming.limits import DAILY_BUDGET, MAX_REQUESTS, WINDOW_SECONDS, rate_limit, running_budget
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -113,6 +113,24 @@ def rollup_of(spark: SparkSession, root: str) -> DataFrame:
         F.max("last_purchase_date").alias("last_purchase_date")).withColumn("is_repeat_customer", F.col("total_trips") > 1)
 
 
+def limit_writer(root: str, key: str, ident: str, ts: str = "ts", limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS) -> Callable[[DataFrame, int], None]:
+    """Accept or refuse the events of each micro-batch, with those accepted in earlier batches before them.
+
+    A micro-batch is limited as a table, so its events of one key stream through sorted segments and never meet in a
+    frame; of the earlier batches only the accepted events of the window before the batch are read.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        rows = batch.select(key, ident, ts)
+        stored = batches(batch.sparkSession, root, T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())]), number)
+        oldest = rows.agg(F.min(at)).first()[0]
+        given = stored.where(F.col("accepted") & (at >= F.lit((oldest or 0) - seconds * 1_000_000)))
+        rate_limit(rows, key, ident, ts, limit, seconds, given=given).write.mode("overwrite").parquet(of_batch(root, number))
+
+    return write
+
+
 def budget_writer(root: str, ts: str, ident: str, budget: int = DAILY_BUDGET) -> Callable[[DataFrame, int], None]:
     """Accept the first requests of every day until the budget is spent, over micro-batches.
 
