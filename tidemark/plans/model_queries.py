@@ -200,7 +200,7 @@ def _gate(spark, sf):
 
 def _score_run(spark, sf):
     """A run record whose AUC is that of the plain recency score."""
-    scored = features(spark, sf, 365).transform(H.with_label).withColumn("churn_proba", F.col("recency_days") / 4000)
+    scored = cut_lineage(features(spark, sf, 365).transform(H.with_label).withColumn("churn_proba", F.col("recency_days") / 4000).select("track", "label", "churn_proba"))
     quality = H.auc(scored, by="track").agg(F.map_from_entries(F.collect_list(F.struct("track", "auc"))).alias("m")).scalar()
     overall = H.auc(scored).select("auc").scalar()
     return scored.agg(F.count(F.lit(1)).alias("population"), F.round(F.avg("label"), 4).alias("churn_rate")).select(
