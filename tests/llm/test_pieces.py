@@ -78,6 +78,20 @@ def test_caches_are_bounded_by_bytes():
     assert "x" * 65 not in kept
 
 
+def test_a_worker_holds_the_tables_of_one_operator():
+    from tidemark.llm import base
+
+    dropped = []
+    base.holds("one", lambda: dropped.append(1))
+    base.holds("one", lambda: dropped.append(2))
+    assert dropped == []
+    base.holds("two")
+    base.holds("three", lambda: dropped.append(3))
+    assert dropped == [1]
+    base.holds("")
+    assert dropped == [1, 3]
+
+
 def test_tables(spark, library):
     docs = cases.docs(spark, extra=True)
     got = pieces.encode(docs, PATH, decoded="again").collect()

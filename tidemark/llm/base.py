@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -19,6 +21,26 @@ BLANKS = b" \t\n\x0b\x0c\r"
 AT_ONCE = 1000
 
 
+#: The operator whose tables and caches this Python worker holds, and how to drop them.
+_HOLDER: list = ["", lambda: None]
+
+
+def holds(owner: str, drop: Callable[[], object] = lambda: None) -> None:
+    """Say in a task that this worker now works for `owner`; what it holds for another operator goes first.
+
+    Spark hands workers from stage to stage, so without this a worker would hold the tables of every operator it served.
+    """
+    if _HOLDER[0] == owner:
+        return
+    _HOLDER[1]()
+    _HOLDER[:] = [owner, drop]
+    gc.collect()
+    try:  # give freed memory back, where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class Kept(dict):
     """A cache bounded by bytes, not by entries, for results that can always be made again.
 

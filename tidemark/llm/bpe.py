@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import per_batch, texts_of
+from tidemark.llm.base import holds, per_batch, texts_of
 
 #: The pattern of the byte-level pre-tokenizer (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -310,6 +310,7 @@ _LOADED: dict[int, ByteBpe] = {}
 
 def loaded(spec) -> ByteBpe:
     """The encoder of a broadcast file, built once in each Python worker."""
+    holds("bpe", _LOADED.clear)
     key = hash(spec.value)
     if key not in _LOADED:
         _LOADED.clear()  # of several files the last is kept

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import per_batch, stored, texts_of, windows
+from tidemark.llm.base import holds, per_batch, stored, texts_of, windows
 
 SPAN = 10
 GRAM = 5
@@ -139,6 +139,7 @@ _BLOCKS: dict[str, Block] = {}
 
 
 def _block(name: str, items, span: int, gram: int) -> Block:
+    holds("decontam", _BLOCKS.clear)
     if name not in _BLOCKS:
         _BLOCKS.clear()
         _BLOCKS[name] = Block(items.value, span, gram)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import per_batch, stored
+from tidemark.llm.base import holds, per_batch, stored
 from tidemark.plans.session import salted_join
 
 MIN_WORDS = 50
@@ -76,6 +76,7 @@ def _shortest_runs(min_words: int):
                 yield part[a]["i"], b - a + 1, part[a]["line"], part[b]["line"], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("linededup")
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.struct([("_d", pa.int64()), ("_h", pa.int64()), ("i", pa.int32())])]
         names = ["_d", "_h", "i", "size", "first", "last", "rank"]
         for batch in batches:
@@ -118,6 +119,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id
     ranges = copies.groupBy("_d", "_h").agg(F.sort_array(F.collect_set(F.struct("i", (F.col("i") + F.col("size")).alias("end"), "first", "last"))).alias("ranges"))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holds("linededup")
         out = []
         for row in batch.column(2).to_pylist():
             merged: list[dict] = []

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import Kept, stored, texts_of, windows
+from tidemark.llm.base import Kept, holds, stored, texts_of, windows
 from tidemark.plans.session import salted_join, small_enough
 
 WORDS = 5
@@ -92,6 +92,7 @@ def _sets(n: int):
     """Per row: id, size, 128 bits and bit map of its set; at the end of a partition its counts, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("ngramjoin", _HASHES.drop)
         counts = np.zeros(COUNTERS, np.uint32)
         names = ["_d", "n", "s1", "s2", "bits", "piece", "counts"]
         for batch in batches:
@@ -135,6 +136,7 @@ def _prefixes(n: int, sketch):
     """Per row: id, set, size and its rarest shingles in order; a set seen before in the task is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("ngramjoin", _HASHES.drop)
         frequency = np.frombuffer(sketch.value, np.uint32)
         seen: set[bytes] = set()
         for batch in batches:

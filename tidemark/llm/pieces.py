@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import Kept, per_batch, small_batches
+from tidemark.llm.base import Kept, holds, per_batch, small_batches
 
 SPACE = "▁"  # stands for a blank inside pieces
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file (fixed values)
@@ -204,6 +204,7 @@ _LOADED: dict[int, Pieces] = {}
 
 def loaded(spec) -> Pieces:
     """The encoder of a broadcast model, built once in each Python worker; of several models the last is kept."""
+    holds("pieces", _LOADED.clear)
     key = hash(spec.value)
     if key not in _LOADED:
         _LOADED.clear()

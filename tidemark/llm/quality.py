@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import BLANKS, per_batch, texts_of, windows
+from tidemark.llm.base import BLANKS, holds, per_batch, texts_of, windows
 
 SYMBOLS = b"#*$%&|<>"
 RUN = 8
@@ -111,6 +111,7 @@ def rules(df: DataFrame, bands: Bands = Bands(), key: str = "doc_id", text: str
     schema = T.StructType([df.schema[key], *(T.StructField(n, T._parse_datatype_string(t)) for n, _, t in COLUMNS)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holds("quality")
         compressor = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
         rows = [measure(t, bands, compressor) for t in texts_of(batch.column(1))]
         return pa.RecordBatch.from_arrays(
@@ -123,6 +124,7 @@ def keep(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFra
     """The rows of `docs` whose text passes, all their columns unchanged; nothing is shuffled."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holds("quality")
         compressor = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
         texts = texts_of(batch.column(batch.schema.get_field_index(text)))
         return batch.filter(pa.array([measure(t, bands, compressor)[6] for t in texts], pa.bool_()))
