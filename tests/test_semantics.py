@@ -178,3 +178,12 @@ def test_sums_before_the_join_equal_joined_rows(spark):
     people = spark.createDataFrame([("hot", "H", "Gold"), ("a", "A", "Silver")], "customer_id string, customer_name string, customer_segment string")
     got = X.top_customers(slim, *span, 4, people).collect()
     assert [(r["customer_id"], r["customer_name"], r["booking_count"]) for r in got][:2] == [("hot", "H", 30), ("a", "A", 2)] and len(got) == 4 and got[3]["segment"] is None
+
+
+def test_customer_type_from_first_dates(spark):
+    rows = [{"customer_id": "hot" if i % 3 else f"c{i % 4}", "total_price_idr": 5.0 + i, "booking_date": f"2024-01-{1 + i % 9:02d}"} for i in range(40)]
+    b = bookings(spark, rows)
+    firsts = b.groupBy("customer_id").agg(F.min("booking_date").alias("first_date")).where("customer_id != 'c1'")
+    flagged = b.drop("is_repeat_customer").join(firsts, "customer_id", "left").withColumn("is_repeat_customer", F.col("booking_date") > F.col("first_date"))
+    got = R.by_customer_type(b.drop("is_repeat_customer"), "2024-01-01", "2024-12-31", firsts).collect()
+    assert got == R.by_customer_type(flagged, "2024-01-01", "2024-12-31").collect() and len(got) == 2

@@ -91,15 +91,22 @@ def by_dimension(bookings: DataFrame, dimension: DataFrame, key: str, start, end
     return sums.select(name, F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("revenue"), F.col("_n").alias("booking_count")).orderBy(F.desc("revenue"), name)
 
 
-def by_customer_type(bookings: DataFrame, start, end) -> DataFrame:
-    """New against repeat customers; a missing flag means new."""
-    flag = F.coalesce(F.col("is_repeat_customer"), F.lit(False))
-    return (
-        bookings.where(realised() & in_range("created_at", start, end))
-        .groupBy(flag.alias("is_repeat_customer"))
-        .agg(money_sum("total_price_idr").alias("revenue"), F.count(F.lit(1)).alias("booking_count"))
-        .orderBy("is_repeat_customer")
-    )
+def by_customer_type(bookings: DataFrame, start, end, firsts: DataFrame | None = None, key: str = "customer_id") -> DataFrame:
+    """New against repeat customers; a missing flag means new.
+
+    Without a flag on the bookings, `firsts` (key, first_date) tells it: a booking after the first date of its customer is
+    a repeat.  Bookings are summed per customer and date before the join, so a customer with a large share of them is no
+    more rows than the calendar has days.
+    """
+    rows = bookings.where(realised() & in_range("created_at", start, end))
+    sums = {"_sum": as_money("total_price_idr"), "_n": F.lit(1)}
+    if firsts is None:
+        flagged = rows.groupBy(F.coalesce(F.col("is_repeat_customer"), F.lit(False)).alias("is_repeat_customer")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    else:
+        per_day = rows.groupBy(key, "booking_date").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+        later = F.coalesce(F.col("booking_date") > F.col("first_date"), F.lit(False))
+        flagged = per_day.join(firsts.select(key, "first_date"), key, "left").groupBy(later.alias("is_repeat_customer")).agg(*[F.sum(n).alias(n) for n in sums])
+    return flagged.select("is_repeat_customer", F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("revenue"), F.col("_n").alias("booking_count")).orderBy("is_repeat_customer")
 
 
 def discount_impact(bookings: DataFrame, start, end) -> DataFrame:

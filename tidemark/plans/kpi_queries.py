@@ -79,7 +79,7 @@ _by("agent_performance", "agent_id", "agent_id")
 query("customer_type_revenue", oracle("bookings", f"""
   SELECT coalesce(is_repeat_customer, false) AS is_repeat_customer, {money()} AS revenue, count(*) AS booking_count
   FROM bookings WHERE {REAL} AND {span('created_at')} GROUP BY 1"""))(
-    lambda spark, sf: R.by_customer_type(T.bookings(spark, sf, repeat=True), START, END))
+    lambda spark, sf: R.by_customer_type(T.bookings(spark, sf), START, END, T.first_dates(spark, sf)))
 
 query("discount_impact", oracle("bookings", f"""
   SELECT *, coalesce(total_discount / nullif(total_revenue + total_discount, 0), 0.0) AS discount_rate FROM (

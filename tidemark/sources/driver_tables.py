@@ -106,6 +106,11 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("customer_segment"), "destination_name")
 
 
+def first_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date of each customer's first booking."""
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer_id")).agg(F.min("o_orderdate").alias("first_date"))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name and segment of every customer."""
     return read(spark, sf_dir, "customer").select(
