@@ -349,6 +349,25 @@ def _cross(lists: DataFrame) -> int:
     return lists.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
 
 
+def _all_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each member outside its list's largest component (x_node) with the members of other components that it may link with.
+
+    Lists of one largest component mostly hold the same members, so a pair would come up in each list that has both.  Where
+    that is less, the different members of all lists of a largest component meet once instead; it only adds pairs.
+    """
+    outer = members.where("part != main")
+    by_list = lists.groupBy("main").agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("in_lists"))
+    distinct = members.groupBy("main", "node").agg(F.max("n").alias("n"), F.max("part").alias("part"))
+    sizes = distinct.groupBy("main").agg(F.count("*").alias("held"), F.count_if(F.col("part") != F.col("main")).alias("outside"))
+    once = stored(by_list.join(sizes, "main").where("held * outside < in_lists").select("main"))
+    of_lists = outer.join(once, "main", "left_anti").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "part")))
+    pairs = of_lists.join(members, "key").where(_CAN_LINK).select("x_node", "node")
+    met = stored(distinct.join(once, "main", "left_semi"))
+    few = met.where("part != main").select("main", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "part")))
+    whole = salted_join(few, met, ["main"], "x_node", "inner", parts=8).where("x_part != part AND 4 * least(x_n, n) >= 3 * greatest(x_n, n)")
+    return pairs.unionByName(whole.select("x_node", "node")).distinct()
+
+
 def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (s1, s2, node: least id with that set), verified links of nodes, and their components."""
     spark = docs.sparkSession
@@ -377,11 +396,11 @@ def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame,
             member = F.struct("node", "n", "at", "part")
             chosen = F.array(*[F.min_by(member, F.xxhash64(F.lit(turn * PIVOTS + i), "node")) for i in range(PIVOTS)])
             others = members.where("part = main").groupBy("key").agg(F.array_distinct(chosen).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.*")
-            more = salted_join(few, others, ["key"], "x_node", "inner", parts=8)
+            more = salted_join(few, others, ["key"], "x_node", "inner", parts=8).where(_CAN_LINK).select("x_node", "node")
         else:
             turn = TURNS
-            more = few.join(members, "key")
-        tried = more.where(_CAN_LINK).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+            more = _all_pairs(members, open_)
+        tried = more.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
         tried = stored(tried.join(pairs, ["a", "b"], "left_anti"))
         if not tried.isEmpty():
             pairs = pairs.unionByName(tried)
