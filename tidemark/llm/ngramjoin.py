@@ -22,6 +22,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.base import Kept, holds, stored, texts_of, windows
 from tidemark.plans.session import salted_join, small_enough
@@ -349,6 +350,18 @@ def _cross(lists: DataFrame) -> int:
     return lists.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
 
 
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """Each member outside its list's largest component (x_node) with the members of other components that it may link with.
+
+    Members of a list mostly share the list before it, too: a pair whose members both come from the same list is left to
+    that one, where both places are earlier and so the filter is weaker.  So most pairs come up once, not in every list.
+    """
+    before = Window.partitionBy("node", "n").orderBy("at", "key")
+    members = stored(members.withColumn("prev", F.lag("key").over(before)))
+    few = members.where("part != main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "part", "prev")))
+    return few.join(members, "key").where(f"{_CAN_LINK} AND NOT coalesce(x_prev = prev, false)")
+
+
 def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (s1, s2, node: least id with that set), verified links of nodes, and their components."""
     spark = docs.sparkSession
@@ -377,11 +390,11 @@ def links(docs: DataFrame, sets: DataFrame, n: int = WORDS) -> tuple[DataFrame,
             member = F.struct("node", "n", "at", "part")
             chosen = F.array(*[F.min_by(member, F.xxhash64(F.lit(turn * PIVOTS + i), "node")) for i in range(PIVOTS)])
             others = members.where("part = main").groupBy("key").agg(F.array_distinct(chosen).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.*")
-            more = salted_join(few, others, ["key"], "x_node", "inner", parts=8)
+            more = salted_join(few, others, ["key"], "x_node", "inner", parts=8).where(_CAN_LINK)
         else:
             turn = TURNS
-            more = few.join(members, "key")
-        tried = more.where(_CAN_LINK).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+            more = _all_pairs(members)
+        tried = more.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
         tried = stored(tried.join(pairs, ["a", "b"], "left_anti"))
         if not tried.isEmpty():
             pairs = pairs.unionByName(tried)
