@@ -43,7 +43,7 @@ def merged(spans: list[tuple[int, int, int]], times: np.ndarray, gap: int) -> li
 
 
 class _Sessions(StatefulProcessor):
-    """Open sessions of a key; a timer at the end of each sends it out."""
+    """Open sessions of a key; when the watermark passes the end of the first, all closed ones are sent out."""
 
     def __init__(self, key: str, gap: int):
         self.key, self.gap = key, gap
@@ -60,18 +60,22 @@ class _Sessions(StatefulProcessor):
         spans = self._held()
         for pdf in rows:  # a frame at a time: only sessions are held
             spans = merged(spans, pdf["micros"].to_numpy(), self.gap)
-        self.open.update(tuple([s[i] for s in spans] for i in range(3)))
-        for _, end, _ in spans:
-            self.handle.registerTimer(-(-end // 1000))
+        self._hold(spans)
         yield from ()
 
+    def _hold(self, spans: list[tuple[int, int, int]]) -> None:
+        """Keep open sessions, with one timer: at the end of the first of them."""
+        self.open.update(tuple([s[i] for s in spans] for i in range(3)))
+        self.handle.registerTimer(-(-min(s[1] for s in spans) // 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # Whatever the watermark has passed is closed, not only what this timer was set for.
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         spans = self._held()
         closed, still = [s for s in spans if s[1] <= now], [s for s in spans if s[1] > now]
-        if still:
-            self.open.update(tuple([s[i] for s in still] for i in range(3)))
-        else:
+        if still and closed:
+            self._hold(still)
+        elif not still:
             self.open.clear()
         if closed:
             yield pd.DataFrame({self.key: [key[0]] * len(closed), **{c: [s[i] for s in closed] for i, c in enumerate(("start_micros", "end_micros", "events"))}})
