@@ -77,3 +77,15 @@ def test_late_and_earlier_questions(spark, tmp_path):
     got = J.drain(ST.first_questions(stream, "id", ttl="1 hour", delay="1 day"), folder=str(tmp_path / "job"))
     assert sorted(x[0] for x in pairs(got, "id")) == [1, 2, 3, 5]
     assert got.where(F.col("query_key").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_a_table_is_one_file_or_a_folder_of_files(spark, tmp_path, parts):
+    """Tables of several files lie in a folder that is named like the file; all of its files are read."""
+    rows = spark.range(100).repartition(parts or 1)
+    rows.write.parquet(str(tmp_path / "in" / ("t.parquet" if parts else "one")))
+    if parts is None:
+        next((tmp_path / "in" / "one").glob("part-*.parquet")).rename(tmp_path / "in" / "t.parquet")
+    spark.range(7).write.parquet(str(tmp_path / "in" / "other.parquet"))
+    got = J.drain(J.read_stream(spark, str(tmp_path / "in"), "t", 1), folder=str(tmp_path / "job"))
+    assert sorted(x[0] for x in pairs(got, "id")) == list(range(100))

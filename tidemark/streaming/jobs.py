@@ -20,12 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of one table as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Parquet files of one table as a stream, whether the table is one file or a folder of files."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # A pattern that only this name meets: a stream's plain path must be a folder.
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, mode: str = "append", folder: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
