@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,3 +341,26 @@ def test_greetings_have_no_length_cap(spark):
     texts = ["halo ! ! ! ! ! ! ! !", "hi \U0001f600 \U0001f600 \U0001f600 \U0001f600 \U0001f600 \U0001f600 \U0001f600 \U0001f600", "hi one two three", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r[0] for r in df.select(Q.is_greeting(F.col("text"))).collect()] == [True, True, False, False]
+
+
+def test_scores_of_a_cell_are_made_in_tiles():
+    """Whatever meets in a task, only a tile of scores is held (before: all pairs of both blocks, twice)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((similarity.BLOCK, 8))
+    rows = pd.DataFrame({"query_id": range(len(m)), "vector": list(m), "k": 5})
+    work = similarity._Scan(rows, [], None, None, True)
+    tracemalloc.start()
+    work.add(rows.rename(columns={"query_id": "chunk_id"}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    got = work.leaders.frame()
+    assert len(got) == 5 * len(m)
+    want = brute_topk(m[:50], m, 6)
+    assert {(q, c): s for q, c, s, _ in got.head(250).itertuples(index=False)} == pytest.approx({(i, j): s for (i, j), s in want.items() if i != j})
+
+
+def test_long_cells_only_for_many_blocks():
+    assert [similarity._cuts(n, 10) for n in (0, 1, 10, 11, 160, 161, 1000)] == [1, 1, 1, 2, 16, 5, 25]

@@ -5,7 +5,8 @@ so what leaves a task is at most k rows per query.  A small query side
 (measured) is sent to the tasks once and the chunk side is only scanned.
 Otherwise both sides are cut into blocks of bounded size and every
 (query block, chunk block) cell is its own task, so a hot key or a huge side
-spreads over many tasks instead of meeting in one.
+spreads over many tasks instead of meeting in one.  Within a task scores are
+made in tiles of some ten MB, however many vectors meet there.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import types as T
 from tidemark.plans.session import salted_join
 
 BLOCK = 4096
+#: Queries scored at once against a block of chunks.
+TILE = 256
+#: Without keys, a side of more than MANY blocks is cut into cells of LONG blocks: so each vector is repeated less often.
+MANY, LONG = 16, 4
 DIGITS = 6
 
 
@@ -36,21 +41,24 @@ class Leaders:
     def __init__(self, ids, k):
         self.ids, self.k = ids, k
         self.best: list[list[tuple[float, object]]] = [[] for _ in range(len(ids))]
+        self.least = np.full(len(ids), -np.inf)  # the k-th score of those that have k
 
-    def merge(self, scores: np.ndarray, chunk_ids) -> None:
-        """scores: one row per query, -inf where a chunk does not count."""
-        for i in range(scores.shape[0]):
-            row, k = scores[i], int(self.k[i])
+    def merge(self, scores: np.ndarray, chunk_ids, first: int = 0) -> None:
+        """scores: one row per query from `first` on, -inf where a chunk does not count."""
+        least = self.least[first:first + len(scores)].copy()
+        for i in np.flatnonzero(least == -np.inf):
             # Everything tied with the k-th score stays until ids decide.
-            limit = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -np.inf
-            have = self.best[i]
-            if len(have) >= k:
-                limit = max(limit, have[-1][0])
-            hits = np.nonzero((row >= limit) & (row > -np.inf))[0]
-            if len(hits):
-                merged = have + [(float(row[j]), chunk_ids[j]) for j in hits]
-                merged.sort(key=lambda e: (-e[0], e[1]))
-                self.best[i] = merged[:k]
+            if (k := int(self.k[first + i])) < scores.shape[1]:
+                least[i] = np.partition(scores[i], scores.shape[1] - k)[scores.shape[1] - k]
+        rows, places = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        starts = np.searchsorted(rows, np.arange(len(scores) + 1))
+        for i in np.flatnonzero(np.diff(starts)):
+            q, hits = first + i, places[starts[i]:starts[i + 1]]
+            merged = self.best[q] + list(zip(scores[i, hits].tolist(), chunk_ids[hits].tolist(), strict=True))
+            merged.sort(key=lambda e: (-e[0], e[1]))
+            self.best[q] = merged[:int(self.k[q])]
+            if len(merged) >= self.k[q]:
+                self.least[q] = self.best[q][-1][0] if self.best[q] else np.inf
 
     def frame(self) -> pd.DataFrame:
         rows = [(q, c, s, int(k)) for q, k, have in zip(self.ids, self.k, self.best) for s, c in have]
@@ -71,20 +79,26 @@ class _Scan:
             return
         for low in range(0, len(chunks), BLOCK):
             part = chunks.iloc[low:low + BLOCK]
-            ids = part["chunk_id"].to_numpy()
-            scores = np.round(self.unit @ _unit(part["vector"]).T, DIGITS)
-            usable = np.ones(scores.shape, dtype=bool)
-            for c in self.on:
-                usable &= self.q[c].to_numpy()[:, None] == part[c].to_numpy()[None, :]
-            if self.other:
-                usable &= self.ids[:, None] != ids[None, :]
-            if self.ttl is not None:
-                age = self.q["at"].to_numpy()[:, None] - part["at"].to_numpy()[None, :]
-                usable &= (age > 0) & (age < self.ttl)
-            if self.floor is not None:
-                usable &= scores >= self.floor
-            scores[~usable] = -np.inf
-            self.leaders.merge(scores, ids)
+            ids, unit = part["chunk_id"].to_numpy(), _unit(part["vector"]).T
+            for first in range(0, len(self.q), TILE):
+                self._tile(first, part, ids, unit)
+
+    def _tile(self, first: int, part: pd.DataFrame, ids: np.ndarray, unit: np.ndarray) -> None:
+        q = slice(first, first + TILE)
+        scores = self.unit[q] @ unit
+        np.round(scores, DIGITS, out=scores)
+        usable = np.ones(scores.shape, dtype=bool)
+        for c in self.on:
+            usable &= self.q[c].to_numpy()[q, None] == part[c].to_numpy()[None, :]
+        if self.other:
+            usable &= self.ids[q, None] != ids[None, :]
+        if self.ttl is not None:
+            age = self.q["at"].to_numpy()[q, None] - part["at"].to_numpy()[None, :]
+            usable &= (age > 0) & (age < self.ttl)
+        if self.floor is not None:
+            usable &= scores >= self.floor
+        scores[~usable] = -np.inf
+        self.leaders.merge(scores, ids, first)
 
 
 def topk(queries: DataFrame, chunks: DataFrame, on: Sequence[str] = (), ttl_seconds: float | None = None,
@@ -128,6 +142,10 @@ def topk(queries: DataFrame, chunks: DataFrame, on: Sequence[str] = (), ttl_seco
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).drop("k")
 
 
+def _cuts(rows: int, block: int) -> int:
+    return max(1, -(-rows // (block if rows <= MANY * block else LONG * block)))
+
+
 def grid(queries: DataFrame, chunks: DataFrame, on: list[str], block: int, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
     """What `run` makes of every (query block, chunk block) cell, each in its own task; it compares the `on` columns itself.
 
@@ -148,8 +166,8 @@ def grid(queries: DataFrame, chunks: DataFrame, on: list[str], block: int, run:
                 F.concat_ws("|", F.lit("key"), *[F.col(c).cast("string") for c in on])).alias("_g"))
         left, right = salted_join(queries, sizes, on, "query_id", "inner"), salted_join(chunks, sizes, on, "chunk_id", "inner")
     else:
-        count = lambda df: max(1, -(-df.count() // block))
-        sized = {"nq": F.lit(count(queries)), "nc": F.lit(count(chunks)), "_g": F.lit("")}
+        nq, nc = _cuts(queries.count(), block), _cuts(chunks.count(), block)
+        sized = {"nq": F.lit(nq), "nc": F.lit(nc), "_g": F.lit("")}
         left, right = queries.withColumns(sized), chunks.withColumns(sized)
     left = left.withColumn("_i", F.pmod(F.xxhash64("query_id"), "nq").cast("int")).withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)))
@@ -158,4 +176,9 @@ def grid(queries: DataFrame, chunks: DataFrame, on: list[str], block: int, run:
     # Fresh column ids: both sides may stem from one DataFrame.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     cell = ["_g", "_i", "_j"]
-    return left.drop("nq", "nc").groupBy(*cell).cogroup(right.drop("nq", "nc").groupBy(*cell)).applyInPandas(run, schema)
+    left, right = left.drop("nq", "nc"), right.drop("nq", "nc")
+    if not on:
+        # Work grows with the cells, not with their bytes: AQE must not merge them into a few tasks.
+        tasks = min(2 * nq * nc, 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        left, right = left.repartition(tasks, *cell), right.repartition(tasks, *cell)
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, schema)
