@@ -86,3 +86,19 @@ def test_empty_sides(spark):
     assert retrieval.dense_topk_approx(one.limit(0), vectors(spark, [[1.0, 0.0]], "chunk_id")).count() == 0
     with pytest.raises(ValueError):
         vector_index.Projections(8, bits=100)
+
+
+def test_questions_go_to_cells_once_whatever_they_probe(spark, points, monkeypatch):
+    """Before, a question was repeated for each code that it probes, and each number of probes compared all pairs again."""
+    index = vector_index.build(vectors(spark, points, "chunk_id"), SMALL)
+    asked, sent, grid = vectors(spark, points, "query_id", 4), [], similarity.grid
+    monkeypatch.setattr(similarity, "grid", lambda left, *rest: sent.append(left.count()) or grid(left, *rest))
+    wide = dict(rescored=6, exclude_self=True, block=30)
+    found = vector_index.candidates_at(index, asked, (1, 3, 16), **wide)
+    columns = ("query_id", "k", "chunk_id", "distance")
+    got = {p: sorted(pairs(found.where(f"probes = {p}"), *columns)) for p in (1, 3, 16)}
+    assert sent == [121]
+    assert got == {p: sorted(pairs(vector_index.candidates(index, asked, p, 6, exclude_self=True), *columns)) for p in (1, 3, 16)}
+    best = vector_index.scored(index, asked, found)
+    assert sorted(pairs(best.where("probes = 3"), "query_id", "chunk_id", "rank")) == sorted(
+        pairs(vector_index.search(index, asked, 3, 6, exclude_self=True), "query_id", "chunk_id", "rank"))

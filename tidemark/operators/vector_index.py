@@ -11,7 +11,7 @@ index is a plain table that is written once and can be read by any later session
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,13 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import similarity
-from tidemark.functions.vectors import cosine
+from tidemark.functions.vectors import cosines
 from tidemark.plans.session import broadcast_if_small, cut_lineage
 
-#: Questions that are sent to the scan at once; beyond, both sides meet by code.
+#: Questions that are sent to the scan at once; beyond, both sides are cut into blocks.
 BLOCK = 4096
+#: Questions and chunks that are compared at once, and as one piece of that so that it stays in a cache.
+QUESTIONS, CHUNKS, PIECE = 512, 4096, 64
 #: Pairs whose signatures are compared at once.
 AT_ONCE = 400_000
+#: Where at most this share of the pairs meet, their signatures are compared pair by pair.
+FEW = 0.1
 
 
 @dataclass(frozen=True)
@@ -100,6 +104,10 @@ def read(spark, path: str, projections: Projections) -> Index:
     return Index(spark.read.parquet(path), projections)
 
 
+#: Beyond every distance.
+NEVER = 65_535
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of different bits of rows of 64-bit words, pair by pair."""
     out = np.empty(len(a), np.int32)
@@ -115,11 +123,19 @@ class _Nearest:
     def __init__(self, ids: np.ndarray, most: int):
         self.ids, self.most = ids, most
         self.held = pd.DataFrame({"q": np.empty(0, np.int64), "distance": np.empty(0, np.int32), "chunk_id": np.empty(0, object)})
+        #: The last distance of questions that have all their chunks; nothing beyond it can come in.
+        self.limit = np.full(len(ids), NEVER, np.int32)
 
     def add(self, q: np.ndarray, distance: np.ndarray, chunk_ids: np.ndarray) -> None:
+        if not len(q):
+            return
         both = pd.concat([self.held, pd.DataFrame({"q": q, "distance": distance, "chunk_id": chunk_ids})], ignore_index=True)
         both = both.sort_values(["q", "distance", "chunk_id"], kind="stable").drop_duplicates(["q", "chunk_id"])
         self.held = both[both.groupby("q", sort=False).cumcount() < self.most]
+        of = self.held["q"].to_numpy(dtype=np.int64)
+        last = np.flatnonzero(np.r_[of[1:] != of[:-1], True])
+        full = last[np.bincount(of, minlength=len(self.ids))[of[last]] >= self.most]
+        self.limit[of[full]] = self.held["distance"].to_numpy()[full]
 
     def frame(self, k: np.ndarray) -> pd.DataFrame:
         q = self.held["q"].to_numpy(dtype=np.int64)
@@ -130,87 +146,133 @@ def _words(signatures: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
 
 
+def _all_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of different bits of every row of one side and every row of the other."""
+    out, columns = np.zeros((len(a), len(b)), np.uint16), np.ascontiguousarray(b.T)
+    different, count = np.empty((PIECE, len(b)), np.uint64), np.empty((PIECE, len(b)), np.uint8)
+    for at in range(0, len(a), PIECE):
+        part = a[at : at + PIECE]
+        x, n, into = different[: len(part)], count[: len(part)], out[at : at + PIECE]
+        for w, column in enumerate(columns):
+            np.bitwise_xor(part[:, w, None], column[None, :], out=x)
+            np.add(into, np.bitwise_count(x, out=n), out=into)
+    return out
+
+
+class _Tile:
+    """Some questions, the codes that each probes as bit maps, and the nearest chunks they met, for each number of probes."""
+
+    def __init__(self, p: Projections, asked: pd.DataFrame, levels: Sequence[int], most: int, exclude_self: bool):
+        self.ids, self.k, self.exclude_self = asked["query_id"].to_numpy(), asked["k"].to_numpy(), exclude_self
+        self.words, margins = p.project(asked["vector"].tolist())
+        probed, here = p.probes(margins, max(levels)), np.arange(len(asked))
+        self.levels = []
+        for n in levels:
+            member = np.zeros((p.tables, 1 << p.width, len(asked)), bool)  # is this code probed by that question?
+            for t in range(p.tables):
+                codes = probed[:, t, :n]
+                member[t, codes.ravel(), np.repeat(here, codes.shape[1])] = True
+            self.levels.append((n, np.packbits(member, axis=2), _Nearest(self.ids, most)))
+
+    def add(self, chunk_ids: np.ndarray, words: np.ndarray, codes: np.ndarray) -> None:
+        same = None
+        names = pd.factorize(np.concatenate([self.ids.astype(object), chunk_ids.astype(object)]) if self.ids.dtype != chunk_ids.dtype else np.concatenate([self.ids, chunk_ids]))[0]
+        mine, theirs = names[: len(self.ids)], names[len(self.ids) :]
+        if self.exclude_self:
+            same = theirs[:, None] == mine[None, :]
+        copies = len(theirs) - len(np.unique(theirs))
+        every = None
+        for _, packed, nearest in self.levels:
+            met = np.unpackbits(np.bitwise_or.reduce([packed[t][codes[:, t]] for t in range(codes.shape[1])]), axis=1, count=len(self.ids)).view(bool)
+            if same is not None:
+                met &= ~same
+            if every is None and met.mean() <= FEW:
+                c, q = np.nonzero(met)
+                d = distances(self.words[q], words[c])
+                near = d <= nearest.limit[q]
+                nearest.add(q[near], d[near], chunk_ids[c[near]])
+                continue
+            if every is None:
+                every = _all_distances(words, self.words)
+            limit, place = nearest.limit, nearest.most - 1 + copies
+            if (limit == NEVER).any() and place < len(every):
+                limit = np.minimum(limit, np.partition(np.where(met, every, np.uint16(NEVER)).T, place, axis=1)[:, place])
+            c, q = np.nonzero(met & (every <= limit[None, :]))
+            nearest.add(q, every[c, q], chunk_ids[c])
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        for n, _, nearest in self.levels:
+            yield nearest.frame(self.k).assign(probes=n)
+
+
+def _tiles(p: Projections, asked: pd.DataFrame, levels: Sequence[int], most: int, exclude_self: bool) -> list[_Tile]:
+    return [_Tile(p, asked.iloc[at : at + QUESTIONS], levels, most, exclude_self) for at in range(0, len(asked), QUESTIONS)]
+
+
+def _meet(tiles: list[_Tile], chunks: pd.DataFrame) -> None:
+    for at in range(0, len(chunks), CHUNKS):
+        part = chunks.iloc[at : at + CHUNKS]
+        ids, words, codes = part["chunk_id"].to_numpy(), _words(part["signature"]), np.array(part["codes"].tolist())
+        for tile in tiles:
+            tile.add(ids, words, codes)
+
+
 def candidates(index: Index, questions: DataFrame, probes: int = 32, rescored: int = 25, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """query_id, k, chunk_id, distance: per question the `rescored` chunks of least distance among those it meets.
 
-    questions: query_id, vector, k.  A question side of at most `block` rows (measured) is sent to the scan of the index,
-    which keeps the best of each question; beyond that, questions and chunks meet by (table, code) in cells of bounded
-    size.  Both give the same rows.
+    questions: query_id, vector, k.  See `candidates_at`.
+    """
+    return candidates_at(index, questions, (probes,), rescored, exclude_self, block).drop("probes")
+
+
+def candidates_at(index: Index, questions: DataFrame, levels: Sequence[int], rescored: int = 25, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """query_id, k, chunk_id, distance, probes: the candidates for several numbers of probes, from one pass over the pairs.
+
+    A question side of at most `block` rows (measured) is sent to the scan of the index; beyond that both sides are cut
+    into blocks, and every (questions, chunks) cell is a task.  Both test the codes of all pairs as bit maps, compare the
+    signatures of those that meet, in tiles of bounded size, and keep the best of each question: they give the same rows.
+    Where a few probes meet no small part of the chunks, as in 256 codes, this is cheaper than to join by code.
     """
     p = index.projections
     asked = questions.where("vector IS NOT NULL").select("query_id", "vector", F.col("k").cast("int").alias("k"))
     chunks = index.rows.select("chunk_id", "signature", "codes")
-    schema = T.StructType([asked.schema["query_id"], T.StructField("k", T.IntegerType()), chunks.schema["chunk_id"], T.StructField("distance", T.IntegerType())])
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    schema = T.StructType([asked.schema["query_id"], T.StructField("k", T.IntegerType()), chunks.schema["chunk_id"], T.StructField("distance", T.IntegerType()), T.StructField("probes", T.IntegerType())])
+    order = Window.partitionBy("probes", "query_id").orderBy("distance", "chunk_id")
     best = lambda found: found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= rescored).drop("_place")
     if chunks.isEmpty():  # its dimension is unknown then
         return asked.sparkSession.createDataFrame([], schema)
     head = asked.limit(block + 1).toPandas()
     if len(head) <= block:
-        signatures, margins = p.project(head["vector"].tolist())
-        member = np.zeros((p.tables, 1 << p.width, len(head)), bool)  # is this code probed by that question?
-        for t in range(p.tables):
-            member[t, p.probes(margins, probes)[:, t].ravel(), np.repeat(np.arange(len(head)), min(probes, 1 << p.width))] = True
-        sent = index.rows.sparkSession.sparkContext.broadcast((head["query_id"].to_numpy(), head["k"].to_numpy(), signatures, np.packbits(member, axis=2)))
+        sent = index.rows.sparkSession.sparkContext.broadcast(head)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, k, mine, packed = sent.value
-            nearest, at_once = _Nearest(ids, rescored), max(1, 4 * AT_ONCE // max(1, len(ids)))
+            tiles = None
             for batch in batches:
-                for at in range(0, len(batch) if len(ids) else 0, at_once):
-                    part = batch.iloc[at : at + at_once]
-                    codes = np.array(part["codes"].tolist())
-                    met = np.bitwise_or.reduce([packed[t, codes[:, t]] for t in range(p.tables)])
-                    c, q = np.nonzero(np.unpackbits(met, axis=1, count=len(ids)))
-                    chunk_ids = part["chunk_id"].to_numpy()
-                    if exclude_self:
-                        other = ids[q] != chunk_ids[c]
-                        c, q = c[other], q[other]
-                    nearest.add(q, distances(mine[q], _words(part["signature"])[c]), chunk_ids[c])
-            yield nearest.frame(k)
+                tiles = _tiles(p, sent.value, levels, rescored, exclude_self) if tiles is None else tiles
+                _meet(tiles, batch)
+            for tile in tiles or ():
+                yield from tile.frames()
 
         return best(chunks.mapInPandas(scan, schema))
 
-    def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            signatures, margins = p.project(batch["vector"].tolist())
-            yield pd.DataFrame({
-                "query_id": batch["query_id"], "k": batch["k"], "signature": [s.tobytes() for s in signatures],
-                "cells": (p.probes(margins, probes) + (np.arange(p.tables) << p.width)[None, :, None]).reshape(len(batch), -1).tolist()})
-
-    cells = asked.mapInPandas(probing, T.StructType([asked.schema["query_id"], T.StructField("k", T.IntegerType()), T.StructField("signature", T.BinaryType()), T.StructField("cells", T.ArrayType(T.LongType()))]))
-    left = cells.select("query_id", "k", "signature", F.explode("cells").alias("cell"))
-    right = chunks.select("chunk_id", "signature", F.posexplode("codes").alias("t", "code")).select("chunk_id", "signature", (F.shiftleft(F.col("t").cast("long"), p.width) + F.col("code")).alias("cell"))
-
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, q_of = np.unique(a["query_id"].to_numpy(), return_inverse=True)
-        k = np.zeros(len(ids), np.int64)
-        k[q_of] = a["k"].to_numpy()
-        nearest, rows = _Nearest(ids, rescored), b.groupby("cell").indices
-        mine, theirs, chunk_ids = _words(a["signature"]), _words(b["signature"]), b["chunk_id"].to_numpy()
-        for cell, of_a in a.groupby("cell").indices.items():
-            of_b = rows.get(cell, ())
-            step = max(1, AT_ONCE // max(1, len(of_b)))
-            for at in range(0, len(of_a) if len(of_b) else 0, step):
-                part = of_a[at : at + step]
-                x, y = np.repeat(part, len(of_b)), np.tile(of_b, len(part))
-                if exclude_self:
-                    other = ids[q_of[x]] != chunk_ids[y]
-                    x, y = x[other], y[other]
-                nearest.add(q_of[x], distances(mine[x], theirs[y]), chunk_ids[y])
-        return nearest.frame(k)
-
-    found = similarity.grid(left, right, ["cell"], block, meet, schema)
-    return best(found.groupBy("query_id", "chunk_id").agg(F.max("k").alias("k"), F.min("distance").alias("distance")).select(*schema.fieldNames()))
+        tiles = _tiles(p, a, levels, rescored, exclude_self) if len(b) else []
+        _meet(tiles, b)
+        found = [f for tile in tiles for f in tile.frames()]
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=schema.fieldNames())
+
+    found = similarity.grid(asked, chunks, [], block, meet, schema)
+    return best(found.groupBy("probes", "query_id", "chunk_id").agg(F.max("k").alias("k"), F.min("distance").alias("distance")).select(*schema.fieldNames()))
 
 
 def scored(index: Index, questions: DataFrame, found: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k best of the candidates, by exact cosine."""
+    """query_id, chunk_id, score, rank: the k best of the candidates, by exact cosine; with `probes` for each number of them."""
+    by = [c for c in ("probes",) if c in found.columns]
     asked = questions.where("vector IS NOT NULL").select("query_id", F.col("vector").alias("_asked"))
     pairs = index.rows.select("chunk_id", "vector").join(broadcast_if_small(found), "chunk_id").join(broadcast_if_small(asked), "query_id")
-    scores = pairs.select("query_id", "chunk_id", "k", F.round(cosine(F.col("_asked"), F.col("vector")), similarity.DIGITS).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).select("query_id", "chunk_id", "score", "rank")
+    scores = pairs.select(*by, "query_id", "chunk_id", "k", F.round(cosines(F.col("_asked"), F.col("vector")), similarity.DIGITS).alias("score"))
+    order = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "chunk_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).select(*by, "query_id", "chunk_id", "score", "rank")
 
 
 def search(index: Index, questions: DataFrame, probes: int = 32, rescored: int = 25, exclude_self: bool = False) -> DataFrame:

@@ -168,12 +168,10 @@ def _recall(spark, sf):
     asked, chunks = v.select(F.col("id").alias("query_id"), "vector", F.lit(5).alias("k")), v.withColumnRenamed("id", "chunk_id")
     exact = RT.dense_topk(asked, chunks, exclude_self=True).select("query_id", "chunk_id")
     index = vector_index.build(chunks)
-    found = exact.withColumn("n", F.lit(1))
-    for probes in (1, 8, 32):
-        pairs = cut_lineage(vector_index.candidates(index, asked, probes, exclude_self=True))
-        near = vector_index.scored(index, asked, pairs).select("query_id", "chunk_id", F.lit(1).alias(f"at_{probes}"))
-        found = found.join(near, ["query_id", "chunk_id"], "left")
-    scored, indexed = pairs.count(), index.rows.count()
+    pairs = cut_lineage(vector_index.candidates_at(index, asked, (1, 8, 32), exclude_self=True))
+    near = vector_index.scored(index, asked, pairs).groupBy("query_id", "chunk_id").agg(*[F.max((F.col("probes") == p).cast("int")).alias(f"at_{p}") for p in (1, 8, 32)])
+    found = exact.withColumn("n", F.lit(1)).join(near, ["query_id", "chunk_id"], "left")
+    scored, indexed = pairs.where("probes = 32").count(), index.rows.count()
     share = [(F.sum(F.coalesce(f"at_{p}", F.lit(0))) / F.sum("n")).alias(f"r_{p}") for p in (1, 8, 32)]
     return found.agg(F.count_distinct("query_id").alias("questions"), *share).select(
         "questions", F.lit(indexed).cast("long").alias("indexed"), (F.col("r_32") >= 0.9).alias("recalled"), (F.lit(scored) <= 0.05 * F.col("questions") * indexed).alias("few_scored"),
