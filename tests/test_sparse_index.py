@@ -108,3 +108,21 @@ def test_empty_sides(spark):
     chunks, terms = tables(spark, corpus(), QUERIES)
     assert sparse_index.search(sparse_index.build(chunks.limit(0)), terms).count() == 0
     assert sparse_index.search(sparse_index.build(chunks), terms.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("only", [None, ["b", "zz", "a"]])
+def test_an_index_counted_in_parts_is_the_same(only):
+    """Tokens are counted part by part, so a shard of long texts never holds them all."""
+    import pyarrow as pa
+
+    rows = [["a", "b", "a"], [], None, ["c", "b"], ["a"] * 5, ["d", "b", "b"]]
+    wanted, whole = None if only is None else pa.array(only), pa.array(rows, pa.list_(pa.string()))
+
+    def plain(parts):
+        terms, starts, place, tf, *_, lengths = sparse_index._postings(parts, wanted)
+        ends = [*starts[1:], len(place)]
+        return {t: list(zip(place[a:b].tolist(), tf[a:b].tolist())) for t, a, b in zip(terms.to_pylist(), starts, ends)}, lengths.tolist()
+
+    one = plain([sparse_index._counts(whole, wanted)])
+    assert one == plain([sparse_index._counts(whole.slice(i, 2), wanted) for i in (0, 2, 4)])
+    assert one[1] == [3, 0, 0, 2, 5, 3] and sorted(one[0]["b"]) == [(0, 1), (3, 1), (5, 2)]

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import tokens
+from tidemark.plans.session import text_batches
 
 DIMENSION = 64
+#: Tokens whose counts are made at once: a batch may hold many long texts.
+TOKENS_AT_ONCE = 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,24 +57,41 @@ def require_dimension(df: DataFrame, column: str, size: int) -> DataFrame:
     return df.withColumn(column, checked)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _slot(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMENSION
 
 
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows that hold at most so many elements together, or one row; `ends` are the running totals."""
+    at = 0
+    while at < len(ends):
+        start = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, start + most, "right")))
+        yield at, to
+        at = to
+
+
+def _counted(lists: pa.Array) -> np.ndarray:
+    """L2-normalised token counts in hashed slots, a row for each list."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lists), DIMENSION))
+    for a, b in _runs(np.cumsum(lengths), TOKENS_AT_ONCE):
+        coded = lists.slice(a, b - a).flatten().dictionary_encode()
+        slots = np.array([_slot(t) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+        place = np.repeat(np.arange(b - a) * DIMENSION, lengths[a:b])
+        place += slots[coded.indices.to_numpy(zero_copy_only=False)] if len(place) else 0
+        out[a:b] = np.bincount(place, minlength=(b - a) * DIMENSION).reshape(-1, DIMENSION)
+        norms = np.sqrt((out[a:b] * out[a:b]).sum(axis=1, keepdims=True))
+        np.divide(out[a:b], norms, out=out[a:b], where=norms > 0)
+    return out
+
+
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _hashed_counts(lists: pa.Array) -> pa.Array:
-    """L2-normalised token counts in hashed slots, one whole Arrow batch at a time."""
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = pc.dictionary_encode(lists.flatten())
-    slots = np.array([_slot(t) for t in coded.dictionary.to_pylist()], dtype=np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    place = owner * DIMENSION + slots[coded.indices.to_numpy(zero_copy_only=False)] if len(owner) else owner
-    counts = np.bincount(place, minlength=len(lengths) * DIMENSION).reshape(-1, DIMENSION).astype(float)
-    norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-    unit_rows = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
-    offsets = np.arange(0, (len(lengths) + 1) * DIMENSION, DIMENSION, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit_rows.ravel()), mask=pc.is_null(lists))
+    """The counts of token lists, one Arrow batch at a time."""
+    offsets = np.arange(0, (len(lists) + 1) * DIMENSION, DIMENSION, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_counted(lists).ravel()), mask=pc.is_null(lists))
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
@@ -83,9 +104,11 @@ def _hashed_lists(lists: pa.Array) -> pa.Array:
 
 def hashed_embeddings(texts: Column) -> Column:
     """A vector for each text of an array."""
+    text_batches(SparkSession.active())
     return _hashed_lists(F.transform(texts, tokens))
 
 
 def hashed_embedding(text: Column) -> Column:
     """Deterministic stand-in for an embedding model; the text is tokenised on the JVM side."""
+    text_batches(SparkSession.active())
     return _hashed_counts(tokens(text))

@@ -28,12 +28,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.similarity import DIGITS
 from tidemark.functions.text import tokens
-from tidemark.plans.session import cut_lineage, small_enough
+from tidemark.plans.session import cut_lineage, small_enough, text_batches
 
 # Fixed values of the ranking.
 K1, B = 1.5, 0.75
 #: Chunks of a shard, and postings of a block.
 SHARD, BLOCK = 8192, 64
+#: Chunks whose tokens are counted at once; of a shard only the counts are held.
+AT_ONCE = 500
 #: Distinct (question, term) rows that may be sent to every task: some 20 MB.
 MAX_SENT_TERMS = 300_000
 #: Scores closer than this may be equal once they are rounded.
@@ -51,8 +53,8 @@ def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-def _postings(lists: pa.Array, only: pa.Array | None):
-    """Terms, and sorted by term then impact: where each begins, places, frequencies, block bounds; lengths of all chunks."""
+def _counts(lists: pa.Array, only: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, and for each (term, chunk): number of the term, place, frequency; lengths of all chunks.  The tokens go then."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
     if only is None:
@@ -62,8 +64,24 @@ def _postings(lists: pa.Array, only: pa.Array | None):
         terms, codes = only, pc.index_in(flat, value_set=only)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     known = pc.is_valid(codes).to_numpy(zero_copy_only=False)
-    both, tf = np.unique(codes.drop_null().to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(lengths)) + owner[known], return_counts=True)
-    term, place = both // max(1, len(lengths)), both % max(1, len(lengths))
+    n = max(1, len(lengths))
+    both, tf = np.unique(codes.drop_null().to_numpy(zero_copy_only=False).astype(np.int64) * n + owner[known], return_counts=True)
+    return terms, both // n, both % n, tf, lengths
+
+
+def _postings(parts: list[tuple], only: pa.Array | None):
+    """Terms, and sorted by term then impact: where each begins, places, frequencies, block bounds; lengths of all chunks."""
+    lengths = np.concatenate([np.empty(0, np.int64), *(p[4] for p in parts)])
+    firsts = np.cumsum([0, *(len(p[4]) for p in parts)])
+    place = np.concatenate([np.empty(0, np.int64), *(p[2] + first for p, first in zip(parts, firsts, strict=False))])
+    tf = np.concatenate([np.empty(0, np.int64), *(p[3] for p in parts)])
+    if only is None:
+        coded = pa.concat_arrays([pa.array([], pa.string()), *(p[0].cast(pa.string()) for p in parts)]).dictionary_encode()
+        terms, number = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.cumsum([0, *(len(p[0]) for p in parts)])
+        term = np.concatenate([np.empty(0, np.int64), *(number[p[1] + first] for p, first in zip(parts, of, strict=False))])
+    else:
+        terms, term = only, np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)])
     average = lengths.mean() if len(lengths) else 1.0  # only orders the postings
     impact = tf / (tf + K1 * (1 - B + B * np.maximum(lengths[place], 1) / max(average, 1.0)))
     order = np.lexsort((place, -impact, term))
@@ -96,11 +114,10 @@ def build(chunks: DataFrame, only: Sequence[str] | None = None, shard: int = SHA
 
         names, wanted, number = [f.name for f in carried], None if vocabulary is None else pa.array(vocabulary.value, pa.string()), 0
 
-        def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        def rows(table: pa.Table, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal number
             table = table.combine_chunks()
-            lists = table["t"].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.string()))
-            terms, starts, place, tf, first, most, least, lengths = _postings(lists, wanted)
+            terms, starts, place, tf, first, most, least, lengths = _postings(parts, wanted)
             name = f"{part_of}-{TaskContext.get().partitionId()}-{number}"
             number += 1
             about = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), pa.StructArray.from_arrays([table[c].combine_chunks() for c in names], fields=list(arrow.field("chunks").type.value_type)))
@@ -113,19 +130,21 @@ def build(chunks: DataFrame, only: Sequence[str] | None = None, shard: int = SHA
                     pa.array([name] * len(starts)), terms, pa.array(counts), pa.nulls(len(starts), pa.int64()), _binary(place, starts), _binary(tf, starts), _binary(most, first), _binary(least, first),
                     pa.nulls(len(starts), arrow.field("chunks").type)], schema=arrow)
 
-        held, size = [], 0
+        held, counted, size = [], [], 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, shard - size)
-                held.append(part)
+                part = batch.slice(at, min(shard - size, AT_ONCE))
+                counted.append(_counts(part.column("t"), wanted))
+                held.append(part.select(names))
                 size, at = size + part.num_rows, at + part.num_rows
                 if size >= shard:
-                    yield from rows(pa.Table.from_batches(held))
-                    held, size = [], 0
+                    yield from rows(pa.Table.from_batches(held), counted)
+                    held, counted, size = [], [], 0
         if size:
-            yield from rows(pa.Table.from_batches(held))
+            yield from rows(pa.Table.from_batches(held), counted)
 
+    text_batches(chunks.sparkSession)
     return cut_lineage(chunks.mapInArrow(run, schema))
 
 
@@ -262,7 +281,11 @@ def search(index: DataFrame, terms: DataFrame, max_terms: int = MAX_SENT_TERMS)
     beyond that questions are dealt into blocks, and each (shards, block of questions) cell is a group of its own.  Both
     give the same rows.  A carried column `usable` restricts the result, not the statistics.
     """
-    spark, chunk = index.sparkSession, next(f for f in index.schema["chunks"].dataType.elementType if f.name == "chunk_id")
+    about = index.schema["chunks"].dataType.elementType
+    spark, chunk = index.sparkSession, next(f for f in about if f.name == "chunk_id")
+    # Vectors and other carried columns stay where they are.
+    read = [f.name for f in about if f.name in ("chunk_id", "usable")]
+    index = index.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*[c[x].alias(x) for x in read])))
     schema = T.StructType([terms.schema["query_id"], chunk, T.StructField("score", T.DoubleType()), T.StructField("k", T.IntegerType())])
     arrow = to_arrow_schema(schema)
     about = index.where(F.col("term") == CHUNKS).agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.count("*").alias("shards")).first()
