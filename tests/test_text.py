@@ -364,3 +364,35 @@ def test_scores_of_a_cell_are_made_in_tiles():
 
 def test_long_cells_only_for_many_blocks():
     assert [similarity._cuts(n, 10) for n in (0, 1, 10, 11, 160, 161, 1000)] == [1, 1, 1, 2, 16, 5, 25]
+
+
+def test_memory_of_embeddings_follows_a_slice_not_the_batch():
+    """A batch of many long texts, and one of many sentences (before: all counts, and all numbers as Python objects, at once)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    words = pa.array(["a", "b", "c", "d"]).take(pa.array(np.arange(6_000_000) % 4))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 6_000_001, 2000, dtype=np.int32)), words)
+    out, most = peak(lambda: VX._hashed_counts.func(lists))
+    assert most < 60e6
+    small = VX._hashed_counts.func(pa.array([["a", "b", "c", "d"] * 500]))
+    assert np.allclose(out.flatten().to_numpy().reshape(3000, -1), small.flatten().to_numpy())
+    rng = np.random.default_rng(4)
+    m = pa.array(rng.standard_normal(4000 * 8 * 64))
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 4000 * 8 * 64 + 1, 64, dtype=np.int32)), m)
+    said = pa.ListArray.from_arrays(pa.array(np.arange(0, 32001, 8, dtype=np.int32)), inner)
+    best, most = peak(lambda: AN._best_matches.func(said, said))
+    assert most < 30e6 and best.to_pylist() == [[1.0] * 8] * 4000
+    assert AN._best_matches.func(pa.array([[], [[1.0, 0.0]], [[0.0, 0.0]]], said.type), pa.array([[[1.0, 0.0]], [], [[1.0, 1.0]]], said.type)).to_pylist() == [[], [], [0.0]]
+
+
+def test_runs_hold_whole_rows():
+    assert list(VX._runs(np.cumsum([3, 3, 9, 0, 1]), 6)) == [(0, 2), (2, 3), (3, 5)] and not list(VX._runs(np.empty(0, int), 6))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ STRICT_SCORE = 0.6
 ANSWER_TTL_SECONDS = 3600
 SAME_QUESTION = 0.93
 FINE_SECONDS = 60
+#: Rows whose sentences are compared at once.
+ROWS_AT_ONCE = 256
 
 
 def numbers_report(answers: DataFrame) -> DataFrame:
@@ -29,18 +32,26 @@ def numbers_report(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", unverified_numbers(F.col("answer"), F.col("context")).alias("unverified_numbers"))
 
 
+def _vectors(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vectors of all rows in one matrix, and where those of each row begin; no vector becomes Python objects."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    inner = lists.flatten()
+    m = inner.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(inner), -1) if len(inner) else np.zeros((0, 1))
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0), np.r_[0, np.cumsum(lengths)]
+
+
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _best_matches(said: pa.Array, known: pa.Array) -> pa.Array:
     """For each vector of the first list its highest cosine with one of the second; both lie in one row."""
     out = []
-    for mine, theirs in zip(said.to_pylist(), known.to_pylist(), strict=True):
-        if not mine or not theirs:
-            out.append([])
-            continue
-        a, b = (np.array(x, dtype=float) for x in (mine, theirs))
-        a, b = (np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x, n in ((x, np.linalg.norm(x, axis=1, keepdims=True)) for x in (a, b)))
-        out.append(np.round((a @ b.T).max(axis=1), similarity.DIGITS).tolist())
-    return pa.array(out, pa.list_(pa.float64()))
+    for at in range(0, len(said), ROWS_AT_ONCE):
+        (a, x), (b, y) = (_vectors(side.slice(at, ROWS_AT_ONCE)) for side in (said, known))
+        for i in range(len(x) - 1):
+            mine, theirs = a[x[i]:x[i + 1]], b[y[i]:y[i + 1]]
+            out.append(np.round((mine @ theirs.T).max(axis=1), similarity.DIGITS) if len(mine) and len(theirs) else np.empty(0))
+    ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0), *out])))
 
 
 def groundedness(answers: DataFrame, embed: Callable[[Column], Column] | None = hashed_embeddings,
