@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 
 import pytest
 
@@ -101,6 +102,26 @@ def test_ngram_join(spark, monkeypatch, short):
     assert sorted(map(tuple, got), key=repr) == plain_groups(rows)
 
 
+def test_shingles_of_texts_made_together(monkeypatch):
+    """Equal to each text alone, and no Python call for a word, however rare the words are."""
+    monkeypatch.setattr(ngramjoin, "TOGETHER", 2_000)
+    texts = [x or "" for _, x, *_ in cases.rows()] + ["", "a", "A b c", "a b c d e", "a b c d e a b c d e", cases.prose(5, 900)]
+    for n in (1, 3, 5):
+        got = list(ngramjoin.shingle_sets(texts, n))
+        assert len(got) == len(texts)
+        for text, keys in zip(texts, got, strict=True):
+            words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+            assert len(keys) == len({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else ())
+            assert (keys[1:] > keys[:-1]).all() and (keys == ngramjoin.shingles(text, n)).all()
+    calls, text = [], " ".join(f"w{i}" for i in range(20_000))
+    sys.setprofile(lambda frame, event, what: calls.append(event) if event == "call" else None)
+    try:
+        ngramjoin.shingles(text)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 2_000
+
+
 def test_rows_of_one_id_are_one_document(spark):
     s, t, u = (cases.prose(700 + i, 40) for i in range(3))
     rows = [(i, x, "en", "s", 1) for i, x in [(3, s), (5, s), (5, t), (5, ""), (9, t), (9, u), (12, u), (13, ""), (13, None), (20, cases.prose(800, 40))]]

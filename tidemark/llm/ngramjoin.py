@@ -15,6 +15,7 @@ list.  So a group of copies costs pairs in proportion to its size, and no link b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.base import Kept, holds, stored, texts_of, windows
+from tidemark.llm.base import holds, stored, texts_of, windows
 from tidemark.plans.session import salted_join, small_enough
 
 WORDS = 5
@@ -32,6 +33,7 @@ WORDS = 5
 COUNTERS, PIECES = 1 << 20, 256
 #: Lists up to this length give all pairs.
 SHORT_LIST = 8
+TOGETHER = 250_000  # characters of texts whose shingles are made at once
 BITS = 4  # of a map, for each shingle of its set
 VERIFIED = 32_000_000  # bytes of sets compared at once
 #: Turns with further pivots, this many each, before all pairs of different components are tried; pairs a member that are no matter.
@@ -42,28 +44,37 @@ NO_ID = -(1 << 63)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class Hashes(Kept):
-    """64-bit hash of words, kept within a bound in bytes and until the end of a task."""
+def shingle_sets(texts: list[str], n: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit keys of its distinct runs of n words; a shorter text is one run, one without words has none.
 
-    def drop(self) -> None:
-        self.clear()
-        self.old, self.held = {}, 0
-
-    def __missing__(self, word: bytes) -> int:
-        if (h := self.known(word)) is None:
-            h = xxhash.xxh64_intdigest(word)
-            self.keep(word, h)
-        return h
-
-
-_HASHES = Hashes(16_000_000)
+    Texts of a bounded length are cut and hashed together, as calls on single texts cost more than the work.  Words are
+    hashed anew each time: half of them are met so rarely that looking them up costs more than the hash.
+    """
+    ends = np.cumsum([len(t) for t in texts])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+        words = [t.encode().translate(_LOWER).split() for t in texts[at:to]]
+        lengths = [len(w) for w in words]
+        ids = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, sum(lengths))
+        del words
+        runs = windows(ids, n)
+        start = 0
+        for length in lengths:
+            # Runs over the end of a text are left out; a short one has a key of its own.
+            keys = runs[start : start + length - n + 1].copy() if length >= n else windows(ids[start : start + length], length, length) if length else ids[:0]
+            start += length
+            keys.sort()
+            fresh = np.empty(len(keys), bool)
+            fresh[:1] = True
+            np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+            yield keys[fresh]
+        at = to
 
 
 def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """Sorted 64-bit keys of the distinct runs of n words; a shorter text is one run, one without words has none."""
-    words = text.encode().translate(_LOWER).split()
-    ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    return np.unique(windows(ids, min(n, len(ids)), len(ids) if len(ids) < n else 0)) if len(ids) else ids
+    """The same for one text."""
+    return next(shingle_sets([text], n))
 
 
 def bit_map(keys: np.ndarray) -> bytes:
@@ -93,26 +104,31 @@ def _sets(n: int):
     """Per row: id, size, 128 bits and bit map of its set; at the end of a partition its counts, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holds("ngramjoin", _HASHES.drop)
+        holds("ngramjoin")
         counts = np.zeros(COUNTERS, np.uint32)
         names = ["_d", "n", "s1", "s2", "bits", "piece", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sizes, s1, s2, bits = [], [], [], []
-                for t in texts_of(part.column(1)):
-                    keys = shingles(t, n)
-                    np.add.at(counts, (keys % np.uint64(COUNTERS)).astype(np.int64), 1)
+                places, held = [], 0
+                for keys in shingle_sets(texts_of(part.column(1)), n):
+                    places.append((keys % np.uint64(COUNTERS)).astype(np.int32))
+                    held += len(keys)
+                    if held > COUNTERS:  # one pass over the counters for so many
+                        counts += np.bincount(np.concatenate(places), minlength=COUNTERS).astype(np.uint32)
+                        places, held = [], 0
                     digest = np.frombuffer(xxhash.xxh3_128_digest(keys.tobytes()), np.int64)
                     sizes.append(len(keys))
                     s1.append(int(digest[0]))
                     s2.append(int(digest[1]))
                     bits.append(bit_map(keys))
+                if held:
+                    counts += np.bincount(np.concatenate(places), minlength=COUNTERS).astype(np.uint32)
                 nulls = pa.nulls(len(sizes))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()),
                     nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=names)
-        _HASHES.drop()
         size, pack = COUNTERS // PIECES, zstandard.ZstdCompressor(level=1).compress
         pieces = [(p, pack(counts[p * size : (p + 1) * size].tobytes())) for p in range(PIECES) if counts[p * size : (p + 1) * size].any()]
         if pieces:
@@ -137,15 +153,14 @@ def _prefixes(n: int, sketch):
     """Per row: id, set, size and its rarest shingles in order; a set seen before in the task is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holds("ngramjoin", _HASHES.drop)
+        holds("ngramjoin")
         frequency = np.frombuffer(sketch.value, np.uint32)
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows = []
-                for d, t in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
-                    keys = shingles(t, n)
+                for d, keys in zip(part.column(0).to_pylist(), shingle_sets(texts_of(part.column(1)), n), strict=True):
                     if not len(keys):
                         continue
                     raw = xxhash.xxh3_128_digest(keys.tobytes())
@@ -161,7 +176,6 @@ def _prefixes(n: int, sketch):
                     rows.append((d, s1, s2, len(keys), keys[order[:length]].astype(np.int64)))
                 kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["_d", "s1", "s2", "n", "prefix"])
-        _HASHES.drop()
 
     return run
 
@@ -254,8 +268,7 @@ def _keys_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n).tobytes() for t in texts_of(part.column(1))], pa.binary())], names=["_d", "keys"])
-        _HASHES.drop()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([keys.tobytes() for keys in shingle_sets(texts_of(part.column(1)), n)], pa.binary())], names=["_d", "keys"])
 
     return docs.join(wanted, "_d", "left_semi").mapInArrow(run, "_d long, keys binary").where("length(keys) > 0").repartition("_d").distinct()
 
