@@ -5,7 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tests.helpers import pairs, ts
+from tidemark.plans import all_queries
+from tidemark.streaming import events as E
 from tidemark.streaming import jobs as J
 from tidemark.streaming import stateful as ST
 
@@ -47,6 +50,33 @@ def test_sessions_are_sent_out_once_and_closed(spark, tmp_path):
     assert state.where("key.user IS NOT NULL").count() == 0  # only the row that flushes is left
 
 
+@pytest.mark.parametrize("streamed", [True, False])
+def test_session_windows_are_the_same_sessions(spark, tmp_path, streamed):
+    """As above, by session windows: events at the very end of a session, or a microsecond before; large keys beside a null one."""
+    r = random.Random(4)
+    gap, near, big = timedelta(minutes=30), timedelta(microseconds=1), 2**60
+    rows = [(r.choice([1, 1, 1, 2, None, big, big + 1]), START + timedelta(minutes=r.randrange(0, 4000))) for _ in range(300)]
+    rows += [(7, START + timedelta(minutes=m)) for m in (0, 25, 50)] + [(8, START), (8, START + gap), (8, START + 2 * gap - near), (9, None)]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][1] or START) + timedelta(minutes=r.randrange(0, 300)))
+    if streamed:
+        stream = files(spark, rows, "user long, at timestamp", tmp_path, [order[:100], order[100:200], order[200:]])
+        got = J.drain_closed(stream, lambda e: E.sessions(e, "user", "at", "30 minutes", "5000 minutes"), "at", str(tmp_path / "job"))
+        state = spark.read.format("statestore").load(str(tmp_path / "job" / "checkpoint"))
+        assert state.count() == 1  # only the row that flushes is left
+    else:
+        got = E.sessions(spark.createDataFrame(rows, "user long, at timestamp"), "user", "at", "30 minutes")
+    shown = [(x["user"], x["session_start"], x["session_end"], x["events"]) for x in got.collect()]
+    assert sorted(shown, key=repr) == plain_sessions([x for x in rows if x[1]], gap)
+
+
+def test_sessions_of_the_query_need_no_python(spark, tmp_path, monkeypatch):
+    """Calls into Python for each key and event took most of the time of a large table."""
+    monkeypatch.setattr(J, "shared_folder", lambda spark: str(tmp_path / "job"))
+    assert all_queries.QUERIES["stream_sessions"](spark, SF).count() > 0
+    operators = {x["operatorName"] for x in spark.read.format("state-metadata").load(str(tmp_path / "job" / "checkpoint")).collect()}
+    assert operators and not any("Python" in x or "PySpark" in x or "Pandas" in x for x in operators)
+
+
 def test_merging_of_spans():
     assert ST.merged([(0, 10, 2), (20, 30, 1)], np.array([9]), 12) == [(0, 30, 4)]
     assert ST.merged([], np.array([10, 0, 20]), 10) == [(0, 10, 1), (10, 20, 1), (20, 30, 1)]

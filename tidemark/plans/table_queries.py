@@ -260,7 +260,7 @@ query("stream_sessions", """
     SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
       SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS INT) AS fresh FROM events))
   GROUP BY user_id, s""")(
-    lambda spark, sf: J.drain_closed(J.read_stream(spark, sf, "events"), lambda e: ST.closed_sessions(e, "user_id"), "ts"))
+    lambda spark, sf: J.drain_closed(J.read_stream(spark, sf, "events"), lambda e: E.sessions(e, "user_id"), "ts"))
 # The limiter step by step: the accepted times of the window travel along the events of a user.
 _LIMITER = """
   WITH RECURSIVE ev AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.semantics import as_money
 from tidemark.functions.text import query_key
 from tidemark.streaming.limits import rate_limit
+from tidemark.streaming.stateful import with_state_store
 
 
 def with_event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -38,11 +39,19 @@ def activity_sliding(events: DataFrame, key: str, ts: str = "ts", length: str =
 
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions that end after an inactivity gap."""
+    """Sessions that end after an inactivity gap; an event at the very end of a session begins the next one.
+
+    A stream in append mode sends each out once, when the watermark has passed its end, and then drops its state.  Sessions of
+    a first micro-batch are all open until it ends, so the state lies in the RocksDB store.  Rows without a time are left out.
+    """
+    if events.isStreaming:
+        with_state_store(events.sparkSession)
+    # Spark's session windows take in an event at their very end, so theirs end a microsecond earlier.
+    span = F.session_window(ts, f"{round(pd.Timedelta(gap).total_seconds() * 1e6) - 1} microseconds")
     return (
-        with_event_time(events, ts).withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), key)
+        with_event_time(events, ts).where(F.col(ts).isNotNull()).withWatermark(ts, delay).groupBy(span.alias("w"), key)
         .agg(F.count(F.lit(1)).alias("events"))
-        .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events"))
+        .select(key, F.col("w.start").alias("session_start"), (F.col("w.end") + F.expr("INTERVAL '0.000001' SECOND")).alias("session_end"), "events"))
 
 
 def distinct_questions(questions: DataFrame, ts: str = "asked_at", ttl: str = "1 hour") -> DataFrame:
