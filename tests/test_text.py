@@ -396,3 +396,24 @@ def test_memory_of_embeddings_follows_a_slice_not_the_batch():
 
 def test_runs_hold_whole_rows():
     assert list(VX._runs(np.cumsum([3, 3, 9, 0, 1]), 6)) == [(0, 2), (2, 3), (3, 5)] and not list(VX._runs(np.empty(0, int), 6))
+
+
+def test_token_lists_reach_python_in_small_batches(spark):
+    """What a worker holds follows its batch, so rows that carry whole texts come 1,000 at once, unless the user set another number."""
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    @F.arrow_udf("long")
+    def size(v: pa.Array) -> pa.Array:
+        return pa.array([len(v)] * len(v), pa.int64())
+
+    largest = lambda: spark.range(0, 5000, 1, 1).select(size("id").alias("n")).agg(F.max("n")).first()[0]
+    try:
+        for given, want in (("10000", 1000), ("3000", 3000)):
+            spark.conf.set(name, given)
+            VX.hashed_embedding(F.col("text"))
+            assert largest() == want
+    finally:
+        spark.conf.set(name, before)
