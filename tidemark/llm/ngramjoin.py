@@ -48,7 +48,7 @@ def shingle_sets(texts: list[str], n: int = WORDS) -> Iterator[np.ndarray]:
     """For each text the sorted 64-bit keys of its distinct runs of n words; a shorter text is one run, one without words has none.
 
     Texts of a bounded length are cut and hashed together, as calls on single texts cost more than the work.  Words are
-    hashed anew each time: half of them are met so rarely that looking them up costs more than the hash.
+    hashed anew each time: a third of them are met so rarely that looking them up costs more than the hash.
     """
     ends = np.cumsum([len(t) for t in texts])
     at = 0
