@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import pairs, ts
+from tests.conftest import SF
 from tidemark.functions import similarity
 from tidemark.functions import text as TX
 from tidemark.functions import vectors as VX
@@ -417,3 +418,29 @@ def test_token_lists_reach_python_in_small_batches(spark):
             assert largest() == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_batches_are_small_in_the_session_of_the_data(spark):
+    """The setting must reach the session whose rows are embedded, which need not be the active one."""
+    import pyarrow as pa
+    from tidemark.plans.all_queries import QUERIES
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @F.arrow_udf("array<double>")
+    def size(v: pa.Array) -> pa.Array:
+        return pa.array([[float(len(v))]] * len(v), pa.list_(pa.float64()))
+
+    own = spark.newSession()
+    text = F.concat(F.lit("A long enough text of number "), F.col("id").cast("string"))
+    desired = CO.build_chunks({"ml_insights": (own.range(8000).select("id", text.alias("text")), "insight")})
+    index = CO.apply_delta(desired, desired.where("false"), embed=size)
+    assert index.agg(F.max(F.element_at("embedding", 1))).first()[0] <= 1000 and index.count() == 8000
+    for query in ("corpus_stats", "apply_index_delta", "question_dedup_semantic", "groundedness"):
+        own = spark.newSession()
+        QUERIES[query](own, SF)
+        assert own.conf.get(name) == "1000", query
+    own = spark.newSession()
+    own.conf.set(name, "3000")
+    QUERIES["corpus_stats"](own, SF)
+    assert own.conf.get(name) == "3000"

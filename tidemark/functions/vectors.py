@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -109,6 +109,15 @@ def hashed_embeddings(texts: Column) -> Column:
 
 
 def hashed_embedding(text: Column) -> Column:
-    """Deterministic stand-in for an embedding model; the text is tokenised on the JVM side."""
+    """Deterministic stand-in for an embedding model; the text is tokenised on the JVM side.
+
+    A column knows no session, so the batches are set in the active one; `embedded` sets them where the rows are.
+    """
     text_batches(SparkSession.active())
     return _hashed_counts(tokens(text))
+
+
+def embedded(df: DataFrame, name: str = "embedding", text: str = "text", embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
+    """The rows with the vector of their text; batches are small in the session of `df`, be it the active one or not."""
+    text_batches(df.sparkSession)
+    return df.withColumn(name, embed(F.col(text)))

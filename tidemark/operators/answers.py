@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions import similarity
 from tidemark.functions.text import query_key, sentences, unverified_numbers
 from tidemark.functions.vectors import hashed_embedding, hashed_embeddings
+from tidemark.plans.session import text_batches
 
 # Fixed values of the checks.
 SENTENCE_SIMILARITY = 0.55
@@ -63,6 +64,7 @@ def groundedness(answers: DataFrame, embed: Callable[[Column], Column] | None =
     column of text arrays into one of vector arrays; both texts of an answer
     lie in its row, so nothing is shuffled.
     """
+    text_batches(answers.sparkSession)
     base = answers.select(
         "answer_id", sentences(F.col("answer")).alias("said"), sentences(F.col("context")).alias("known"),
         unverified_numbers(F.col("answer"), F.col("context")).alias("unverified_numbers"))

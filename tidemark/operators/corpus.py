@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import MIN_CHUNK_LENGTH, chunk_id, strip
-from tidemark.functions.vectors import hashed_embedding
+from tidemark.functions.vectors import embedded, hashed_embedding
 from tidemark.plans.session import cut_lineage
 
 MAX_DELETE_RATIO = 0.5
@@ -93,7 +93,7 @@ def apply_delta(desired: DataFrame, existing: DataFrame, force: bool = False,
     guard(**delta_counts(both.select(action.alias("action"))).first().asDict(), force=force)
     kept = both.where("wanted IS NOT NULL AND stored IS NOT NULL").select("stored.*")
     fresh = both.where("stored IS NULL").select("wanted.*")
-    return kept.unionByName(fresh.withColumn("embedding", embed(F.col("text"))), allowMissingColumns=True)
+    return kept.unionByName(embedded(fresh, embed=embed), allowMissingColumns=True)
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.functions import similarity
 from tidemark.functions.text import KEY_LENGTH, PREVIEW_LENGTH, adaptive_k, tokens
 from tidemark.functions.vectors import hashed_embedding
 from tidemark.operators import sparse_index, vector_index
-from tidemark.plans.session import broadcast_if_small, cut_lineage, small_enough
+from tidemark.plans.session import broadcast_if_small, cut_lineage, small_enough, text_batches
 
 # Fixed values of the ranking.
 BASE_K = 8
@@ -96,6 +96,7 @@ def hybrid_retrieve(questions: DataFrame, chunks: DataFrame, where: dict[str, ob
                     alpha: float = ALPHA, hybrid: bool = True, adaptive: bool = True,
                     embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """(query_id, chunk_id, score, rank) for questions (query_id, text) over chunks (chunk_id, text[, vector])."""
+    text_batches(chunks.sparkSession)
     k = adaptive_k(F.col("text"), base_k) if adaptive else F.lit(base_k)
     asked = questions.select("query_id", "text", k.alias("k"))
     vector = F.col("vector") if "vector" in chunks.columns else embed(F.col("text"))

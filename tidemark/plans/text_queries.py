@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keywords as K
 from tidemark.functions import text as TX
-from tidemark.functions.vectors import cosine, hashed_embedding, require_dimension, unit
+from tidemark.functions.vectors import cosine, embedded, require_dimension, unit
 from tidemark.operators import answers as AN
 from tidemark.operators import corpus as CO
 from tidemark.operators import questions as Q
@@ -38,7 +38,7 @@ def _existing(spark, sf):
     edited = T.read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit(" (old)").alias("mark"))
     docs = _sources(spark, sf)["ml_insights"][0].join(edited, "id", "left").select(
         "id", F.concat("text", F.coalesce("mark", F.lit(""))).alias("text"), "topic")
-    return CO.build_chunks({"ml_insights": (docs, "insight")}).withColumn("embedding", hashed_embedding(F.col("text")))
+    return embedded(CO.build_chunks({"ml_insights": (docs, "insight")}))
 
 
 _STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
@@ -85,8 +85,8 @@ query("apply_index_delta", oracle("", f"""SELECT d.chunk_id, source_type, 64 AS
 # Vectors of several lengths, and chunks that lost their id.
 query("corpus_stats", oracle("", """SELECT source_type, count(*) AS chunks, CAST(min(64 - length(text) % 5) AS INT) AS min_dim, CAST(max(64 - length(text) % 5) AS INT) AS max_dim,
   count(*) FILTER (length(text) % 7 = 0) AS missing_ids FROM desired GROUP BY 1""", **_PAIR))(
-    lambda spark, sf: CO.corpus_stats(_desired(spark, sf).withColumns({
-        "embedding": F.slice(hashed_embedding(F.col("text")), F.lit(1), 64 - F.char_length("text") % 5), "id": F.when(F.char_length("text") % 7 != 0, F.col("id"))})))
+    lambda spark, sf: CO.corpus_stats(embedded(_desired(spark, sf)).withColumns({
+        "embedding": F.slice("embedding", F.lit(1), 64 - F.char_length("text") % 5), "id": F.when(F.char_length("text") % 7 != 0, F.col("id"))})))
 
 # ---- text functions -------------------------------------------------------
 
@@ -337,8 +337,7 @@ query("question_dedup_semantic", oracle("questions", f"""
       FROM questions a JOIN questions b ON b.asked_at < a.asked_at AND epoch_us(a.asked_at) - epoch_us(b.asked_at) < {DAY}000000
       JOIN qv x ON x.id = a.question_id JOIN qv y ON y.id = b.question_id AND y.slot = x.slot GROUP BY 1, 2) WHERE score >= 0.93) WHERE r = 1""",
     qv=slots("questions", "question_id")))(
-    lambda spark, sf: AN.semantic_reuse(
-        T.questions(spark, sf).withColumn("vector", hashed_embedding(F.col("text"))), DAY))
+    lambda spark, sf: AN.semantic_reuse(embedded(T.questions(spark, sf), "vector"), DAY))
 
 # ---- question rules -------------------------------------------------------
 
