@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.helpers import pairs
@@ -102,3 +103,70 @@ def test_questions_go_to_cells_once_whatever_they_probe(spark, points, monkeypat
     best = vector_index.scored(index, asked, found)
     assert sorted(pairs(best.where("probes = 3"), "query_id", "chunk_id", "rank")) == sorted(
         pairs(vector_index.search(index, asked, 3, 6, exclude_self=True), "query_id", "chunk_id", "rank"))
+
+
+def lists(m):
+    m = np.asarray(m)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def fed(work, table, piece):
+    for at in range(0, len(table), piece):
+        work.add(table.slice(at, piece).combine_chunks())
+    return work.table()
+
+
+def test_cells_send_out_only_the_best_of_a_question(spark, points, monkeypatch):
+    """Before, each of the blocks of chunks sent out the best of every question, 13 times the rows that stay."""
+    sent, grid = [], similarity.grid
+    monkeypatch.setattr(similarity, "grid", lambda *a: sent.append(grid(*a)) or sent[-1])
+    index = vector_index.build(vectors(spark, points, "chunk_id"), SMALL)
+    kept = vector_index.candidates_at(index, vectors(spark, points, "query_id", 4), (1, 16), 6, True, 10)
+    assert sent[0].count() == kept.count() > 6 * 121
+    best = similarity.topk(vectors(spark, points, "query_id", 4), vectors(spark, points, "chunk_id"), block=10)
+    assert sent[1].count() == best.count() == 4 * 121
+
+
+@pytest.mark.parametrize("bits", [128, 1024, 2048])
+def test_products_of_packed_signs_are_the_distances(bits):
+    p, rng = vector_index.Projections(16, bits=bits, tables=2, width=3), np.random.default_rng(4)
+    a, b = rng.standard_normal((7, 16)), rng.standard_normal((10, 16))
+    a[1], b[0], b[1] = a[0], a[0], -a[0]
+    x, y = p.project(a)[0], p.project(b)[0]
+    space = [np.empty(40, np.float32), np.empty(160, np.float32)]
+    got = vector_index._Tile(p, a, 2).products(vector_index._signs(y.view(np.uint8)), space)
+    assert ((bits - got) // 2).tolist() == [vector_index.distances(np.repeat(x[i : i + 1], 10, 0), y).tolist() for i in range(7)]
+    assert got[0, 0] == bits and got[0, 1] == -bits
+
+
+@pytest.mark.parametrize("piece", [8, 50, 1000])
+def test_streams_equal_brute_force(piece):
+    """Copies, ids that come twice, a zero vector, k of 0 and null; the first pieces are worked on as a whole, later ones where they are near."""
+    rng = np.random.default_rng(11)
+    m = rng.standard_normal((600, 8)).astype(np.float32)
+    m[100:250], m[300] = m[0], 0
+    ids = np.sort(np.r_[np.arange(590), rng.integers(0, 590, 10)])
+    ks = [None if i == 5 else i % 5 for i in range(600)]
+    asked = pa.table({"query_id": np.arange(600), "vector": lists(m), "k": pa.array(ks, pa.int32())})
+    got = fed(similarity.Best(asked, True), pa.table({"chunk_id": ids, "vector": lists(m)}), piece).to_pandas()
+    u = m / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-9)
+    scores = np.round(u @ u.T, 6)
+    want = [sorted((-scores[q, c], ids[c]) for c in range(600) if ids[c] != q)[: ks[q] or 0] for q in range(600)]
+    assert [(q, c) for q, c in zip(got["query_id"], got["chunk_id"])] == [(q, c) for q in range(600) for _, c in want[q]]
+    assert got["score"].tolist() == pytest.approx([-s for row in want for s, _ in row])
+
+    words, margins = SMALL.project(m)
+    rows = pa.table({"chunk_id": ids, "signature": pa.array([w.tobytes() for w in words], pa.binary()), "codes": lists(SMALL.codes(margins).astype(np.int32))})
+    got = fed(vector_index._Cell(SMALL, (1, 4, 16), 6, True, asked), rows, piece).to_pandas()
+    bits = np.unpackbits(words.view(np.uint8), axis=1).astype(int)
+    far, probed, codes = np.abs(bits[:, None] - bits[None]).sum(2), SMALL.probes(margins, 16), SMALL.codes(margins)
+    for n in (1, 4, 16):
+        met = np.any([(probed[:, t, None, :n] == codes[None, :, t, None]).any(2) for t in range(SMALL.tables)], axis=0)
+        want = []
+        for q in range(600):
+            near = {}
+            for c in np.flatnonzero(met[q] & (ids != q)):
+                near[ids[c]] = min(near.get(ids[c], 999), far[q, c])
+            want += [(q, c, d) for d, c in sorted((d, c) for c, d in near.items())[:6]]
+        of = got[got["probes"] == n]
+        assert list(zip(of["query_id"], of["chunk_id"], of["distance"])) == want

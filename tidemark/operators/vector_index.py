@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions import similarity
 from tidemark.functions.vectors import cosines
@@ -27,12 +29,16 @@ from tidemark.plans.session import broadcast_if_small, cut_lineage
 
 #: Questions that are sent to the scan at once; beyond, both sides are cut into blocks.
 BLOCK = 4096
-#: Questions and chunks that are compared at once, and as one piece of that so that it stays in a cache.
-QUESTIONS, CHUNKS, PIECE = 512, 4096, 64
+#: Questions that are compared at once with a piece of the chunks.
+QUESTIONS = 2048
+#: Vectors that are projected, or whose probes are made, at once.
+ROWS = 512
 #: Pairs whose signatures are compared at once.
 AT_ONCE = 400_000
-#: Where at most this share of the pairs meet, their signatures are compared pair by pair.
-FEW = 0.1
+#: Signs whose products add up exactly in single precision for two questions at once, one of them times SECOND.
+SIGNS, SECOND = 1024, 4096
+#: Where more than this share of a tile may come in, all of it is worked on.
+FEW = 0.05
 
 
 @dataclass(frozen=True)
@@ -54,7 +60,7 @@ class Projections:
             rows.append(np.linalg.qr(rng.standard_normal((self.dimension, self.dimension)))[0].T)
         object.__setattr__(self, "directions", np.concatenate(rows)[: self.bits + self.tables * self.width])
 
-    def project(self, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    def project(self, vectors: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures (rows of 64-bit words) and the margins of the codes (row, table, sign)."""
         m = np.array(vectors, dtype=np.float64).reshape(len(vectors), self.dimension) @ self.directions.T
         signs = np.packbits(m[:, : self.bits] > 0, axis=1)
@@ -93,9 +99,11 @@ def build(chunks: DataFrame, projections: Projections | None = None) -> Index:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signatures, margins = p.project(batch.column("vector").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([s.tobytes() for s in signatures], pa.binary()), pa.array(p.codes(margins).tolist(), pa.list_(pa.int32()))], names=schema.fieldNames())
+            for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
+                signatures, margins = p.project(similarity.matrix(part.column("vector")))
+                codes = pa.array(p.codes(margins).ravel().astype(np.int32))
+                codes = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * p.tables), codes)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s.tobytes() for s in signatures], pa.binary()), codes], names=schema.fieldNames())
 
     return Index(cut_lineage(known.mapInArrow(run, schema)), p)
 
@@ -104,10 +112,6 @@ def read(spark, path: str, projections: Projections) -> Index:
     return Index(spark.read.parquet(path), projections)
 
 
-#: Beyond every distance.
-NEVER = 65_535
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of different bits of rows of 64-bit words, pair by pair."""
     out = np.empty(len(a), np.int32)
@@ -117,104 +121,132 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Nearest:
-    """The chunks of least (distance, id) per question, as batches come."""
-
-    def __init__(self, ids: np.ndarray, most: int):
-        self.ids, self.most = ids, most
-        self.held = pd.DataFrame({"q": np.empty(0, np.int64), "distance": np.empty(0, np.int32), "chunk_id": np.empty(0, object)})
-        #: The last distance of questions that have all their chunks; nothing beyond it can come in.
-        self.limit = np.full(len(ids), NEVER, np.int32)
-
-    def add(self, q: np.ndarray, distance: np.ndarray, chunk_ids: np.ndarray) -> None:
-        if not len(q):
-            return
-        both = pd.concat([self.held, pd.DataFrame({"q": q, "distance": distance, "chunk_id": chunk_ids})], ignore_index=True)
-        both = both.sort_values(["q", "distance", "chunk_id"], kind="stable").drop_duplicates(["q", "chunk_id"])
-        self.held = both[both.groupby("q", sort=False).cumcount() < self.most]
-        of = self.held["q"].to_numpy(dtype=np.int64)
-        last = np.flatnonzero(np.r_[of[1:] != of[:-1], True])
-        full = last[np.bincount(of, minlength=len(self.ids))[of[last]] >= self.most]
-        self.limit[of[full]] = self.held["distance"].to_numpy()[full]
-
-    def frame(self, k: np.ndarray) -> pd.DataFrame:
-        q = self.held["q"].to_numpy(dtype=np.int64)
-        return pd.DataFrame({"query_id": self.ids[q], "k": k[q], "chunk_id": self.held["chunk_id"].to_numpy(), "distance": self.held["distance"].to_numpy(dtype=np.int32)})
-
-
-def _words(signatures: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
-
-
-def _all_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of different bits of every row of one side and every row of the other."""
-    out, columns = np.zeros((len(a), len(b)), np.uint16), np.ascontiguousarray(b.T)
-    different, count = np.empty((PIECE, len(b)), np.uint64), np.empty((PIECE, len(b)), np.uint8)
-    for at in range(0, len(a), PIECE):
-        part = a[at : at + PIECE]
-        x, n, into = different[: len(part)], count[: len(part)], out[at : at + PIECE]
-        for w, column in enumerate(columns):
-            np.bitwise_xor(part[:, w, None], column[None, :], out=x)
-            np.add(into, np.bitwise_count(x, out=n), out=into)
-    return out
+def _signs(words: np.ndarray) -> np.ndarray:
+    """The bits of rows of bytes as -1 and 1."""
+    return np.unpackbits(words, axis=1).astype(np.float32) * 2 - 1
 
 
 class _Tile:
-    """Some questions, the codes that each probes as bit maps, and the nearest chunks they met, for each number of probes."""
-
-    def __init__(self, p: Projections, asked: pd.DataFrame, levels: Sequence[int], most: int, exclude_self: bool):
-        self.ids, self.k, self.exclude_self = asked["query_id"].to_numpy(), asked["k"].to_numpy(), exclude_self
-        self.words, margins = p.project(asked["vector"].tolist())
-        probed, here = p.probes(margins, max(levels)), np.arange(len(asked))
-        self.levels = []
-        for n in levels:
-            member = np.zeros((p.tables, 1 << p.width, len(asked)), bool)  # is this code probed by that question?
+    """Some questions: their signs, two questions packed in a number, and how soon each probes a code."""
+
+    def __init__(self, p: Projections, vectors: np.ndarray, most: int):
+        self.half, signs = -(-len(vectors) // 2), np.empty((len(vectors), p.bits), np.float32)
+        # The place of a code among the probes of a question; `most` if it is not among them.
+        self.turn = np.full((p.tables, 1 << p.width, len(vectors)), most, np.min_scalar_type(most))
+        for at in range(0, len(vectors), ROWS):
+            words, margins = p.project(vectors[at : at + ROWS])
+            signs[at : at + ROWS] = _signs(words.view(np.uint8))
+            probed, here = p.probes(margins, most), np.arange(at, at + len(words))
+            n = probed.shape[2]
             for t in range(p.tables):
-                codes = probed[:, t, :n]
-                member[t, codes.ravel(), np.repeat(here, codes.shape[1])] = True
-            self.levels.append((n, np.packbits(member, axis=2), _Nearest(self.ids, most)))
-
-    def add(self, chunk_ids: np.ndarray, words: np.ndarray, codes: np.ndarray) -> None:
-        same = None
-        names = pd.factorize(np.concatenate([self.ids.astype(object), chunk_ids.astype(object)]) if self.ids.dtype != chunk_ids.dtype else np.concatenate([self.ids, chunk_ids]))[0]
-        mine, theirs = names[: len(self.ids)], names[len(self.ids) :]
-        if self.exclude_self:
-            same = theirs[:, None] == mine[None, :]
-        copies = len(theirs) - len(np.unique(theirs))
-        every = None
-        for _, packed, nearest in self.levels:
-            met = np.unpackbits(np.bitwise_or.reduce([packed[t][codes[:, t]] for t in range(codes.shape[1])]), axis=1, count=len(self.ids)).view(bool)
+                self.turn[t, probed[:, t].ravel(), np.repeat(here, n)] = np.tile(np.arange(n), len(here))
+        self.packed = signs[: self.half].copy()
+        self.packed[: len(signs) - self.half] += SECOND * signs[self.half :]
+
+    def products(self, signs: np.ndarray, space: list[np.ndarray]) -> np.ndarray:
+        """Signs in common less signs that differ, of every question and every chunk; whole numbers, so exact.
+
+        They lie in `space`, two arrays that the next call writes again.
+        """
+        halves = 4 if signs.shape[1] > SIGNS else 2
+        both, out = (x[: n * len(signs)].reshape(n, len(signs)) for x, n in zip(space, (self.half, halves * self.half), strict=True))
+        first, second, more = out[: self.half], out[self.half : 2 * self.half], out[2 * self.half :]
+        for at in range(0, signs.shape[1], SIGNS):
+            if at:
+                first, second = more[: self.half], more[self.half :]
+            np.matmul(self.packed[:, at : at + SIGNS], signs[:, at : at + SIGNS].T, out=both)
+            np.rint(np.multiply(both, np.float32(1 / SECOND), out=second), out=second)
+            np.add(np.multiply(second, np.float32(-SECOND), out=first), both, out=first)
+            if at:
+                out[: 2 * self.half] += more
+        return out[: self.turn.shape[2]]
+
+
+class _Cell:
+    """The `most` chunks of least (distance, id) that each question meets, for each number of probes, over a stream of
+    chunks in the order of their ids.
+
+    Distances are compared first, with the last one that each question holds; only what is nearer is looked up in the
+    codes.  A question that holds too few takes whatever it meets.
+    """
+
+    def __init__(self, p: Projections, levels: Sequence[int], most: int, exclude_self: bool, asked: pa.Table):
+        self.p, self.levels, self.exclude_self, self.asked = p, levels, exclude_self, asked
+        self.ids, vectors = asked["query_id"].to_pandas(), similarity.matrix(asked["vector"])
+        self.tiles = [_Tile(p, vectors[at : at + QUESTIONS], max(levels)) for at in range(0, len(vectors), QUESTIONS)]
+        self.never = (1 << (p.bits + 1).bit_length()) - 1
+        self.kept = [similarity.Kept(np.full(len(asked), most), self.never, distinct=True) for _ in levels]
+        self.names, self.seen = [], 0
+        half = -(-QUESTIONS // 2) * similarity.PIECE
+        self.space = [np.empty(half, np.float32), np.empty(half * (4 if p.bits > SIGNS else 2), np.float32)]
+
+    def add(self, chunks: pa.Table) -> None:
+        ids, signatures = chunks["chunk_id"].combine_chunks(), chunks["signature"].to_pylist()
+        signs = _signs(np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1))
+        codes, places = similarity.matrix(chunks["codes"], np.int64), self._places(ids)
+        names = pd.factorize(pd.concat([self.ids, ids.to_pandas()], ignore_index=True))[0] if self.exclude_self else None
+        for i, tile in enumerate(self.tiles):
+            first = i * QUESTIONS
+            same = None if names is None else (names[first : min(first + QUESTIONS, len(self.ids))], names[len(self.ids) :])
+            self._tile(first, tile, tile.products(signs, self.space), codes, places, same)
+            for kept in self.kept:
+                if kept.waiting > similarity.WAITING:
+                    kept.merge()
+        for kept in self.kept:
+            if kept.due():
+                kept.merge()
+
+    def _places(self, ids: pa.Array) -> np.ndarray:
+        """A number for each id, in their order; equal ids, which come one after the other, have the same."""
+        coded = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new = np.r_[not self.names or self.names[-1][-1] != ids[0], coded[1:] != coded[:-1]]
+        self.names.append(ids.filter(pa.array(new)))
+        places = self.seen - 1 + np.cumsum(new)
+        self.seen = int(places[-1]) + 1
+        return places
+
+    def _tile(self, first: int, tile: _Tile, products: np.ndarray, codes: np.ndarray, places: np.ndarray, same) -> None:
+        q = slice(first, first + len(products))
+        limits = [kept.limit[q] for kept in self.kept]
+        widest = np.max(limits, axis=0)
+        near = products > (self.p.bits - 2 * widest)[:, None].astype(np.float32)
+        if np.count_nonzero(near) <= FEW * near.size:
+            rows, at = similarity.hits(near)
+            turn = np.min([tile.turn[t, codes[at, t], rows] for t in range(self.p.tables)], axis=0)
+            meets = turn < max(self.levels)
             if same is not None:
-                met &= ~same
-            if every is None and met.mean() <= FEW:
-                c, q = np.nonzero(met)
-                d = distances(self.words[q], words[c])
-                near = d <= nearest.limit[q]
-                nearest.add(q[near], d[near], chunk_ids[c[near]])
-                continue
-            if every is None:
-                every = _all_distances(words, self.words)
-            limit, place = nearest.limit, nearest.most - 1 + copies
-            if (limit == NEVER).any() and place < len(every):
-                limit = np.minimum(limit, np.partition(np.where(met, every, np.uint16(NEVER)).T, place, axis=1)[:, place])
-            c, q = np.nonzero(met & (every <= limit[None, :]))
-            nearest.add(q, every[c, q], chunk_ids[c])
-
-    def frames(self) -> Iterator[pd.DataFrame]:
-        for n, _, nearest in self.levels:
-            yield nearest.frame(self.k).assign(probes=n)
-
-
-def _tiles(p: Projections, asked: pd.DataFrame, levels: Sequence[int], most: int, exclude_self: bool) -> list[_Tile]:
-    return [_Tile(p, asked.iloc[at : at + QUESTIONS], levels, most, exclude_self) for at in range(0, len(asked), QUESTIONS)]
-
-
-def _meet(tiles: list[_Tile], chunks: pd.DataFrame) -> None:
-    for at in range(0, len(chunks), CHUNKS):
-        part = chunks.iloc[at : at + CHUNKS]
-        ids, words, codes = part["chunk_id"].to_numpy(), _words(part["signature"]), np.array(part["codes"].tolist())
-        for tile in tiles:
-            tile.add(ids, words, codes)
+                meets &= same[0][rows] != same[1][at]
+            rows, at, turn = rows[meets], at[meets], turn[meets]
+            distance = (self.p.bits - products[rows, at]).astype(np.int64) // 2
+            for n, limit, kept in zip(self.levels, limits, self.kept, strict=True):
+                keep = (turn < n) & (distance < limit[rows])
+                kept.add(rows[keep] + first, distance[keep], places[at[keep]])
+            return
+        turn = tile.turn[0][codes[:, 0]]
+        for t in range(1, self.p.tables):
+            np.minimum(turn, tile.turn[t][codes[:, t]], out=turn)
+        turn, distance = np.ascontiguousarray(turn.T), ((self.p.bits - products) / 2).astype(np.uint16)
+        if same is not None:
+            turn[same[0][:, None] == same[1][None, :]] = max(self.levels)
+        copies = len(places) - len(np.unique(places))
+        for n, limit, kept in zip(self.levels, limits, self.kept, strict=True):
+            reached, full = np.where(turn < n, distance, np.uint16(self.never)), limit < self.never
+            limit, place = limit.astype(np.uint16), kept.most[first] - 1 + copies
+            if not full.all() and place < reached.shape[1]:
+                # Everything tied with the last one stays until places decide.
+                last = np.partition(reached[~full], place, axis=1)[:, place]
+                limit[~full] = np.minimum(last + 1, self.never)
+            rows, at = similarity.hits(reached < limit[:, None])
+            kept.add(rows + first, reached[rows, at], places[at])
+
+    def table(self) -> pa.Table:
+        found = []
+        for n, kept in zip(self.levels, self.kept, strict=True):
+            rows, distance, places = kept.entries()
+            of = self.asked.select(["query_id", "k"]).take(rows)
+            chunk_ids = pa.chunked_array(self.names, self.names[0].type).take(places) if self.names else pa.nulls(0)
+            found.append(pa.table({"query_id": of["query_id"], "k": of["k"], "chunk_id": chunk_ids, "distance": distance, "probes": np.full(len(rows), n)}))
+        return pa.concat_tables(found)
 
 
 def candidates(index: Index, questions: DataFrame, probes: int = 32, rescored: int = 25, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
@@ -229,9 +261,9 @@ def candidates_at(index: Index, questions: DataFrame, levels: Sequence[int], res
     """query_id, k, chunk_id, distance, probes: the candidates for several numbers of probes, from one pass over the pairs.
 
     A question side of at most `block` rows (measured) is sent to the scan of the index; beyond that both sides are cut
-    into blocks, and every (questions, chunks) cell is a task.  Both test the codes of all pairs as bit maps, compare the
-    signatures of those that meet, in tiles of bounded size, and keep the best of each question: they give the same rows.
-    Where a few probes meet no small part of the chunks, as in 256 codes, this is cheaper than to join by code.
+    into blocks, and every (questions, chunks) cell is a task.  Both compare the signatures of all pairs, in tiles of
+    bounded size, look up the codes of those that are near enough, and keep the best of each question: they give the same
+    rows.  Where a few probes meet no small part of the chunks, as in 256 codes, this is cheaper than to join by code.
     """
     p = index.projections
     asked = questions.where("vector IS NOT NULL").select("query_id", "vector", F.col("k").cast("int").alias("k"))
@@ -241,27 +273,17 @@ def candidates_at(index: Index, questions: DataFrame, levels: Sequence[int], res
     best = lambda found: found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= rescored).drop("_place")
     if chunks.isEmpty():  # its dimension is unknown then
         return asked.sparkSession.createDataFrame([], schema)
-    head = asked.limit(block + 1).toPandas()
+    start = partial(_Cell, p, tuple(levels), rescored, exclude_self)
+    head = asked.limit(block + 1).toArrow()
     if len(head) <= block:
-        sent = index.rows.sparkSession.sparkContext.broadcast(head)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tiles = None
-            for batch in batches:
-                tiles = _tiles(p, sent.value, levels, rescored, exclude_self) if tiles is None else tiles
-                _meet(tiles, batch)
-            for tile in tiles or ():
-                yield from tile.frames()
-
-        return best(chunks.mapInPandas(scan, schema))
+        sent, arrow = index.rows.sparkSession.sparkContext.broadcast(head), to_arrow_schema(schema)
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        tiles = _tiles(p, a, levels, rescored, exclude_self) if len(b) else []
-        _meet(tiles, b)
-        found = [f for tile in tiles for f in tile.frames()]
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=schema.fieldNames())
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = similarity.regrouped(pa.Table.from_batches([batch]) for batch in batches)
+            yield from similarity.worked(start, [sent.value], pieces, block, arrow)
 
-    found = similarity.grid(asked, chunks, [], block, meet, schema)
+        return best(chunks.sortWithinPartitions("chunk_id").mapInArrow(scan, schema))
+    found = similarity.grid(asked, chunks, [], block, start, schema).repartition("probes", "query_id")
     return best(found.groupBy("probes", "query_id", "chunk_id").agg(F.max("k").alias("k"), F.min("distance").alias("distance")).select(*schema.fieldNames()))
 
 
