@@ -20,12 +20,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.plans.session import salted_join
+from tidemark.plans.session import salted_join, text_batches
 
 BLOCK = 4096
 #: Queries scored at once against a block of chunks.
@@ -33,8 +33,8 @@ TILE = 256
 #: Without keys, a side of more than MANY blocks is cut into cells of LONG blocks: so each vector is repeated less often.
 MANY, LONG = 16, 4
 DIGITS = 6
-#: Chunks of a stream that are scored at once.
-PIECE = 1024
+#: Chunks of a stream that are scored at once; bytes of those that go through the shuffle as one row, one at least.
+PIECE, PACK = 1024, 1 << 14
 #: Where more than this share of a tile may come in, all of it is worked on exactly.
 FEW = 0.05
 #: Bits of a place in a stream; new entries of `Kept` that are sorted in at the latest.
@@ -326,7 +326,10 @@ def grid(queries: DataFrame, chunks: DataFrame, on: list[str], block: int, run:
         F.when(light, F.pmod(F.xxhash64(*on), F.lit(shared)).cast("string")).otherwise(
             F.concat_ws("|", F.lit("key"), *[F.col(c).cast("string") for c in on])).alias("_g"))
     left, right = salted_join(queries, sizes, on, "query_id", "inner"), salted_join(chunks, sizes, on, "chunk_id", "inner")
-    left, right = _dealt(left, right, F.col("nq"), F.col("nc"))
+    left = left.withColumn("_i", F.pmod(F.xxhash64("query_id"), "nq").cast("int")).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)))
+    right = right.withColumn("_j", F.pmod(F.xxhash64("chunk_id"), "nc").cast("int")).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     # Fresh column ids: both sides may stem from one DataFrame.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     cell = ["_g", "_i", "_j"]
@@ -334,15 +337,6 @@ def grid(queries: DataFrame, chunks: DataFrame, on: list[str], block: int, run:
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, schema)
 
 
-def _dealt(left: DataFrame, right: DataFrame, nq: Column, nc: Column) -> tuple[DataFrame, DataFrame]:
-    """Both sides with their cell (_i, _j): each query block meets each chunk block."""
-    left = left.withColumn("_i", F.pmod(F.xxhash64("query_id"), nq).cast("int")).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0), nc - 1)))
-    right = right.withColumn("_j", F.pmod(F.xxhash64("chunk_id"), nc).cast("int")).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), nq - 1)))
-    return left, right
-
-
 def _streams(queries: DataFrame, chunks: DataFrame, block: int, run: Callable[[pa.Table], object], schema) -> DataFrame:
     """Cells without keys: `run` takes the queries of a cell, then `add` gets its chunks, piece by piece in the order of
     their ids, and `table` gives the rows.
@@ -355,31 +349,59 @@ def _streams(queries: DataFrame, chunks: DataFrame, block: int, run: Callable[[p
     nq = max(_cuts(rows, block), min(4 * cores, -(-LONG * rows // block)))
     nq = -(-nq // cores) * cores  # the last tasks end together
     nc = max(1, -(-many // (MANY * MANY * block)), min(-(-4 * cores // nq), -(-many // block)))
-    left, right = _dealt(queries, chunks, F.lit(nq), F.lit(nc))
-    named = lambda side, df, of: df.select((F.col("_i") * nc + F.col("_j")).alias("_cell"), F.lit(side).alias("_side"), *[F.col(c).alias(f"{side}{c}") for c in of.columns])
-    both = named(0, left, queries).unionByName(named(1, right, chunks), allowMissingColumns=True)
+    packs = _packed(chunks).withColumn("_j", F.pmod(F.xxhash64("chunk_id"), F.lit(nc)).cast("int")).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    asked = queries.withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    cell_of, names = (F.col("_i") * nc + F.col("_j")).alias("_cell"), queries.columns
+    both = asked.select(cell_of, F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("_first"), F.lit(None).cast("binary").alias("_rows"), *names).unionByName(
+        packs.select(cell_of, F.col("chunk_id").alias("_first"), F.col("rows").alias("_rows")), allowMissingColumns=True)
     # Exactly one task for each cell, however long: AQE must not merge them into a few.
-    both = both.repartitionById(nq * nc, "_cell").sortWithinPartitions("_side", "1chunk_id")
-    asked_names, chunk_names, arrow, most = queries.columns, chunks.columns, to_arrow_schema(schema), LONG * block
-
-    def side(batch: pa.RecordBatch, which: int, names: list[str]) -> pa.Table:
-        return pa.table([batch.column(f"{which}{c}") for c in names], names=names)
+    both = both.repartitionById(nq * nc, "_cell").sortWithinPartitions(F.col("_rows").isNotNull(), "_first")
+    arrow, most = to_arrow_schema(schema), LONG * block
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, chunked = [], []
+        asked = []
 
         def pieces() -> Iterator[pa.Table]:
             for batch in batches:
-                first = int(np.searchsorted(batch.column("_side").to_numpy(), 1))
-                asked.append(side(batch.slice(0, first), 0, asked_names))
-                if first < len(batch):
-                    yield side(batch.slice(first), 1, chunk_names)
+                packed = batch.column("_rows")
+                if packed.null_count:
+                    asked.append(pa.table([batch.column(c) for c in names], names=names).slice(0, packed.null_count))
+                for rows in packed.slice(packed.null_count):
+                    yield pa.ipc.open_stream(rows.as_buffer()).read_all()
 
         yield from worked(run, asked, regrouped(pieces()), most, arrow)
 
     return both.mapInArrow(cell, schema)
 
 
+def _packed(chunks: DataFrame) -> DataFrame:
+    """The chunks in the order of their ids, some at a time in one row as Arrow bytes, beside the first id of those.
+
+    A row of a few numbers costs more on its way to Python than the numbers do.
+    """
+    schema = T.StructType([chunks.schema["chunk_id"], T.StructField("rows", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, PACK * len(batch) // max(1, batch.nbytes))
+            parts = [batch.slice(at, rows) for at in range(0, len(batch), rows)]
+            data = []
+            for part in parts:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                data.append(sink.getvalue().to_pybytes())
+            first = batch.column("chunk_id").take(pa.array(range(0, len(batch), rows), pa.int64()))
+            yield pa.RecordBatch.from_arrays([first, pa.array(data, pa.binary())], names=["chunk_id", "rows"])
+
+    # The rows of Python batches grow with their packs.
+    text_batches(chunks.sparkSession)
+    parts = chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").mapInArrow(pack, schema)
+
+
 def regrouped(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
     """The same rows in pieces of PIECE."""
     held: list[pa.Table] = []

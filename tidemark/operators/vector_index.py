@@ -173,7 +173,8 @@ class _Cell:
     def __init__(self, p: Projections, levels: Sequence[int], most: int, exclude_self: bool, asked: pa.Table):
         self.p, self.levels, self.exclude_self, self.asked = p, levels, exclude_self, asked
         self.ids, vectors = asked["query_id"].to_pandas(), similarity.matrix(asked["vector"])
-        self.tiles = [_Tile(p, vectors[at : at + QUESTIONS], max(levels)) for at in range(0, len(vectors), QUESTIONS)]
+        self.size = -(-len(vectors) // -(-len(vectors) // QUESTIONS))  # tiles of equal size
+        self.tiles = [_Tile(p, vectors[at : at + self.size], max(levels)) for at in range(0, len(vectors), self.size)]
         self.never = (1 << (p.bits + 1).bit_length()) - 1
         self.kept = [similarity.Kept(np.full(len(asked), most), self.never, distinct=True) for _ in levels]
         self.names, self.seen = [], 0
@@ -186,8 +187,8 @@ class _Cell:
         codes, places = similarity.matrix(chunks["codes"], np.int64), self._places(ids)
         names = pd.factorize(pd.concat([self.ids, ids.to_pandas()], ignore_index=True))[0] if self.exclude_self else None
         for i, tile in enumerate(self.tiles):
-            first = i * QUESTIONS
-            same = None if names is None else (names[first : min(first + QUESTIONS, len(self.ids))], names[len(self.ids) :])
+            first = i * self.size
+            same = None if names is None else (names[first : min(first + self.size, len(self.ids))], names[len(self.ids) :])
             self._tile(first, tile, tile.products(signs, self.space), codes, places, same)
             for kept in self.kept:
                 if kept.waiting > similarity.WAITING:
